@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,27 @@ def without_space(text: Column) -> Column:
 
 def text_or_empty(df: DataFrame, text_col: str) -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
+
+
+def with_report(docs: DataFrame, text_col: str, keep: list[str], make: Callable[[], Callable[[list], list]], schema: str) -> DataFrame:
+    """A struct ``doc`` of the columns ``keep``, and the columns of ``schema`` worked out from the whole text in one pass.
+
+    ``make()`` is called once in each task and gives a function from a list of texts (bytes, or None) to one Arrow array
+    for each column. Batches are bounded in bytes by ``spark.sql.execution.arrow.maxBytesPerBatch``. The rows never move.
+    """
+    doc = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)]).alias("doc")
+    asked = docs.select(doc, docs[text_col].cast("string").cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), *work(b.column(1).to_pylist())], names)
+
+    out = f"doc {asked.schema['doc'].dataType.simpleString()}, {schema}"
+    names = ["doc", *[x.split()[0] for x in schema.split(", ")]]
+    return asked.mapInArrow(run, out)
+
+
+def columns_of(keep: list[str], only: list[str] | None = None) -> list[Column]:
+    """The columns of ``doc`` under their own names."""
+    return [F.col(f"doc.c{i}").alias(c) for i, c in enumerate(keep) if only is None or c in only]
