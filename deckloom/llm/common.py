@@ -6,13 +6,18 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The bytes that count as white space in these operators: space and 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
+#: Text that a Python task works on at a time; a longer text stands alone.
+PIECE_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,6 +58,14 @@ def text_or_empty(df: DataFrame, text_col: str) -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows): runs of rows with about PIECE_BYTES of text, so that what is made of them stays small as well."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.cumsum(lengths) // PIECE_BYTES
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]]).tolist()
+    return ((a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def with_report(docs: DataFrame, text_col: str, keep: list[str], make: Callable[[], Callable[[list], list]], schema: str) -> DataFrame:
     """A struct ``doc`` of the columns ``keep``, and the columns of ``schema`` worked out from the whole text in one pass.
 
@@ -65,7 +78,9 @@ def with_report(docs: DataFrame, text_col: str, keep: list[str], make: Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), *work(b.column(1).to_pylist())], names)
+            for start, rows in pieces(b.column(1)):
+                part = b.slice(start, rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), *work(part.column(1).to_pylist())], names)
 
     out = f"doc {asked.schema['doc'].dataType.simpleString()}, {schema}"
     names = ["doc", *[x.split()[0] for x in schema.split(", ")]]

@@ -1,4 +1,4 @@
-"""The registered queries of these operators and the SQL to hold them against."""
+"""The registered queries of these operators."""
 
 from __future__ import annotations
 
@@ -9,8 +9,14 @@ from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .html_extract import html_extract
 from .line_dedup import line_dedup
+from .oracle import SQL as SQL
+from .quality import quality_classifier
 from .simhash import simhash_components
+from .toxicity import toxicity
+from .url_filter import url_filter
+from .warc import derivatives, responses
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +36,19 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = derivatives(responses(table(spark, sf_dir, "pages")))
+    return found.select("record_type", "record_id", "refers_to", "target_uri", "content_type", F.octet_length("block").cast("long").alias("content_length"), "block_digest", "payload_digest", "source_headers")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -44,45 +63,24 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.c0", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated").withColumnRenamed("c0", "doc_id")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.select(F.col("page.c0").alias("page_id"), F.col("page.c1").alias("url"), "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
+    "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
+    "op5_url_filter": op5_url_filter,
     "op6_simhash": op6_simhash,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
-}
-
-SQL = {
-    "op1_exact_dedup": r"""
-        with t as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents)
-        select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size,
-               doc_id = first_value(doc_id) over w as kept, sha256(norm) as text_sha256
-        from t window w as (partition by norm order by n desc, doc_id)
-    """,
-    "op7_line_dedup": r"""
-        with d as (select row_number() over () as r, doc_id, coalesce(source, '') as site, text from documents),
-        l as (select r, site, unnest(range(1, len(string_split(text, chr(10))) + 1)) as pos, unnest(string_split(text, chr(10))) as line from d),
-        k as (select r, site, pos, line, md5(trim(line, E' \t\x0b\x0c\r')) as key, trim(line, E' \t\x0b\x0c\r') = '' as blank from l),
-        s as (select r, list_sort(list(distinct key)) as keys from k where not blank group by r),
-        o as (select distinct k.r, site, key, case when key = keys[1] then coalesce(keys[2], '') else keys[1] end as other from k join s on k.r = s.r where not blank),
-        bad as (select key from o group by key having count(distinct site) >= 10 and 2 * count(distinct other) >= count(*)),
-        n as (select r, count(*) as n_lines, count(bad.key) as n_removed, string_agg(case when bad.key is null then line end, chr(10) order by pos) as kept
-              from k left join bad on k.key = bad.key and not blank group by r)
-        select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as text_sha256 from d left join n on d.r = n.r
-    """,
-    "op8_decontaminate": r"""
-        with w as (select row_number() over () as r, doc_id,
-                          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
-        b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
-        bw as (select item_id, least(len(ws), 13) as m, ws, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) as i from b where len(ws) > 0),
-        p as (select distinct item_id, m, array_to_string(ws[i : i + m - 1], ' ') as win from bw),
-        dw as (select r, m, i, array_to_string(ws[i : i + m - 1], ' ') as win
-               from (select r, m, ws, unnest(range(1, len(ws) - m + 2)) as i from w, (select distinct m from p) where len(ws) >= m)),
-        hit as (select dw.r, dw.i, dw.m, p.item_id from dw join p on dw.m = p.m and dw.win = p.win),
-        wd as (select r, count(distinct x) as n_hit from (select r, unnest(range(i, i + m)) as x from (select distinct r, i, m from hit)) group by r),
-        it as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by r)
-        select doc_id, coalesce(len(ws), 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
-               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(ws), 0) as contaminated
-        from w left join wd on w.r = wd.r left join it on w.r = it.r
-    """,
+    "op9_html_extract": op9_html_extract,
+    "op10_toxicity": op10_toxicity,
 }
