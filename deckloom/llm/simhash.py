@@ -206,3 +206,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     found = rooted.join(lows.hint("merge"), "root").select("fp", "component_id")
     return own.join(found.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each component: the document with the component's smallest id, once."""
+    parts = simhash_components(docs, id_col, text_col, radius)
+    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    stay = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias("__stay")).distinct()
+    return docs.join(stay.hint("merge"), key(docs[id_col]) == F.col("__stay"), "left_semi").withColumn("__stay", key(F.col(id_col))).dropDuplicates(["__stay"]).drop("__stay")
