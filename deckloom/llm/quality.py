@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, with_report, written
+from .common import columns_of, with_report
 from .linear import balanced, fit_logistic, sigmoid
 
 #: Rows that the linear model is fitted on, the smallest hashes of their ids, and its hashed features.
@@ -163,13 +163,12 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share = min(1.0, 1.3 * train_rows / total)
     near = docs.where(mixed <= min(int((share - 0.5) * (1 << 64)), (1 << 63) - 1))
     rows = with_report(near.withColumn("__order", F.xxhash64(F.lit(7), F.col(id_col))), text_col, ["__order"], of_sample, "code int, at array<int>, value array<float>")
-    rows = rows.select(F.col("doc.c0").alias("at_hash"), "code", "at", "value").where(F.col("code") != NO_VOTES).orderBy("at_hash", "code").limit(train_rows).collect()
-    if not rows:
+    rows = rows.select(F.col("doc.c0").alias("at_hash"), "code", "at", "value").where(F.col("code") != NO_VOTES).orderBy("at_hash", "code").limit(train_rows).toArrow()
+    if not len(rows):
         return np.zeros(DIMS, np.float32), 0.0, prior
-    x = np.zeros((len(rows), DIMS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = r["value"]
-    y = np.array([label.get(r["code"], 0.5) for r in rows])
+    x, at = np.zeros((len(rows), DIMS), np.float32), rows["at"].combine_chunks()
+    x[np.repeat(np.arange(len(rows)), at.value_lengths().to_numpy(zero_copy_only=False)), at.flatten().to_numpy()] = rows["value"].combine_chunks().flatten().to_numpy()
+    y = np.array([label.get(c, 0.5) for c in rows["code"].to_pylist()])
     return *fit_logistic(x, y, balanced(y)), prior
 
 

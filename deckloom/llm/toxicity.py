@@ -23,7 +23,7 @@ from .common import columns_of, with_report, written
 from .linear import balanced, fit_logistic, sigmoid
 
 #: Labelled rows to fit on: those with the smallest hashes of their ids. Features of the linear model, at most.
-TRAIN_ROWS, FEATURES = 12000, 1500
+TRAIN_ROWS, FEATURES = 8000, 1500
 #: Hashes of words and of word beginnings, and the lengths of these.
 BUCKETS, BEGINNINGS = 1 << 24, (4, 5, 6)
 #: Lexicon voters of one feature each; further ones are pooled in this many.
@@ -88,8 +88,8 @@ def label_model(v: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray
     return post, rate, share
 
 
-def _train_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> list:
-    """Hashed distinct features, pattern votes and labels of at most ``limit`` labelled rows outside the held-out fold."""
+def _train_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> tuple[np.ndarray, ...]:
+    """Labels, pattern votes, and hashed distinct features with their rows, of at most ``limit`` labelled rows outside the held-out fold."""
     known = labels.where(labels["toxic"].isNotNull() & ~held_out(labels[id_col])).groupBy(F.col(id_col).alias("key")).agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(written(known.orderBy(F.xxhash64(F.lit(11), "key"), "key").limit(limit), "toxic-rows"))  # limit rows of two numbers
     own = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text")).join(chosen, "key").select("key", "toxic", "text")
@@ -107,7 +107,11 @@ def _train_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
     rows = with_report(own, "text", ["key", "toxic"], make, "found array<int>, said array<boolean>")
     rows = rows.select(F.xxhash64(F.lit(11), "doc.c0").alias("at"), F.col("doc.c1").cast("int").alias("toxic"), "found", "said")
-    return rows.orderBy("at", F.hash("found")).limit(limit).collect()  # repeated ids may have given more rows
+    got = rows.orderBy("at", F.hash("found")).limit(limit).toArrow()  # repeated ids may have given more rows
+    found, said = got["found"].combine_chunks(), got["said"].combine_chunks()
+    doc = np.repeat(np.arange(len(got), dtype=np.int32), found.value_lengths().to_numpy(zero_copy_only=False))
+    votes = said.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(PATTERN_NAMES))
+    return np.clip(got["toxic"].to_numpy(), 0, 1).astype(np.float64), votes, found.flatten().to_numpy(), doc
 
 
 class Model:
@@ -139,14 +143,12 @@ class Model:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    rows = _train_rows(docs, labels, id_col, text_col, train_rows)
-    y = np.array([min(max(r.toxic, 0), 1) for r in rows], np.float64)
+    y, said, found, doc = _train_rows(docs, labels, id_col, text_col, train_rows)
     if not len(y):
         return Model({}, [0.0] * len(PATTERN_NAMES), -2.0)
     if y.min() == y.max():
         return Model({}, [0.0] * len(PATTERN_NAMES), 2.0 if y[0] else -2.0)
-    ids, at = np.unique(np.concatenate([np.array(r.found, np.int32) for r in rows]), return_inverse=True)
-    doc = np.repeat(np.arange(len(rows)), [len(r.found) for r in rows])
+    ids, at = np.unique(found, return_inverse=True)
     n1, n = np.bincount(at, weights=y[doc], minlength=len(ids)), np.bincount(at, minlength=len(ids))
     base = y.mean()
     share = (n1 + 4 * base) / (n + 4)
@@ -157,9 +159,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     group[lexicon[:SINGLE_VOTERS]] = np.arange(len(lexicon[:SINGLE_VOTERS]))
     rest = lexicon[SINGLE_VOTERS:]
     group[rest] = SINGLE_VOTERS + np.arange(len(rest)) * POOLED_VOTERS // max(len(rest), 1)
-    votes = np.zeros((len(rows), 1 + len(PATTERN_NAMES) + SINGLE_VOTERS + POOLED_VOTERS), np.uint8)
+    votes = np.zeros((len(y), 1 + len(PATTERN_NAMES) + SINGLE_VOTERS + POOLED_VOTERS), np.uint8)
     votes[:, 0] = y
-    votes[:, 1 : 1 + len(PATTERN_NAMES)] = [r.said for r in rows]
+    votes[:, 1 : 1 + len(PATTERN_NAMES)] = said
     hit = group[at] >= 0
     votes[doc[hit], 1 + len(PATTERN_NAMES) + group[at[hit]]] = 1
     post, _, _ = label_model(votes[:, votes.any(0) | (np.arange(votes.shape[1]) == 0)])
@@ -170,7 +172,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     use = use[np.lexsort((ids[use], -chi[use]))][:FEATURES]
     column = np.full(len(ids), -1)
     column[use] = np.arange(len(use))
-    x = np.zeros((len(rows), len(use) + len(PATTERN_NAMES)), np.float32)
+    x = np.zeros((len(y), len(use) + len(PATTERN_NAMES)), np.float32)
     hit = column[at] >= 0
     x[doc[hit], column[at[hit]]] = 1
     x[:, len(use) :] = votes[:, 1 : 1 + len(PATTERN_NAMES)]
