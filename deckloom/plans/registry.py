@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit
+from . import audit, report
 
-MODULES = (audit,)
+MODULES = (audit, report)
 
 
 def queries() -> dict:
