@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, report
+from . import audit, mining, report
 
-MODULES = (audit, report)
+MODULES = (audit, report, mining)
 
 
 def queries() -> dict:

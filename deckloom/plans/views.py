@@ -65,7 +65,8 @@ def with_views(sql: str) -> str:
     add(sql)
     parts = [f"{n} as ({VIEWS[n]})" for n in done]
     body = sql.strip()
-    if body.startswith("with "):
-        parts, body = [*parts, body[5:].split("\nselect", 1)[0]], "select" + body.split("\nselect", 1)[1]
-    out = ("with " + ",\n".join(parts) + "\n" if parts else "") + body
+    start = "with recursive " if body.startswith("with recursive ") else "with "
+    if body.startswith(start):
+        parts, body = [*parts, body[len(start) :].split("\nselect", 1)[0]], "select" + body.split("\nselect", 1)[1]
+    out = (start + ",\n".join(parts) + "\n" if parts else "") + body
     return re.sub(r"LAB\((\w+)\)", lambda m: LAB.format(p=m[1]).strip(), out)
