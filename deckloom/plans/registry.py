@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, mining, report
+from . import audit, content, mining, report
 
-MODULES = (audit, report, mining)
+MODULES = (audit, report, mining, content)
 
 
 def queries() -> dict:
