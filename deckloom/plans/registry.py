@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, content, mining, report
+from . import audit, content, mining, outline, report
 
-MODULES = (audit, report, mining, content)
+MODULES = (audit, report, mining, content, outline)
 
 
 def queries() -> dict:
