@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, content, mining, outline, report
+from . import audit, content, layout, mining, outline, report
 
-MODULES = (audit, report, mining, content, outline)
+MODULES = (audit, report, mining, content, outline, layout)
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, report
 from ..sources.fixtures import Fixtures
+from . import audit as audit_plans
 from .views import VIEWS, with_views
 
 
@@ -145,3 +146,4 @@ select template_id, archetype, n, string_agg(archetype, ',') over (partition by
 
 QUERIES = {name: (lambda spark, sf_dir, run=run: run(Fixtures(spark, sf_dir))) for name, run in RUN.items()}
 SQL = {name: with_views(sql) for name, sql in SQL.items()}
+SQL["g09_snap_colors"] = f"with f as ({audit_plans.SQL['a11_off_palette']}) select deck_id, coalesce(nearest, r.hex) as hex, count(*) as n from ({with_views('select * from fx_runs')}) r left join (select slide_id, z, hex, nearest from f) f using (slide_id, z, hex) group by 1, 2"
