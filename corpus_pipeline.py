@@ -39,7 +39,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the digest of the decoded bytes."""
-    found = bpe_decode(bpe_encode(docs, RANKS, PATTERN), RANKS, PATTERN)
+    found = bpe_decode(bpe_encode(docs, RANKS, PATTERN), RANKS)
     return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

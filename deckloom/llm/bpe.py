@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, with_report
+from .common import columns_of, small_batches, with_report
 
 #: Encoded pre-tokens kept by a worker, and the characters up to which a pre-token is kept.
-CACHE_ENTRIES, CACHE_CHARS = 1 << 18, 64
+CACHE_ENTRIES, CACHE_CHARS = 1 << 17, 64
 #: Characters from which a text's pre-tokens are found bit by bit, and how many tokens at a time.
 LONG_TEXT, STEP = 1 << 22, 1 << 18
 
@@ -70,8 +70,20 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + _field(2, trainer) + _field(3, normal)
 
 
+def tokens_of(data: bytes) -> list[bytes]:
+    """The bytes of each id, from its piece back through the map of bytes to characters."""
+    chars = byte_chars()
+    back = {ord(c): b for b, c in enumerate(chars)}
+    pieces = (t.decode("latin-1").translate(chars) for t, _ in sorted(read_ranks(data).items(), key=lambda x: x[1]))
+    return [p.translate(back).encode("latin-1") for p in pieces]
+
+
+def decode(ids: list[int], tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids))
+
+
 class Codec(dict):
-    """Encodes and decodes by a rank file's bytes. As a dict it holds the ids of recent pre-tokens."""
+    """Encodes by a rank file's bytes. As a dict it holds the ids of recent pre-tokens."""
 
     def __init__(self, data: bytes, pattern: str):
         import regex
@@ -82,9 +94,6 @@ class Codec(dict):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
         self.pattern = regex.compile(pattern)
         self.chars = byte_chars()
-        back = {ord(c): b for b, c in enumerate(self.chars)}
-        pieces = (self.model.id_to_piece(i + 1) for i in range(len(self.ranks)))
-        self.tokens = [p.translate(back).encode("latin-1") for p in pieces]
 
     def __missing__(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -104,9 +113,6 @@ class Codec(dict):
             out.append(np.fromiter(chain.from_iterable(map(self.__getitem__, piece)), np.int32))
         return np.concatenate(out)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 _codecs: dict[tuple, Codec] = {}
 
@@ -118,6 +124,15 @@ def _codec(key: tuple, data, pattern: str) -> Codec:
     return _codecs[key]
 
 
+_tokens: dict[str, list[bytes]] = {}
+
+
+def _table(key: str, data) -> list[bytes]:
+    if key not in _tokens:
+        _tokens[key] = tokens_of(data.value)
+    return _tokens[key]
+
+
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col``, the array of token ids of the whole text, without special tokens.
 
@@ -143,15 +158,15 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     return with_report(docs, text_col, keep, make, "ids array<int>").select(*columns_of(keep), F.col("ids").alias(ids_col))
 
 
-def bpe_decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with ``out_col``, the bytes that ``ids_col`` stands for; null ids give no bytes."""
+    small_batches(encoded.sparkSession)
     with open(ranks_path, "rb") as f:
         data = encoded.sparkSession.sparkContext.broadcast(f.read())
-    key = (ranks_path, pattern)
 
-    @F.pandas_udf("binary")
-    def decoded(ids):
-        codec = _codec(key, data, pattern)
-        return ids.map(lambda x: b"" if x is None else codec.decode(x.tolist()))
+    @F.arrow_udf("binary")
+    def decoded(ids: pa.Array) -> pa.Array:
+        tokens = _table(ranks_path, data)
+        return pa.array([decode(x.values.to_numpy().tolist(), tokens) if x.is_valid else b"" for x in ids], pa.binary())
 
     return encoded.withColumn(out_col, decoded(F.col(ids_col)))

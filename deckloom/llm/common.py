@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 #: The bytes that count as white space in these operators: space and 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-#: Text that a Python task works on at a time; a longer text stands alone.
-PIECE_BYTES = 4 << 20
+#: Bytes of a batch that Spark sends to a Python task, and of text that the task works on at a time; a longer text
+#: stands alone.
+BATCH_BYTES, PIECE_BYTES = 8 << 20, 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,12 @@ def text_or_empty(df: DataFrame, text_col: str) -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch, by default 64 MB, of which a task holds several copies."""
+    if int(spark.conf.get(BATCH_SETTING, str(64 << 20)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(start, rows): runs of rows with about PIECE_BYTES of text, so that what is made of them stays small as well."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -70,8 +78,9 @@ def with_report(docs: DataFrame, text_col: str, keep: list[str], make: Callable[
     """A struct ``doc`` of the columns ``keep``, and the columns of ``schema`` worked out from the whole text in one pass.
 
     ``make()`` is called once in each task and gives a function from a list of texts (bytes, or None) to one Arrow array
-    for each column. Batches are bounded in bytes by ``spark.sql.execution.arrow.maxBytesPerBatch``. The rows never move.
+    for each column. Batches are bounded in bytes. The rows never move.
     """
+    small_batches(docs.sparkSession)
     doc = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)]).alias("doc")
     asked = docs.select(doc, docs[text_col].cast("string").cast("binary").alias("text"))
 
@@ -81,6 +90,8 @@ def with_report(docs: DataFrame, text_col: str, keep: list[str], make: Callable[
             for start, rows in pieces(b.column(1)):
                 part = b.slice(start, rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), *work(part.column(1).to_pylist())], names)
+            del b
+            pa.default_memory_pool().release_unused()
 
     out = f"doc {asked.schema['doc'].dataType.simpleString()}, {schema}"
     names = ["doc", *[x.split()[0] for x in schema.split(", ")]]

@@ -28,7 +28,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
-    return bpe_decode(encoded, ranks, pattern).select(
+    return bpe_decode(encoded, ranks).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
