@@ -239,19 +239,20 @@ def duplicate_slides(docs: DataFrame, group: str, similarity: float = 0.8, least
     Sets are ordered by rarity; two similar ones share a word among their first few, so only these are joined (a prefix
     filter), and sizes must be near. The result is exact.
     """
-    sets = docs.select(F.col(group).alias("grp"), "doc_id", text.distinct_words(F.col("text")).alias("words")).where(F.size("words") >= least_words)
-    each = sets.select("grp", "doc_id", F.explode("words").alias("word"))
+    own_words = text.distinct_words(F.col("text"))
+    hashed = F.transform(own_words, lambda w: F.xxhash64(w))  # equal words have equal hashes: no pair is lost, the texts decide
+    each = docs.select(F.col(group).alias("grp"), "doc_id", F.explode(F.when(F.size(own_words) >= least_words, hashed)).alias("word"))
     df = each.groupBy("grp", "word").agg(F.count("*").alias("df"))
-    ordered = each.join(df, ["grp", "word"]).groupBy("grp", "doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("rare"))  # bounded: one text's words
+    rare = each.join(df, ["grp", "word"]).groupBy("grp", "doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("rare"))  # bounded: one text's words
     n = F.size("rare")
     keep = n - F.ceil(F.lit(similarity) * n - 1e-9).cast("int") + 1
-    own = ordered.select("grp", "doc_id", n.alias("n"), F.col("rare.word").alias("words"), F.explode(F.slice(F.col("rare.word"), F.lit(1), keep)).alias("word"))
-    a, b = own.select("grp", "doc_id", "n", "word"), own.select("grp", F.col("doc_id").alias("other"), F.col("n").alias("m"), "word")
+    own = rare.select("grp", "doc_id", n.alias("n"), F.explode(F.slice(F.col("rare.word"), F.lit(1), keep)).alias("word"))
+    a, b = own, own.select("grp", F.col("doc_id").alias("other"), F.col("n").alias("m"), "word")
     near = (F.col("doc_id") < F.col("other")) & (F.col("n") >= similarity * F.col("m")) & (F.col("m") >= similarity * F.col("n"))
     pairs = a.join(b, ["grp", "word"]).where(near).select("grp", "doc_id", "other").distinct()
-    left = sets.select("grp", "doc_id", F.col("words").alias("left_words"))
-    right = sets.select("grp", F.col("doc_id").alias("other"), F.col("words").alias("right_words"))
-    both = pairs.join(left, ["grp", "doc_id"]).join(right, ["grp", "other"])
+    texts = docs.select(F.col(group).alias("grp"), "doc_id", "text")
+    right = texts.select("grp", F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
+    both = pairs.join(texts, ["grp", "doc_id"]).join(right, ["grp", "other"]).withColumns({"left_words": own_words, "right_words": text.distinct_words(F.col("other_text"))})
     common = F.size(F.array_intersect("left_words", "right_words"))
     jaccard = common / (F.size("left_words") + F.size("right_words") - common)
     return both.withColumn("jaccard", jaccard).where(F.col("jaccard") > similarity).select("grp", "doc_id", "other", F.bround("jaccard", 4).alias("jaccard"))
