@@ -92,5 +92,14 @@ select * from k where k <= 10""",
 select grp, string_agg(sample, ' / ' order by k) as samples, max(total) - count(*) as more from u where used <= 6000 group by 1""",
 }
 
+CLUSTERS = SQL["m02_color_clusters"].rsplit("\nselect", 1)[0]
+SQL["m03_color_roles_of_clusters"] = (
+    CLUSTERS
+    + """, mm as (select template_id, m.h as hex, m.c as cluster from last where m.h <> ''),
+ cs as (select template_id, cluster as hex, round_even(sum(fills), 4) as fills, round_even(sum(fill_area), 4) as fill_area, round_even(sum(cover_area), 4) as cover_area, round_even(sum(text_chars), 4) as text_chars, round_even(sum(weight), 4) as weight from fx_usage join mm using (template_id, hex) group by 1, 2),
+ cu as (select cs.*, r, g, b from cs join (select template_id, hex, r, g, b from fx_usage) using (template_id, hex)), """
+    + ROLE.replace("fx_usage", "cu")
+    + "\nselect * from roles"
+)
 QUERIES = {name: (lambda spark, sf_dir, run=run: run(Fixtures(spark, sf_dir))) for name, run in RUN.items()}
 SQL = {name: with_views(sql) for name, sql in SQL.items()}
