@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, with_report
-from .linear import balanced, fit_logistic, sigmoid
+from .linear import fit_logistic, sigmoid
 
 #: Rows that the linear model is fitted on, the smallest hashes of their ids, and its hashed features.
 TRAIN_ROWS, DIMS = 5000, 4096
@@ -169,7 +169,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     x, at = np.zeros((len(rows), DIMS), np.float32), rows["at"].combine_chunks()
     x[np.repeat(np.arange(len(rows)), at.value_lengths().to_numpy(zero_copy_only=False)), at.flatten().to_numpy()] = rows["value"].combine_chunks().flatten().to_numpy()
     y = np.array([label.get(c, 0.5) for c in rows["code"].to_pylist()])
-    return *fit_logistic(x, y, balanced(y)), prior
+    return *fit_logistic(x, y, np.ones(len(y))), prior
 
 
 def quality_scores(docs: DataFrame, model: tuple[np.ndarray, float, float], keep: list[str], text_col: str = "text") -> DataFrame:
