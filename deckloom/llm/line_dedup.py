@@ -48,8 +48,9 @@ def boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: str = "
     sketch = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sites"), F.count("*").alias("n_docs"))
     spread = written(sketch.select("line", "n_docs", F.hll_sketch_estimate("sites").alias("estimate")).where((F.col("n_docs") >= min_sites) & (F.col("estimate") >= low)), "spread-lines")
     found = lines.join(spread, "line")
-    exact = found.where(F.col("estimate") <= high).select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n_sites"))
-    others = found.select("line", F.coalesce("other", F.lit(b"")).alias("other")).distinct().groupBy("line").agg(F.count("*").alias("n_others"))
+    # Dealt out by both columns, so that a very frequent line is not counted by one task.
+    exact = found.where(F.col("estimate") <= high).select("line", "site").repartition("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n_sites"))
+    others = found.select("line", F.coalesce("other", F.lit(b"")).alias("other")).repartition("line", "other").distinct().groupBy("line").agg(F.count("*").alias("n_others"))
     held = spread.join(exact.hint("merge"), "line", "left").join(others.hint("merge"), "line")
     return held.where((F.coalesce("n_sites", F.lit(min_sites)) >= min_sites) & (2 * F.col("n_others") >= F.col("n_docs"))).select("line")
 
