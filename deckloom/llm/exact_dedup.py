@@ -94,6 +94,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.count("*").alias("group_size"),
         F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("best"),
     )
+    best = written(best, "block-best")  # read back, so that a large group's rows can be split in the join
     return found.join(best.hint("merge"), ["level", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256", "level", "name"
     )
