@@ -12,15 +12,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns u, v), root being the smallest node of the component.
 
     Large-star and small-star steps by turns: each is an aggregation with a map-side part and a join of the edges with
-    one row per node, so a hub is neither gathered in one group nor multiplied. The table is written between rounds.
+    one row per node, so a hub is neither gathered in one group nor multiplied. Both sides of a join are written first:
+    then Spark can split a hub's edges.
     """
     cur = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large-star")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(least.hint("merge"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         cur = written(small.where("u <> v").distinct(), "edges")
