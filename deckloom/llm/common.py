@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,7 +63,9 @@ def text_or_empty(df: DataFrame, text_col: str) -> Column:
 
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's bound on the bytes of an Arrow batch, by default 64 MB, of which a task holds several copies."""
-    if int(spark.conf.get(BATCH_SETTING, str(64 << 20)).rstrip("b")) > BATCH_BYTES:
+    number, unit = re.match(r"(\d+)\s*([kmgt]?)", spark.conf.get(BATCH_SETTING, "64m").lower()).groups()
+    now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    if now > BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
 
 
