@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from deckloom.llm.simhash import fingerprint, fingerprint_links, links_within, simhash_components
+from deckloom.llm.simhash import fingerprint, fingerprint_links, links_within, near_dedup, simhash_components
 
 from .docs import awkward, empty
 
@@ -97,3 +97,13 @@ def test_like_brute_force(spark):
 
 def test_empty_table(spark):
     assert simhash_components(empty(spark)).collect() == []
+
+
+def test_one_document_of_each_component_stays(spark):
+    docs = awkward(spark, [(20, "p q r s", "en", "s"), (20, "p q r s", "en", "s"), (21, "p q r s", "en", "s")])
+    parts = simhash_components(docs).collect()
+    left = near_dedup(docs)
+    assert left.schema == docs.schema
+    got = [r.doc_id for r in left.collect()]
+    assert len(got) == len({r.component_id for r in parts}) and set(got) == {r.component_id for r in parts} and None in got and 20 in got
+    assert near_dedup(empty(spark)).collect() == []
