@@ -12,7 +12,6 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import with_report
 from .quality import FUNCTION_WORDS
