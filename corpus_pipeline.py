@@ -10,8 +10,8 @@ from deckloom.llm.bpe import bpe_decode, bpe_encode
 from deckloom.llm.common import table, written
 from deckloom.llm.decontaminate import decontaminate
 from deckloom.llm.line_dedup import line_dedup
+from deckloom.llm.near_copies import drop_near_copies
 from deckloom.llm.quality import keep_good
-from deckloom.llm.simhash import near_dedup
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return near_dedup(docs)
+    """One document of each group of near copies: 5-word shingles, Jaccard similarity of at least 0.8."""
+    return drop_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
