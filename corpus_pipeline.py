@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from deckloom.llm.bpe import bpe_decode, bpe_encode
 from deckloom.llm.common import table, written
 from deckloom.llm.decontaminate import decontaminate
-from deckloom.llm.line_dedup import line_dedup
+from deckloom.llm.line_dedup import line_dedup, shared_lines
 from deckloom.llm.near_copies import drop_near_copies
 from deckloom.llm.quality import keep_good
 
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without boilerplate lines; n_chars follows the text."""
-    found = line_dedup(docs).drop("n_lines", "n_removed")
+    found = line_dedup(docs, rule=shared_lines).drop("n_lines", "n_removed")
     return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 

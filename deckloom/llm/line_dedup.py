@@ -3,15 +3,19 @@
 A HyperLogLog sketch of sites per line is merged by aggregation. Lines whose estimate is near the threshold get an exact
 count. Whole copies of a document on many sites are no boilerplate: at least half of a line's documents must differ in
 the rest of their lines, of which the smallest digest serves as witness.
+
+``shared_lines`` is the rule of the pipeline: copies count once, and a line needs as many different documents as sites.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, columns_of, with_report, written
@@ -55,15 +59,65 @@ def boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: str = "
     return held.where((F.coalesce("n_sites", F.lit(min_sites)) >= min_sites) & (2 * F.col("n_others") >= F.col("n_docs"))).select("line")
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, sent_lines: int = SENT_LINES) -> DataFrame:
-    """``docs`` without boilerplate lines in ``text_col``, and the columns n_lines and n_removed.
+def paired(edges: list, enough: int) -> bool:
+    """Whether ``enough`` of the edges (doc, site) share neither a document nor a site."""
+    sites: dict = {}
+    for doc, site in edges:
+        sites.setdefault(doc, []).append(site)
+    holder: dict = {}
+
+    def place(doc, seen: set) -> bool:
+        for site in sites[doc]:
+            if site not in seen:
+                seen.add(site)
+                if site not in holder or place(holder[site], seen):
+                    holder[site] = doc
+                    return True
+        return False
+
+    return sum(place(doc, set()) for doc in sites) >= enough
+
+
+def shared_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """(line): digests of the lines that ``min_sites`` different documents hold, each of them on another site.
+
+    Documents are different if their sets of lines are, so copies add neither documents nor, beyond one, sites.
+    """
+    lines = F.transform(F.filter(F.split(F.col("text"), "\n"), lambda x: F.trim(x, F.lit(ASCII_SPACE)) != ""), _key)
+    own = docs.select(F.coalesce(docs[site_col].cast("string"), F.lit("")).alias("site"), docs[text_col].cast("string").alias("text"))
+    own = own.select("site", F.array_sort(F.array_distinct(lines)).alias("lines")).select("site", F.xxhash64("lines").alias("doc"), F.explode("lines").alias("line"))
+    own = written(own, "lines")
+    spread = own.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("doc", F.lit(LG_K))).alias("docs"))
+    low = min_sites * (1 - 5 * 1.04 / 2 ** (LG_K / 2)) - 1
+    found = own.join(written(spread.where((F.col("sites") >= low) & (F.col("docs") >= low)).select("line"), "spread-lines"), "line")
+    # One site for each document is a pairing already, mostly with enough sites; other lines get the best pairing.
+    one = found.groupBy("line", "doc").agg(F.min(F.struct(F.xxhash64("doc", "site"), "site")).alias("x")).select("line", F.col("x.site").alias("site"))
+    counts = written(one.repartition("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n")), "paired-lines")
+    left = found.join(counts.where(F.col("n") < min_sites).select("line"), "line").repartition("line", "doc", "site").distinct()
+    # More than min_sites edges of a document or site can't be needed: the other pairs leave one of these free.
+    for one, other in (("doc", "site"), ("site", "doc")):
+        left = left.withColumn("k", F.row_number().over(W.partitionBy("line", one).orderBy(other))).where(F.col("k") <= min_sites).drop("k")
+    # Fewer pairs than min_sites are covered by as many documents and sites, which have min_sites edges each at most.
+    most = min_sites * (min_sites - 1)
+    left = written(left, "edges")
+    sizes = written(left.groupBy("line").agg(F.count("*").alias("n")), "edge-counts")
+    few = left.join(sizes.where(F.col("n") <= most).select("line"), "line").groupBy("line").agg(F.collect_list(F.struct("doc", "site")).alias("edges"))
+    enough = F.udf(lambda edges: paired(edges, min_sites), "boolean")
+    best = sizes.where(F.col("n") > most).select("line").unionByName(few.where(enough("edges")).select("line"))
+    return counts.where(F.col("n") >= min_sites).select("line").unionByName(best)
+
+
+def line_dedup(
+    docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, sent_lines: int = SENT_LINES, rule: Callable[[DataFrame, str, str, int], DataFrame] = boilerplate_lines
+) -> DataFrame:
+    """``docs`` without the lines in ``text_col`` that ``rule`` finds, and the columns n_lines and n_removed.
 
     Lines end with "\\n" and are compared without white space at their ends; blank ones are never removed. A null site is
     a site of its own (""). A null text stays null with no lines; an empty one has one blank line. A text may become
     empty. Repeated rows stay and count as documents. Columns named n_lines or n_removed are replaced.
     """
     spark = docs.sparkSession
-    bad = written(boilerplate_lines(docs, text_col, site_col, min_sites), "boilerplate")
+    bad = written(rule(docs, text_col, site_col, min_sites), "boilerplate")
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     if bad.count() > sent_lines:
         return _by_join(docs, bad, keep, text_col)
