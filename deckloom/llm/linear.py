@@ -22,10 +22,3 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
     return w, float(b)
-
-
-def balanced(y: np.ndarray) -> np.ndarray:
-    """Weights by which either class counts the same."""
-    one = max(float(y.sum()), 1e-9)
-    zero = max(float(len(y) - y.sum()), 1e-9)
-    return y / one + (1 - y) / zero
