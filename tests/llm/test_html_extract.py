@@ -1,4 +1,9 @@
-from deckloom.llm.html_extract import html_extract, main_text
+import random
+import re
+import time
+
+from deckloom.llm.html_extract import Block, classify, first_pass, html_extract, main_text
+from deckloom.llm.quality import FUNCTION_WORDS
 
 STORY = "The house stood by the river and it was old. " * 6
 
@@ -30,6 +35,72 @@ def test_long_page():
     assert main_text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == "deep"
 
 
+def test_names_of_wrappers_do_not_empty_a_page():
+    for page in (f'<div class="content no-sidebar"><p>{STORY}</p></div>', f'<div class="layout with-sidebar"><article><p>{STORY}</p></article></div>', f'<article class="post tags-news"><p>{STORY}</p></article>',
+                 f'<div class="sidebar"><article><p>{STORY}</p></article></div>', f'<div id="widget"><p>{STORY}</p></div>', f'<p title="the hidden cost">{STORY}</p>', f'<article class="ad"><p>{STORY}</p></article>'):
+        assert main_text(page) == STORY.strip(), page
+    assert main_text(f'<p>{STORY}</p><div class="ad-box">{STORY}</div><div hidden>{STORY}</div><p style="display: none">{STORY}</p><ul class="related-posts"><li>{STORY}</ul>') == STORY.strip()
+    assert main_text(f"<article><header><h1>Head</h1><p>By me</p></header><p>{STORY}</p><p>© 2020 is a year</p></article>") == f"Head {STORY.strip()} © 2020 is a year"
+
+
+def brute(rows):
+    """The two passes by their words: rows are (text, characters in links, in the article element)."""
+    marked = any(main for *_, main in rows)
+    labels = []
+    for text, links, main in rows:
+        words = text.lower().split()
+        stops = sum(w.strip(".,;:!?\"'()") in FUNCTION_WORDS for w in words) / len(words)
+        if links > 0.8 * len(text) and len(words) <= 12 or links > 0.33 * len(text) and not (marked and main):
+            labels.append(False)
+        elif marked and not main:
+            labels.append(len(text) >= 200 and stops >= 0.22 and links == 0)
+        elif len(text) >= 70 and (stops >= 0.22 or stops >= 0.12 and len(text) >= 200):
+            labels.append(True)
+        else:
+            labels.append(None)
+    out = []
+    for i, x in enumerate(labels):
+        if x is None:
+            own = [j for j, y in enumerate(labels) if y is not None and (rows[j][2] or not marked)]
+            if marked:
+                sides = [max((j for j in own if j < i), default=None), min((j for j in own if j > i), default=None)]
+                x = any(j is None or labels[j] for j in sides)
+            else:
+                least = min((abs(i - j) for j in own), default=None)
+                x = least is None or any(labels[j] for j in own if abs(i - j) == least)
+        out.append(x)
+    return out
+
+
+def test_passes_like_brute_force():
+    rng = random.Random(5)
+    for _ in range(400):
+        rows = []
+        for _ in range(rng.randrange(1, 14)):
+            text = " ".join(rng.choice(["the", "of", "river", "stone", "blorgh", "house", "x1"]) for _ in range(rng.choice([1, 5, 12, 30, 60])))
+            rows.append((text, rng.choice([0, 0, 0, len(text) // 2, len(text)]), rng.random() < 0.5))
+        if rng.random() < 0.4:
+            rows = [(t, n, False) for t, n, _ in rows]
+        blocks = [Block(t, n, main=m) for t, n, m in rows]
+        assert classify(blocks) == brute(rows)
+    assert first_pass(Block("Short."), False) is None
+
+
+def test_given_pages_without_their_mark(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    assert len(pages) > 20
+    for page in pages:
+        bare = re.sub("</?(article|main)[^>]*>", "", page)
+        assert bare != page and main_text(bare) == main_text(page) != ""
+
+
+def test_time_is_linear():
+    for page in ("<div>" * 100000 + "deep" + "</div>" * 100000, '<p "' * 100000, '<p a="' * 100001 + ">", "<" * 300000, '<div class="ad">' * 50000, "<p " + "a " * 100000 + ">"):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 5
+
+
 def test_table(spark):
     pages = spark.createDataFrame([(1, None, "u", "x"), (2, "", "u", "x"), (3, "<article>é 😀</article>", None, "x"), (3, "<article>é 😀</article>", None, "x")], "page_id long, html string, url string, text string")
     got = html_extract(pages, ["page_id", "url"]).collect()
