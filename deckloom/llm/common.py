@@ -19,6 +19,8 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Bytes of a batch that Spark sends to a Python task, and of text that the task works on at a time; a longer text
 #: stands alone.
 BATCH_BYTES, PIECE_BYTES = 8 << 20, 4 << 20
+#: Keys of 8 bytes that are sent to all executors at most.
+SENT_KEYS = 1 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -51,6 +53,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, order: list[str], name: str, label: str) -> DataFrame:
+    """``df`` as a written table with ``name``, each row's place in the order of all rows, from 0.
+
+    Rows are sorted in ranges; a range's places begin after the rows of all ranges before it. Equal rows apart, places
+    depend on the rows alone and not on how they are dealt out. The driver sees one number for each range.
+    """
+    spark = df.sparkSession
+    at = written(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), label)
+    before, starts = 0, []
+    for part, n in sorted((r[0], r[1]) for r in at.groupBy(F.shiftright("__at", 33)).count().collect()):
+        starts.append((part, before - (part << 33)))
+        before += n
+    shift = F.broadcast(spark.createDataFrame(starts, "__part long, __shift long"))  # a row for each range
+    return at.withColumn("__part", F.shiftright("__at", 33)).join(shift, "__part").withColumn(name, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
+
+
+def stays(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """``df`` left_semi or left_anti joined with ``keys``, a written table of one long column ``on``.
+
+    Up to SENT_KEYS keys, counted first, are sent to the executors, so that the rows of ``df`` do not move; more are joined
+    by sorting.
+    """
+    few = keys.count() <= SENT_KEYS
+    return df.join(F.broadcast(keys) if few else keys.hint("merge"), on, how)
+
+
 def without_space(text: Column) -> Column:
     for c in ASCII_SPACE:
         text = F.replace(text, F.lit(c), F.lit(""))

@@ -1,9 +1,10 @@
 """Exact duplicates by deterministic block naming.
 
-Each normalised text is cut into blocks of a fixed number of bytes. Equal blocks get one integer name, the block's
-position in sorted order; then adjacent names are paired and the pairs are named in the same way, until each document
-has a single name. Two documents of equal depth share a name exactly when their texts are equal: names come from
-comparing the blocks and pairs themselves, never from trusting a hash.
+Each normalised text is cut into blocks of a fixed number of bytes. Equal blocks get one integer name, the block's rank in
+the order of all distinct blocks; then adjacent names are paired and the pairs are named by their rank in the same way,
+until each document has a single name. Blocks are ordered by their first bytes, then by a 128-bit key of the whole, so
+ranks depend on the texts alone, not on how Spark deals them out. Two documents of equal depth share a name exactly when
+their texts are equal: names come from comparing the blocks and pairs themselves, never from trusting a hash.
 
 What is shuffled: each distinct block once (copies are combined before the shuffle), otherwise numbers. To bring a name
 back to its rows a 128-bit key stands for the block. The key is proven free of collisions on the data at hand, since the
@@ -15,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, without_space, written
+from .common import ranked, text_or_empty, without_space, written
 
 #: Bytes of a block. Larger blocks mean fewer levels, smaller ones smaller rows.
 BLOCK_BYTES = 8192
+#: First bytes of a block by which blocks are ordered before their keys are looked at.
+PREFIX_BYTES = 16
 SEEDS = ((0, 1), (2, 3), (4, 5), (6, 7))
 
 
@@ -35,13 +38,12 @@ def _blocks(norm: Column, size: int, seeds: tuple[int, int]) -> Column:
 
 
 def _named_pairs(cur: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One level: adjacent names become pairs, distinct pairs get names by sorting."""
+    """One level: adjacent names become pairs, distinct pairs get names by their rank."""
     pairs = cur.groupBy("row_id", "n", F.shiftright("pos", 1).alias("pos")).agg(
         F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left_name"),
         F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right_name"),
     )
-    names = pairs.select("left_name", "right_name").distinct().sortWithinPartitions("left_name", "right_name")
-    return pairs, written(names.withColumn("name", F.monotonically_increasing_id()), "pair-names")
+    return pairs, ranked(pairs.select("left_name", "right_name").distinct(), ["left_name", "right_name"], "name", "pair-names")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -58,7 +60,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for seeds in SEEDS:
         cut = _blocks(norm, block_bytes, seeds)
         distinct = base.select(F.inline(cut)).distinct()
-        named = written(distinct.sortWithinPartitions("block").select("k1", "k2", F.monotonically_increasing_id().alias("name")), "block-names")
+        first = written(distinct.select(F.substring("block", 1, PREFIX_BYTES).alias("first"), "k1", "k2"), "blocks")
+        named = ranked(first, ["first", "k1", "k2"], "name", "block-names").drop("first")
         if named.groupBy("k1", "k2").count().where("count > 1").isEmpty():
             break
     else:

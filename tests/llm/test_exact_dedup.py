@@ -34,3 +34,21 @@ def test_blocks_in_another_order_are_other_texts(spark):
 
 def test_empty_table(spark):
     assert exact_dedup(empty(spark)).collect() == []
+
+
+def test_names_are_ranks(spark):
+    docs = awkward(spark)
+    want = None
+    for parts in ("4", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = exact_dedup(docs.repartition(int(parts)), block_bytes=16).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        names = sorted((r.text_sha256, r.level, r.name) for r in got)
+        assert want is None or names == want
+        want = names
+    level = [r.name for r in got if not r.level]
+    assert min(level) >= 0 and max(level) < len(docs.collect()) * 6000
+    short = exact_dedup(spark.createDataFrame([(i, t) for i, t in enumerate("dacbe")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.name) for r in short) == [(0, 3), (1, 0), (2, 2), (3, 1), (4, 4)]
