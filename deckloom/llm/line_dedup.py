@@ -52,9 +52,9 @@ def boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: str = "
     sketch = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sites"), F.count("*").alias("n_docs"))
     spread = written(sketch.select("line", "n_docs", F.hll_sketch_estimate("sites").alias("estimate")).where((F.col("n_docs") >= min_sites) & (F.col("estimate") >= low)), "spread-lines")
     found = lines.join(spread, "line")
-    # Dealt out by both columns, so that a very frequent line is not counted by one task.
-    exact = found.where(F.col("estimate") <= high).select("line", "site").repartition("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n_sites"))
-    others = found.select("line", F.coalesce("other", F.lit(b"")).alias("other")).repartition("line", "other").distinct().groupBy("line").agg(F.count("*").alias("n_others"))
+    # Equal rows are combined before the shuffle, which goes by both columns: no task counts a very frequent line alone.
+    exact = found.where(F.col("estimate") <= high).select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n_sites"))
+    others = found.select("line", F.coalesce("other", F.lit(b"")).alias("other")).distinct().groupBy("line").agg(F.count("*").alias("n_others"))
     held = spread.join(exact.hint("merge"), "line", "left").join(others.hint("merge"), "line")
     return held.where((F.coalesce("n_sites", F.lit(min_sites)) >= min_sites) & (2 * F.col("n_others") >= F.col("n_docs"))).select("line")
 
@@ -92,8 +92,8 @@ def shared_lines(docs: DataFrame, text_col: str = "text", site_col: str = "sourc
     found = own.join(written(spread.where((F.col("sites") >= low) & (F.col("docs") >= low)).select("line"), "spread-lines"), "line")
     # One site for each document is a pairing already, mostly with enough sites; other lines get the best pairing.
     one = found.groupBy("line", "doc").agg(F.min(F.struct(F.xxhash64("doc", "site"), "site")).alias("x")).select("line", F.col("x.site").alias("site"))
-    counts = written(one.repartition("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n")), "paired-lines")
-    left = found.join(counts.where(F.col("n") < min_sites).select("line"), "line").repartition("line", "doc", "site").distinct()
+    counts = written(one.distinct().groupBy("line").agg(F.count("*").alias("n")), "paired-lines")
+    left = found.join(counts.where(F.col("n") < min_sites).select("line"), "line").distinct()
     # More than min_sites edges of a document or site can't be needed: the other pairs leave one of these free.
     for one, other in (("doc", "site"), ("site", "doc")):
         left = left.withColumn("k", F.row_number().over(W.partitionBy("line", one).orderBy(other))).where(F.col("k") <= min_sites).drop("k")
@@ -114,7 +114,8 @@ def line_dedup(
 
     Lines end with "\\n" and are compared without white space at their ends; blank ones are never removed. A null site is
     a site of its own (""). A null text stays null with no lines; an empty one has one blank line. A text may become
-    empty. Repeated rows stay and count as documents. Columns named n_lines or n_removed are replaced.
+    empty; very long texts are read whole. Repeated rows stay and count as documents; without rows there is none to return.
+    Of other columns any name is kept, but columns named n_lines or n_removed are replaced.
     """
     spark = docs.sparkSession
     bad = written(rule(docs, text_col, site_col, min_sites), "boilerplate")
