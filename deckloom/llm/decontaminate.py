@@ -4,26 +4,29 @@ The patterns are word windows of the benchmark items. For patterns of one length
 how far the window may move on without passing an occurrence; where it says 0, the hashes of the window's last and first
 block select the few patterns to compare directly. A text is scanned once; no rows are shuffled.
 
-Benchmark items go to the executors in shards of bounded size, and each batch of texts is held against one shard after
-another, so a benchmark of any size needs the memory of one shard.
+Benchmark items go to the executors in shards of bounded size. With one shard the rows pass through in a single step. With
+more there is a pass over the texts for each shard, whose tables a task builds once and which is given up before the next
+one is sent; hits of all passes are put together by row. So a benchmark of any size needs the memory of one shard, on the
+driver and in a task.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, with_report
+from .common import columns_of, with_report, written
 
 WINDOW_WORDS = 13
 #: Words of a block, and hashes of blocks.
 BLOCK, TABLE = 3, 1 << 20
-#: Bytes of item text in a shard; an item that is longer is a shard of its own.
+#: Bytes of item text in a shard, on average; an item is never cut.
 SHARD_BYTES = 4 << 20
 #: Lower-cases A-Z and turns all but 0-9, a-z and bytes of other letters into spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -92,60 +95,93 @@ class Shard:
                 i += 1
 
 
-_shards: dict[str, Shard] = {}
+def _sent(items: DataFrame, shards: int, k: int):
+    """Items of the k-th shard, about SHARD_BYTES of text, as a broadcast variable."""
+    own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
+    return items.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in own.collect()])
 
 
-def _shard(key: str, data, window: int) -> Shard:
-    """A worker keeps the tables of one shard."""
-    if key not in _shards:
-        _shards.clear()
-        _shards[key] = Shard(data.value, window)
-    return _shards[key]
+def _is_contaminated(n_words: Column, n_hit: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
-    """A struct ``doc`` of the columns ``keep``, and n_words, n_hit, items (ids sorted as strings), contaminated.
-
-    A word is hit if it lies inside any occurrence of a window: ``window`` consecutive words of an item, or all words of a
-    shorter one. A document is contaminated if at least a twentieth of its words, and at least one, is hit. Texts and
-    items that are null or have no words are never hit; an empty benchmark hits nothing. A null item id counts as the id
-    "". Items of equal text all count. Rows, repeated ones too, stay as they are.
-    """
-    spark = docs.sparkSession
-    shards, own, size = [], [], 0
-    rows = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")), benchmark[item_text_col].cast("string").cast("binary")).where(benchmark[item_text_col].isNotNull())
-    for item, text in rows.toLocalIterator():  # a partition at a time; what is kept here is at most a shard
-        if own and size + len(text) > SHARD_BYTES:
-            shards.append(spark.sparkContext.broadcast(own))
-            own, size = [], 0
-        own.append((item, bytes(text)))
-        size += len(text)
-    if own:
-        shards.append(spark.sparkContext.broadcast(own))
-    run = f"{id(shards)}-{spark.sparkContext.applicationId}"
-    keys = [f"{run}-{b._jbroadcast.id()}-{window}" for b in shards]
+def _in_one_pass(docs: DataFrame, keep: list[str], text_col: str, items: DataFrame, window: int) -> DataFrame:
+    sent = _sent(items, 1, 0)
 
     def make():
+        shard = Shard(sent.value, window)
+
         def work(texts: list[bytes | None]) -> list[pa.Array]:
-            counts, found, hits = np.zeros(len(texts), np.int64), [set() for _ in texts], [None] * len(texts)
-            for k, (key, data) in enumerate(zip(keys, shards)):
-                shard = _shard(key, data, window)
-                for i, t in enumerate(texts):
-                    words = words_of(t or b"")
-                    if not k:
-                        counts[i], hits[i] = len(words), bytearray(len(words))
-                    shard.scan(words, hits[i], found[i])
-            if not shards:
-                counts[:] = [len(words_of(t or b"")) for t in texts]
-            n_hit = np.array([h.count(1) if h else 0 for h in hits], np.int64)
-            flag = (n_hit > 0) & (20 * n_hit >= counts)
-            return [pa.array(counts), pa.array(n_hit), pa.array([sorted(s) for s in found], pa.list_(pa.string())), pa.array(flag)]
+            counts, n_hit, found = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [set() for _ in texts]
+            for i, t in enumerate(texts):
+                words = words_of(t or b"")
+                hits = bytearray(len(words))
+                shard.scan(words, hits, found[i])
+                counts[i], n_hit[i] = len(words), hits.count(1)
+            return [pa.array(counts), pa.array(n_hit), pa.array([sorted(s) for s in found], pa.list_(pa.string()))]
 
         return work
 
-    return with_report(docs, text_col, keep, make, "n_words long, n_hit long, items array<string>, contaminated boolean")
+    return with_report(docs, text_col, keep, make, "n_words long, n_hit long, items array<string>")
+
+
+def _in_passes(docs: DataFrame, keep: list[str], text_col: str, items: DataFrame, window: int, shards: int) -> DataFrame:
+    doc = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)]).alias("doc")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), doc, docs[text_col].cast("string").alias("text")), "passage-rows")
+    counted = with_report(rows, "text", ["row", "doc"], lambda: lambda texts: [pa.array([len(words_of(t or b"")) for t in texts], pa.int64())], "n_words long")
+    counted = counted.select(F.col("doc.c0").alias("row"), F.col("doc.c1").alias("doc"), "n_words")
+    found = None
+    for k in range(shards):
+        sent = _sent(items, shards, k)
+
+        def make(sent=sent):
+            shard = Shard(sent.value, window)
+
+            def work(texts: list[bytes | None]) -> list[pa.Array]:
+                runs, own = [], []
+                for t in texts:
+                    words = words_of(t or b"")
+                    hits, names = bytearray(len(words)), set()
+                    shard.scan(words, hits, names)
+                    runs.append([{"at": m.start(), "to": m.end()} for m in re.finditer(b"\1+", hits)])
+                    own.append(sorted(names))
+                return [pa.array(runs, pa.list_(pa.struct([("at", pa.int32()), ("to", pa.int32())]))), pa.array(own, pa.list_(pa.string()))]
+
+            return work
+
+        hit = with_report(rows, "text", ["row"], make, "runs array<struct<at:int,to:int>>, items array<string>").where(F.size("runs") > 0)
+        hit = written(hit.select(F.col("doc.c0").alias("row"), "runs", "items"), "passage-hits")
+        found = hit if found is None else found.unionByName(hit)
+        sent.unpersist()
+    # Runs of all shards in order: what lies beyond the last end so far is new.
+    step = lambda acc, r: F.struct((acc["n"] + F.greatest(F.lit(0), r["to"] - F.greatest(r["at"], acc["end"]))).alias("n"), F.greatest(r["to"], acc["end"]).alias("end"))
+    union = F.aggregate(F.array_sort(F.flatten(F.collect_list("runs"))), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"].cast("long"))
+    hits = found.groupBy("row").agg(union.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = counted.join(hits.hint("merge"), "row", "left")
+    return joined.select("doc", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
+    """A struct ``doc`` of the columns ``keep``, and n_words, n_hit, items (ids sorted as strings), contaminated.
+
+    A word is hit if it lies inside any occurrence of a window: ``window`` consecutive words of an item, or all words of a
+    shorter one. A document is contaminated if at least a twentieth of its words, and at least one, is hit. Texts and
+    items that are null or have no words are never hit; an empty benchmark hits nothing; very long texts are read whole.
+    A null item id counts as the id "". Items of equal text all count. Rows, repeated ones too, stay as they are; no rows
+    give no rows. ``keep`` may name columns of any name; other columns are ignored.
+    """
+    items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("item"), benchmark[item_text_col].cast("string").cast("binary").alias("text")).where("text is not null").distinct()
+    shards = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // SHARD_BYTES))
+    if shards == 1:
+        found = _in_one_pass(docs, keep, text_col, items, window)
+    else:
+        found = _in_passes(docs, keep, text_col, written(items, "passages"), window, shards)
+    return found.withColumn("contaminated", _is_contaminated(F.col("n_words"), F.col("n_hit")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their own columns."""
+    """The rows of ``docs`` that are not contaminated, with their own columns, whatever their names.
+
+    Nulls, empty and very long texts, ties and repeated rows are treated as by ``contamination``.
+    """
     return contamination(docs, benchmark, docs.columns, **options).where("not contaminated").select(*columns_of(docs.columns))

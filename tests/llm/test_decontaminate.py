@@ -50,7 +50,7 @@ def test_like_brute_force(spark, monkeypatch):
     docs, items = sample(spark)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute([(r.doc_id, r.text) for r in docs.collect()], items)
-    for size in (1 << 20, 100):  # one shard, and many
+    for size in (1 << 20, 250):  # one shard, and many
         monkeypatch.setattr(module, "SHARD_BYTES", size)
         got = contamination(docs, bench, ["doc_id"]).collect()
         assert sorted(((r.doc.c0, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got), key=str) == want
