@@ -1,9 +1,11 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
 
-Equal sets are reduced to one. MinHash bands bring candidates together: a pair at the threshold shares none of the
-``BANDS`` bands with a chance of (1 - 0.8 ** ROWS) ** BANDS = 0.00007, a closer pair with less. Every candidate pair is
-checked on its sets, so a link is never false. Each bucket is first held against its smallest member; all pairs are then
-formed only between what these links leave apart, so that many variants of one text cost a link each.
+Equal sets are reduced to one, which carries a SimHash fingerprint of its shingles. MinHash bands bring fingerprints
+together in buckets: a pair at the threshold shares none of the ``BANDS`` bands with a chance of (1 - 0.8 ** ROWS) ** BANDS =
+0.00007, a closer pair with less. In a bucket fingerprints are compared bit-sliced, as in ``simhash``, within ``RADIUS`` bits:
+two sets at the threshold differ in 10 bits on average, unlike ones in 32. Every pair that is left is checked on its sets,
+so a link is never false. Each bucket is first held against its smallest member; the bit-sliced comparison is for what these
+links leave apart, so that many variants of one text cost a link each.
 """
 
 from __future__ import annotations
@@ -16,13 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, stays, written
 from .components import connected_components
+from .simhash import links_within
 
 SHINGLE_WORDS = 5
 #: The similarity from which texts are near copies, as a fraction.
 LEAST = (4, 5)
 BANDS, ROWS = 24, 5
+#: Bits in which the fingerprints of near copies may differ.
+RADIUS = 24
+#: Rows of a bucket that one task compares; the rows of a larger one are dealt out, and each part meets each other.
+BUCKET_ROWS = 1 << 14
 _RANDOM = np.random.default_rng(42)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
 TERMS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -59,15 +66,25 @@ def bands(own: np.ndarray) -> np.ndarray:
     return key
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set of shingles: a bit is 1 if more than half of the shingles have it."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(own), PIECE):
+        total += np.unpackbits(own[i : i + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(own), bitorder="little").view(np.int64)[0])
+
+
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for b in batches:
         yield b.column(0), [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1)]
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["row", "digest", "fp", "keys"]
     for row, sets in _each(batches):
         keys = [bands(s).view(np.int64) if len(s) else [] for s in sets]
-        yield pa.RecordBatch.from_arrays([row, pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["row", "digest", "keys"])
+        digests, fps = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([fingerprint(s) for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([row, digests, fps, pa.array(keys, pa.list_(pa.int64()))], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,29 +109,62 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) of rows whose texts (row, text) are near copies."""
     pairs = written(pairs.where("u <> v").distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    sets = written(texts.join(asked.hint("merge"), "row", "left_semi").select("row", "text").mapInArrow(_sets, "row long, own binary"), "sets")
+    asked = written(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "asked")
+    sets = written(stays(texts, asked, "row", "left_semi").select("row", "text").mapInArrow(_sets, "row long, own binary"), "sets")
     left = pairs.join(sets.select(F.col("row").alias("u"), F.col("own").alias("a")).hint("merge"), "u")
     both = left.join(sets.select(F.col("row").alias("v"), F.col("own").alias("b")).hint("merge"), "v").select("u", "v", "a", "b")
     return written(both.mapInArrow(_checked, "u long, v long"), "near-links")
 
 
-def near_copy_groups(rows: DataFrame) -> DataFrame:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one bucket that have different roots and fingerprints within RADIUS bits."""
+    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 7
+
+    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        change = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols[:4]], axis=0)) + 1
+        sizes = np.diff(np.concatenate([[0], change, [len(cols[0])]]))
+        row, root, fp = cols[4:]
+        for a, b in links_within(fp.view(np.uint64), sizes, RADIUS):
+            apart = root[a] != root[b]
+            u, v = row[a[apart]], row[b[apart]]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    for batch in batches:
+        cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for r, c in zip(rest, batch.columns)]
+        new = np.flatnonzero(np.any([c != c[-1] for c in cols[:4]], axis=0)) if len(cols[0]) else ()
+        cut = int(new[-1]) + 1 if len(new) else 0  # the last bucket may go on in the next batch
+        rest = [c[cut:] for c in cols]
+        if cut:
+            yield from out([c[:cut] for c in cols])
+    if len(rest[0]):
+        yield from out(rest)
+
+
+def _apart(open_: DataFrame, bucket_rows: int) -> DataFrame:
+    """Pairs (u, v) of the rows of open buckets (band, key, row, root, fp, n) that may be near copies."""
+    parts = F.ceil(F.col("n") / bucket_rows).cast("int")
+    own = open_.withColumn("own", F.pmod(F.xxhash64("row"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = own.select("band", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "row", "root", "fp")
+    return dealt.repartition("band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q").mapInArrow(_compared, "u long, v long")
+
+
+def near_copy_groups(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(row, group) for every row of ``rows`` (row, text); ``group`` is a row of the same group of near copies."""
     small_batches(rows.sparkSession)
     texts = rows.select("row", F.col("text").cast("string").cast("binary").alias("text"))
-    own = written(texts.mapInArrow(_signed, "row long, digest binary, keys array<long>"), "signatures")
-    first = written(own.groupBy("digest").agg(F.min(F.struct("row", "keys")).alias("x")).select("digest", "x.row", "x.keys"), "distinct-sets")
-    keyed = first.select("row", F.posexplode("keys").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("row").alias("u")).where("n > 1")
+    own = written(texts.mapInArrow(_signed, "row long, digest binary, fp long, keys array<long>"), "signatures")
+    first = written(own.groupBy("digest").agg(F.min(F.struct("row", "fp", "keys")).alias("x")).select("digest", "x.row", "x.fp", "x.keys"), "distinct-sets")
+    keyed = first.select("row", "fp", F.posexplode("keys").alias("band", "key"))
+    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("row", "fp")).alias("low")).where("n > 1")
     members = written(keyed.join(buckets.hint("merge"), ["band", "key"]), "buckets")
-    stars = _links(members.select("u", F.col("row").alias("v")), texts)
-    parts = connected_components(stars).withColumnRenamed("node", "row")
-    rooted = members.join(parts.hint("merge"), "row", "left").select("band", "key", "row", F.coalesce("root", "row").alias("root"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("low.fp"))) <= RADIUS
+    stars = _links(members.where(near).select(F.col("low.row").alias("u"), F.col("row").alias("v")), texts)
+    parts = written(connected_components(stars).withColumnRenamed("node", "row"), "star-parts")
+    rooted = members.join(parts.hint("merge"), "row", "left").select("band", "key", "row", "fp", "n", F.coalesce("root", "row").alias("root"))
     apart = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
     open_ = written(rooted.join(apart.hint("merge"), ["band", "key"]), "open-buckets")
-    other = open_.select("band", "key", F.col("row").alias("v"), F.col("root").alias("other"))
-    rest = _links(open_.join(other.hint("merge"), ["band", "key"]).where("root < other").select(F.least("row", "v").alias("u"), F.greatest("row", "v").alias("v")), texts)
+    rest = _links(_apart(open_, bucket_rows), texts)
     found = connected_components(stars.unionByName(rest)).withColumnRenamed("node", "row")
     grouped = first.join(found.hint("merge"), "row", "left").select("digest", F.coalesce("root", "row").alias("group"))
     return own.select("row", "digest").join(grouped.hint("merge"), "digest").select("row", "group")
@@ -124,11 +174,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of ``docs`` for each group of near copies: the one with the smallest id, null after all others.
 
     Groups are the components of the links between near copies. Words are runs of anything but space and 0x09 to 0x0D
-    after lower-casing A-Z. Texts without words, null ones too, are copies of each other.
+    after lower-casing A-Z; texts of any length are read whole. Texts without words, null ones too, are copies of each
+    other. Rows are told apart by themselves, not by their ids, which may repeat or be null. Other columns stay as they
+    are, whatever their names. Without rows there is none to return.
     """
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc")), "near-rows")
     at = {c: F.col(f"doc.c{i}") for i, c in enumerate(docs.columns)}
     groups = near_copy_groups(rows.select("row", at[text_col].alias("text")))
     ids = rows.select("row", at[id_col].isNull().alias("none"), at[id_col].alias("id"))
-    stay = groups.join(ids.hint("merge"), "row").groupBy("group").agg(F.min(F.struct("none", "id", "row")).alias("x")).select("x.row")
-    return rows.join(stay.hint("merge"), "row", "left_semi").select(*[c.alias(n) for n, c in at.items()])
+    known = written(groups.join(ids.hint("merge"), "row"), "near-groups")
+    best = written(known.groupBy("group").agg(F.min(F.struct("none", "id", "row")).alias("x")).select("group", F.col("x.row").alias("best")), "near-best")
+    gone = written(known.join(best.hint("merge"), "group").where("row <> best").select("row"), "near-dropped")
+    return stays(rows, gone, "row", "left_anti").select(*[c.alias(n) for n, c in at.items()])

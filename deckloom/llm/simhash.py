@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, stays, written
 from .components import connected_components
 
 RADIUS = 2
@@ -193,25 +193,40 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HO
     return _in_buckets(buckets.where(F.col("n") <= hot_bucket), radius).unionByName(_in_buckets(hot, radius)).distinct()
 
 
+def _components(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) for the distinct fingerprints of ``fps`` (column fp)."""
+    distinct = written(fps.select("fp").distinct(), "distinct-fingerprints")
+    parts = connected_components(fingerprint_links(distinct, radius))
+    return distinct.join(parts.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 lower-case hex digits), component_id.
 
-    ``component_id`` is the smallest id reachable over links of fingerprints with at most ``radius`` differing bits.
-    Words are runs of anything but space and 0x09 to 0x0D after lower-casing A-Z. A null or empty text has fingerprint 0
-    and links like any other. Repeated rows give repeated rows; other columns are ignored; no rows give no rows.
+    ``component_id`` is the smallest id reachable over links of fingerprints with at most ``radius`` differing bits; null
+    ids count for nothing there, so it is null only where all ids are. Words are runs of anything but space and 0x09 to
+    0x0D after lower-casing A-Z; very long texts are read whole. A null or empty text has fingerprint 0 and links like any
+    other. Repeated rows give repeated rows; other columns, whatever their names, are ignored; no rows give no rows.
     """
     own = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    parts = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    rooted = distinct.join(parts.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = rooted.join(lows.hint("merge"), "root").select("fp", "component_id")
+    lows = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    rooted = written(_components(own, radius).join(lows.hint("merge"), "fp"), "rooted-fingerprints")
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    found = rooted.join(least.hint("merge"), "root").select("fp", "component_id")
     return own.join(found.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs`` for each component: the document with the component's smallest id, once."""
-    parts = simhash_components(docs, id_col, text_col, radius)
-    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    stay = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias("__stay")).distinct()
-    return docs.join(stay.hint("merge"), key(docs[id_col]) == F.col("__stay"), "left_semi").withColumn("__stay", key(F.col(id_col))).dropDuplicates(["__stay"]).drop("__stay")
+    """One row of ``docs`` for each component: the one with the smallest id, null after all others.
+
+    Rows are told apart by themselves, not by their ids, which may repeat or be null; of rows with the smallest id one
+    stays. Texts are treated as by ``simhash_components``. Columns of ``docs`` may have any names.
+    """
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc")), "fingerprint-rows")
+    at = {c: F.col(f"doc.c{i}") for i, c in enumerate(docs.columns)}
+    own = fingerprints(rows.select("row", at[text_col].alias("text")), "row", "text").withColumnRenamed("doc_id", "row")
+    own = written(own.join(rows.select("row", at[id_col].isNull().alias("none"), at[id_col].alias("id")).hint("merge"), "row"), "fingerprints")
+    grouped = written(own.join(_components(own, radius).hint("merge"), "fp").select("root", "none", "id", "row"), "fingerprint-groups")
+    best = written(grouped.groupBy("root").agg(F.min(F.struct("none", "id", "row")).alias("x")).select("root", F.col("x.row").alias("best")), "fingerprint-best")
+    gone = written(grouped.join(best.hint("merge"), "root").where("row <> best").select("row"), "fingerprint-dropped")
+    return stays(rows, gone, "row", "left_anti").select(*[c.alias(n) for n, c in at.items()])

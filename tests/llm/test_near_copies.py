@@ -1,6 +1,7 @@
 import random
 
 from corpus_pipeline import near_copies
+from deckloom.llm.near_copies import near_copy_groups
 
 from .docs import awkward, empty
 
@@ -49,6 +50,22 @@ def test_like_all_pairs(spark):
     assert got == plain_kept(rows) and len(got) < len(rows) - 50
 
 
+def test_split_buckets_lose_nothing(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows, base = [], [rng.choice(words) for _ in range(120)]
+    for k in range(60):  # a chain whose ends are no near copies
+        base = list(base)
+        base[rng.randrange(120)] = f"new{k}"
+        rows.append((k, " ".join(base)))
+    table = spark.createDataFrame(rows, "row long, text string")
+    for most in (1 << 14, 7):
+        groups = {}
+        for r in near_copy_groups(table, bucket_rows=most).collect():
+            groups.setdefault(r.group, []).append(r.row)
+        assert sorted((False, min(g)) for g in groups.values()) == plain_kept(rows)
+
+
 def test_near_copies_beyond_two_bits_go(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(500)}" for _ in range(200)]

@@ -89,21 +89,32 @@ def test_like_brute_force(spark):
             base = list(base)
             base[rng.randrange(400)] = rng.choice(words)
             extra.append((100 + g * 10 + k, " ".join(base), "en", "s"))
-    docs = awkward(spark, extra).where("doc_id is not null")
-    want = plain_components([(r.doc_id, plain_fingerprint(r.text or "")) for r in docs.collect()])
+    docs = awkward(spark, [*extra, (None, "a  b C", "en", "s"), (None, "quite alone without an id", "en", "s")])
+    rows = docs.collect()
+    far = 1 << 40  # stands for null, which counts for nothing
+    want = plain_components([(far if r.doc_id is None else r.doc_id, plain_fingerprint(r.text or "")) for r in rows])
     got = simhash_components(docs).collect()
-    assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == want and len(got) == docs.count()
+    name = lambda i: far if i is None else i
+    assert {(name(r.doc_id), r.fingerprint, name(r.component_id)) for r in got} == want and len(got) == len(rows)
 
 
 def test_empty_table(spark):
     assert simhash_components(empty(spark)).collect() == []
 
 
-def test_one_document_of_each_component_stays(spark):
-    docs = awkward(spark, [(20, "p q r s", "en", "s"), (20, "p q r s", "en", "s"), (21, "p q r s", "en", "s")])
-    parts = simhash_components(docs).collect()
+def test_one_row_of_each_component_stays(spark):
+    docs = awkward(spark, [(20, "p q r s", "en", "s"), (20, "p q r s", "en", "s"), (21, "p q r s", "en", "s"), (22, "one text", "en", "s"), (22, "another text of this id", "en", "s"), (None, "text without an id", "en", "s")])
+    docs = docs.withColumn("__stay", docs.level).withColumn("row", docs.k1)
+    rows = [(r.doc_id, r.text, plain_fingerprint(r.text or "")) for r in docs.collect()]
+    groups = {}
+    for (_, _, c), (i, _, f) in zip(sorted_components(rows), rows):
+        groups.setdefault(c, []).append((i is None, i or 0))
     left = near_dedup(docs)
     assert left.schema == docs.schema
-    got = [r.doc_id for r in left.collect()]
-    assert len(got) == len({r.component_id for r in parts}) and set(got) == {r.component_id for r in parts} and None in got and 20 in got
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == sorted(min(g) for g in groups.values())
     assert near_dedup(empty(spark)).collect() == []
+
+
+def sorted_components(rows):
+    """(place, fingerprint, component) in the order of the rows, components named by places."""
+    return sorted((i, f, c) for i, f, c in plain_components([(k, f) for k, (_, _, f) in enumerate(rows)]))
