@@ -9,7 +9,7 @@ SQL = {
     """,
     "op3_warc": r"""
         with p as (select coalesce(page_id::varchar, '') as id, coalesce(url, '') as url, coalesce(html, '') as html, chr(13) || chr(10) as nl from pages),
-        h as (select *, 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(html) as head, md5('response|' || id || '|' || url) as u from p),
+        h as (select *, 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(html) as head, md5('8:response' || strlen(id) || ':' || id || strlen(url) || ':' || url || '64:' || sha256(html)) as u from p),
         r as (select *, '<urn:uuid:' || u[1:8] || '-' || u[9:12] || '-' || u[13:16] || '-' || u[17:20] || '-' || u[21:32] || '>' as rid, 'sha256:' || sha256(html) as pd,
                      'sha256:' || sha256(head || nl || nl || html) as bd, len(regexp_extract_all(html, '(?i)<a\s[^>]*href')) as links,
                      regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') as bare from h),
@@ -18,7 +18,7 @@ SQL = {
         o as (select 'metadata' as record_type, 'application/warc-fields' as content_type, rid, url, pd, head,
                      'source-payload-digest: ' || pd || nl || 'source-block-digest: ' || bd || nl || 'outlinks: ' || links || nl || 'source-http: ' || replace(head, nl, nl || 'source-http: ') || nl as out from t
               union all select 'conversion', 'text/plain; charset=utf-8', rid, url, pd, head, plain from t),
-        i as (select *, md5(record_type || '|' || rid) as u from o)
+        i as (select *, md5(strlen(record_type) || ':' || record_type || strlen(rid) || ':' || rid) as u from o)
         select record_type, '<urn:uuid:' || u[1:8] || '-' || u[9:12] || '-' || u[13:16] || '-' || u[17:20] || '-' || u[21:32] || '>' as record_id, rid as refers_to, url as target_uri, content_type,
                strlen(out) as content_length, 'sha256:' || sha256(out) as block_digest, pd as payload_digest, head as source_headers from i
     """,

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import tempfile
 
@@ -37,6 +38,41 @@ def test_other_records_give_none(spark):
     assert {r.block for r in derivatives(bare).where("record_type = 'conversion'").collect()} == {""}
 
 
+def test_all_character_references(spark):
+    page = "<p>&Eacute;&eacute; &#233; &#x1F600; &hellip; &amp;lt; &nosuch; & &lt;b&gt;&nbsp;x</p>"
+    got = derivatives(responses(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))).where("record_type = 'conversion'").collect()
+    assert [r.block for r in got] == ["Éé é 😀 … &lt; &nosuch; & <b>\u00a0x"]
+
+
+def test_identifiers_tell_all_apart(spark):
+    rows = [("a|b", "c", "x"), ("a", "b|c", "x"), ("a", "b|c", "y"), (None, "a", "x"), ("", "a", "x")]
+    ids = [r.record_id for r in responses(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()]
+    assert len(set(ids)) == 4
+
+
+def test_values_cannot_break_a_file(spark):
+    inner = "one\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(1, "http://a/\r\nWARC-Type: evil\r\nX: y", inner), (2, "http://b/", inner * 2)]
+    made = responses(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    path = f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/out"
+    write_warc(made, path, file_records=1)
+    got = {r.record_id: r for r in read_warc(spark, path).collect()}
+    for r in made.collect():
+        assert got[r.record_id].block == r.block and got[r.record_id].record_type == "response" and got[r.record_id].block_digest == r.block_digest
+    assert {r.target_uri for r in got.values()} == {"http://a/%0D%0AWARC-Type: evil%0D%0AX: y", "http://b/"}
+
+
+def test_files_of_others(spark):
+    where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    record = lambda body: b"WARC/1.0\r\nwarc-type: resource\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    with open(f"{where}/a.warc.gz", "wb") as f:
+        f.write(gzip.compress(record(b"\xff\x00 bytes")) + gzip.compress(record(b"")))  # a member for each record
+    with open(f"{where}/b.warc", "wb") as f:
+        f.write(record(b"whole") + record(b"cut off")[:-12])
+    got = sorted((r.block, r.block_digest) for r in read_warc(spark, where).collect())
+    assert got == sorted((b.decode("utf-8", "replace"), "sha256:" + hashlib.sha256(b).hexdigest()) for b in (b"\xff\x00 bytes", b"", b"whole"))
+
+
 def test_files_round_trip(spark):
     for how in ("gzip", "none"):
         path = f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/out"
