@@ -16,29 +16,50 @@ from deckloom.llm.quality import keep_good
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+# All stages: a null text counts as empty, texts are read whole whatever their length, rows are told apart by themselves, so
+# ids may repeat or be null; columns keep their names and values, whatever the names; no rows give no rows.
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier doesn't reject."""
+    """Documents that the weak-label classifier doesn't reject.
+
+    Texts of fewer than five words, null and empty ones too, get the share of good documents as their score; a score of
+    exactly 0.5 stays. Repeated rows go or stay together.
+    """
     return keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without boilerplate lines; n_chars follows the text."""
-    found = line_dedup(docs, rule=shared_lines).drop("n_lines", "n_removed")
+    """Texts without boilerplate lines; n_chars follows the text.
+
+    A null text stays null, a text may become empty. A line on exactly the least number of sites goes. Repeated rows stay
+    and count once.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    found = line_dedup(plain, at["text"], at["source"], rule=shared_lines).select(*[F.col(x).alias(c) for c, x in at.items()])
     return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles, Jaccard similarity of at least 0.8."""
+    """One document of each group of near copies: 5-word shingles, Jaccard similarity of at least 0.8.
+
+    Of a group the smallest id stays, null after all others, and one row of it. Texts without words, null ones too, are
+    copies of each other.
+    """
     return drop_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark contamination."""
+    """Documents without benchmark contamination.
+
+    Null and empty texts and an empty benchmark hit nothing; a document of which exactly a twentieth is hit goes.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and the digest of the decoded bytes."""
+    """doc_id, lang, source, n_tokens, ids, and the digest of the decoded bytes; a null or empty text has no ids."""
     found = bpe_decode(bpe_encode(docs, RANKS, PATTERN), RANKS)
     return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
