@@ -46,3 +46,37 @@ def parse_number(c: Column) -> Column:
     """Numbers such as ``1 250``, ``−89 %`` or ``×3``; null for other text."""
     t = F.replace(F.replace(F.translate(F.coalesce(c, F.lit("")), "   %×x+", ""), F.lit("−"), F.lit("-")), F.lit(","), F.lit("."))
     return F.when(t.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), t.cast("double"))
+
+
+#: Texts that are nothing but a prompt, and patterns of prompts for text, photos and speakers.
+WHOLE_PROMPTS = ("заголовок", "текст", "подзаголовок", "название", "описание", "title", "text", "subtitle", "heading", "body", "caption", "подпись")
+TEXT_PROMPTS = (
+    r"lorem\s+ipsum", r"\bxxx+\b", r"\btodo\b", r"\btbd\b", r"\{\{", r"\[\s*(текст|text|\.\.\.)\s*\]", r"вставьте\s+(текст|заголовок|фото)", r"вставить\s+(текст|заголовок|фото)", r"insert\s+(text|photo|title)",
+    r"click\s+to\s+add", r"нажмите,?\s+чтобы", r"текст\s+слайда", r"заголовок\s+слайда", r"образец\s+текста", r"не\s+забудьте\s+удалить", r"удалите\s+(этот|эту|данн[\p{L}]+)\s+(слайд|страниц[\p{L}]+)",
+    r"(этот|данный)\s+слайд\s+(можно|нужно|следует|необходимо)\s+удалить", r"(delete|remove)\s+(this\s+)?slide",
+)
+PHOTO_PROMPT = r"(вставьте|вставить|добавьте|добавить)\s*(фото|изображение|картинку)|место\s*для\s*фото|insert\s*(photo|image|picture)"
+SPEAKER_PROMPT = (
+    r"(имя|фио)\s*,?\s*(спикер|докладчик|выступающ)|(спикер|докладчик)[\p{L}]*\s*,?\s*должност|(^|[^\p{L}])фио([^\p{L}]|$)|фамилия\s*,?\s*имя|имя\s*,?\s*фамилия|speaker\s*name|name\s*,?\s*(surname|position|job\s*title)"
+)
+
+
+def prompt_pattern(c: Column) -> Column:
+    """The number of the first pattern of TEXT_PROMPTS in a text, -1 for a text of WHOLE_PROMPTS, else null."""
+    t = F.lower(squeezed(c))
+    first = F.coalesce(*[F.when(t.rlike(p), i) for i, p in enumerate(TEXT_PROMPTS)])
+    return F.when(t.isin(*WHOLE_PROMPTS), -1).otherwise(first).cast("long")
+
+
+def is_photo_prompt(c: Column) -> Column:
+    return F.lower(squeezed(c)).rlike(PHOTO_PROMPT)
+
+
+def is_speaker_prompt(c: Column) -> Column:
+    return F.lower(squeezed(c)).rlike(SPEAKER_PROMPT)
+
+
+def format_number(c: Column) -> Column:
+    """A number as text: whole ones without a fraction, others with two digits at most."""
+    short = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", F.bround(c, 2)), r"0+$", ""), r"\.$", "")
+    return F.when(c == F.floor(c), F.format_string("%d", c.cast("long"))).otherwise(short)

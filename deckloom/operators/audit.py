@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, text
 from ..functions import geometry as geo
+from ..sources.scratch import written
 
 SHAPE = ["deck_id", "slide_id", "slide_idx", "z"]
 #: Archetypes that may be nearly empty.
@@ -19,14 +20,22 @@ SPARSE = ("title", "section", "closing", "quote", "image_full")
 SYMBOL_FONTS = ("wingdings", "webdings", "symbol", "mt extra")
 
 
+#: Placeholders that are no content.
+FIELDS = ("sldNum", "ftr", "dt")
+
+
 def provenance(shapes: DataFrame, slots: DataFrame, fixed: DataFrame) -> DataFrame:
-    """is_slot (a slot of the template has its box), is_fixed (a repeated box has), is_ours (not fixed)."""
+    """is_slot (a slot of the template has its box), is_fixed (a repeated box has), is_ours (not fixed), is_decor (fixed
+    and without text), is_content (ours, no field such as a slide number, and with text, a picture, a chart or a table)."""
     s = shapes.withColumns({f"b{c}": geo.stepped(F.col(c)) for c in "xywh"})
-    repeated = fixed.select("template_id", "bx", "by", "bw", "bh", F.lit(True).alias("is_fixed"))
+    repeated = fixed.select("template_id", "bx", "by", "bw", "bh", F.lit(True).alias("is_fixed")).distinct()
     slot = slots.select("template_id", "x", "y", "w", "h").distinct().withColumn("is_slot", F.lit(True))
     found = s.join(repeated, ["template_id", "bx", "by", "bw", "bh"], "left").join(slot, ["template_id", "x", "y", "w", "h"], "left")
-    yes = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    return found.select(*SHAPE, yes("is_slot"), yes("is_fixed"), (~F.coalesce("is_fixed", F.lit(False))).alias("is_ours"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    bare = (F.col("kind") == "text") & (F.trim("text") == "")
+    found = found.withColumns({"is_slot": yes("is_slot"), "is_fixed": yes("is_fixed")}).withColumns({"is_ours": ~F.col("is_fixed"), "is_decor": F.col("is_fixed") & (F.trim("text") == "")})
+    content = F.col("is_ours") & ~F.coalesce(F.col("placeholder").isin(*FIELDS), F.lit(False)) & ~bare
+    return found.select(*SHAPE, "is_slot", "is_fixed", "is_ours", "is_decor", content.alias("is_content"))
 
 
 def off_slide(shapes: DataFrame, slide_w: int = geo.SLIDE_W, slide_h: int = geo.SLIDE_H, tolerance: float = 0.01) -> DataFrame:
@@ -37,14 +46,16 @@ def off_slide(shapes: DataFrame, slide_w: int = geo.SLIDE_W, slide_h: int = geo.
     return found.where((F.greatest("over_left", "over_right") > tolerance * slide_w) | (F.greatest("over_top", "over_bottom") > tolerance * slide_h))
 
 
-def inherited_geometry(shapes: DataFrame, slots: DataFrame, tolerance: int = geo.STEP) -> DataFrame:
-    """Shapes whose box is a slot's box within the tolerance. Places are joined by cells of twice the tolerance."""
-    cell = 2 * tolerance
-    a = shapes.alias("a").withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)}).alias("a")
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    b = slots.select("template_id", "x", "y", "w", "h").distinct().withColumn("cx", F.explode(F.transform(near, lambda d: F.floor(F.col("x") / cell) + d))).withColumn("cy", F.explode(F.transform(near, lambda d: F.floor(F.col("y") / cell) + d))).alias("b")
-    on = (F.col("a.template_id") == F.col("b.template_id")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & geo.same_box("a", "b", tolerance)
-    return a.join(b, on, "left_semi").select(*SHAPE)
+def inherited_geometry(shapes: DataFrame, slots: DataFrame, tolerance: int = geo.STEP, frames: tuple[str, ...] = ("chart", "table")) -> DataFrame:
+    """Shapes whose box the template gives: a slot's box within the tolerance, a place inside a slot for a diagram, or a
+    slot's box that has only grown downwards (a plate). A template's slots, some hundred at most, stand as an array."""
+    near = lambda a, b: F.abs(F.col(a) - b) <= tolerance
+    boxes = slots.groupBy("template_id").agg(F.collect_set(F.struct("x", "y", "w", "h", F.col("kind").isin(*frames).alias("frame"))).alias("boxes"))
+    equal = lambda b: near("x", b["x"]) & near("y", b["y"]) & near("w", b["w"]) & near("h", b["h"])
+    inside = lambda b: b["frame"] & (F.col("x") >= b["x"] - tolerance) & (F.col("y") >= b["y"] - tolerance) & (F.col("x") + F.col("w") <= b["x"] + b["w"] + tolerance) & (F.col("y") + F.col("h") <= b["y"] + b["h"] + tolerance)
+    grown = lambda b: (F.col("kind") != "text") & near("x", b["x"]) & near("y", b["y"]) & near("w", b["w"]) & (F.col("h") > b["h"])
+    found = shapes.join(boxes, "template_id").where(F.exists("boxes", lambda b: equal(b) | inside(b) | grown(b)))
+    return found.select(*SHAPE)
 
 
 def overlaps(shapes: DataFrame, least: float = 0.05, nested: float = 0.9) -> DataFrame:
@@ -125,9 +136,9 @@ def off_palette(runs: DataFrame, palette: DataFrame, least: float = 8.0, hue: fl
     own = color.with_lab(own.withColumns({"hue": h, "sat": s}))
     turn = F.abs(F.col("hue") - F.col("p_hue"))
     tint = (F.least(turn, 1 - turn) <= hue) & (F.col("sat") >= saturation) & (F.col("p_sat") >= saturation)
-    pairs = own.join(full, "template_id").withColumns({"de": F.bround(color.delta_e("", "p_"), 4), "tint": tint})
+    pairs = own.join(full.hint("merge"), "template_id").withColumns({"de": F.bround(color.delta_e("", "p_"), 4), "tint": tint})
     best = pairs.groupBy("template_id", "hex").agg(F.min(F.struct("de", "nearest")).alias("best"), F.bool_or("tint").alias("tint")).where((F.col("best.de") >= least) & ~F.col("tint"))
-    return runs.join(best, ["template_id", "hex"]).select(*SHAPE, "hex", F.col("best.nearest").alias("nearest"), F.col("best.de").alias("delta_e"))
+    return runs.join(best.hint("merge"), ["template_id", "hex"]).select(*SHAPE, "hex", F.col("best.nearest").alias("nearest"), F.col("best.de").alias("delta_e"))
 
 
 def wrong_layout(slides: DataFrame, exemplars: DataFrame) -> DataFrame:
@@ -139,15 +150,28 @@ def wrong_layout(slides: DataFrame, exemplars: DataFrame) -> DataFrame:
     return found.withColumn("problem", why).where("problem is not null").select("deck_id", "slide_id", "slide_idx", "layout", "expected", "problem")
 
 
-def moved_fixed(slides: DataFrame, fixed: DataFrame, shapes: DataFrame, least: int) -> DataFrame:
-    """Boxes fixed on at least ``least`` slides of the template that a slide lacks."""
-    expected = slides.join(fixed.where(F.col("n_slides") >= least), "template_id").select("template_id", "deck_id", "slide_id", "slide_idx", "bx", "by", "bw", "bh")
-    there = shapes.select("slide_id", *[geo.stepped(F.col(c)).alias(f"b{c}") for c in "xywh"]).distinct()
-    return expected.join(there, ["slide_id", "bx", "by", "bw", "bh"], "left_anti")
-
+def moved_fixed(slides: DataFrame, fixed: DataFrame, shapes: DataFrame, least: int, exempt: DataFrame | None = None) -> DataFrame:
+    """Boxes fixed on at least ``least`` slides of the template that a slide lacks.
 
-def displaced_fixed(slides: DataFrame, fixed: DataFrame, shapes: DataFrame, least: int) -> DataFrame:
-    """Of the boxes a slide lacks, those of which it has one of the same size elsewhere."""
+    ``exempt`` (slide_id, x, y, w, h) are zones of a slide within which nothing is missed: captions of zones, frames of photo
+    prompts, cards and placeholders that stay empty. Nor is a box missed that a shape without text covers from the same
+    corner at the same width: a plate that was stretched.
+    """
+    expected = slides.join(fixed.where(F.col("n_slides") >= least), "template_id").select("template_id", "deck_id", "slide_id", "slide_idx", "bx", "by", "bw", "bh")
+    there = shapes.select("slide_id", *[geo.stepped(F.col(c)).alias(f"b{c}") for c in "xywh"], (F.col("kind") != "text").alias("plate"))
+    lost = expected.join(there.drop("plate").distinct(), ["slide_id", "bx", "by", "bw", "bh"], "left_anti")
+    plates = there.where("plate").select("slide_id", "bx", "by", "bw", F.col("bh").alias("grown")).groupBy("slide_id", "bx", "by", "bw").agg(F.max("grown").alias("grown"))
+    lost = lost.join(plates, ["slide_id", "bx", "by", "bw"], "left").where("grown is null or grown < bh").drop("grown")
+    if exempt is not None:
+        z = exempt.select("slide_id", *[geo.stepped(F.col(c)).alias(f"z{c}") for c in "xywh"]).groupBy("slide_id").agg(F.collect_set(F.struct("zx", "zy", "zw", "zh")).alias("zones"))  # bounded: one slide's
+        held = F.exists("zones", lambda b: (F.col("bx") >= b["zx"]) & (F.col("by") >= b["zy"]) & (F.col("bx") + F.col("bw") <= b["zx"] + b["zw"]) & (F.col("by") + F.col("bh") <= b["zy"] + b["zh"]))
+        lost = lost.join(z, "slide_id", "left").where(~F.coalesce(held, F.lit(False))).drop("zones")
+    return lost.select("template_id", "deck_id", "slide_id", "slide_idx", "bx", "by", "bw", "bh")
+
+
+def displaced_fixed(slides: DataFrame, elements: DataFrame, shapes: DataFrame, least: int) -> DataFrame:
+    """Logos and footers (of ``elements`` with kind and slides) that a slide lacks where it has a box of that size."""
+    fixed = elements.where(F.col("kind").isin("logo", "footer")).select("template_id", "bx", "by", "bw", "bh", F.col("slides").alias("n_slides")).groupBy("template_id", "bx", "by", "bw", "bh").agg(F.max("n_slides").alias("n_slides"))
     lost = moved_fixed(slides, fixed, shapes, least)
     sizes = shapes.select("slide_id", geo.stepped(F.col("w")).alias("bw"), geo.stepped(F.col("h")).alias("bh")).distinct()
     return lost.join(sizes, ["slide_id", "bw", "bh"], "left_semi")
@@ -202,15 +226,19 @@ def duplicate_parts(parts: DataFrame) -> DataFrame:
     return twice.groupBy("deck_id").agg(F.count("*").alias("parts"), F.max("n").cast("long").alias("most"))
 
 
-def placeholders(paras: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Texts (doc_id, text) that contain an entry of ``dictionary`` (pattern_no, phrase); the first entry counts.
+def placeholders(paras: DataFrame, dictionary: DataFrame, whole: tuple[str, ...] = text.WHOLE_PROMPTS) -> DataFrame:
+    """Texts (doc_id, text) that are no content: those that contain an entry of ``dictionary`` (pattern_no, phrase), of
+    which the first counts, those that are one of ``whole`` words and no more (pattern_no -1), and empty ones (-2).
 
     Entries are looked for by their first word, so texts meet only the entries that may occur in them.
     """
     lead = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
     d = dictionary.withColumn("lead", lead("phrase")[0])
     t = paras.select("doc_id", "text", F.explode(F.array_distinct(lead("text"))).alias("lead"))
-    return t.join(d, "lead").where(F.col("text").contains(F.col("phrase"))).groupBy("doc_id").agg(F.min("pattern_no").alias("pattern_no"))
+    phrases = t.join(d.hint("merge"), "lead").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "pattern_no")
+    plain = F.lower(text.squeezed(F.col("text")))
+    bare = paras.select("doc_id", F.when(plain == "", -2).when(plain.isin(*whole), -1).cast("long").alias("pattern_no")).where("pattern_no is not null")
+    return phrases.unionByName(bare).groupBy("doc_id").agg(F.min("pattern_no").alias("pattern_no"))
 
 
 def empty_slides(slides: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -234,28 +262,36 @@ def unlabelled_charts(charts: DataFrame) -> DataFrame:
 
 
 def duplicate_slides(docs: DataFrame, group: str, similarity: float = 0.8, least_words: int = 5) -> DataFrame:
-    """Pairs of texts of a group whose sets of distinct words have a Jaccard similarity above ``similarity``.
+    """Texts of a group whose sets of distinct words have a Jaccard similarity above ``similarity``.
 
-    Sets are ordered by rarity; two similar ones share a word among their first few, so only these are joined (a prefix
-    filter), and sizes must be near. The result is exact.
+    Texts with equal sets are a class; each is paired with its class's first text, and only first texts with each other, so
+    k copies give k - 1 pairs. Sets are ordered by rarity; two similar ones share a word among their first few, so only
+    these are joined (a prefix filter), and sizes must be near. Hashes of words, written once, choose the pairs; their words
+    decide. The result is exact.
     """
-    own_words = text.distinct_words(F.col("text"))
-    hashed = F.transform(own_words, lambda w: F.xxhash64(w))  # equal words have equal hashes: no pair is lost, the texts decide
-    each = docs.select(F.col(group).alias("grp"), "doc_id", F.explode(F.when(F.size(own_words) >= least_words, hashed)).alias("word"))
+    words = F.array_sort(text.distinct_words(F.col("text")))
+    own = docs.select(F.col(group).alias("grp"), "doc_id", words.alias("words")).where(F.size("words") >= least_words)
+    own = written(own.select("grp", "doc_id", F.md5(F.array_join("words", " ").cast("binary")).alias("same"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")), "slide-words")
+    first = written(own.groupBy("grp", "same").agg(F.min(F.struct("doc_id", "hashes")).alias("f")).select("grp", "same", "f.doc_id", "f.hashes"), "first-slides")
+    copies = own.select("grp", "same", F.col("doc_id").alias("other")).join(first.select("grp", "same", "doc_id").hint("merge"), ["grp", "same"]).where("doc_id <> other").select("grp", "doc_id", "other", F.lit(1.0).alias("jaccard"))
+    each = first.select("grp", "doc_id", F.explode("hashes").alias("word"))
     df = each.groupBy("grp", "word").agg(F.count("*").alias("df"))
-    rare = each.join(df, ["grp", "word"]).groupBy("grp", "doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("rare"))  # bounded: one text's words
+    rare = each.join(df.hint("merge"), ["grp", "word"]).groupBy("grp", "doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("rare"))  # bounded: one text's words
     n = F.size("rare")
     keep = n - F.ceil(F.lit(similarity) * n - 1e-9).cast("int") + 1
-    own = rare.select("grp", "doc_id", n.alias("n"), F.explode(F.slice(F.col("rare.word"), F.lit(1), keep)).alias("word"))
-    a, b = own, own.select("grp", F.col("doc_id").alias("other"), F.col("n").alias("m"), "word")
+    few = written(rare.select("grp", "doc_id", n.alias("n"), F.explode(F.slice(F.col("rare.word"), F.lit(1), keep)).alias("word")), "rare-words")
+    other = few.select("grp", F.col("doc_id").alias("other"), F.col("n").alias("m"), "word")
     near = (F.col("doc_id") < F.col("other")) & (F.col("n") >= similarity * F.col("m")) & (F.col("m") >= similarity * F.col("n"))
-    pairs = a.join(b, ["grp", "word"]).where(near).select("grp", "doc_id", "other").distinct()
+    pairs = written(few.join(other.hint("merge"), ["grp", "word"]).where(near).select("grp", "doc_id", "other").distinct(), "slide-pairs")
+    sets = first.select("grp", "doc_id", "hashes")
+    both = pairs.join(sets.hint("merge"), ["grp", "doc_id"]).join(sets.select("grp", F.col("doc_id").alias("other"), F.col("hashes").alias("more")).hint("merge"), ["grp", "other"])
+    share = lambda a, b: F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b) - F.size(F.array_intersect(a, b)))
+    likely = written(both.where(share("hashes", "more") > similarity - 0.01).select("grp", "doc_id", "other"), "likely-pairs")
     texts = docs.select(F.col(group).alias("grp"), "doc_id", "text")
-    right = texts.select("grp", F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
-    both = pairs.join(texts, ["grp", "doc_id"]).join(right, ["grp", "other"]).withColumns({"left_words": own_words, "right_words": text.distinct_words(F.col("other_text"))})
-    common = F.size(F.array_intersect("left_words", "right_words"))
-    jaccard = common / (F.size("left_words") + F.size("right_words") - common)
-    return both.withColumn("jaccard", jaccard).where(F.col("jaccard") > similarity).select("grp", "doc_id", "other", F.bround("jaccard", 4).alias("jaccard"))
+    full = likely.join(texts.hint("merge"), ["grp", "doc_id"]).withColumn("left_words", text.distinct_words(F.col("text"))).drop("text")
+    full = full.join(texts.withColumnRenamed("doc_id", "other").hint("merge"), ["grp", "other"]).withColumn("right_words", text.distinct_words(F.col("text")))
+    found = full.withColumn("jaccard", share("left_words", "right_words")).where(F.col("jaccard") > similarity)
+    return copies.unionByName(found.select("grp", "doc_id", "other", F.bround("jaccard", 4).alias("jaccard")))
 
 
 def short_notes(notes: DataFrame, min_words: int = 3) -> DataFrame:

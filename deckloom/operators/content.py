@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.scratch import written
+from .groups import before_overflow, numbered
 
 #: Kinds of facts, and the share of talking time of archetypes (others count 1).
 FACT_KINDS = ("overview", "problem", "solution", "architecture", "feature", "metric", "milestone", "decision", "limitation", "plan", "other")
@@ -27,10 +29,10 @@ def sections(paras: DataFrame, heading: str) -> DataFrame:
     return s.where("n_lines > 0")
 
 
-def unique_ids(df: DataFrame, id_col: str, order: list) -> DataFrame:
-    """The second occurrence of an id becomes id~2 and so on."""
-    k = F.row_number().over(W.partitionBy(id_col).orderBy(*order))
-    return df.withColumn("k", k).withColumn("unique_id", F.when(F.col("k") == 1, F.col(id_col)).otherwise(F.concat(F.col(id_col), F.lit("~"), F.col("k").cast("string")))).drop("k")
+def unique_ids(df: DataFrame, id_col: str, order: list, bucket: list[Column]) -> DataFrame:
+    """The second occurrence of an id becomes id~2 and so on; ``bucket`` rises with ``order``."""
+    found = numbered(df, [id_col], order, bucket, "k")
+    return found.withColumn("unique_id", F.when(F.col("k") == 1, F.col(id_col)).otherwise(F.concat(F.col(id_col), F.lit("~"), F.col("k").cast("string")))).drop("k")
 
 
 def record_kind(raw: Column) -> Column:
@@ -42,30 +44,46 @@ def record_kind(raw: Column) -> Column:
 
 def pack(docs: DataFrame, group: str, limit: int = 12000) -> DataFrame:
     """Documents of each group up to the first that does not fit."""
-    w = W.partitionBy(group).orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
-    used = F.sum(F.char_length("text")).over(w)
-    return docs.withColumn("used", used).where(F.col("used") <= limit).select(F.col(group).alias("grp"), "doc_id", "used")
+    d = docs.select(F.col(group).alias("grp"), "doc_id", F.char_length("text").alias("size"))
+    return before_overflow(d, ["grp"], ["doc_id"], F.col("size"), limit, [F.floor(F.col("doc_id") / 1024)]).select("grp", "doc_id", "used")
+
+
+#: Names of files that describe a project's parts or its past.
+MANIFESTS = ("pyproject.toml", "package.json", "setup.cfg", "cargo.toml", "go.mod", "tree.txt", "history.txt", "changelog.md")
 
 
 def source_tier(path: Column) -> Column:
-    """0 for a README at the root, 2 for docs folders, 3 for the root and other READMEs, 4 for the rest."""
+    """0 for a README at the root, 1 for a manifest, tree or history there, 2 for docs folders, 3 for other files at the
+    root and other READMEs, 4 for the rest."""
     parts = F.split(path, "/")
-    depth, top, readme = F.size(parts) - 1, F.lower(parts[0]), F.lower(F.element_at(parts, -1)).startswith("readme")
-    return F.when(readme & (depth == 0), 0).when(top.isin("docs", "doc", "documentation"), 2).when((depth == 0) | readme, 3).otherwise(4)
+    depth, top, name = F.size(parts) - 1, F.lower(parts[0]), F.lower(F.element_at(parts, -1))
+    readme = name.startswith("readme")
+    return F.when(readme & (depth == 0), 0).when((depth == 0) & name.isin(*MANIFESTS), 1).when(top.isin("docs", "doc", "documentation"), 2).when((depth == 0) | readme, 3).otherwise(4)
+
+
+def _noise(line: Column) -> Column:
+    """Whether a line is only markup, or holds an image or begins with a badge."""
+    only_markup = (F.trim(line) != "") & (F.trim(F.regexp_replace(line, r"<[^>]+>", "")) == "")
+    image, badge = F.contains(line, F.lit("![")), F.ltrim(line).startswith("[![")
+    return only_markup | image | badge
 
 
 def clean_lines(df: DataFrame, text_col: str, separator: str = "\n", limit: int = 40000) -> DataFrame:
     """Without lines that are only markup, images or badges; blank lines squeezed; cut at the limit, with a flag."""
-    lines = F.filter(F.split(F.col(text_col), separator), lambda x: ~x.rlike(r"^\s*(<[^>]+>\s*)+$|!\[|^\s*\[!\["))
+    lines = F.filter(F.split(F.col(text_col), separator), lambda x: ~_noise(x))
     full = F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n")
     return df.withColumns({"clean": F.substring(full, 1, limit), "was_cut": F.char_length(full) > limit})
 
 
-def tree(paths: DataFrame, depth: int = 2) -> DataFrame:
-    """Files per folder down to ``depth`` levels."""
+def tree(paths: DataFrame, depth: int = 2, most: int = 8) -> DataFrame:
+    """Files per folder down to ``depth`` levels (kind "folder"), and the ``most`` frequent extensions ("extension")."""
     parts = F.split("path", "/")
     levels = F.transform(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(depth))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    return paths.select(F.explode(levels).alias("folder")).groupBy("folder").agg(F.count("*").alias("files"))
+    folders = paths.select(F.explode(levels).alias("name")).groupBy("name").agg(F.count("*").alias("files"))
+    last = F.element_at(parts, -1)
+    ending = F.lower(F.coalesce(F.nullif(F.regexp_extract(last, r"[^.](\.[^.]+)$", 1), F.lit("")), last))
+    ends = paths.select(ending.alias("name")).groupBy("name").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "name").limit(most)
+    return folders.select(F.lit("folder").alias("kind"), "name", "files").unionByName(ends.select(F.lit("extension").alias("kind"), "name", "files"))
 
 
 def history(commits: DataFrame, last: int = 150) -> DataFrame:
@@ -77,30 +95,64 @@ def history(commits: DataFrame, last: int = 150) -> DataFrame:
 
 
 def manifest_facts(raw: Column) -> dict[str, Column]:
-    """Title, unit and the keys of a JSON manifest."""
-    return {"title": F.get_json_object(raw, "$.title"), "unit": F.get_json_object(raw, "$.unit"), "keys": F.array_join(F.json_object_keys(raw), ",")}
+    """Name, version and description of a JSON manifest, and the names of its dependencies (a list or a map)."""
+    deps = F.get_json_object(raw, "$.dependencies")
+    names = F.when(deps.startswith("{"), F.json_object_keys(deps)).when(deps.startswith("["), F.transform(F.from_json(deps, "array<string>"), lambda d: F.regexp_extract(d, r"^[^<>=!~;\[ ]*", 0)))
+    return {**{n: F.coalesce(F.get_json_object(raw, f"$.{n}"), F.lit("")) for n in ("name", "version", "description")}, "dependencies": F.coalesce(F.array_join(names, ","), F.lit(""))}
+
+
+def pieces(docs: DataFrame, group: str, size: int = 8000, spare: int = 200) -> DataFrame:
+    """(grp, doc_id, piece, n): documents as pieces of n characters.
+
+    A document that fits ``size`` less ``spare`` is one piece. Of a longer one, whole paragraphs (lines that are not blank) fill
+    a piece as long as they fit, joined by two line ends; a paragraph that is longer itself is cut. A fold over the lengths of
+    one document's paragraphs.
+    """
+    room = size - spare
+    cut = lambda n: F.transform(F.sequence(F.lit(0), F.ceil(n / room).cast("int") - 1), lambda i: F.least(F.lit(room), n - i * room))
+    lengths = F.flatten(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: cut(F.char_length(x))))
+
+    def step(acc: Column, n: Column) -> Column:
+        fits = (acc["used"] == 0) | (acc["used"] + 2 + n <= room)
+        more = F.struct((acc["used"] + n + F.when(acc["used"] > 0, 2).otherwise(0)).cast("int").alias("used"), acc["done"].alias("done"))
+        return F.when(fits, more).otherwise(F.struct(n.cast("int").alias("used"), F.concat(acc["done"], F.array(acc["used"])).alias("done")))
+
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("done"))
+    split = F.aggregate(lengths, start, step, lambda acc: F.concat(acc["done"], F.array(acc["used"])))
+    whole = F.char_length("text") <= room
+    return docs.select(F.col(group).alias("grp"), "doc_id", F.posexplode(F.when(whole, F.array(F.char_length("text"))).otherwise(split)).alias("piece", "n"))
 
 
 def chunks(docs: DataFrame, group: str, size: int = 8000, most: int = 24) -> DataFrame:
-    """Documents in order into chunks of at most ``size`` characters; (grp, doc_id, chunk), chunk null beyond ``most``.
+    """(grp, doc_id, piece, n, chunk): pieces in order into chunks of at most ``size`` characters, two between pieces;
+    chunk is null beyond ``most`` chunks.
 
-    A fold over a group's sizes: numbers only, some bytes for each document of a pack.
+    Only pieces within the first ``most`` times ``size`` characters of a group can get a chunk: the fold is over these.
     """
-    d = docs.groupBy(F.col(group).alias("grp")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.least(F.char_length("text"), F.lit(size)).alias("n")))).alias("d"))
-    kind = "struct<chunk:int,used:int,out:array<struct<doc_id:bigint,chunk:int>>>"
+    p = written(pieces(docs, group, size), "pieces")
+    few = before_overflow(p, ["grp"], ["doc_id", "piece"], F.col("n"), most * size, [F.floor(F.col("doc_id") / 256)]).select("grp", "doc_id", "piece", "n")
+    d = few.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece", "n"))).alias("d"))
+    row = "struct<doc_id:bigint,piece:int,chunk:int>"
 
     def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["n"] <= size
+        fits = (acc["used"] == 0) | (acc["used"] + x["n"] <= size)
         chunk = F.when(fits, acc["chunk"]).otherwise(acc["chunk"] + 1)
-        return F.struct(chunk.alias("chunk"), F.when(fits, acc["used"] + x["n"]).otherwise(x["n"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["doc_id"].alias("doc_id"), chunk.alias("chunk")))).alias("out"))
+        new = F.struct(x["doc_id"].alias("doc_id"), x["piece"].alias("piece"), chunk.alias("chunk")).cast(row)
+        return F.struct(chunk.alias("chunk"), (F.when(fits, acc["used"]).otherwise(0) + x["n"] + 2).cast("int").alias("used"), F.concat(acc["out"], F.array(new)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<struct<doc_id:bigint,chunk:int>>").alias("out")).cast(kind)
-    found = d.select("grp", F.inline(F.aggregate("d", start, step)["out"]))
-    return found.withColumn("chunk", F.when(F.col("chunk") < most, F.col("chunk").cast("long")))
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast(f"array<{row}>").alias("out"))
+    got = d.select(F.col("grp").alias("g"), F.inline(F.aggregate("d", start, step)["out"])).where(F.col("chunk") < most).withColumnsRenamed({"doc_id": "d", "piece": "p"})
+    found = p.join(got.hint("merge"), p["grp"].eqNullSafe(F.col("g")) & (p["doc_id"] == F.col("d")) & (p["piece"] == F.col("p")), "left")
+    return found.select("grp", "doc_id", F.col("piece").cast("long").alias("piece"), F.col("n").cast("long").alias("n"), F.col("chunk").cast("long").alias("chunk"))
 
 
-def normal_facts(facts: DataFrame, least: int = 12, most: int = 12, cut: int = 400) -> DataFrame:
-    """Facts (pack, chunk, n, text, kind, weight) of enough text, once per chunk, weights from 1 to 3, the first ``most``."""
+def normal_facts(facts: DataFrame, least: int = 12, most: int = 12, cut: int = 400, allowed: DataFrame | None = None) -> DataFrame:
+    """Facts (pack, chunk, n, text, kind, weight) of enough text, once per chunk, weights from 1 to 3, the first ``most``.
+
+    With ``allowed`` (chunk, source) only facts whose column ``source`` is one of their chunk's sources count.
+    """
+    if allowed is not None:
+        facts = facts.join(allowed.select("chunk", "source").distinct(), ["chunk", "source"], "left_semi")
     t = F.substring(F.trim("text"), 1, cut)
     f = facts.select("pack", "chunk", "n", t.alias("text"), F.when(F.col("kind").isin(*FACT_KINDS), F.col("kind")).otherwise("other").alias("kind"), F.least(F.greatest("weight", F.lit(1)), F.lit(3)).alias("weight")).where(F.char_length("text") >= least)
     first = f.withColumn("k", F.row_number().over(W.partitionBy("pack", "chunk", F.lower("text")).orderBy("n"))).where("k = 1")
@@ -114,39 +166,62 @@ def distinct_facts(facts: DataFrame, key: list[str], order: list) -> DataFrame:
 
 
 def near_facts(facts: DataFrame, least: float = 0.6) -> DataFrame:
-    """Pairs of facts (pack, id, text) that share at least ``least`` of the smaller one's stems.
+    """Facts (pack, id, text) that share at least ``least`` of the smaller one's stems.
 
+    Facts with equal stems are a class; each is paired with its class's first fact, and only first facts with each other.
     The smaller set must share one of its rarest few with the other, so only these are joined; the result is exact.
     """
-    s = facts.select("pack", "id", text.stems(F.col("text")).alias("stems")).where(F.size("stems") > 0)
-    each = s.select("pack", "id", F.explode("stems").alias("stem"))
+    own = facts.select("pack", "id", F.array_sort(text.stems(F.col("text"))).alias("stems")).where(F.size("stems") > 0)
+    own = written(own.withColumn("same", F.md5(F.array_join("stems", " ").cast("binary"))), "fact-stems")
+    first = written(own.groupBy("pack", "same").agg(F.min(F.struct("id", "stems")).alias("f")).select("pack", "same", "f.id", "f.stems"), "first-facts")
+    copies = own.select("pack", "same", F.col("id").alias("other")).join(first.select("pack", "same", "id").hint("merge"), ["pack", "same"]).where("id <> other").select("pack", "id", "other", F.lit(1.0).alias("share"))
+    s = first.select("pack", "id", "stems")
+    each = s.select("pack", "id", F.size("stems").alias("m"), F.explode("stems").alias("stem"))
     df = each.groupBy("pack", "stem").agg(F.count("*").alias("df"))
-    r = each.join(df, ["pack", "stem"]).groupBy("pack", "id").agg(F.array_sort(F.collect_list(F.struct("df", "stem"))).alias("rare"))  # bounded: one fact's stems
+    r = each.join(df.hint("merge"), ["pack", "stem"]).groupBy("pack", "id").agg(F.array_sort(F.collect_list(F.struct("df", "stem"))).alias("rare"))  # bounded: one fact's stems
     n = F.size("rare")
-    few = r.select("pack", "id", n.alias("n"), F.explode(F.slice(F.col("rare.stem"), F.lit(1), n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1)).alias("stem"))
-    full = each.join(s.select("pack", "id", F.size("stems").alias("m")), ["pack", "id"]).select("pack", F.col("id").alias("other"), "m", "stem")
-    pairs = few.join(full, ["pack", "stem"]).where((F.col("id") != F.col("other")) & (F.col("n") <= F.col("m"))).select("pack", F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
-    both = pairs.join(s, ["pack", "id"]).join(s.select("pack", F.col("id").alias("other"), F.col("stems").alias("more")), ["pack", "other"])
+    few = written(r.select("pack", "id", n.alias("n"), F.explode(F.slice(F.col("rare.stem"), F.lit(1), n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1)).alias("stem")), "rare-stems")
+    full = written(each.select("pack", F.col("id").alias("other"), "m", "stem"), "all-stems")
+    pairs = few.join(full.hint("merge"), ["pack", "stem"]).where((F.col("id") != F.col("other")) & (F.col("n") <= F.col("m"))).select("pack", F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
+    pairs = written(pairs, "fact-pairs")
+    both = pairs.join(s.hint("merge"), ["pack", "id"]).join(s.select("pack", F.col("id").alias("other"), F.col("stems").alias("more")).hint("merge"), ["pack", "other"])
     share = F.size(F.array_intersect("stems", "more")) / F.least(F.size("stems"), F.size("more"))
-    return both.withColumn("share", share).where(F.col("share") >= least).select("pack", "id", "other", F.bround("share", 4).alias("share"))
+    return copies.unionByName(both.withColumn("share", share).where(F.col("share") >= least).select("pack", "id", "other", F.bround("share", 4).alias("share")))
 
 
-def select_facts(facts: DataFrame, near: DataFrame, limit: int) -> DataFrame:
-    """Facts (pack, id, text, weight) by weight and order, within a budget of characters, none near a chosen one.
+def select_facts(facts: DataFrame, limit: int, least: float = 0.6, shortest: int = 12, step: int = 500) -> DataFrame:
+    """Facts (pack, id, text, weight) by weight and order, within a budget of characters, none that shares ``least`` of the
+    smaller one's stems with a chosen one; (pack, id, n), numbered in the order of ids.
 
-    A fold over a pack's ids and sizes; (pack, id, n), numbered in the order of ids.
+    A pack of any size is looked at ``step`` facts at a time: a fold over these carries what is used and the chosen facts'
+    stems, which the budget bounds. A pack is done when no fact of ``shortest`` characters fits any more; mostly that is in
+    the first round.
     """
-    links = near.select("pack", "id", "other").unionByName(near.select("pack", F.col("other").alias("id"), F.col("id").alias("other"))).groupBy("pack", "id").agg(F.collect_list("other").alias("near"))
-    f = facts.select("pack", "id", F.char_length("text").alias("size"), "weight").join(links, ["pack", "id"], "left")
-    row = F.struct((-F.col("weight")).alias("less"), "id", "size", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
-    g = f.groupBy("pack").agg(F.array_sort(F.collect_list(row)).alias("facts"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(acc: Column, x: Column) -> Column:
-        take = (acc["used"] + x["size"] <= limit) & ~F.arrays_overlap(acc["ids"], x["near"])
-        return F.when(take, F.struct((acc["used"] + x["size"]).alias("used"), F.concat(acc["ids"], F.array(x["id"])).alias("ids"))).otherwise(acc)
-
-    found = g.select("pack", F.posexplode(F.array_sort(F.aggregate("facts", start, step)["ids"])).alias("n", "id"))
+    f = facts.select(F.coalesce("pack", F.lit("")).alias("pack"), F.struct((-F.col("weight")).alias("less"), "id").alias("at"), F.char_length("text").alias("size"), text.stems(F.col("text")).alias("stems"))
+    f = written(f.where(F.col("size") <= limit), "facts")
+    kind = "struct<used:int,chosen:array<struct<id:bigint,stems:array<string>>>>"
+    state = written(f.groupBy("pack").agg(F.expr(f"cast(struct(0, array()) as {kind})").alias("state")).withColumn("last", F.expr(f"cast(null as {f.schema['at'].dataType.simpleString()})")), "fact-state")
+    done = None
+
+    def take(acc: Column, x: Column) -> Column:
+        both = lambda c: F.size(F.array_intersect(c["stems"], x["stems"])) / F.least(F.size(c["stems"]), F.size(x["stems"]))
+        near = F.exists(acc["chosen"], lambda c: F.coalesce(both(c) >= least, F.lit(False)))
+        grown = F.struct((acc["used"] + x["size"]).alias("used"), F.concat(acc["chosen"], F.array(F.struct(x["at"]["id"].alias("id"), x["stems"].alias("stems")))).alias("chosen"))
+        return F.when((acc["used"] + x["size"] <= limit) & ~near, grown.cast(kind)).otherwise(acc)
+
+    while True:
+        left = f.join(state.select("pack", "last").hint("merge"), "pack").where(F.col("last").isNull() | (F.col("at") > F.col("last")))
+        next_ = left.withColumn("k", F.row_number().over(W.partitionBy("pack").orderBy("at"))).where(F.col("k") <= step)
+        some = next_.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("at", "size", "stems"))).alias("some"), F.max("at").alias("upto"))  # at most step
+        new = state.drop("last").join(some.hint("merge"), "pack", "left").select("pack", F.when(F.col("some").isNull(), F.col("state")).otherwise(F.aggregate("some", F.col("state"), take)).alias("state"), F.coalesce(F.size("some"), F.lit(0)).alias("n"), F.col("upto").alias("last"))
+        state = written(new, "fact-state")
+        full = (F.col("n") < step) | (F.col("state.used") + shortest > limit)
+        part = state.where(full).select("pack", "state")
+        done = part if done is None else done.unionByName(part)
+        state = state.where(~full).select("pack", "state", "last")
+        if state.isEmpty():
+            break
+    found = done.select("pack", F.posexplode(F.array_sort(F.transform("state.chosen", lambda c: c["id"]))).alias("n", "id"))
     return found.select("pack", "id", (F.col("n") + 1).cast("long").alias("n"))
 
 

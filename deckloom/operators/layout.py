@@ -41,7 +41,7 @@ def features(shapes: DataFrame, slide_w: int = geo.SLIDE_W, slide_h: int = geo.S
     big = geo.area() / full
     f = s.groupBy(*SLIDE).agg(
         F.count_if(text_).alias("texts"), F.count_if(text_ & (F.col("chars") <= 5) & (F.col("size_pt") >= 1.3 * F.col("median"))).alias("numbers"), F.count_if(F.col("tag") == "pic").alias("pictures"),
-        F.count_if((F.col("tag") == "graphicFrame") & (F.col("pk") % 2 == 0)).alias("charts"), F.count_if((F.col("tag") == "graphicFrame") & (F.col("pk") % 2 == 1)).alias("tables"),
+        F.count_if(F.col("kind") == "chart").alias("charts"), F.count_if(F.col("kind") == "table").alias("tables"),
         F.max(F.when(F.col("tag") == "pic", F.bround(big, 4)).otherwise(0.0)).alias("big_picture"), F.max(F.when(text_, F.bround(big, 4)).otherwise(0.0)).alias("big_text"), F.max(F.when(text_, F.col("chars")).otherwise(0)).alias("longest"),
         F.max("median").alias("median"), F.bround(F.least(F.lit(1.0), F.sum(geo.area()) / full), 4).alias("fill"),
     )
@@ -145,7 +145,7 @@ def slot_roles(shapes: DataFrame, archetypes: DataFrame, titles: DataFrame) -> D
     s = shapes.join(archetypes.select("slide_id", "archetype"), "slide_id").join(titles.select("slide_id", F.col("z").alias("title_z")), "slide_id", "left")
     s = s.withColumn("is_text", (F.col("tag") == "sp") & ~F.coalesce(F.col("z") == F.col("title_z"), F.lit(False))).withColumn("k", F.row_number().over(w))
     role = (
-        F.when(F.coalesce(F.col("z") == F.col("title_z"), F.lit(False)), "title").when(F.col("tag") == "pic", "picture").when((F.col("tag") == "graphicFrame") & (F.col("pk") % 2 == 0), "chart").when(F.col("tag") == "graphicFrame", "table")
+        F.when(F.coalesce(F.col("z") == F.col("title_z"), F.lit(False)), "title").when(F.col("tag") == "pic", "picture").when(F.col("kind").isin("chart", "table"), F.col("kind"))
         .when(F.col("archetype").isin("title", "section", "closing") & (F.col("k") == 1), "subtitle").when((F.col("archetype") == "kpi") & (F.col("chars") <= 5), "number").when(F.col("archetype").isin("kpi", "cards", "team") & (F.col("chars") <= 15), "label").otherwise("body")
     )
     per_line, lines = F.floor(F.col("w") / 12700 / (0.5 * F.col("size_pt"))), F.floor(F.col("h") / 12700 / (1.2 * F.col("size_pt")))
@@ -290,18 +290,35 @@ def wrapped_lines(c: Column, width: Column) -> Column:
 
 
 def overflow(paras: DataFrame, boxes: DataFrame, slack: float = 0.1, points: float = 2.0, spacing: float = 1.2) -> DataFrame:
-    """Boxes (doc_id, width_chars, size_pt, have_pt) whose paragraphs need more height than there is."""
-    p = paras.join(boxes, "doc_id").withColumn("lines", wrapped_lines(F.col("text"), F.col("width_chars")))
-    need = p.groupBy("doc_id", "size_pt", "have_pt").agg(F.sum("lines").cast("long").alias("lines")).withColumn("need_pt", F.bround(F.col("lines") * F.col("size_pt") * spacing, 2))
-    return need.where(F.col("need_pt") > (1 + slack) * F.col("have_pt") + points).select("doc_id", "lines", "need_pt", "have_pt")
+    """Boxes whose paragraphs need more room than there is: a tenth and two points more.
+
+    ``boxes`` has doc_id, width_chars, size_pt, height_pt with insets_pt above and below together, gap_pt between paragraphs,
+    is_title (two lines are always let pass), autofit (the text will shrink: only a warning) and wraps; a text that doesn't
+    wrap needs the width of its longest paragraph.
+    """
+    p = paras.join(boxes.hint("merge"), "doc_id").withColumns({"lines": F.when(F.col("wraps"), wrapped_lines(F.col("text"), F.col("width_chars"))).otherwise(1), "n": F.char_length("text")})
+    box = ["doc_id", "width_chars", "size_pt", "height_pt", "insets_pt", "gap_pt", "is_title", "autofit", "wraps"]
+    need = p.groupBy(*box).agg(F.sum("lines").cast("long").alias("lines"), F.count("*").alias("paras"), F.max("n").alias("longest"))
+    high = F.col("lines") * F.col("size_pt") * spacing + (F.col("paras") - 1) * F.col("gap_pt")
+    wide = lambda n: 0.5 * F.col("size_pt") * n
+    need = need.withColumns({
+        "need_pt": F.bround(F.when(F.col("wraps"), high).otherwise(wide(F.col("longest"))), 2), "have_pt": F.when(F.col("wraps"), F.col("height_pt") - F.col("insets_pt")).otherwise(wide(F.col("width_chars"))),
+    })
+    over = (F.col("need_pt") > (1 + slack) * F.col("have_pt") + points) & ~(F.col("is_title") & (F.col("lines") <= 2))
+    return need.where(over).select("doc_id", "lines", "need_pt", "have_pt", F.when(F.col("autofit"), "warning").otherwise("error").alias("severity"))
 
 
 def lines_over_blocks(shapes: DataFrame) -> DataFrame:
-    """Texts whose last line, by average widths, reaches into a picture that their box leaves alone."""
+    """Texts of which a line below their own box, by average widths, reaches into a picture, chart or table that the box
+    leaves alone; with the first such line."""
     per_line = F.greatest(F.lit(1), F.floor(F.col("w") / 12700 / (0.5 * F.col("size_pt"))))
-    lines = F.ceil(F.col("chars") * 10 / per_line)
-    t = shapes.where("tag = 'sp'").withColumn("bottom", (F.col("y") + lines * 1.2 * F.col("size_pt") * 12700).cast("long")).alias("a")
+    high = (1.2 * F.col("size_pt") * 12700).cast("long")
+    t = shapes.where("tag = 'sp'").withColumns({"lines": F.ceil(F.col("chars") / per_line), "high": high}).alias("a")
     b = shapes.where("tag <> 'sp'").alias("b")
+    bottom = F.col("a.y") + F.col("a.lines") * F.col("a.high")
+    # The first line whose lower edge lies below the block's upper one.
+    first = F.floor((F.col("b.y") - F.col("a.y")) / F.col("a.high")) + 1
     apart = geo.intersection("a", "b") == 0
-    reach = (geo.overlap_w("a", "b") > 0) & (F.col("b.y") >= F.col("a.y") + F.col("a.h")) & (F.col("a.bottom") > F.col("b.y"))
-    return t.join(b, (F.col("a.slide_id") == F.col("b.slide_id")) & apart & reach).select(*[F.col(f"a.{c}").alias(c) for c in (*SLIDE, "z")], F.col("b.z").alias("other_z"), (F.col("a.bottom") - F.col("b.y")).alias("depth"))
+    reach = (geo.overlap_w("a", "b") > 0) & (F.col("b.y") >= F.col("a.y") + F.col("a.h")) & (bottom > F.col("b.y"))
+    found = t.join(b, (F.col("a.slide_id") == F.col("b.slide_id")) & apart & reach)
+    return found.select(*[F.col(f"a.{c}").alias(c) for c in (*SLIDE, "z")], F.col("b.z").alias("other_z"), first.cast("long").alias("line"), (bottom - F.col("b.y")).cast("long").alias("depth"))

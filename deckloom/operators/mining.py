@@ -130,12 +130,16 @@ def type_roles(runs: DataFrame, low: float = 9.0, high: float = 24.0) -> DataFra
     return total.join(mode("size_pt"), ["template_id", "role"]).join(mode("font"), ["template_id", "role"]).join(mode("bold"), ["template_id", "role"])
 
 
-def repeated_signatures(shapes: DataFrame, least: int = 3, share: float = 0.25) -> DataFrame:
-    """(kind, stepped box) on at least ``least`` slides and a share of a template's slides."""
-    keys = ["tag", *[geo.stepped(F.col(c)).alias(f"b{c}") for c in "xywh"]]
-    each = shapes.select("template_id", "slide_id", *keys).distinct()
+def repeated_signatures(shapes: DataFrame, least: int = 3, share: float = 0.25, edge: float = 0.12, slide_h: int = geo.SLIDE_H) -> DataFrame:
+    """(kind, text, stepped box) on at least ``least`` slides and a share of a template's slides.
+
+    Placeholders do not count, texts only in the bands at the upper and lower edge.
+    """
+    keys = ["tag", "text", *[geo.stepped(F.col(c)).alias(f"b{c}") for c in "xywh"]]
+    banded = (F.col("tag") != "sp") | (F.col("y") < edge * slide_h) | (F.col("y") + F.col("h") > (1 - edge) * slide_h)
+    each = shapes.where(F.col("placeholder").isNull() & banded).select("template_id", "slide_id", *keys).distinct()
     n = shapes.groupBy("template_id").agg(F.countDistinct("slide_id").alias("n"))
-    on = each.groupBy("template_id", "tag", "bx", "by", "bw", "bh").agg(F.count("*").alias("slides"))
+    on = each.groupBy("template_id", "tag", "text", "bx", "by", "bw", "bh").agg(F.count("*").alias("slides"))
     return on.join(n, "template_id").where((F.col("slides") >= least) & (F.col("slides") >= share * F.col("n"))).drop("n")
 
 
@@ -163,6 +167,19 @@ def grid(shapes: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     return c.withColumns({"at": at, "upto": run}).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("k") <= F.col("at"))).select("template_id", "side", F.col("v").alias("margin"))
 
 
+def guides(shapes: DataFrame, least: int = 2, share: float = 0.2, slide_w: int = geo.SLIDE_W) -> DataFrame:
+    """(template_id, guide): stepped left edges on at least ``least`` slides and a share of a template's slides.
+
+    A template without any gets a twentieth of the width from either side.
+    """
+    s = shapes.select("template_id", "slide_id", (geo.stepped(F.col("x")) * geo.STEP).alias("guide"))
+    n = s.groupBy("template_id").agg(F.countDistinct("slide_id").alias("n"))
+    on = s.distinct().groupBy("template_id", "guide").agg(F.count("*").alias("k"))
+    found = on.join(n, "template_id").where((F.col("k") >= least) & (F.col("k") >= share * F.col("n"))).select("template_id", "guide")
+    bare = n.join(found, "template_id", "left_anti").select("template_id", F.explode(F.array(F.lit(slide_w // 20), F.lit(slide_w - slide_w // 20)).cast("array<bigint>")).alias("guide"))
+    return found.unionByName(bare)
+
+
 def profile(runs: DataFrame, most: int = 10) -> DataFrame:
     """The most frequent fonts, sizes, colours and sizes per font of each template, in one pass of grouping sets."""
     sets = runs.groupingSets([["template_id", "font"], ["template_id", "size_pt"], ["template_id", "hex"], ["template_id", "font", "size_pt"]], "template_id", "font", "size_pt", "hex")

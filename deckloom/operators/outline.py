@@ -165,9 +165,10 @@ def ungrounded(items: DataFrame, sources: DataFrame, group: str) -> DataFrame:
 
 
 def bloat(lines: DataFrame, key: str, limit: float = 2.0) -> DataFrame:
-    """How many keys have each number of rows, and which exceed the limit times the mean."""
-    n = lines.groupBy(key).agg(F.count("*").alias("n"))
-    return n.groupBy("n").agg(F.count("*").alias("keys")).withColumn("over", F.col("n") > limit * 5)
+    """How many keys have each number of rows, and which exceed the limit times the mean number of rows."""
+    n = lines.groupBy(key).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("keys"))
+    total = n.agg((F.sum(F.col("n") * F.col("keys")) / F.sum("keys")).alias("mean"))  # one row
+    return n.crossJoin(F.broadcast(total)).select("n", "keys", (F.col("n") > limit * F.col("mean")).alias("over"))
 
 
 def shorten(c: Column, most: int) -> Column:

@@ -52,11 +52,13 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 
 def summary(findings: DataFrame) -> DataFrame:
-    """Counts by severity, by check and by slide with findings that are more than notes, in one pass."""
-    sets = findings.groupingSets([["deck_id", "severity"], ["deck_id", "check_id"], ["deck_id", "slide_idx"]], "deck_id", "severity", "check_id", "slide_idx")
+    """Counts by severity, by kind (the letter of the check), by check and by slide with findings that are more than
+    notes, in one pass."""
+    kinds = findings.withColumn("kind", F.substring("check_id", 1, 1))
+    sets = kinds.groupingSets([["deck_id", "severity"], ["deck_id", "kind"], ["deck_id", "check_id"], ["deck_id", "slide_idx"]], "deck_id", "severity", "kind", "check_id", "slide_idx")
     found = sets.agg(F.count("*").alias("n"), F.count_if(F.col("severity") != "info").alias("serious"), F.grouping_id().alias("gid"))
-    by = F.when(F.col("gid") == 3, "severity").when(F.col("gid") == 5, "check").otherwise("slide")
-    return found.select("deck_id", by.alias("by"), F.coalesce("severity", "check_id", F.col("slide_idx").cast("string")).alias("key"), "n", "serious").where("by <> 'slide' or serious > 0")
+    by = F.when(F.col("gid") == 7, "severity").when(F.col("gid") == 11, "kind").when(F.col("gid") == 13, "check").otherwise("slide")
+    return found.select("deck_id", by.alias("by"), F.coalesce("severity", "kind", "check_id", F.col("slide_idx").cast("string")).alias("key"), "n", "serious").where("by <> 'slide' or serious > 0")
 
 
 def report(findings: DataFrame, limit: int = 80) -> DataFrame:
@@ -79,12 +81,6 @@ def judged(answers: DataFrame, spark: SparkSession) -> DataFrame:
     return each.where(~passed).select("slide_id", "question", "severity", note.alias("note"))
 
 
-def before_overflow(df: DataFrame, group: list[str], order: list, size: Column, limit: int) -> DataFrame:
-    """Rows of each group, in order, up to the first one that makes the total exceed the limit."""
-    w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= limit)
-
-
 def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FIXES, "autofix string, scope string, safe boolean, requires array<string>")
 
@@ -110,24 +106,39 @@ def snap_colors(runs: DataFrame, chosen: DataFrame) -> DataFrame:
     return runs.join(chosen.select("slide_id", "z", "hex", "nearest").distinct(), ["slide_id", "z", "hex"], "left").withColumn("hex", F.coalesce("nearest", "hex")).drop("nearest")
 
 
-def snap_sizes(runs: DataFrame, chosen: DataFrame, most: float = 0.25) -> DataFrame:
-    """Runs with the nearest size of the scale, unless it is off by more than a quarter."""
+def snap_sizes(runs: DataFrame, chosen: DataFrame, most: float = 0.25, number_chars: int = 5) -> DataFrame:
+    """Runs with the nearest size of the scale, unless it is off by more than a quarter or the run is a key number (a
+    text of few characters that is half as large again as its slide's median)."""
     near = chosen.where(F.abs(F.col("nearest_pt") - F.col("size_pt")) <= most * F.col("size_pt")).select("slide_id", "z", "nearest_pt").distinct()
-    return runs.join(near, ["slide_id", "z"], "left").withColumn("size_pt", F.coalesce("nearest_pt", "size_pt")).drop("nearest_pt")
+    median = runs.groupBy("slide_id").agg(F.median("size_pt").alias("median"))
+    number = (F.col("chars") <= number_chars) & (F.col("size_pt") >= 1.5 * F.col("median"))
+    found = runs.join(near, ["slide_id", "z"], "left").join(median, "slide_id")
+    return found.withColumn("size_pt", F.when(number, F.col("size_pt")).otherwise(F.coalesce("nearest_pt", "size_pt"))).drop("nearest_pt", "median")
+
+
+#: The least scale of a slot's text by kind.
+SCALE_FLOORS = {"title": 0.6, "number": 0.8, "label": 0.8}
 
 
 def shrink_fonts(boxes: DataFrame, floor: float = 0.7) -> DataFrame:
-    """The scale for texts that need more height than there is: sqrt(have / need) * 0.95, not below the floor."""
-    scale = F.sqrt(F.col("have_pt") / F.col("need_pt")) * 0.95
-    return boxes.where("need_pt > have_pt").withColumns({"scale": F.bround(F.greatest(scale, F.lit(floor)), 4), "cut": scale < floor})
+    """The scale for texts that need more room than there is, with a floor for each kind of slot.
+
+    Height falls with the square of the size, so its scale is sqrt(have / need) * 0.95; a text that may not wrap needs width
+    and shrinks in proportion (``wraps`` false). At the floor the text has to be cut as well.
+    """
+    least = F.coalesce(*[F.when(F.col("slot_kind") == k, v) for k, v in SCALE_FLOORS.items()], F.lit(floor))
+    share = F.col("have_pt") / F.col("need_pt")
+    scale = F.when(F.col("wraps"), F.sqrt(share)).otherwise(share) * 0.95
+    return boxes.where("need_pt > have_pt").withColumns({"scale": F.bround(F.greatest(scale, least), 4), "cut": scale < least})
 
 
 def refill(paras: DataFrame, most: int = 15) -> DataFrame:
-    """Paragraphs cut to ``most`` words, an ellipsis behind the cut; quotes are kept."""
+    """Paragraphs cut to ``most`` words, an ellipsis behind the cut; quotes are kept, texts that are prompts emptied."""
     w = text.words(F.col("text"))
     quote = F.col("text").rlike("^[\"“«]")
     cut = F.concat(F.regexp_replace(F.array_join(F.slice(w, 1, most), " "), r"[.,;:–-]+$", ""), F.lit("…"))
-    return paras.withColumn("text", F.when(~quote & (F.size(w) > most), cut).otherwise(F.col("text")))
+    prompt = text.prompt_pattern(F.col("text")).isNotNull()
+    return paras.withColumn("text", F.when(prompt, F.lit("")).when(~quote & (F.size(w) > most), cut).otherwise(F.col("text")))
 
 
 def drop_minor_series(charts: DataFrame, keep: int = 5) -> DataFrame:
@@ -142,21 +153,42 @@ def drop_shapes(shapes: DataFrame, chosen: DataFrame) -> DataFrame:
     return shapes.join(chosen.select("slide_id", "z").distinct(), ["slide_id", "z"], "left_anti")
 
 
+def add_chart_labels(charts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Charts (deck_id, kind, n_series, axis_title, labels, legend) with data labels, and a legend for more than one series,
+    where a fix (deck_id) was chosen."""
+    found = charts.join(chosen.select("deck_id").distinct().withColumn("fix", F.lit(True)), "deck_id", "left")
+    fix = F.coalesce("fix", F.lit(False))
+    return found.withColumns({"labels": F.col("labels") | fix, "legend": F.col("legend") | (fix & (F.col("n_series") > 1))}).drop("fix")
+
+
 def drop_slides(slides: DataFrame, chosen: DataFrame) -> DataFrame:
     """Slides without the chosen ones (slide_id), numbered anew."""
     left = slides.join(chosen.select("slide_id").distinct(), "slide_id", "left_anti")
     return left.withColumn("slide_idx", (F.row_number().over(W.partitionBy("deck_id").orderBy("slide_idx")) - 1).cast("long"))
 
 
+KEYS = ("check_id", "deck_id", "slide_idx", "z")
+
+
+def _keyed(findings: DataFrame) -> DataFrame:
+    return findings.select("check_id", "deck_id", "slide_idx", F.coalesce("z", F.lit(-1)).alias("z")).distinct()
+
+
 def fix_effect(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What became of each (check, slide, element): fixed, remaining or new; a second round is worth it where errors fell."""
-    keys = ["check_id", "deck_id", "slide_idx", "z"]
-    a, b = before.select(*keys).distinct().withColumn("was", F.lit(1)), after.select(*keys).distinct().withColumn("is_now", F.lit(1))
+    """What became of each (check, slide, element): fixed, remaining or new."""
+    a, b = _keyed(before).withColumn("was", F.lit(1)), _keyed(after).withColumn("is_now", F.lit(1))
     state = F.when(F.col("was").isNull(), "new").when(F.col("is_now").isNull(), "fixed").otherwise("remaining")
-    found = a.join(b, keys, "full_outer").withColumn("state", state)
+    found = a.join(b, list(KEYS), "full_outer").withColumn("state", state)
     return found.groupBy("deck_id").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("fixed", "remaining", "new")])
 
 
+def second_round(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The findings worth a second round: those of before that remain, in decks whose errors fell."""
+    errors = lambda df, name: df.groupBy("deck_id").agg(F.count_if(F.col("severity") == "error").alias(name))
+    fell = errors(before, "was").join(errors(after, "is_now"), "deck_id", "left").where(F.col("was") > F.coalesce("is_now", F.lit(0))).select("deck_id")
+    return _keyed(after).join(_keyed(before), list(KEYS), "left_semi").join(fell, "deck_id", "left_semi").select(*KEYS)
+
+
 def deck_statistics(outline: DataFrame) -> DataFrame:
     """Slides, items per slide with items, words per item."""
     n = F.size("bullets")
@@ -167,17 +199,20 @@ def deck_statistics(outline: DataFrame) -> DataFrame:
 
 
 def strategy_comparison(slides: DataFrame, findings: DataFrame, strategy: Column) -> DataFrame:
-    """A row per strategy: its slides, its archetypes in order of frequency and its findings by severity."""
+    """A row per strategy: its slides, the path of archetypes of its first deck, slide by slide, its archetypes in order
+    of frequency and its findings by severity."""
     s = slides.withColumn("strategy", strategy)
     arch = s.groupBy("strategy", "archetype").agg(F.count("*").alias("n"))
-    path = arch.groupBy("strategy").agg(F.sum("n").alias("slides"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "archetype"))), lambda x: x["archetype"]), ">").alias("path"))  # 16 names
+    names = arch.groupBy("strategy").agg(F.sum("n").alias("slides"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "archetype"))), lambda x: x["archetype"]), ",").alias("archetypes"))  # 16 names
+    first = s.join(s.groupBy("strategy").agg(F.min("deck_id").alias("deck_id")), ["strategy", "deck_id"])
+    path = first.groupBy("strategy").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slide_idx", "archetype"))), lambda x: x["archetype"]), ">").alias("path"))  # one deck
     sev = findings.join(s.select("deck_id", "strategy").distinct(), "deck_id").groupBy("strategy").pivot("severity", list(SEVERITIES)).count()
-    return path.join(sev, "strategy", "left").select("strategy", "slides", "path", *[F.coalesce(c, F.lit(0)).alias(f"n_{c}") for c in SEVERITIES])
+    return names.join(path, "strategy").join(sev, "strategy", "left").select("strategy", "slides", "path", "archetypes", *[F.coalesce(c, F.lit(0)).alias(f"n_{c}") for c in SEVERITIES])
 
 
 def call_log(calls: DataFrame) -> DataFrame:
-    """Calls, failures and seconds by skill and model, by skill, and in all."""
-    return calls.rollup("skill", "model").agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("failed"), F.bround(F.sum("seconds"), 2).alias("seconds"))
+    """Calls, failures, tokens and seconds by skill and model, by skill, and in all."""
+    return calls.rollup("skill", "model").agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("failed"), F.sum("tokens").alias("tokens"), F.bround(F.sum("seconds"), 2).alias("seconds"))
 
 
 def stress_report(calls: DataFrame) -> DataFrame:
@@ -187,10 +222,14 @@ def stress_report(calls: DataFrame) -> DataFrame:
     return c.cube("status", "model").agg(F.count("*").alias("n"), F.max("seconds").alias("slowest"), F.grouping_id().alias("gid"))
 
 
+def stress_findings(findings: DataFrame) -> DataFrame:
+    """Findings by check over all decks, and how many decks have them."""
+    return findings.groupBy("check_id").agg(F.count("*").alias("n"), F.countDistinct("deck_id").alias("decks"))
+
+
 def slowest_calls(calls: DataFrame, n: int = 5) -> DataFrame:
-    """The slowest calls of each model, ties by time."""
-    w = W.partitionBy("model").orderBy(F.desc("seconds"), "ts", "user_id")
-    return calls.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).select("model", "k", "skill", "seconds")
+    """The slowest calls of all, ties by time."""
+    return calls.orderBy(F.desc("seconds"), "ts", "user_id", "model", "skill").limit(n).select("model", "skill", "seconds")
 
 
 def archetype_counts(exemplars: DataFrame) -> DataFrame:

@@ -4,25 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit
+from ..operators import audit, layout, mining
 from ..sources.fixtures import Fixtures
 from .views import with_views
 
 
-def _pictures(f: Fixtures):
+def pictures(f: Fixtures):
     return f.shapes().where("tag = 'pic'").withColumns({"px_w": F.col("pk") % 40 * 20, "px_h": F.col("sk") % 30 * 20})
 
 
-def _charts(f: Fixtures):
-    return f.charts().groupBy("deck_id", "series").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("year", "value")))).alias("points"))
+def overflow(f: Fixtures):
+    k = F.col("doc_id")
+    boxes = f.table("documents").select(
+        "doc_id", (k % 40 + 30).cast("int").alias("width_chars"), F.lit(12.0).alias("size_pt"), F.lit(320.0).alias("height_pt"), F.lit(20.0).alias("insets_pt"), F.lit(3.0).alias("gap_pt"),
+        (k % 5 == 0).alias("is_title"), (k % 7 == 0).alias("autofit"), (k % 11 != 0).alias("wraps"),
+    )
+    return layout.overflow(f.paras(), boxes)
 
 
-def _slides(f: Fixtures):
+def zones(f: Fixtures):
+    return f.shapes().where("kind = 'picture' and sk % 3 = 0")
+
+
+def layouts(f: Fixtures):
+    """Slides that are no exemplars, and the exemplars."""
+    s = f.slides()
+    return s.where("slide_id % 100 <> 0").withColumn("exemplar_id", F.floor(F.col("slide_id") / 100) * 100), s.where("slide_id % 100 = 0 and layout <> '5-LOW'").select(F.col("slide_id").alias("exemplar_id"), "layout")
+
+
+def tables(f: Fixtures):
+    return f.charts().groupBy("deck_id").agg(F.countDistinct("series").alias("n_rows"), F.countDistinct("year").alias("n_columns"))
+
+
+def series(f: Fixtures):
+    return f.charts().groupBy("deck_id").agg(F.map_from_entries(F.collect_set(F.struct("series", F.lit(1)))).alias("series"))
+
+
+def parts(f: Fixtures):
+    return f.table("lineitem").select(F.col("l_orderkey").alias("deck_id"), F.col("l_linenumber").alias("part"))
+
+
+def prompts(f: Fixtures):
+    return f.table("documents").select("doc_id", "text"), f.table("benchmark").select(F.col("item_id").alias("pattern_no"), F.col("text").alias("phrase"))
+
+
+def decks(f: Fixtures):
     deck = f.table("customer").select(F.col("c_custkey").alias("deck_id"), F.col("c_nationkey").alias("template_id"))
     return f.slides().join(deck, "deck_id")
 
 
-def _flags(f: Fixtures):
+def chart_flags(f: Fixtures):
     n = f.charts().groupBy("deck_id").agg(F.countDistinct("series").alias("n_series"))
     k = F.col("deck_id")
     return n.select("deck_id", F.when(k % 7 == 0, "pie").otherwise("bar").alias("kind"), "n_series", (k % 2 == 0).alias("axis_title"), (k % 3 == 0).alias("labels"), (k % 5 > 1).alias("legend"))
@@ -35,27 +66,25 @@ RULES = {
     "a03_overlap": lambda f: audit.overlaps(f.shapes()),
     "a06_off_grid": lambda f: audit.off_grid(f.shapes(), f.guides()),
     "a07_in_margins": lambda f: audit.in_margins(f.shapes()),
-    "a08_stretched": lambda f: audit.stretched(_pictures(f)),
+    "a08_stretched": lambda f: audit.stretched(pictures(f)),
     "a09_foreign_fonts": lambda f: audit.foreign_fonts(f.runs(), f.fonts()),
     "a09_many_families": lambda f: audit.many_families(f.runs()),
     "a10_off_scale": lambda f: audit.off_scale(f.runs(), f.scale()),
     "a11_off_palette": lambda f: audit.off_palette(f.runs(), f.palette()),
-    "a12_wrong_layout": lambda f: audit.wrong_layout(
-        f.slides().where("slide_id % 100 <> 0").withColumn("exemplar_id", F.floor(F.col("slide_id") / 100) * 100), f.slides().where("slide_id % 100 = 0 and layout <> '5-LOW'").select(F.col("slide_id").alias("exemplar_id"), "layout")
-    ),
-    "a13_moved_fixed": lambda f: audit.moved_fixed(_slides(f), f.fixed(), f.shapes(), 4),
-    "a14_displaced_fixed": lambda f: audit.displaced_fixed(_slides(f), f.fixed(), f.shapes(), 4),
+    "a12_wrong_layout": lambda f: audit.wrong_layout(*layouts(f)),
+    "a13_moved_fixed": lambda f: audit.moved_fixed(decks(f), f.fixed(), f.shapes(), 4, zones(f)),
+    "a14_displaced_fixed": lambda f: audit.displaced_fixed(decks(f), mining.fixed_elements(f.shapes()), f.shapes(), 3),
     "a15_low_contrast": lambda f: audit.low_contrast(f.shapes()),
     "a16_many_bullets": lambda f: audit.many_bullets(f.shapes()),
     "a17_long_paragraphs": lambda f: audit.long_paragraphs(f.paras()),
-    "a18_large_tables": lambda f: audit.large_tables(f.charts().groupBy("deck_id").agg(F.countDistinct("series").alias("n_rows"), F.countDistinct("year").alias("n_columns"))),
-    "a19_many_series": lambda f: audit.many_series(f.charts().groupBy("deck_id").agg(F.map_from_entries(F.collect_set(F.struct("series", F.lit(1)))).alias("series"))),
+    "a18_large_tables": lambda f: audit.large_tables(tables(f)),
+    "a19_many_series": lambda f: audit.many_series(series(f)),
     "a20_fill_ratio": lambda f: audit.fill_ratio(f.shapes(), f.slides()),
-    "a21_duplicate_parts": lambda f: audit.duplicate_parts(f.table("lineitem").select(F.col("l_orderkey").alias("deck_id"), F.col("l_linenumber").alias("part"))),
-    "a22_placeholders": lambda f: audit.placeholders(f.table("documents").select("doc_id", "text"), f.table("benchmark").select(F.col("item_id").alias("pattern_no"), F.col("text").alias("phrase"))),
+    "a21_duplicate_parts": lambda f: audit.duplicate_parts(parts(f)),
+    "a22_placeholders": lambda f: audit.placeholders(*prompts(f)),
     "a23_empty_slides": lambda f: audit.empty_slides(f.slides(), f.shapes()),
     "a24_one_raster": lambda f: audit.one_raster(f.shapes(), 0.05),
-    "a25_unlabelled_charts": lambda f: audit.unlabelled_charts(_flags(f)),
+    "a25_unlabelled_charts": lambda f: audit.unlabelled_charts(chart_flags(f)),
     "a26_duplicate_slides": lambda f: audit.duplicate_slides(f.table("documents"), "lang"),
     "a26_duplicate_slides_in_source": lambda f: audit.duplicate_slides(f.table("documents"), "source"),
     "a27_short_notes": lambda f: audit.short_notes(f.notes(), 10),
@@ -64,17 +93,18 @@ RULES = {
 
 S = "deck_id, slide_id, slide_idx, z"
 BOX = "round_even(x / 45720.0, 0)::bigint as bx, round_even(y / 45720.0, 0)::bigint as \"by\", round_even(w / 45720.0, 0)::bigint as bw, round_even(h / 45720.0, 0)::bigint as bh"
-_A26 = r"""with s as (select {g} as grp, doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_%]{{2,}}')) as ws from documents),
- t as (select grp, doc_id, len(ws) as n, unnest(ws) as w from s where len(ws) >= 5),
+_A26 = r"""with s as (select {g} as grp, doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_%]{{2,}}'))) as ws from documents), c as (select *, min(doc_id) over (partition by grp, ws) as first from s where len(ws) >= 5),
+ t as (select grp, doc_id, len(ws) as n, unnest(ws) as w from c where doc_id = first),
  p as (select a.grp, a.doc_id, b.doc_id as other, a.n, b.n as m, count(*) as c from t a join t b on a.grp = b.grp and a.w = b.w and a.doc_id < b.doc_id and a.n >= 0.8 * b.n and b.n >= 0.8 * a.n group by all)
-select grp, doc_id, other, round_even(c::double / (n + m - c), 4) as jaccard from p where c::double / (n + m - c) > 0.8::double"""
+select grp, first as doc_id, doc_id as other, 1.0::double as jaccard from c where doc_id <> first union all select grp, doc_id, other, round_even(c::double / (n + m - c), 4) from p where c::double / (n + m - c) > 0.8::double"""
 
 SQL = {
     "a00_provenance": f"""with s as (select *, {BOX} from fx_shapes), sl as (select distinct template_id, x, y, w, h from fx_slots)
-select {S}, sl.x is not null as is_slot, f.bx is not null as is_fixed, f.bx is null as is_ours from s left join fx_fixed f using (template_id, bx, "by", bw, bh) left join sl using (template_id, x, y, w, h)""",
+select {S}, sl.x is not null as is_slot, f.bx is not null as is_fixed, f.bx is null as is_ours, f.bx is not null and text = '' as is_decor, f.bx is null and coalesce(placeholder not in ('sldNum', 'ftr', 'dt'), true) and not (kind = 'text' and text = '') as is_content from s left join fx_fixed f using (template_id, bx, "by", bw, bh) left join sl using (template_id, x, y, w, h)""",
     "a01_off_slide": f"""with o as (select {S}, case when tag = 'sp' then 'L04' else 'L01' end as check_id, greatest(-x, 0) as over_left, greatest(-y, 0) as over_top, greatest(x + w - 12192000, 0) as over_right, greatest(y + h - 6858000, 0) as over_bottom from fx_shapes)
 select * from o where greatest(over_left, over_right) > 121920 or greatest(over_top, over_bottom) > 68580""",
-    "a02_inherited_geometry": f"""select {S} from fx_shapes a where exists (select 1 from fx_slots b where a.template_id = b.template_id and abs(a.x - b.x) <= 45720 and abs(a.y - b.y) <= 45720 and abs(a.w - b.w) <= 45720 and abs(a.h - b.h) <= 45720)""",
+    "a02_inherited_geometry": f"""select {S} from fx_shapes a where exists (select 1 from fx_slots b where a.template_id = b.template_id and abs(a.x - b.x) <= 45720 and abs(a.y - b.y) <= 45720 and ((abs(a.w - b.w) <= 45720 and abs(a.h - b.h) <= 45720) or (a.kind <> 'text' and abs(a.w - b.w) <= 45720 and a.h > b.h)))
+ or exists (select 1 from fx_slots b where a.template_id = b.template_id and b.kind in ('chart', 'table') and a.x >= b.x - 45720 and a.y >= b.y - 45720 and a.x + a.w <= b.x + b.w + 45720 and a.y + a.h <= b.y + b.h + 45720)""",
     "a03_overlap": """with p as (select a.deck_id, a.slide_id, a.slide_idx, a.z, b.z as other_z, a.tag as ta, b.tag as tb, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) as common,
    least(a.w * a.h, b.w * b.h) as smaller from fx_shapes a join fx_shapes b on a.slide_id = b.slide_id and a.z < b.z)
 select deck_id, slide_id, slide_idx, z, other_z, common, round_even(common::double / smaller, 4) as share from p where common > 0.05::double * smaller and (common < 0.9::double * smaller or (ta = 'sp' and tb = 'sp'))""",
@@ -100,11 +130,14 @@ select {S}, size_pt, pt as nearest_pt from c where k = 1 and not fits""",
 select {S}, hex, nearest, de as delta_e from fx_runs join (select template_id, hex, nearest, de from bs where k = 1 and de >= 8 and not tint) using (template_id, hex)""",
     "a12_wrong_layout": """with e as (select slide_id as exemplar_id, layout from fx_slides where slide_id % 100 = 0 and layout <> '5-LOW'), s as (select *, slide_id // 100 * 100 as exemplar_id from fx_slides where slide_id % 100 <> 0)
 select deck_id, slide_id, slide_idx, s.layout, e.layout as expected, case when s.layout not in (select layout from e) then 'missing' else 'differs' end as problem from s left join e using (exemplar_id) where s.layout not in (select layout from e) or e.layout <> s.layout""",
-    "a13_moved_fixed": f"""with t as (select distinct slide_id, {BOX} from fx_shapes)
-select c_nationkey as template_id, deck_id, slide_id, slide_idx, bx, "by", bw, bh from fx_slides join customer on c_custkey = deck_id join fx_fixed f on f.template_id = c_nationkey anti join t using (slide_id, bx, "by", bw, bh) where n_slides >= 4""",
-    "a14_displaced_fixed": f"""with t as (select distinct slide_id, {BOX} from fx_shapes)
-select c_nationkey as template_id, deck_id, slide_id, slide_idx, bx, "by", bw, bh from fx_slides join customer on c_custkey = deck_id join fx_fixed f on f.template_id = c_nationkey anti join t using (slide_id, bx, "by", bw, bh)
- where n_slides >= 4 and (slide_id, bw, bh) in (select (slide_id, bw, bh) from t)""",
+    "a13_moved_fixed": f"""with t as (select distinct slide_id, kind, {BOX} from fx_shapes), pl as (select slide_id, bx, "by", bw, max(bh) as grown from t where kind <> 'text' group by 1, 2, 3, 4), z as (select slide_id as zs, {BOX} from fx_shapes where kind = 'picture' and sk % 3 = 0),
+ e as (select c_nationkey as template_id, deck_id, slide_id, slide_idx, bx, "by", bw, bh from fx_slides join customer on c_custkey = deck_id join fx_fixed f on f.template_id = c_nationkey anti join t using (slide_id, bx, "by", bw, bh) where n_slides >= 4)
+select e.* from e left join pl using (slide_id, bx, "by", bw) where (grown is null or grown < bh) and not exists (select 1 from z where zs = e.slide_id and e.bx >= z.bx and e."by" >= z."by" and e.bx + e.bw <= z.bx + z.bw and e."by" + e.bh <= z."by" + z.bh)""",
+    "a14_displaced_fixed": f"""with t as (select distinct slide_id, kind, {BOX} from fx_shapes), pl as (select slide_id, bx, "by", bw, max(bh) as grown from t where kind <> 'text' group by 1, 2, 3, 4),
+ g as (select template_id, tag, text, bx, "by", bw, bh, count(distinct slide_id) as n from (select template_id, tag, text, slide_id, {BOX} from fx_shapes where placeholder is null and (tag <> 'sp' or y < 0.12::double * 6858000 or y + h > 0.88::double * 6858000)) group by 1, 2, 3, 4, 5, 6, 7 having count(distinct slide_id) >= 3),
+ f as (select distinct template_id, bx, "by", bw, bh from g where (tag = 'pic' and bw * 45720 * (bh * 45720) < 0.1 * (12192000::bigint * 6858000)) or (tag = 'sp' and "by" * 45720 >= 0.88::double * 6858000)),
+ e as (select c_nationkey as template_id, deck_id, slide_id, slide_idx, bx, "by", bw, bh from fx_slides join customer on c_custkey = deck_id join f on f.template_id = c_nationkey anti join t using (slide_id, bx, "by", bw, bh))
+select e.* from e left join pl using (slide_id, bx, "by", bw) where (grown is null or grown < bh) and (slide_id, bw, bh) in (select (slide_id, bw, bh) from t)""",
     "a15_low_contrast": f"""with LAB(fx_shapes), u as (select a.*, b.z as under_z, coalesce(b.lum, 1.0) as ulum, row_number() over (partition by a.slide_id, a.z order by b.z desc nulls last) as k from lab_fx_shapes a left join lab_fx_shapes b
    on a.slide_id = b.slide_id and b.z < a.z and a.x + a.w / 2.0 between b.x and b.x + b.w and a.y + a.h / 2.0 between b.y and b.y + b.h where a.tag = 'sp'),
  c as (select {S}, under_z, round_even((greatest(lum, ulum) + 0.05) / (least(lum, ulum) + 0.05), 4) as contrast, case when size_pt >= 24 or (bold and size_pt >= 18.7) then 3.0 else 4.5 end::double as need from u where k = 1)
@@ -119,7 +152,9 @@ select * from w where words > 15""",
 select * from f where fill < 0.25 or fill > 0.75""",
     "a21_duplicate_parts": """with t as (select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1)
 select l_orderkey as deck_id, count(*) as parts, max(n) as most from t group by 1""",
-    "a22_placeholders": """select doc_id, min(item_id) as pattern_no from documents d join benchmark b on contains(d.text, b.text) group by 1""",
+    "a22_placeholders": r"""with p as (select doc_id, item_id as n from documents d join benchmark b on contains(d.text, b.text) union all
+ select doc_id, case when t = '' then -2 else -1 end from (select doc_id, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ')) as t from documents) where t = '' or t in ('заголовок', 'текст', 'подзаголовок', 'название', 'описание', 'title', 'text', 'subtitle', 'heading', 'body', 'caption', 'подпись'))
+select doc_id, min(n) as pattern_no from p group by 1""",
     "a23_empty_slides": """with n as (select deck_id, slide_id, slide_idx, count(s.z) filter (s.tag = 'sp') as texts, count(s.z) as blocks from fx_slides left join (select slide_id, z, tag from fx_shapes) s using (slide_id) group by 1, 2, 3)
 select *, case when blocks = 0 then 'empty' else 'title_only' end as problem from n where blocks = 0 or (texts = 1 and blocks = 1)""",
     "a24_one_raster": """select deck_id, slide_id, slide_idx, round_even(max(w * h) / (12192000 * 6858000.0::double), 4) as share from fx_shapes group by 1, 2, 3 having bool_and(tag = 'pic') and max(w * h) / (12192000 * 6858000.0::double) >= 0.05""",
@@ -134,4 +169,5 @@ select deck_id, words, round_even(words / 120.0::double, 4) as minutes from n wh
 }
 
 QUERIES = {name: (lambda spark, sf_dir, run=run: run(Fixtures(spark, sf_dir))) for name, run in RULES.items()}
-SQL = {name: with_views(sql) for name, sql in SQL.items()}
+RAW = SQL
+SQL = {name: with_views(sql) for name, sql in RAW.items()}

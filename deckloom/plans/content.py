@@ -53,10 +53,17 @@ def _facts(f: Fixtures):
     return f.paras().select(F.col("source").alias("pack"), F.col("doc_id").alias("chunk"), n.alias("n"), "text", F.element_at(names, (n % 4 + 1).cast("int")).alias("kind"), (n % 6 - 1).alias("weight"))
 
 
-def _short_facts(f: Fixtures):
-    """First lines of documents, once for each text of a source."""
-    d = f.table("documents").select(F.col("source").alias("pack"), F.col("doc_id").alias("id"), F.substring(F.split("text", "\n")[0], 1, 200).alias("text"), (F.col("doc_id") % 3 + 1).alias("weight"))
-    return content.distinct_facts(d, ["pack"], ["id"])
+def _pack_facts(f: Fixtures):
+    """Normal facts out of all paragraphs, once for each text of a source."""
+    d = content.distinct_facts(content.normal_facts(_facts(f)), ["pack"], ["n"])
+    return d.select("pack", F.col("n").alias("id"), "text", "weight")
+
+
+def _manifests(f: Fixtures):
+    k = F.col("k")
+    deps = F.when(k % 3 == 0, F.lit('["a>=1","b[x]~=2","c"]')).when(k % 3 == 1, F.lit('{"d":"1","e":"2"}')).otherwise(F.lit("null"))
+    raw = F.concat(F.lit('{"name":"n'), k.cast("string"), F.lit('","version":"'), (k % 5).cast("string"), F.lit('.0","dependencies":'), deps, F.lit("}"))
+    return f.payloads().select("event_id", raw.alias("raw"))
 
 
 def _budgets(f: Fixtures):
@@ -77,31 +84,35 @@ RUN = {
     "s06_cache": _cache,
     "s07_write_audit": _written,
     "k01_sections": lambda f: content.sections(f.paras().select("doc_id", "para_no", "text"), r"^#|^[A-ZÀ-Þ][^ ]* [^ ]*\.?$").select("doc_id", "section", "title", "n_lines", F.md5(F.col("body").cast("binary")).alias("digest")),
-    "k02_unique_ids": lambda f: content.unique_ids(f.table("documents").select("source", "doc_id"), "source", ["doc_id"]),
+    "k02_unique_ids": lambda f: content.unique_ids(f.table("documents").select("source", "doc_id"), "source", ["doc_id"], [F.floor(F.col("doc_id") / 1024)]),
     "k03_record_kinds": lambda f: f.payloads().select("event_id", content.record_kind(F.col("raw")).alias("kind")),
     "k04_pack": lambda f: content.pack(f.table("documents"), "source"),
-    "k05_tiers": lambda f: f.paths().select("page_id", content.source_tier(F.col("path")).cast("long").alias("tier")),
-    "k06_clean": lambda f: content.clean_lines(f.table("pages"), "html", "(?=<)", 5000).select("page_id", F.md5(F.col("clean").cast("binary")).alias("digest"), "was_cut"),
-    "k07_tree": lambda f: content.tree(f.paths()),
+    "k05_tiers": lambda f: f.paths().select("page_id", content.source_tier(F.when(F.col("page_id") % 5 == 0, "package.json").otherwise(F.col("path"))).cast("long").alias("tier")),
+    "k06_clean": lambda f: content.clean_lines(f.table("pages"), "html", "(?=<)").select("page_id", F.md5(F.col("clean").cast("binary")).alias("digest"), "was_cut"),
+    "k07_tree": lambda f: content.tree(f.paths().withColumn("path", F.concat("path", F.lit(".t"), (F.col("page_id") % 11).cast("string")))),
     "k08_history": lambda f: content.history(f.table("orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id")), 5),
-    "k09_manifest": lambda f: f.payloads().select("event_id", *[c.alias(n) for n, c in content.manifest_facts(F.col("raw")).items()]),
+    "k09_manifest": lambda f: _manifests(f).select("event_id", *[c.alias(n) for n, c in content.manifest_facts(F.col("raw")).items()]),
     "k10_chunks": lambda f: content.chunks(f.table("documents"), "source"),
     "k11_facts": lambda f: content.normal_facts(_facts(f)),
+    "k11_allowed_facts": lambda f: content.normal_facts(_facts(f).withColumn("source", F.col("n") % 3), allowed=f.table("documents").select(F.col("doc_id").alias("chunk"), (F.col("doc_id") % 3).alias("source"))),
     "k12_distinct_facts": lambda f: content.distinct_facts(f.paras(), [], ["doc_id", "para_no"]).select("doc_id", "para_no"),
-    "k13_near_facts": lambda f: content.near_facts(_short_facts(f)),
-    "k14_select_facts": lambda f: content.select_facts(_short_facts(f), content.near_facts(_short_facts(f)), 1500),
+    "k13_near_facts": lambda f: content.near_facts(_pack_facts(f)),
+    "k14_select_facts": lambda f: content.select_facts(_pack_facts(f), 1500),
     "v01_word_budget": lambda f: _budgets(f).select("deck_id", "slide_idx", "budget"),
-    "v02_merge_notes": lambda f: content.merge_notes(f.notes().where("slide_idx <> 2").select("deck_id", (F.floor(F.col("slide_idx") / 2) * 2 + F.col("deck_id") % 2).alias("n"), F.substring("text", 1, 20).alias("text")).distinct(), f.notes()),
+    "v02_merge_notes": lambda f: content.merge_notes(f.notes().where("slide_idx <> 2").select("deck_id", (F.floor(F.col("slide_idx") / 2) * 2 + F.col("deck_id") % 2).alias("n"), "text").distinct(), f.notes()),
     "v03_trim_notes": lambda f: content.trim_notes(_budgets(f)),
     "v04_clean_notes": lambda f: f.notes().select("deck_id", "slide_idx", F.md5(content.clean_note(F.col("text")).cast("binary")).alias("digest")),
     "v05_timing": lambda f: content.talk_timing(f.notes()),
     "t01_texts": _texts,
 }
 
-VIEWS["fx_short_facts"] = """select pack, id, text, weight from (select *, row_number() over (partition by pack, regexp_replace(lower(trim(text, ' ')), '\\.+$', '') order by id) as k
-  from (select source as pack, doc_id as id, left(string_split(text, chr(10))[1], 200) as text, doc_id % 3 + 1 as weight from documents)) where k = 1"""
-VIEWS["fx_stems"] = r"""select pack, id, list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[\p{L}]+|[0-9]+'), lambda w: length(w) >= 4 or regexp_matches(w, '^[0-9]')), lambda w: case when regexp_matches(w, '^[0-9]') then w else left(w, 5) end)) as stems from fx_short_facts"""
-VIEWS["fx_near"] = """select * from (select a.pack, a.id, b.id as other, len(list_intersect(a.stems, b.stems))::double / least(len(a.stems), len(b.stems)) as s from fx_stems a join fx_stems b on a.pack = b.pack and a.id < b.id and len(a.stems) > 0 and len(b.stems) > 0) where s >= 0.6::double"""
+FACTS = """with f as (select source as pack, doc_id as chunk, doc_id * 10000 + para_no as n, left(trim(text, ' '), 400) as text, least(greatest((doc_id * 10000 + para_no) % 6 - 1, 1), 3) as weight, ['metric', 'other', 'plan', 'overview'][(doc_id * 10000 + para_no) % 4 + 1] as kind from fx_paras{where}),
+ u as (select *, row_number() over (partition by pack, chunk, lower(text) order by n) as k from f where length(text) >= 12), v as (select *, row_number() over (partition by pack, chunk order by n) as m from u where k = 1)
+select pack, chunk, n, text, kind, weight from v where m <= 12"""
+VIEWS["fx_pack_facts"] = f"select pack, id, text, weight from (select pack, n as id, text, weight, row_number() over (partition by pack, regexp_replace(lower(trim(text, ' ')), '\\.+$', '') order by n) as k from ({FACTS.format(where='')})) where k = 1"
+VIEWS["fx_stems"] = r"""select pack, id, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[\p{L}]+|[0-9]+'), lambda w: length(w) >= 4 or regexp_matches(w, '^[0-9]')), lambda w: case when regexp_matches(w, '^[0-9]') then w else left(w, 5) end))) as stems from fx_pack_facts"""
+VIEWS["fx_each_stem"] = "select pack, id, len(stems) as n, unnest(stems) as stem from fx_stems"
+VIEWS["fx_near"] = """select pack, id, other, c::double / least(n, m) as s from (select a.pack, a.id, b.id as other, a.n, b.n as m, count(*) as c from fx_each_stem a join fx_each_stem b on a.pack = b.pack and a.stem = b.stem and a.id < b.id group by all) where c::double / least(n, m) >= 0.6::double"""
 VIEWS["fx_budget"] = """select deck_id, slide_idx, text, greatest(10, round_even(480.0::double * tw / sum(tw) over (partition by deck_id), 0)::bigint) as budget from (select *, case archetype when 'title' then 0.5 when 'section' then 0.25 when 'closing' then 0.6 else 1.0 end::double as tw from fx_notes)"""
 WORDS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+(?:[-’''][\p{{L}}\p{{N}}_]+)*'))"
 
@@ -123,32 +134,37 @@ select source, doc_id, case when k = 1 then source else source || '~' || k end a
     "k03_record_kinds": """select event_id, case when json_exists(raw, '$.categories') and json_exists(raw, '$.series') then 'series' when json_exists(raw, '$.header') and json_exists(raw, '$.rows') then 'table' when json_exists(raw, '$.value') then 'metric' else 'record' end as kind from fx_payloads""",
     "k04_pack": """with u as (select source as grp, doc_id, sum(length(text)) over (partition by source order by doc_id)::bigint as used from documents)
 select * from u where used <= 12000""",
-    "k05_tiers": """with p as (select page_id, string_split(path, '/') as p from fx_paths)
-select page_id, (case when lower(p[-1]) like 'readme%' and len(p) = 1 then 0 when lower(p[1]) in ('docs', 'doc', 'documentation') then 2 when len(p) = 1 or lower(p[-1]) like 'readme%' then 3 else 4 end)::bigint as tier from p""",
-    "k06_clean": r"""with l as (select page_id, list_filter(string_split(regexp_replace(html, '(.)<', '\1' || chr(1) || '<', 'gs'), chr(1)), lambda x: not regexp_matches(x, '^\s*(<[^>]+>\s*)+$|!\[|^\s*\[!\[')) as ls from pages), t as (select page_id, regexp_replace(array_to_string(ls, chr(10)), '\n{3,}', chr(10) || chr(10), 'g') as full_ from l)
-select page_id, md5(left(full_, 5000)) as digest, length(full_) > 5000 as was_cut from t""",
-    "k07_tree": """with p as (select string_split(path, '/') as p from fx_paths), l as (select p, unnest(range(0, least(len(p) - 1, 2) + 1)) as i from p)
-select array_to_string(p[1:i], '/') as folder, count(*) as files from l group by 1""",
+    "k05_tiers": """with p as (select page_id, string_split(case when page_id % 5 = 0 then 'package.json' else path end, '/') as p from fx_paths)
+select page_id, (case when lower(p[-1]) like 'readme%' and len(p) = 1 then 0 when len(p) = 1 and lower(p[-1]) in ('pyproject.toml', 'package.json', 'setup.cfg', 'cargo.toml', 'go.mod', 'tree.txt', 'history.txt', 'changelog.md') then 1 when lower(p[1]) in ('docs', 'doc', 'documentation') then 2 when len(p) = 1 or lower(p[-1]) like 'readme%' then 3 else 4 end)::bigint as tier from p""",
+    "k06_clean": r"""with l as (select page_id, list_filter(string_split(regexp_replace(html, '(.)<', '\1' || chr(1) || '<', 'gs'), chr(1)), lambda x: not regexp_matches(x, '^ *(<[^>]+> *)+$') and not contains(x, '![') and not regexp_matches(x, '^ *\[!\[')) as ls from pages), t as (select page_id, regexp_replace(array_to_string(ls, chr(10)), '\n{3,}', chr(10) || chr(10), 'g') as full_ from l)
+select page_id, md5(left(full_, 40000)) as digest, length(full_) > 40000 as was_cut from t""",
+    "k07_tree": r"""with q as (select string_split(path || '.t' || page_id % 11, '/') as p from fx_paths), l as (select p, unnest(range(0, least(len(p) - 1, 2) + 1)) as i from q),
+ e as (select lower(coalesce(nullif(regexp_extract(p[-1], '[^.](\.[^.]+)$', 1), ''), p[-1])) as name, count(*) as files from q group by 1 order by 2 desc, 1 limit 8)
+select 'folder' as kind, array_to_string(p[1:i], '/') as name, count(*) as files from l group by 2 union all select 'extension', name, files from e""",
     "k08_history": """with k as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders)
 select o_custkey as repo, count(*) as commits, min(o_orderdate)::date as first, max(o_orderdate)::date as last, string_agg(o_orderkey::varchar, ',' order by k) filter (k <= 5) as latest from k group by 1""",
-    "k09_manifest": """select event_id, raw->>'$.title' as title, raw->>'$.unit' as unit, array_to_string(json_keys(raw), ',') as keys from fx_payloads""",
-    "k10_chunks": """with recursive o as (select source as grp, doc_id, least(length(text), 8000) as n, row_number() over (partition by source order by doc_id) as k from documents),
- walk as (select grp, doc_id, k, 0::bigint as chunk, n::bigint as used from o where k = 1 union all select w.grp, o.doc_id, o.k, case when w.used + o.n <= 8000 then w.chunk else w.chunk + 1 end, case when w.used + o.n <= 8000 then w.used + o.n else o.n end from walk w join o on o.grp = w.grp and o.k = w.k + 1)
-select grp, doc_id, case when chunk < 24 then chunk end as chunk from walk""",
-    "k11_facts": """with f as (select source as pack, doc_id as chunk, doc_id * 10000 + para_no as n, left(trim(text, ' '), 400) as text, least(greatest((doc_id * 10000 + para_no) % 6 - 1, 1), 3) as weight, ['metric', 'other', 'plan', 'overview'][(doc_id * 10000 + para_no) % 4 + 1] as kind from fx_paras),
- u as (select *, row_number() over (partition by pack, chunk, lower(text) order by n) as k from f where length(text) >= 12), v as (select *, row_number() over (partition by pack, chunk order by n) as m from u where k = 1)
-select pack, chunk, n, text, kind, weight from v where m <= 12""",
+    "k09_manifest": """select event_id, 'n' || k as name, k % 5 || '.0' as version, '' as description, case k % 3 when 0 then 'a,b,c' when 1 then 'd,e' else '' end as dependencies from fx_payloads""",
+    "k10_chunks": """with recursive w as (select source as grp, doc_id, text from documents), cut as (select grp, doc_id, line_no, length(line) as len, unnest(range(0, ceil(length(line) / 7800.0)::bigint)) as part from (select grp, doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from w where length(text) > 7800) where trim(line, ' ') <> ''),
+ o as (select grp, doc_id, least(7800, len - part * 7800) as n, row_number() over (partition by doc_id order by line_no, part) as k from cut),
+ walk as (select grp, doc_id, k, n::bigint as used, 0::bigint as piece from o where k = 1 union all select o.grp, o.doc_id, o.k, case when w.used + 2 + o.n <= 7800 then w.used + 2 + o.n else o.n end, case when w.used + 2 + o.n <= 7800 then w.piece else w.piece + 1 end from walk w join o on o.doc_id = w.doc_id and o.k = w.k + 1),
+ p as (select grp, doc_id, piece, max(used) as n from walk group by 1, 2, 3 union all select grp, doc_id, 0, length(text) from w where length(text) <= 7800),
+ q as (select *, row_number() over (partition by grp order by doc_id, piece) as k from p),
+ fill as (select grp, doc_id, piece, n, k, 0::bigint as chunk, n + 2 as used from q where k = 1 union all select q.grp, q.doc_id, q.piece, q.n, q.k, case when f.used + q.n <= 8000 then f.chunk else f.chunk + 1 end, case when f.used + q.n <= 8000 then f.used else 0 end + q.n + 2 from fill f join q on q.grp = f.grp and q.k = f.k + 1)
+select grp, doc_id, piece, n, case when chunk < 24 then chunk end as chunk from fill""",
+    "k11_facts": FACTS.format(where=""),
+    "k11_allowed_facts": FACTS.format(where=" where (doc_id * 10000 + para_no) % 3 = doc_id % 3"),
     "k12_distinct_facts": r"""with k as (select doc_id, para_no, row_number() over (partition by regexp_replace(lower(trim(text, ' ')), '\.+$', '') order by doc_id, para_no) as k from fx_paras)
 select doc_id, para_no from k where k = 1""",
-    "k13_near_facts": "select pack, id, other, round_even(s, 4) as share from fx_near",
-    "k14_select_facts": """with recursive o as (select *, row_number() over (partition by pack order by weight desc, id) as k from fx_short_facts), nn as (select pack, id, list(other) as near from (select pack, id, other from fx_near union all select pack, other, id from fx_near) group by all),
+    "k13_near_facts": """with c as (select *, min(id) over (partition by pack, stems) as first from fx_stems where len(stems) > 0)
+select pack, first as id, id as other, 1.0::double as share from c where id <> first union all select n.pack, n.id, n.other, round_even(s, 4) from fx_near n semi join (select pack, id from c where id = first) a on a.pack = n.pack and a.id = n.id semi join (select pack, id from c where id = first) b on b.pack = n.pack and b.id = n.other""",
+    "k14_select_facts": """with recursive o as (select *, row_number() over (partition by pack order by weight desc, id) as k from fx_pack_facts), nn as (select pack, id, list(other) as near from (select pack, id, other from fx_near union all select pack, other, id from fx_near) group by all),
  j as (select o.*, length(text) as size, coalesce(near, []) as near from o left join nn using (pack, id)),
- walk as (select pack, 0::bigint as k, 0::bigint as used, []::bigint[] as ids from (select distinct pack from fx_short_facts)
+ walk as (select pack, 0::bigint as k, 0::bigint as used, []::bigint[] as ids from (select distinct pack from fx_pack_facts)
   union all select w.pack, j.k, case when w.used + size <= 1500 and not list_has_any(w.ids, near) then w.used + size else w.used end, case when w.used + size <= 1500 and not list_has_any(w.ids, near) then list_append(w.ids, j.id) else w.ids end from walk w join j on j.pack = w.pack and j.k = w.k + 1),
  last as (select pack, unnest(arg_max(ids, k)) as id from walk group by 1)
 select pack, id, row_number() over (partition by pack order by id) as n from last""",
     "v01_word_budget": "select deck_id, slide_idx, budget from fx_budget",
-    "v02_merge_notes": """with a as (select distinct deck_id, slide_idx // 2 * 2 + deck_id % 2 as n, left(text, 20) as text from fx_notes where slide_idx <> 2), s as (select *, n - case when min(n) over (partition by deck_id) >= 1 then 1 else 0 end as slide_idx from a), j as (select deck_id, slide_idx, string_agg(text, ' ' order by n, text) as note from s group by 1, 2)
+    "v02_merge_notes": """with a as (select distinct deck_id, slide_idx // 2 * 2 + deck_id % 2 as n, text from fx_notes where slide_idx <> 2), s as (select *, n - case when min(n) over (partition by deck_id) >= 1 then 1 else 0 end as slide_idx from a), j as (select deck_id, slide_idx, string_agg(text, ' ' order by n, text) as note from s group by 1, 2)
 select f.deck_id, f.slide_idx, note, note is null as missing from fx_notes f left join j using (deck_id, slide_idx)""",
     "v03_trim_notes": rf"""with sp as (select deck_id, slide_idx, budget, list_filter(string_split(regexp_replace(trim(text, ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as ss from fx_budget),
  s0 as (select deck_id, slide_idx, budget, unnest(ss) as sentence, unnest(range(len(ss))) as at_ from sp), s1 as (select *, {WORDS.format('sentence')} as words from s0),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..operators import layout
 from ..sources.fixtures import ARCHETYPES, Fixtures
+from .audit import overflow
 from .views import VIEWS, with_views
 
 
@@ -39,10 +40,6 @@ def _items(f: Fixtures):
     return layout.allocate(items, o.select("outline_id", "idx", (F.col("doc_id") % 5).alias("capacity")))
 
 
-def _boxes(f: Fixtures):
-    return f.table("documents").select("doc_id", (F.col("doc_id") % 40 + 30).cast("int").alias("width_chars"), F.lit(12.0).alias("size_pt"), F.lit(300.0).alias("have_pt"))
-
-
 def _colors(f: Fixtures):
     c = color.with_lab(f.shapes().select("hex", "r", "g", "b").distinct())
     h, s, l = color.hsl(F.col("r"), F.col("g"), F.col("b"))
@@ -55,7 +52,7 @@ def _colors(f: Fixtures):
 
 RUN = {
     "a04_lines_over_blocks": lambda f: layout.lines_over_blocks(f.shapes()),
-    "a05_overflow": lambda f: layout.overflow(f.paras(), _boxes(f)),
+    "a05_overflow": overflow,
     "c01_title_choice": lambda f: layout.title_choice(f.shapes()),
     "c02_features": lambda f: layout.features(f.shapes()),
     "c03_size_clusters": lambda f: layout.size_clusters(f.shapes(), 2),
@@ -86,8 +83,8 @@ CLIP = "greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)
 VIEWS["fx_titles"] = """select deck_id, slide_id, slide_idx, z, size_pt, median from (select deck_id, slide_id, slide_idx, arg_max(z, (size_pt, -y, -z)) as z, max(size_pt) as size_pt from fx_shapes where tag = 'sp' and chars <= 80 and (slide_idx = 0 or y < 0.3::double * 6858000) group by 1, 2, 3) t
   left join (select a.slide_id, median(a.size_pt) as median from fx_shapes a join (select slide_id, arg_max(z, (size_pt, -y, -z)) as tz from fx_shapes where tag = 'sp' and chars <= 80 and (slide_idx = 0 or y < 0.3::double * 6858000) group by 1) b on a.slide_id = b.slide_id and a.z <> b.tz where a.tag = 'sp' group by 1) m using (slide_id)
   where median is null or size_pt >= 1.15::double * median"""
-VIEWS["fx_features"] = """select deck_id, slide_id, slide_idx, count(*) filter (tag = 'sp') as texts, count(*) filter (tag = 'sp' and chars <= 5 and size_pt >= 1.3::double * med) as numbers, count(*) filter (tag = 'pic') as pictures, count(*) filter (tag = 'graphicFrame' and pk % 2 = 0) as charts,
-  count(*) filter (tag = 'graphicFrame' and pk % 2 = 1) as tables, max(case when tag = 'pic' then round_even((w * h)::double / (12192000::bigint * 6858000), 4) else 0 end) as big_picture, max(case when tag = 'sp' then round_even((w * h)::double / (12192000::bigint * 6858000), 4) else 0 end) as big_text,
+VIEWS["fx_features"] = """select deck_id, slide_id, slide_idx, count(*) filter (tag = 'sp') as texts, count(*) filter (tag = 'sp' and chars <= 5 and size_pt >= 1.3::double * med) as numbers, count(*) filter (tag = 'pic') as pictures, count(*) filter (kind = 'chart') as charts,
+  count(*) filter (kind = 'table') as tables, max(case when tag = 'pic' then round_even((w * h)::double / (12192000::bigint * 6858000), 4) else 0 end) as big_picture, max(case when tag = 'sp' then round_even((w * h)::double / (12192000::bigint * 6858000), 4) else 0 end) as big_text,
   max(case when tag = 'sp' then chars else 0 end) as longest, max(med) as median, round_even(least(1.0::double, sum(w * h)::double / (12192000::bigint * 6858000)), 4) as fill from fx_shapes left join (select slide_id, median(size_pt) as med from fx_shapes where tag = 'sp' group by 1) using (slide_id) group by 1, 2, 3"""
 VIEWS["fx_axes"] = """select deck_id, slide_id, slide_idx, columns, rows, n, case when columns = n and rows = n and n >= 3 then 'staircase' when n >= 12 and columns >= 2 and rows >= 4 then 'table' when columns >= 2 and rows >= 2 then 'grid' when columns = 1 then 'list' else 'row' end as form
   from (select deck_id, slide_id, slide_idx, sum(nc)::bigint as columns, sum(nr)::bigint as rows, count(*) as n from (select *, case when x - lag(x) over (partition by slide_id order by x, z) <= 0.03::double * 12192000 then 0 else 1 end as nc, case when y - lag(y) over (partition by slide_id order by y, z) <= 0.03::double * 6858000 then 0 else 1 end as nr from fx_shapes) group by 1, 2, 3)"""
@@ -116,10 +113,12 @@ VIEWS["fx_rated"] = "select outline_id, idx, template_id, exemplar_id, max(score
 WRAP = "coalesce(list_reduce(list_prepend(0::bigint, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: length(x))), lambda a, n: case when a % 1000000 > 0 and a % 1000000 + 1 + n <= wd then a + 1 + n else (a // 1000000 + ceil(n * 1.0 / wd)::bigint) * 1000000 + n - (ceil(n * 1.0 / wd)::bigint - 1) * wd end), 0)"
 
 SQL = {
-    "a04_lines_over_blocks": """with t as (select *, trunc(y + ceil(chars * 10 / greatest(1, floor(w / 12700.0::double / (0.5::double * size_pt)))) * 1.2::double * size_pt * 12700)::bigint as bottom from fx_shapes where tag = 'sp')
-select a.deck_id, a.slide_id, a.slide_idx, a.z, b.z as other_z, a.bottom - b.y as depth from t a join fx_shapes b on a.slide_id = b.slide_id and b.tag <> 'sp' and least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) and b.y >= a.y + a.h and a.bottom > b.y""",
-    "a05_overflow": f"""with p as (select doc_id, text, doc_id % 40 + 30 as wd from fx_paras), l as (select doc_id, greatest(1, {WRAP} // 1000000) as lines from p), s as (select doc_id, sum(lines)::bigint as lines from l group by 1)
-select doc_id, lines, round_even(lines * 12.0::double * 1.2::double, 2) as need_pt, 300.0::double as have_pt from s where lines * 12.0::double * 1.2::double > 332""",
+    "a04_lines_over_blocks": """with t as (select *, trunc(1.2::double * size_pt * 12700)::bigint as high, ceil(chars / greatest(1, floor(w / 12700.0::double / (0.5::double * size_pt))))::bigint as lines from fx_shapes where tag = 'sp')
+select a.deck_id, a.slide_id, a.slide_idx, a.z, b.z as other_z, (b.y - a.y) // a.high + 1 as line, a.y + lines * high - b.y as depth from t a join fx_shapes b on a.slide_id = b.slide_id and b.tag <> 'sp' and least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) and b.y >= a.y + a.h and a.y + lines * high > b.y""",
+    "a05_overflow": f"""with p as (select doc_id, text, doc_id % 40 + 30 as wd from fx_paras), l as (select doc_id, wd, length(text) as n, case when doc_id % 11 <> 0 then greatest(1, {WRAP} // 1000000) else 1 end as lines from p),
+ s as (select doc_id, sum(lines)::bigint as lines, count(*) as paras, max(n) as longest, any_value(wd) as wd from l group by 1),
+ n as (select *, round_even(case when doc_id % 11 <> 0 then lines * 12.0::double * 1.2::double + (paras - 1) * 3.0::double else 6.0::double * longest end, 2) as need_pt, case when doc_id % 11 <> 0 then 300.0::double else 6.0::double * wd end as have_pt from s)
+select doc_id, lines, need_pt, have_pt, case when doc_id % 7 = 0 then 'warning' else 'error' end as severity from n where need_pt > 1.1::double * have_pt + 2 and not (doc_id % 5 = 0 and lines <= 2)""",
     "c01_title_choice": "select * from fx_titles",
     "c02_features": "select * from fx_features",
     "c03_size_clusters": """with recursive o as (select slide_id, w, h, row_number() over (partition by slide_id order by w, h, z) as k from fx_shapes), walk as (select deck_id, slide_id, slide_idx, 0::bigint as k, []::struct(w bigint, h bigint, n bigint)[] as acc from (select distinct deck_id, slide_id, slide_idx from fx_shapes)
@@ -139,7 +138,7 @@ select deck_id, slide_id, slide_idx, z, frame_z from f where k = 1""",
     "c08_scores": "select * from fx_scores",
     "c09_pick": "select * from fx_picked",
     "c10_slot_roles": """with s as (select s.*, archetype, t.z as tz, s.tag = 'sp' and coalesce(s.z <> t.z, true) as is_text from fx_shapes s join (select slide_id, archetype from fx_picked) p using (slide_id) left join (select slide_id, z from fx_titles) t using (slide_id)), k as (select *, row_number() over (partition by slide_id, is_text order by y, x, z) as k from s)
-select deck_id, slide_id, slide_idx, z, case when coalesce(z = tz, false) then 'title' when tag = 'pic' then 'picture' when tag = 'graphicFrame' and pk % 2 = 0 then 'chart' when tag = 'graphicFrame' then 'table' when archetype in ('title', 'section', 'closing') and k = 1 then 'subtitle'
+select deck_id, slide_id, slide_idx, z, case when coalesce(z = tz, false) then 'title' when tag = 'pic' then 'picture' when kind in ('chart', 'table') then kind when archetype in ('title', 'section', 'closing') and k = 1 then 'subtitle'
  when archetype = 'kpi' and chars <= 5 then 'number' when archetype in ('kpi', 'cards', 'team') and chars <= 15 then 'label' else 'body' end as role, case when tag = 'sp' then trunc(0.9::double * floor(w / 12700.0::double / (0.5::double * size_pt)) * floor(h / 12700.0::double / (1.2::double * size_pt)))::bigint end as capacity from k""",
     "c11_collapse": """with g as (select template_id, exemplar_id, min(x) as gx, min(y) as gy, max(x + w) as gx2, max(y + h) as gy2 from fx_slots where kind in ('icon', 'other', 'date') group by 1, 2 having count(*) >= 2)
 select template_id, exemplar_id, slot_id, kind, x, y, w, h from fx_slots left join g using (template_id, exemplar_id) where gx is null or not (x >= gx and y >= gy and x + w <= gx2 and y + h <= gy2) union all select template_id, exemplar_id, -1, 'group', gx, gy, gx2 - gx, gy2 - gy from g""",
@@ -172,4 +171,5 @@ select hex, round_even(lum, 4) as luminance, round_even(1.05 / (lum + 0.05), 4)
 }
 
 QUERIES = {name: (lambda spark, sf_dir, run=run: run(Fixtures(spark, sf_dir))) for name, run in RUN.items()}
-SQL = {name: with_views(sql) for name, sql in SQL.items()}
+RAW = SQL
+SQL = {name: with_views(sql) for name, sql in RAW.items()}

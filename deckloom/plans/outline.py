@@ -69,7 +69,7 @@ RUN = {
     "p19_bloat": lambda f: outline.bloat(f.table("lineitem"), "l_orderkey"),
     "t05_shorten": _split_text,
     "t08_parse_number": lambda f: _cells(f).select("table_id", "row", "col", text.parse_number(F.col("cell")).alias("number")),
-    "t10_fit_scale": lambda f: f.shapes().where("tag = 'sp'").select("slide_id", "z", outline.fit_scale(F.col("chars") * 10, F.col("w"), F.col("h"), F.col("size_pt")).alias("scale")),
+    "t10_fit_scale": lambda f: f.shapes().where("tag = 'sp'").select("slide_id", "z", outline.fit_scale(F.col("chars"), F.col("w"), F.col("h"), F.col("size_pt")).alias("scale")),
 }
 
 CELLS = """cells as (select p_partkey % 50 as table_id, p_partkey as row_, unnest(['name', 'size', 'delta size', 'share']) as col, unnest([p_name, '×' || p_size, p_size::varchar, '−' || p_size || ' %']) as cell from part)"""
@@ -111,13 +111,13 @@ select * from k where k <= 4""",
     "p18_grounding": """with d as (select lang, doc_id as item_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) as number from documents)
 select lang, item_id, count(*) as missing from d a where item_id % 2 = 1 and not exists (select 1 from d b where b.item_id % 2 = 0 and a.lang = b.lang and a.number = b.number) group by 1, 2""",
     "p19_bloat": """with n as (select l_orderkey, count(*) as n from lineitem group by 1)
-select n, count(*) as keys, n > 10 as "over" from n group by n""",
+select n, count(*) as keys, n > 2 * (select avg(n) from n) as "over" from n group by n""",
     "t05_shorten": r"""with s as (select doc_id, para_no, text, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') as t, regexp_extract(text, '^([^:–—]{1,60})(?::\s| – | — )(.*)$', 1) as lb, regexp_extract(text, '^([^:–—]{1,60})(?::\s| – | — )(.*)$', 2) as bd from fx_paras), w as (select *, string_split(t, ' ') as ws from s)
 select doc_id, para_no, md5(case when length(t) <= 60 then t else regexp_replace(regexp_replace(left(t, 60), '\s+\S*$', ''), '[\s.,;:–-]+$', '') || '…' end) as short, md5(case when len(ws) <= 11 then t else array_to_string(ws[1:8], ' ') || '…' end) as words, trim(lb, ' ') as label, md5(case when lb = '' then text else bd end) as body,
  regexp_extract(text, '^\s*([-−+×x]?[0-9]+(?:[.,][0-9]+)?)\s*(.*)$', 1) as number, md5(regexp_extract(text, '^\s*([-−+×x]?[0-9]+(?:[.,][0-9]+)?)\s*(.*)$', 2)) as unit from w""",
     "t08_parse_number": f"""with {CELLS}
 select table_id, row_ as "row", col, {NUM} as number from cells""",
-    "t10_fit_scale": """with s as (select slide_id, z, unnest([1.0, 0.9, 0.8, 0.7, 0.6, 0.55]::double[]) as s, chars, w, h, size_pt from fx_shapes where tag = 'sp'), f as (select *, 0.9::double * floor(w / 12700.0::double / (0.5::double * size_pt * s)) * floor(h / 12700.0::double / (1.2::double * size_pt * s)) >= chars * 10 as ok from s)
+    "t10_fit_scale": """with s as (select slide_id, z, unnest([1.0, 0.9, 0.8, 0.7, 0.6, 0.55]::double[]) as s, chars, w, h, size_pt from fx_shapes where tag = 'sp'), f as (select *, 0.9::double * floor(w / 12700.0::double / (0.5::double * size_pt * s)) * floor(h / 12700.0::double / (1.2::double * size_pt * s)) >= chars as ok from s)
 select slide_id, z, coalesce(max(s) filter (ok), 0.55::double) as scale from f group by 1, 2""",
 }
 

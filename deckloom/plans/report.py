@@ -4,27 +4,68 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, report
-from ..sources.fixtures import Fixtures
+from ..operators import audit, groups, layout, mining, report
+from ..sources.fixtures import Fixtures, Prepared
 from . import audit as audit_plans
+from . import layout as layout_plans
 from .views import VIEWS, with_views
 
 
-def _with_fix(df, fix):
-    return df.withColumn("autofix", F.lit(fix))
+def _finding(df, check_id, severity, fix=None):
+    return audit.finding(df, check_id, severity).withColumn("autofix", F.lit(fix).cast("string"))
 
 
+def _of_document(df, place=None):
+    """Findings on texts: a document is a deck, a paragraph a slide."""
+    return df.withColumnRenamed("doc_id", "deck_id").withColumnRenamed(place, "slide_idx") if place else df.withColumnRenamed("doc_id", "deck_id")
+
+
+def _sizes(f: Fixtures):
+    small = F.when(F.col("nearest_pt") > F.col("size_pt"), "info").otherwise("warning")
+    found = audit.off_scale(f.runs(), f.scale()).withColumn("nearest_pt", F.when(F.col("z") % 5 != 0, F.col("nearest_pt")))  # some lack their evidence
+    return _finding(found, "T02", small, "snap_font_size")
+
+
+def _edges(f: Fixtures):
+    return _finding(audit.off_slide(f.shapes()), F.col("check_id"), F.when(F.col("check_id") == "L04", "error").otherwise("warning"), "clamp_to_slide")
+
+
+#: All rules: the check of the audit, its severity, and the fix it names.
 RULES = {
-    "L01_out_of_slide": lambda f: _with_fix(audit.finding(audit.off_slide(f.shapes()), F.col("check_id"), F.when(F.col("check_id") == "L04", "error").otherwise("warning")), "clamp_to_slide"),
-    "L05_off_grid": lambda f: _with_fix(audit.finding(audit.off_grid(f.shapes(), f.guides()), "L05", "warning"), "snap_to_grid"),
-    "T02_off_scale": lambda f: _with_fix(audit.finding(audit.off_scale(f.runs(), f.scale()).withColumn("nearest_pt", F.when(F.col("z") % 5 != 0, F.col("nearest_pt"))), "T02", F.when(F.col("nearest_pt") > F.col("size_pt"), "info").otherwise("warning")), "snap_font_size"),
-    "D01_many_bullets": lambda f: _with_fix(audit.finding(audit.many_bullets(f.shapes()), "D01", "warning"), "split_slide"),
-    "I03_empty": lambda f: _with_fix(audit.finding(audit.empty_slides(f.slides(), f.shapes()), "I03", "error"), "drop_slide"),
+    "L01_out_of_slide": _edges,
+    "L02_overlap": lambda f: _finding(audit.overlaps(f.shapes()), "L02", "error", "reflow_vertical"),
+    "L02_lines": lambda f: _finding(layout.lines_over_blocks(f.shapes()), "L02", "error", "reflow_vertical"),
+    "L03_overflow": lambda f: _finding(_of_document(audit_plans.overflow(f)), "L03", F.col("severity"), "shrink_font_by_scale"),
+    "L05_off_grid": lambda f: _finding(audit.off_grid(f.shapes(), f.guides()), "L05", "warning", "snap_to_grid"),
+    "L06_margins": lambda f: _finding(audit.in_margins(f.shapes()), "L06", "warning", "snap_to_grid"),
+    "L07_stretched": lambda f: _finding(audit.stretched(audit_plans.pictures(f)), "L07", "warning", "crop_to_aspect"),
+    "T01_foreign_fonts": lambda f: _finding(audit.foreign_fonts(f.runs(), f.fonts()), "T01", "error", "reset_font"),
+    "T01_many_families": lambda f: _finding(audit.many_families(f.runs()), "T01", "warning", "reset_font"),
+    "T02_off_scale": _sizes,
+    "T03_off_palette": lambda f: _finding(audit.off_palette(f.runs(), f.palette()).withColumnRenamed("hex", "color"), "T03", "warning", "snap_color"),
+    "T04_layout": lambda f: _finding(audit.wrong_layout(*audit_plans.layouts(f)), "T04", "warning", "change_exemplar"),
+    "T05_moved_fixed": lambda f: _finding(audit.moved_fixed(audit_plans.decks(f), f.fixed(), f.shapes(), 4, audit_plans.zones(f)), "T05", "error", "restore_fixed"),
+    "T05_displaced_fixed": lambda f: _finding(audit.displaced_fixed(audit_plans.decks(f), mining.fixed_elements(f.shapes()), f.shapes(), 3), "T05", "warning", "restore_fixed"),
+    "T06_contrast": lambda f: _finding(audit.low_contrast(f.shapes()), "T06", "error"),
+    "D01_many_bullets": lambda f: _finding(audit.many_bullets(f.shapes()), "D01", "warning", "split_slide"),
+    "D02_long_paragraphs": lambda f: _finding(_of_document(audit.long_paragraphs(f.paras()), "para_no"), "D02", "warning", "refill_slot"),
+    "D03_large_tables": lambda f: _finding(audit.large_tables(audit_plans.tables(f)), "D03", "warning", "split_table"),
+    "D04_many_series": lambda f: _finding(audit.many_series(audit_plans.series(f)), "D04", "warning", "drop_minor_series"),
+    "D05_fill": lambda f: _finding(audit.fill_ratio(f.shapes(), f.slides()), "D05", "info"),
+    "I01_duplicate_parts": lambda f: _finding(audit.duplicate_parts(audit_plans.parts(f)), "I01", "error"),
+    "I02_placeholders": lambda f: _finding(_of_document(audit.placeholders(*audit_plans.prompts(f))), "I02", F.when(F.col("pattern_no") < -1, "warning").otherwise("error"), "refill_slot"),
+    "I03_empty": lambda f: _finding(audit.empty_slides(f.slides(), f.shapes()), "I03", "error", "drop_slide"),
+    "I04_one_raster": lambda f: _finding(audit.one_raster(f.shapes(), 0.05), "I04", "warning"),
+    "I05_charts": lambda f: _finding(audit.unlabelled_charts(audit_plans.chart_flags(f)), "I05", "warning", "add_chart_labels"),
+    "I06_duplicates": lambda f: _finding(_of_document(audit.duplicate_slides(f.table("documents"), "source").drop("grp")), "I06", "warning", "drop_slide"),
+    "N01_short_notes": lambda f: _finding(audit.short_notes(f.notes(), 10), "N01", "info"),
+    "N02_talk_time": lambda f: _finding(audit.talk_time(f.notes(), 4.0), "N02", "warning"),
 }
 
 
-def _findings(f: Fixtures):
-    return report.run_rules(RULES, f)
+def _findings(f: Fixtures, chosen: list[str] | None = None):
+    """Of all rules, on shapes and template tables that are worked out once."""
+    return report.run_rules(RULES, Prepared(f.spark, f.sf_dir), chosen)
 
 
 def _answers(f: Fixtures):
@@ -37,18 +78,20 @@ def _answers(f: Fixtures):
 
 def _evidence(f: Fixtures):
     d = f.table("documents").select("source", "doc_id", (F.col("doc_id") % 3 == 0).alias("cited"), F.char_length("text").alias("size"))
-    return report.before_overflow(d, ["source"], [F.desc("cited"), "doc_id"], F.col("size"), 60000).select("source", "doc_id", "used")
+    return groups.before_overflow(d, ["source"], [F.desc("cited"), "doc_id"], F.col("size"), 60000, [~F.col("cited"), F.floor(F.col("doc_id") / 1024)]).select("source", "doc_id", "used")
 
 
 def _shrink(f: Fixtures):
     need, have = F.col("size_pt") * 1.2 * F.col("chars"), F.col("h") / 12700
-    return report.shrink_fonts(f.shapes().where("tag = 'sp'").select("slide_id", "z", need.alias("need_pt"), have.alias("have_pt"))).select("slide_id", "z", "scale", "cut")
+    slot = F.coalesce("placeholder", F.when(F.col("chars") <= 5, "number").when(F.col("chars") <= 40, "label").otherwise("body"))
+    return report.shrink_fonts(f.shapes().where("tag = 'sp'").select("slide_id", "z", need.alias("need_pt"), have.alias("have_pt"), slot.alias("slot_kind"), (F.col("sk") % 4 != 0).alias("wraps"))).select("slide_id", "z", "scale", "cut")
 
 
-def _effect(f: Fixtures):
-    before = _findings(f)
-    after = before.where("check_id <> 'T02' or z % 5 = 0").unionByName(before.where("check_id = 'D01'").withColumn("check_id", F.lit("D02")))
-    return report.fix_effect(before, after)
+def _rounds(f: Fixtures):
+    before = _findings(f, ["L01", "T02", "D01", "I03"])
+    fixed = ((F.col("check_id") == "T02") & (F.col("z") % 5 != 0)) | ((F.col("check_id") == "L04") & (F.col("deck_id") % 2 == 0))
+    after = before.where(~fixed).unionByName(before.where("check_id = 'D01'").withColumn("check_id", F.lit("D02")))
+    return before, after
 
 
 def _strategies(f: Fixtures):
@@ -59,9 +102,9 @@ def _strategies(f: Fixtures):
 PLAN = ["check_id", "severity", "deck_id", "slide_idx", "z"]
 RUN = {
     "g01_findings": lambda f: report.ordered(_findings(f)).select(*PLAN, "n"),
-    "g01_chosen_rules": lambda f: report.run_rules(RULES, f, ["D", "L05"]).select(*PLAN),
+    "g01_chosen_rules": lambda f: _findings(f, ["D", "L05"]).select(*PLAN),
     "g02_merged": lambda f: report.ordered(
-        report.run_rules(RULES, f, ["D01"]).select(*PLAN).unionByName(report.judged(_answers(f), f.spark).select(F.col("question").alias("check_id"), "severity", F.col("slide_id").alias("deck_id"), F.lit(0).cast("long").alias("slide_idx"), F.lit(None).cast("long").alias("z")))
+        _findings(f, ["D01"]).select(*PLAN).unionByName(report.judged(_answers(f), f.spark).select(F.col("question").alias("check_id"), "severity", F.col("slide_id").alias("deck_id"), F.lit(0).cast("long").alias("slide_idx"), F.lit(None).cast("long").alias("z")))
     ),
     "g03_summary": lambda f: report.summary(_findings(f)),
     "g04_report": lambda f: report.report(_findings(f), 10).select(*PLAN, "n", "more"),
@@ -75,37 +118,62 @@ RUN = {
     "g12_refill": lambda f: report.refill(f.paras()).select("doc_id", "para_no", F.md5(F.col("text").cast("binary")).alias("digest")),
     "g13_minor_series": lambda f: report.drop_minor_series(f.charts()),
     "g14_drop_shapes": lambda f: report.drop_shapes(f.shapes(), f.shapes().where("chars < 5")).groupBy("deck_id").agg(F.count("*").alias("n")),
+    "g14_chart_labels": lambda f: report.add_chart_labels(audit_plans.chart_flags(f), audit.unlabelled_charts(audit_plans.chart_flags(f))),
     "g15_drop_slides": lambda f: report.drop_slides(f.slides(), audit.empty_slides(f.slides(), f.shapes())).select("deck_id", "slide_id", "slide_idx"),
-    "g16_fix_effect": _effect,
+    "g16_fix_effect": lambda f: report.fix_effect(*_rounds(f)),
+    "g16_second_round": lambda f: report.second_round(*_rounds(f)),
     "r01_statistics": lambda f: report.deck_statistics(f.outline()),
     "r02_strategies": _strategies,
     "r03_call_log": lambda f: report.call_log(f.calls()),
     "r04_stress": lambda f: report.stress_report(f.calls()),
+    "r04_findings": lambda f: report.stress_findings(_findings(f)),
     "r04_slowest": lambda f: report.slowest_calls(f.calls()),
     "r05_archetypes": lambda f: report.archetype_counts(f.slots()),
 }
 
-VIEWS["fx_found"] = """with g as (select *, abs(x - guide) as d, row_number() over (partition by slide_id, z order by abs(x - guide), guide) as k from fx_shapes join fx_guides using (template_id)),
-  sc as (select deck_id, slide_idx, slide_id, z, size_pt, pt, bool_or(abs(size_pt - pt) <= 0.08::double * pt) over (partition by slide_id, z) as fits, row_number() over (partition by slide_id, z order by abs(size_pt - pt), pt) as k from fx_runs join fx_scale using (template_id)),
-  e as (select deck_id, slide_id, slide_idx, count(s.z) as blocks, count(s.z) filter (s.tag = 'sp') as texts from fx_slides left join (select slide_id, z, tag from fx_shapes) s using (slide_id) group by 1, 2, 3)
-  select case when tag = 'sp' then 'L04' else 'L01' end as check_id, case when tag = 'sp' then 'error' else 'warning' end as severity, deck_id, slide_idx, z, 'clamp_to_slide' as autofix, true as has from fx_shapes
-    where greatest(-x, x + w - 12192000) > 121920 or greatest(-y, y + h - 6858000) > 68580
-  union all select 'L05', 'warning', deck_id, slide_idx, z, 'snap_to_grid', true from g where k = 1 and d > 91440 and abs(2 * x + w - 12192000) > 182880
-  union all select 'T02', case when z % 5 <> 0 and pt > size_pt then 'info' else 'warning' end, deck_id, slide_idx, z, 'snap_font_size', z % 5 <> 0 from sc where k = 1 and not fits
-  union all select 'D01', 'warning', deck_id, slide_idx, arg_max(z, (w * h, -z)), 'split_slide', true from fx_shapes where tag = 'sp' group by deck_id, slide_id, slide_idx having count(*) > 6
-  union all select 'I03', 'error', deck_id, slide_idx, null, 'drop_slide', true from e where blocks = 0 or (texts = 1 and blocks = 1)"""
+A, L = audit_plans.RAW, layout_plans.RAW
+
+
+def _found(check: str, severity: str, body: str, fix: str = "null", deck: str = "deck_id", idx: str = "slide_idx", z: str = "z", has: str = "true") -> str:
+    return f"select {check} as check_id, {severity} as severity, {deck} as deck_id, {idx} as slide_idx, {z} as z, {fix} as autofix, {has} as has from ({body})"
+
+
+VIEWS["fx_found"] = "\nunion all ".join(
+    [
+        _found("check_id", "case check_id when 'L04' then 'error' else 'warning' end", A["a01_off_slide"], "'clamp_to_slide'"),
+        _found("'L02'", "'error'", A["a03_overlap"], "'reflow_vertical'"), _found("'L02'", "'error'", L["a04_lines_over_blocks"], "'reflow_vertical'"),
+        _found("'L03'", "severity", L["a05_overflow"], "'shrink_font_by_scale'", "doc_id", "-1", "null"), _found("'L05'", "'warning'", A["a06_off_grid"], "'snap_to_grid'"), _found("'L06'", "'warning'", A["a07_in_margins"], "'snap_to_grid'"),
+        _found("'L07'", "'warning'", A["a08_stretched"], "'crop_to_aspect'"), _found("'T01'", "'error'", A["a09_foreign_fonts"], "'reset_font'"), _found("'T01'", "'warning'", A["a09_many_families"], "'reset_font'"),
+        _found("'T02'", "case when z % 5 <> 0 and nearest_pt > size_pt then 'info' else 'warning' end", A["a10_off_scale"], "'snap_font_size'", has="z % 5 <> 0"), _found("'T03'", "'warning'", A["a11_off_palette"], "'snap_color'"),
+        _found("'T04'", "'warning'", A["a12_wrong_layout"], "'change_exemplar'", z="null"), _found("'T05'", "'error'", A["a13_moved_fixed"], "'restore_fixed'", z="null"), _found("'T05'", "'warning'", A["a14_displaced_fixed"], "'restore_fixed'", z="null"),
+        _found("'T06'", "'error'", A["a15_low_contrast"]), _found("'D01'", "'warning'", A["a16_many_bullets"], "'split_slide'"), _found("'D02'", "'warning'", A["a17_long_paragraphs"], "'refill_slot'", "doc_id", "para_no", "null"),
+        _found("'D03'", "'warning'", A["a18_large_tables"], "'split_table'", idx="-1", z="null"), _found("'D04'", "'warning'", A["a19_many_series"], "'drop_minor_series'", idx="-1", z="null"), _found("'D05'", "'info'", A["a20_fill_ratio"], z="null"),
+        _found("'I01'", "'error'", A["a21_duplicate_parts"], idx="-1", z="null"), _found("'I02'", "case when pattern_no < -1 then 'warning' else 'error' end", A["a22_placeholders"], "'refill_slot'", "doc_id", "-1", "null"),
+        _found("'I03'", "'error'", A["a23_empty_slides"], "'drop_slide'", z="null"), _found("'I04'", "'warning'", A["a24_one_raster"], z="null"), _found("'I05'", "'warning'", A["a25_unlabelled_charts"], "'add_chart_labels'", idx="-1", z="null"),
+        _found("'I06'", "'warning'", A["a26_duplicate_slides_in_source"], "'drop_slide'", "doc_id", "-1", "null"), _found("'N01'", "'info'", A["a27_short_notes"], z="null"), _found("'N02'", "'warning'", A["a28_talk_time"], idx="-1", z="null"),
+    ]
+)
+VIEWS["fx_round"] = "\nunion all ".join(
+    [
+        _found("check_id", "case check_id when 'L04' then 'error' else 'warning' end", A["a01_off_slide"]), _found("'T02'", "case when z % 5 <> 0 and nearest_pt > size_pt then 'info' else 'warning' end", A["a10_off_scale"]),
+        _found("'D01'", "'warning'", A["a16_many_bullets"]), _found("'I03'", "'error'", A["a23_empty_slides"], z="null"),
+    ]
+)
+VIEWS["fx_round2"] = """select * from fx_round where not (check_id = 'T02' and z % 5 <> 0) and not (check_id = 'L04' and deck_id % 2 = 0) union all select 'D02', severity, deck_id, slide_idx, z, autofix, has from fx_round where check_id = 'D01'"""
 VIEWS["fx_judged"] = """select doc_id as slide_id, question, severity, case question when 'C05' then 'thin' else '' end as note from (select *, ['title', 'bullets', 'closing', 'cards'][doc_id % 4 + 1] as a from labels), (values ('C05', 'error'), ('C07', 'error')) q(question, severity)
   where (question = 'C05' and quality <> 1 and a not in ('title', 'closing') and doc_id % 5 <> 0) or (question = 'C07' and toxic <> 0)"""
 N = "row_number() over (partition by deck_id order by slide_idx, case severity when 'error' then 1 when 'warning' then 2 else 3 end, check_id, z nulls first) as n"
 P = ", ".join(PLAN)
-HOW = "case when autofix in ('clamp_to_slide', 'snap_to_grid', 'split_slide') then 'replan' when severity = 'info' or not has then 'n/a' when autofix = 'snap_font_size' then 'safe' else 'ir' end"
+HOW = """case when autofix in ('split_slide', 'split_table', 'change_exemplar', 'reflow_vertical', 'clamp_to_slide', 'snap_to_grid', 'crop_to_aspect', 'restore_fixed', 'reset_font') then 'replan'
+  when severity = 'info' or not has then 'n/a' when autofix in ('drop_slide', 'drop_minor_series') then 'ir' else 'safe' end"""
 
 SQL = {
     "g01_findings": f"select {P}, {N} from fx_found",
-    "g01_chosen_rules": f"select {P} from fx_found where check_id in ('D01', 'L05')",
+    "g01_chosen_rules": f"select {P} from fx_found where check_id like 'D%' or check_id = 'L05'",
     "g02_merged": f"""with m as (select {P} from fx_found where check_id = 'D01' union all select question, severity, slide_id, 0, null from fx_judged)
 select {P}, {N} from m""",
     "g03_summary": """with s as (select deck_id, 'severity' as by_, severity as key, count(*) as n, count(*) filter (severity <> 'info') as serious from fx_found group by all
+  union all select deck_id, 'kind', left(check_id, 1), count(*), count(*) filter (severity <> 'info') from fx_found group by deck_id, left(check_id, 1)
   union all select deck_id, 'check', check_id, count(*), count(*) filter (severity <> 'info') from fx_found group by all union all select deck_id, 'slide', slide_idx::varchar, count(*), count(*) filter (severity <> 'info') from fx_found group by all)
 select deck_id, by_ as "by", key, n, serious from s where by_ <> 'slide' or serious > 0""",
     "g04_report": f"""with o as (select {P}, {N}, greatest(count(*) over (partition by deck_id) - 10, 0) as more from fx_found)
@@ -113,33 +181,40 @@ select * from o where n <= 10""",
     "g05_judged": "select * from fx_judged",
     "g06_evidence": """with u as (select source, doc_id, sum(length(text)) over (partition by source order by doc_id % 3 = 0 desc, doc_id rows unbounded preceding)::bigint as used from documents)
 select * from u where used <= 60000""",
-    "g07_fix_plan": f"select {P}, autofix, {HOW} as how from fx_found",
-    "g08_choose_fixes": f"select {P}, autofix from fx_found where {HOW} = 'safe'",
+    "g07_fix_plan": f"select {P}, autofix, {HOW} as how from fx_found where autofix is not null",
+    "g08_choose_fixes": f"select {P}, autofix from fx_found where autofix is not null and {HOW} = 'safe'",
     "g10_snap_sizes": """with c as (select slide_id, z, size_pt, pt, bool_or(abs(size_pt - pt) <= 0.08::double * pt) over (partition by slide_id, z) as fits, row_number() over (partition by slide_id, z order by abs(size_pt - pt), pt) as k from fx_runs join fx_scale using (template_id)),
- f as (select slide_id, z, pt from c where k = 1 and not fits and abs(size_pt - pt) <= 0.25 * size_pt)
-select deck_id, coalesce(pt, size_pt) as size_pt, count(*) as n from fx_runs left join f using (slide_id, z) group by 1, 2""",
-    "g11_shrink_fonts": """with b as (select slide_id, z, sqrt((h / 12700.0::double) / (size_pt * 1.2::double * chars)) * 0.95::double as s from fx_shapes where tag = 'sp' and size_pt * 1.2::double * chars > h / 12700.0::double)
-select slide_id, z, round_even(greatest(s, 0.7::double), 4) as scale, s < 0.7::double as cut from b""",
+ f as (select slide_id, z, pt from c where k = 1 and not fits and abs(size_pt - pt) <= 0.25 * size_pt), m as (select slide_id, median(size_pt) as med from fx_runs group by 1)
+select deck_id, case when chars <= 5 and size_pt >= 1.5::double * med then size_pt else coalesce(pt, size_pt) end as size_pt, count(*) as n from fx_runs left join f using (slide_id, z) join m using (slide_id) group by 1, 2""",
+    "g11_shrink_fonts": """with b as (select slide_id, z, (h / 12700.0::double) / (size_pt * 1.2::double * chars) as q, case coalesce(placeholder, case when chars <= 5 then 'number' when chars <= 40 then 'label' else 'body' end) when 'title' then 0.6 when 'number' then 0.8 when 'label' then 0.8 else 0.7 end::double as least, sk % 4 <> 0 as wraps from fx_shapes where tag = 'sp'),
+ s as (select *, case when wraps then sqrt(q) else q end * 0.95::double as s from b where q < 1)
+select slide_id, z, round_even(greatest(s, least), 4) as scale, s < least as cut from s""",
     "g12_refill": r"""with w as (select *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as ws from fx_paras)
-select doc_id, para_no, md5(case when len(ws) > 15 and not regexp_matches(text, '^["“«]') then regexp_replace(array_to_string(ws[1:15], ' '), '[.,;:–-]+$', '') || '…' else text end) as digest from w""",
+select doc_id, para_no, md5(case when lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) in ('title', 'text', 'subtitle', 'heading', 'body', 'caption') then '' when len(ws) > 15 and not regexp_matches(text, '^["“«]') then regexp_replace(array_to_string(ws[1:15], ' '), '[.,;:–-]+$', '') || '…' else text end) as digest from w""",
     "g13_minor_series": """with s as (select deck_id, series, row_number() over (partition by deck_id order by sum(abs(value)) desc, series) as k from fx_charts group by deck_id, series)
 select c.deck_id, c.series, year, value from fx_charts c join s on s.deck_id = c.deck_id and s.series = c.series where k <= 5""",
     "g14_drop_shapes": "select deck_id, count(*) as n from fx_shapes where chars >= 5 group by 1",
+    "g14_chart_labels": lambda f: report.add_chart_labels(audit_plans.chart_flags(f), audit.unlabelled_charts(audit_plans.chart_flags(f))),
+    "g14_chart_labels": """with c as (select deck_id, case when deck_id % 7 = 0 then 'pie' else 'bar' end as kind, count(distinct series) as n_series, deck_id % 2 = 0 as axis_title, deck_id % 3 = 0 as labels, deck_id % 5 > 1 as legend from fx_charts group by 1),
+ f as (select *, (kind <> 'pie' and not axis_title and not labels) or (n_series > 1 and not legend) as fix from c)
+select deck_id, kind, n_series, axis_title, labels or fix as labels, legend or (fix and n_series > 1) as legend from f""",
     "g15_drop_slides": """with n as (select s.deck_id, slide_id, s.slide_idx, count(x.z) as blocks, count(x.z) filter (x.tag = 'sp') as texts from fx_slides s left join (select slide_id, z, tag from fx_shapes) x using (slide_id) group by all)
 select deck_id, slide_id, row_number() over (partition by deck_id order by slide_idx) - 1 as slide_idx from n where not (blocks = 0 or (texts = 1 and blocks = 1))""",
-    "g16_fix_effect": """with k as (select distinct check_id, deck_id, slide_idx, z from fx_found), a as (select * from k where check_id <> 'T02' or z % 5 = 0 union select 'D02', deck_id, slide_idx, z from k where check_id = 'D01'),
- j as (select coalesce(k.deck_id, a.deck_id) as deck_id, k.check_id is null as new_, a.check_id is null as fixed_ from k full join a on k.check_id = a.check_id and k.deck_id = a.deck_id and k.slide_idx = a.slide_idx and k.z = a.z)
+    "g16_fix_effect": """with k as (select distinct check_id, deck_id, slide_idx, z from fx_round), a as (select distinct check_id, deck_id, slide_idx, z from fx_round2),
+ j as (select coalesce(k.deck_id, a.deck_id) as deck_id, k.check_id is null as new_, a.check_id is null as fixed_ from k full join a on k.check_id = a.check_id and k.deck_id = a.deck_id and k.slide_idx = a.slide_idx and k.z is not distinct from a.z)
 select deck_id, count(*) filter (fixed_) as fixed, count(*) filter (not fixed_ and not new_) as remaining, count(*) filter (new_) as "new" from j group by 1""",
+    "g16_second_round": """with e as (select deck_id, count(*) filter (severity = 'error') as n from fx_round group by 1), e2 as (select deck_id, count(*) filter (severity = 'error') as m from fx_round2 group by 1)
+select distinct check_id, deck_id, slide_idx, coalesce(z, -1) as z from fx_round2 where check_id <> 'D02' and deck_id in (select deck_id from e left join e2 using (deck_id) where n > coalesce(m, 0))""",
     "r01_statistics": r"""with i as (select outline_id, len(bullets) as items, archetype, list_sum(list_transform(bullets, lambda b: len(list_filter(regexp_split_to_array(b, '\s+'), lambda x: x <> '')))) as words from fx_outline)
 select outline_id, count(*) as slides, count(*) filter (items > 0) as with_items, count(*) filter (archetype = 'chart') as charts, round_even(sum(items)::double / nullif(count(*) filter (items > 0), 0), 4) as items_per_slide, round_even(sum(words)::double / nullif(sum(items), 0), 4) as words_per_item from i group by 1""",
     "r02_strategies": """with s as (select *, case deck_id % 3 when 0 then 'executive' when 1 then 'detailed' else 'visual' end as strategy from fx_slides), a as (select strategy, archetype, count(*) as n from s group by all),
- p as (select strategy, sum(n)::bigint as slides, string_agg(archetype, '>' order by n desc, archetype) as path from a group by 1),
- v as (select case deck_id % 3 when 0 then 'executive' when 1 then 'detailed' else 'visual' end as strategy, count(*) filter (severity = 'error') as n_error, count(*) filter (severity = 'warning') as n_warning, count(*) filter (severity = 'info') as n_info from fx_found group by 1)
-select strategy, slides, path, coalesce(n_error, 0) as n_error, coalesce(n_warning, 0) as n_warning, coalesce(n_info, 0) as n_info from p left join v using (strategy)""",
-    "r03_call_log": "select skill, model, count(*) as calls, count(*) filter (not ok) as failed, round_even(sum(seconds), 2) as seconds from fx_calls group by rollup (skill, model)",
+ p as (select strategy, sum(n)::bigint as slides, string_agg(archetype, ',' order by n desc, archetype) as archetypes from a group by 1), f as (select strategy, string_agg(archetype, '>' order by slide_idx) as path from s where (strategy, deck_id) in (select (strategy, min(deck_id)) from s group by strategy) group by 1),
+ v as (select strategy, count(*) filter (severity = 'error') as n_error, count(*) filter (severity = 'warning') as n_warning, count(*) filter (severity = 'info') as n_info from fx_found join (select distinct deck_id, strategy from s) using (deck_id) group by 1)
+select strategy, slides, path, archetypes, coalesce(n_error, 0) as n_error, coalesce(n_warning, 0) as n_warning, coalesce(n_info, 0) as n_info from p join f using (strategy) left join v using (strategy)""",
+    "r03_call_log": "select skill, model, count(*) as calls, count(*) filter (not ok) as failed, sum(tokens)::bigint as tokens, round_even(sum(seconds), 2) as seconds from fx_calls group by rollup (skill, model)",
     "r04_stress": "select case when ok then 'ok' else 'failed' end as status, model, count(*) as n, max(seconds) as slowest, grouping_id(status, model) as gid from fx_calls group by cube (status, model)",
-    "r04_slowest": """with k as (select *, row_number() over (partition by model order by seconds desc, ts, user_id) as k from fx_calls)
-select model, k, skill, seconds from k where k <= 5""",
+    "r04_findings": "select check_id, count(*) as n, count(distinct deck_id) as decks from fx_found group by 1",
+    "r04_slowest": "select model, skill, seconds from fx_calls order by seconds desc, ts, user_id, model, skill limit 5",
     "r05_archetypes": """with n as (select template_id, archetype, count(distinct exemplar_id) as n from fx_slots group by all)
 select template_id, archetype, n, string_agg(archetype, ',') over (partition by template_id order by archetype rows between unbounded preceding and unbounded following) as available from n""",
 }

@@ -19,16 +19,19 @@ VIEWS = {
     "fx_slides": f"""select o_custkey as deck_id, o_orderkey as slide_id, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as slide_idx,
         o_orderpriority as layout, {NAMES}[o_orderkey % 16 + 1] as archetype from orders""",
     "fx_shapes": """select c.c_nationkey as template_id, s.deck_id, s.slide_id, s.slide_idx, z, pk, sk, tag, x, y, w, h, p_size::double as size_pt, p_brand as font, r, g, b,
-        printf('%02X%02X%02X', r, g, b) as hex, bold, chars
+        printf('%02X%02X%02X', r, g, b) as hex, bold, chars, kind, case when frame then '' else 'text ' || sk % 3 end as text, case when not frame then case pk % 40 when 0 then 'title' when 1 then 'ftr' when 2 then 'sldNum' when 3 then 'dt' end end as placeholder
         from (select l_orderkey, l_partkey as pk, l_suppkey as sk, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as z,
               case when l_returnflag = 'R' and l_linestatus = 'O' then 'pic' when l_returnflag = 'R' and l_linestatus = 'F' then 'graphicFrame' else 'sp' end as tag,
               457200 + (l_partkey % 12) * 914400 + case when l_suppkey % 5 = 0 then (l_suppkey % 7) * 40000 else 0 end as x, 457200 + (l_suppkey % 7) * 850000 as y,
               900000 + trunc(l_quantity)::bigint * 80000 as w, 400000 + (l_partkey % 9) * 300000 as h, ((l_partkey % 4) * 80 + l_suppkey % 3)::int as r, ((l_partkey // 4 % 4) * 80)::int as g,
-              ((l_partkey // 16 % 4) * 80)::int as b, l_linestatus = 'F' as bold, trunc(l_quantity)::bigint as chars from lineitem) l
+              ((l_partkey // 16 % 4) * 80)::int as b, l_linestatus = 'F' as bold, trunc(l_quantity)::bigint * case when l_quantity > 5 then 6 else 1 end as chars,
+              case when l_returnflag = 'R' and l_linestatus = 'O' then 'picture' when l_returnflag <> 'R' or l_linestatus not in ('O', 'F') then 'text' when l_partkey % 2 = 0 then 'chart' else 'table' end as kind, l_returnflag = 'R' and l_linestatus in ('O', 'F') as frame from lineitem) l
         join fx_slides s on s.slide_id = l.l_orderkey join customer c on c.c_custkey = s.deck_id join part on p_partkey = pk""",
     "fx_runs": "select template_id, deck_id, slide_id, slide_idx, z, font, size_pt, hex, r, g, b, bold, chars from fx_shapes where tag = 'sp'",
-    "fx_guides": """select template_id, guide from (select template_id, guide, count(distinct slide_id) as k from (select template_id, slide_id, round_even(x / 45720.0, 0)::bigint * 45720 as guide from fx_shapes) group by all)
-        join (select template_id, count(distinct slide_id) as n from fx_shapes group by 1) using (template_id) where k * 5 >= n""",
+    "fx_guides": """select template_id, guide from (select template_id, guide, k, n from (select template_id, round_even(x / 45720.0, 0)::bigint * 45720 as guide, count(distinct slide_id) as k from fx_shapes group by 1, 2)
+        join (select template_id, count(distinct slide_id) as n from fx_shapes group by 1) using (template_id)) where k >= 2 and k >= 0.2::double * n
+        union all select template_id, unnest([609600, 11582400]) from (select distinct template_id from fx_shapes where template_id not in (select template_id from (select template_id, round_even(x / 45720.0, 0) as g, count(distinct slide_id) as k from fx_shapes group by 1, 2)
+        join (select template_id, count(distinct slide_id) as n from fx_shapes group by 1) using (template_id) where k >= 2 and k >= 0.2::double * n))""",
     "fx_palette": """select template_id, hex, r, g, b from (select template_id, hex, r, g, b, row_number() over (partition by template_id order by sum(chars) desc, hex) as k from fx_runs group by template_id, hex, r, g, b) where k <= 8""",
     "fx_scale": """select template_id, size_pt as pt from (select template_id, size_pt, row_number() over (partition by template_id order by sum(chars) desc, size_pt) as k from fx_runs group by template_id, size_pt) where k <= 5""",
     "fx_fonts": """select template_id, font from (select template_id, font, row_number() over (partition by template_id order by sum(chars) desc, font) as k from fx_runs group by template_id, font) where k <= 20""",
@@ -38,12 +41,12 @@ VIEWS = {
         trunc(0.9::double * floor(w / 12700.0::double / (0.5 * size_pt)) * floor(h / 12700.0::double / (1.2 * size_pt)))::bigint as capacity
         from fx_shapes where slide_id in (select slide_id from (select template_id, slide_id, row_number() over (partition by template_id order by slide_id) as k from (select distinct template_id, slide_id from fx_shapes)) where k <= 4)""",
     "fx_paras": "select doc_id, source, lang, unnest(range(len(string_split(text, chr(10))))) as para_no, unnest(string_split(text, chr(10))) as text from documents",
-    "fx_outline": f"""select source as outline_id, row_number() over (partition by source order by doc_id) - 1 as idx, doc_id, {NAMES}[doc_id % 16 + 1] as archetype, string_split(text, chr(10))[1] as title,
+    "fx_outline": f"""select (doc_id // 12)::varchar as outline_id, doc_id % 12 as idx, doc_id, {NAMES}[doc_id % 16 + 1] as archetype, string_split(text, chr(10))[1] as title,
         list_filter(string_split(text, chr(10))[2:], lambda x: trim(x, ' ') <> '') as bullets, lang as section from documents""",
     "fx_notes": "select conv_id as deck_id, turn as slide_idx, text, case role when 'system' then 'title' when 'user' then 'bullets' else 'cards' end as archetype from conversations",
     "fx_charts": """select c_nationkey::bigint as deck_id, o_orderpriority || ' ' || o_orderstatus as series, year(o_orderdate) as year, sum(floor(o_totalprice)::bigint)::bigint as value
         from orders join customer on o_custkey = c_custkey group by all""",
-    "fx_calls": "select event_type as skill, user_id % 5 as model, value as seconds, event_type <> 'error' as ok, ts, user_id from events",
+    "fx_calls": "select event_type as skill, user_id % 5 as model, value as seconds, event_type <> 'error' as ok, length(props) as tokens, ts, user_id from events",
     "fx_paths": "select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') as path from pages",
     "fx_payloads": """select event_id, k, case k % 8 when 0 then '{"title":"t' || k || '","cards":["a' || k || '","b"]}' when 1 then '{"title":"t","items":["i' || k || '"],"archetype":"cards"}'
         when 2 then '{"content":{"points":["p","q","r' || k || '"]},"archetype":"odd"}' when 3 then '{"title":"v","bullets":"one ' || k || '"}' when 4 then '{"title":null,"bullets":null}'

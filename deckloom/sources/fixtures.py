@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import stepped
+from ..operators.mining import guides
+from .scratch import written
 
 ARCHETYPES = ("title", "section", "agenda", "bullets", "two_column", "cards", "kpi", "chart", "table", "image_text", "image_full", "quote", "process", "team", "closing", "freeform")
 SLOT_KINDS = ("title", "subtitle", "body", "caption", "number", "label", "picture", "chart", "table", "icon", "date", "footer", "slide_number", "other")
@@ -35,7 +37,7 @@ class Fixtures:
         line = self.table("lineitem")
         z = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
         part, supp = F.col("l_partkey"), F.col("l_suppkey")
-        quarter = F.floor(part / 4)
+        quarter, part_even = F.floor(part / 4), F.col("pk") % 2 == 0
         own = line.select(
             F.col("l_orderkey").alias("slide_id"), z.cast("long").alias("z"), part.alias("pk"), supp.alias("sk"),
             F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "pic").when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "graphicFrame").otherwise("sp").alias("tag"),
@@ -44,8 +46,14 @@ class Fixtures:
             (900000 + F.col("l_quantity").cast("long") * 80000).alias("w"),
             (400000 + (part % 9) * 300000).alias("h"),
             ((part % 4) * 80 + supp % 3).cast("int").alias("r"), ((quarter % 4) * 80).cast("int").alias("g"), ((F.floor(part / 16) % 4) * 80).cast("int").alias("b"),
-            (F.col("l_linestatus") == "F").alias("bold"), F.col("l_quantity").cast("long").alias("chars"),
+            (F.col("l_linestatus") == "F").alias("bold"), (F.col("l_quantity").cast("long") * F.when(F.col("l_quantity") > 5, 6).otherwise(1)).alias("chars"),
         )
+        is_text, held = F.col("tag") == "sp", F.col("pk") % 40
+        own = own.withColumns({
+            "text": F.when(is_text, F.concat(F.lit("text "), (F.col("sk") % 3).cast("string"))).otherwise(""),
+            "placeholder": F.when(is_text, F.when(held == 0, "title").when(held == 1, "ftr").when(held == 2, "sldNum").when(held == 3, "dt")),
+        })
+        own = own.withColumn("kind", F.when(F.col("tag") == "pic", "picture").when(F.col("tag") == "sp", "text").when(part_even, "chart").otherwise("table"))
         own = own.withColumn("hex", F.upper(F.concat(*[F.lpad(F.hex(c), 2, "0") for c in ("r", "g", "b")])))
         part_of = self.table("part").select(F.col("p_partkey").alias("pk"), F.col("p_size").cast("double").alias("size_pt"), F.col("p_brand").alias("font"))
         deck = self.table("customer").select(F.col("c_custkey").alias("deck_id"), F.col("c_nationkey").alias("template_id"))
@@ -56,11 +64,7 @@ class Fixtures:
         return self.shapes().where("tag = 'sp'").select("template_id", "deck_id", "slide_id", "slide_idx", "z", "font", "size_pt", "hex", "r", "g", "b", "bold", "chars")
 
     def guides(self) -> DataFrame:
-        """(template_id, guide): stepped left edges on at least a fifth of a template's slides."""
-        s = self.shapes().select("template_id", "slide_id", (stepped(F.col("x")) * 45720).alias("guide"))
-        n = s.groupBy("template_id").agg(F.countDistinct("slide_id").alias("n"))
-        on = s.distinct().groupBy("template_id", "guide").agg(F.count("*").alias("k"))
-        return on.join(n, "template_id").where("k * 5 >= n").select("template_id", "guide")
+        return guides(self.shapes())
 
     def _top(self, key: list[str], n: int) -> DataFrame:
         c = self.runs().groupBy("template_id", *key).agg(F.sum("chars").alias("chars"))
@@ -97,11 +101,11 @@ class Fixtures:
         return d.select("doc_id", "source", "lang", F.col("para_no").cast("long").alias("para_no"), "text")
 
     def outline(self) -> DataFrame:
-        d = self.table("documents").select("doc_id", "source", "lang", F.split("text", "\n").alias("lines"))
+        """Decks of twelve documents each."""
+        d = self.table("documents").select("doc_id", "lang", F.split("text", "\n").alias("lines"))
         names = F.array(*map(F.lit, ARCHETYPES))
-        idx = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
         return d.select(
-            F.col("source").alias("outline_id"), idx.cast("long").alias("idx"), "doc_id", F.element_at(names, (F.col("doc_id") % 16 + 1).cast("int")).alias("archetype"),
+            F.floor(F.col("doc_id") / 12).cast("string").alias("outline_id"), (F.col("doc_id") % 12).cast("long").alias("idx"), "doc_id", F.element_at(names, (F.col("doc_id") % 16 + 1).cast("int")).alias("archetype"),
             F.col("lines")[0].alias("title"), F.filter(F.slice("lines", 2, 1 << 30), lambda x: F.trim(x) != "").alias("bullets"), F.col("lang").alias("section"),
         )
 
@@ -117,7 +121,7 @@ class Fixtures:
         )
 
     def calls(self) -> DataFrame:
-        return self.table("events").select(F.col("event_type").alias("skill"), (F.col("user_id") % 5).alias("model"), F.col("value").alias("seconds"), (F.col("event_type") != "error").alias("ok"), "ts", "user_id")
+        return self.table("events").select(F.col("event_type").alias("skill"), (F.col("user_id") % 5).alias("model"), F.col("value").alias("seconds"), (F.col("event_type") != "error").alias("ok"), F.char_length("props").cast("long").alias("tokens"), "ts", "user_id")
 
     def paths(self) -> DataFrame:
         p = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "")
@@ -140,3 +144,37 @@ class Fixtures:
         for i, s in enumerate(shapes):
             raw = F.when(F.pmod(k, F.lit(8)) == i, s).otherwise(raw)
         return self.table("events").select("event_id", k.alias("k"), raw.alias("raw"))
+
+
+class Prepared(Fixtures):
+    """The same tables, each worked out and written once, for plans that look at them many times."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        self._kept: dict[str, DataFrame] = {}
+
+    def _once(self, name: str) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = written(getattr(super(), name)(), name)
+        return self._kept[name]
+
+    def slides(self) -> DataFrame:
+        return self._once("slides")
+
+    def shapes(self) -> DataFrame:
+        return self._once("shapes")
+
+    def guides(self) -> DataFrame:
+        return self._once("guides")
+
+    def palette(self) -> DataFrame:
+        return self._once("palette")
+
+    def scale(self) -> DataFrame:
+        return self._once("scale")
+
+    def fonts(self) -> DataFrame:
+        return self._once("fonts")
+
+    def fixed(self) -> DataFrame:
+        return self._once("fixed")

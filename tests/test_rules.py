@@ -10,12 +10,15 @@ from deckloom.functions import color, text
 from deckloom.operators import audit, content, layout, outline, report
 
 W, H = 12192000, 6858000
-SHAPE = "template_id long, deck_id long, slide_id long, slide_idx long, z long, tag string, x long, y long, w long, h long, size_pt double, font string, r int, g int, b int, hex string, bold boolean, chars long, pk long, sk long"
+SHAPE = "template_id long, deck_id long, slide_id long, slide_idx long, z long, tag string, x long, y long, w long, h long, size_pt double, font string, r int, g int, b int, hex string, bold boolean, chars long, kind string, text string, placeholder string"
 
 
 def shapes(spark, *rows):
-    base = dict(template_id=1, deck_id=1, slide_id=1, slide_idx=0, z=1, tag="sp", x=914400, y=914400, w=1000000, h=500000, size_pt=18.0, font="Arial", r=0, g=0, b=0, hex="000000", bold=False, chars=10, pk=0, sk=0)
-    return spark.createDataFrame([tuple({**base, "z": k + 1, **r}[c.split()[0]] for c in SHAPE.split(", ")) for k, r in enumerate(rows)], SHAPE)
+    base = dict(template_id=1, deck_id=1, slide_id=1, slide_idx=0, z=1, tag="sp", x=914400, y=914400, w=1000000, h=500000, size_pt=18.0, font="Arial", r=0, g=0, b=0, hex="000000", bold=False, chars=10, kind=None, text="words", placeholder=None)
+    kinds = {"sp": "text", "pic": "picture", "graphicFrame": "chart"}
+    rows = [{**base, **r} for r in rows]
+    rows = [{**r, "kind": r["kind"] or kinds[r["tag"]]} for r in rows]
+    return spark.createDataFrame([tuple({**r, "z": r["z"] if r["z"] > 1 else k + 1}[c.split()[0]] for c in SHAPE.split(", ")) for k, r in enumerate(rows)], SHAPE)
 
 
 def zs(df):
@@ -174,7 +177,7 @@ def test_split_dense(spark):
 def test_unique_ids_and_pack(spark):
     d = spark.createDataFrame([("a", 1, "x" * 6000), ("a", 2, "x" * 6000), ("a", 3, "x"), ("b", 4, "x" * 12001), ("b", 5, "x")], "source string, doc_id long, text string")
     assert {r.doc_id for r in content.pack(d, "source").collect()} == {1, 2}
-    assert {r.unique_id for r in content.unique_ids(d, "source", ["doc_id"]).collect()} == {"a", "a~2", "a~3", "b", "b~2"}
+    assert {r.unique_id for r in content.unique_ids(d, "source", ["doc_id"], [F.floor(F.col("doc_id") / 2)]).collect()} == {"a", "a~2", "a~3", "b", "b~2"}
 
 
 def test_no_python_and_no_cartesian_plans(spark):
