@@ -1,11 +1,12 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
 
-Equal sets are reduced to one, which carries a SimHash fingerprint of its shingles. MinHash bands bring fingerprints
-together in buckets: a pair at the threshold shares none of the ``BANDS`` bands with a chance of (1 - 0.8 ** ROWS) ** BANDS =
-0.00007, a closer pair with less. In a bucket fingerprints are compared bit-sliced, as in ``simhash``, within ``RADIUS`` bits:
-two sets at the threshold differ in 10 bits on average, unlike ones in 32. Every pair that is left is checked on its sets,
-so a link is never false. Each bucket is first held against its smallest member; the bit-sliced comparison is for what these
-links leave apart, so that many variants of one text cost a link each.
+Equal sets are reduced to one, which carries a SimHash fingerprint of its shingles. MinHash bands say which sets may be near:
+a pair at the threshold shares none of the ``BANDS`` bands with a chance of (1 - 0.8 ** ROWS) ** BANDS = 0.00007, a closer pair
+with less. Sets that bands connect, directly or by others, are a cluster. The sets of a cluster go to one task, each once;
+there fingerprints are compared bit-sliced, as in ``simhash``, within ``RADIUS`` bits (two sets at the threshold differ in 10
+bits on average, unlike ones in 32), and pairs that are left and not yet connected are checked on their sets. So a link is
+never false, and a task hands on a spanning forest of its links, never all its pairs. A cluster that is too large for a task is
+dealt out in parts, and each part meets each other.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stays, written
+from .common import SENT_KEYS, small_batches, stays, written
 from .components import connected_components
 from .simhash import links_within
 
@@ -28,8 +29,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 24, 5
 #: Bits in which the fingerprints of near copies may differ.
 RADIUS = 24
-#: Rows of a bucket that one task compares; the rows of a larger one are dealt out, and each part meets each other.
-BUCKET_ROWS = 1 << 14
+#: Rows, and bytes of their sets, of a part of a cluster.
+PART_ROWS, PART_BYTES = 1 << 14, 32 << 20
 _RANDOM = np.random.default_rng(42)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
 TERMS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -88,8 +89,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row, sets in _each(batches):
-        yield pa.RecordBatch.from_arrays([row, pa.array([s.tobytes() for s in sets], pa.binary())], ["row", "own"])
+    for b in batches:
+        own = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"").tobytes() for t in b.column(3)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own, pa.binary())], ["row", "cluster", "fp", "own"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -100,72 +102,76 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * LEAST[1] >= (few + most - both) * LEAST[0]
 
 
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = ([np.frombuffer(s.as_buffer(), np.uint64) for s in b.column(i)] for i in (2, 3))
-        yield b.select([0, 1]).filter(pa.array([similar(*p) for p in zip(x, y)], pa.bool_()))
+def forest(sizes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of similar sets that connect each group as far as all its links do; groups stand one after another."""
+    root, links = np.arange(len(fps)), []
 
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) of rows whose texts (row, text) are near copies."""
-    pairs = written(pairs.where("u <> v").distinct(), "pairs")
-    asked = written(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "asked")
-    sets = written(stays(texts, asked, "row", "left_semi").select("row", "text").mapInArrow(_sets, "row long, own binary"), "sets")
-    left = pairs.join(sets.select(F.col("row").alias("u"), F.col("own").alias("a")).hint("merge"), "u")
-    both = left.join(sets.select(F.col("row").alias("v"), F.col("own").alias("b")).hint("merge"), "v").select("u", "v", "a", "b")
-    return written(both.mapInArrow(_checked, "u long, v long"), "near-links")
+    for a, b in links_within(fps.view(np.uint64), sizes, RADIUS):
+        open_ = root[a] != root[b]
+        for x, y in zip(a[open_].tolist(), b[open_].tolist()):
+            u, v = find(x), find(y)
+            if u != v and similar(sets[x], sets[y]):
+                root[max(u, v)] = min(u, v)
+                links.append((x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return links
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one bucket that have different roots and fingerprints within RADIUS bits."""
-    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 7
-
-    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        change = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols[:4]], axis=0)) + 1
-        sizes = np.diff(np.concatenate([[0], change, [len(cols[0])]]))
-        row, root, fp = cols[4:]
-        for a, b in links_within(fp.view(np.uint64), sizes, RADIUS):
-            apart = root[a] != root[b]
-            u, v = row[a[apart]], row[b[apart]]
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+    """Links of rows (cluster, p, q, row, fp, own) that stand next to each other with the same first three columns."""
+    numbers, sets = [np.zeros(0, np.int64)] * 5, []
+
+    def out(cols: list[np.ndarray], own: list[np.ndarray]) -> pa.RecordBatch:
+        change = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols[:3]], axis=0)) + 1
+        links = forest(np.diff(np.concatenate([[0], change, [len(own)]])), cols[4], own)
+        u, v = cols[3][[x for x, _ in links]], cols[3][[y for _, y in links]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     for batch in batches:
-        cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for r, c in zip(rest, batch.columns)]
-        new = np.flatnonzero(np.any([c != c[-1] for c in cols[:4]], axis=0)) if len(cols[0]) else ()
-        cut = int(new[-1]) + 1 if len(new) else 0  # the last bucket may go on in the next batch
-        rest = [c[cut:] for c in cols]
+        numbers = [np.concatenate([r, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for r, c in zip(numbers, batch.columns[:5])]
+        sets += [np.frombuffer(s.as_buffer().to_pybytes(), np.uint64) for s in batch.column(5)]
+        other = np.flatnonzero(np.any([c != c[-1] for c in numbers[:3]], axis=0)) if sets else ()
+        cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
         if cut:
-            yield from out([c[:cut] for c in cols])
-    if len(rest[0]):
-        yield from out(rest)
-
-
-def _apart(open_: DataFrame, bucket_rows: int) -> DataFrame:
-    """Pairs (u, v) of the rows of open buckets (band, key, row, root, fp, n) that may be near copies."""
-    parts = F.ceil(F.col("n") / bucket_rows).cast("int")
-    own = open_.withColumn("own", F.pmod(F.xxhash64("row"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = own.select("band", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "row", "root", "fp")
-    return dealt.repartition("band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q").mapInArrow(_compared, "u long, v long")
-
-
-def near_copy_groups(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+            yield out([c[:cut] for c in numbers], sets[:cut])
+            numbers, sets = [c[cut:] for c in numbers], sets[cut:]
+    if sets:
+        yield out(numbers, sets)
+
+
+def _links(texts: DataFrame, clusters: DataFrame, part_rows: int) -> DataFrame:
+    """Links (u, v) between the near copies among rows (row, cluster, fp) with their texts (row, text)."""
+    asked = texts.select("row", "text").join(clusters.hint("merge"), "row") if clusters.count() > SENT_KEYS else texts.select("row", "text").join(F.broadcast(clusters), "row")
+    sets = written(asked.select("row", "cluster", "fp", "text").mapInArrow(_sets, "row long, cluster long, fp long, own binary"), "sets")
+    totals = sets.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("own")).alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("n") / part_rows, F.col("bytes") / PART_BYTES)).cast("int")
+    large = written(totals.select("cluster", parts.alias("parts")).where("parts > 1"), "large-clusters")  # one for many thousand rows or many megabytes
+    dealt = sets.join(F.broadcast(large), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own_part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("cluster", F.least("own_part", "other").cast("long").alias("p"), F.greatest("own_part", "other").cast("long").alias("q"), "row", "fp", "own")
+    grouped = dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
+    return written(grouped.mapInArrow(_compared, "u long, v long"), "near-links")
+
+
+def near_copy_groups(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(row, group) for every row of ``rows`` (row, text); ``group`` is a row of the same group of near copies."""
     small_batches(rows.sparkSession)
     texts = rows.select("row", F.col("text").cast("string").cast("binary").alias("text"))
     own = written(texts.mapInArrow(_signed, "row long, digest binary, fp long, keys array<long>"), "signatures")
     first = written(own.groupBy("digest").agg(F.min(F.struct("row", "fp", "keys")).alias("x")).select("digest", "x.row", "x.fp", "x.keys"), "distinct-sets")
-    keyed = first.select("row", "fp", F.posexplode("keys").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("row", "fp")).alias("low")).where("n > 1")
-    members = written(keyed.join(buckets.hint("merge"), ["band", "key"]), "buckets")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("low.fp"))) <= RADIUS
-    stars = _links(members.where(near).select(F.col("low.row").alias("u"), F.col("row").alias("v")), texts)
-    parts = written(connected_components(stars).withColumnRenamed("node", "row"), "star-parts")
-    rooted = members.join(parts.hint("merge"), "row", "left").select("band", "key", "row", "fp", "n", F.coalesce("root", "row").alias("root"))
-    apart = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
-    open_ = written(rooted.join(apart.hint("merge"), ["band", "key"]), "open-buckets")
-    rest = _links(_apart(open_, bucket_rows), texts)
-    found = connected_components(stars.unionByName(rest)).withColumnRenamed("node", "row")
+    keyed = first.select("row", F.posexplode("keys").alias("band", "key"))
+    lowest = written(keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("row").alias("low")).where("n > 1"), "buckets")
+    edges = keyed.join(lowest.hint("merge"), ["band", "key"]).where("row <> low").select(F.col("low").alias("u"), F.col("row").alias("v"))
+    clusters = connected_components(edges).withColumnsRenamed({"node": "row", "root": "cluster"})
+    clusters = written(clusters.join(first.select("row", "fp").hint("merge"), "row"), "clusters")
+    found = connected_components(_links(texts, clusters, part_rows)).withColumnRenamed("node", "row")
     grouped = first.join(found.hint("merge"), "row", "left").select("digest", F.coalesce("root", "row").alias("group"))
     return own.select("row", "digest").join(grouped.hint("merge"), "digest").select("row", "group")
 

@@ -50,7 +50,7 @@ def test_like_all_pairs(spark):
     assert got == plain_kept(rows) and len(got) < len(rows) - 50
 
 
-def test_split_buckets_lose_nothing(spark):
+def test_split_clusters_lose_nothing(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(400)]
     rows, base = [], [rng.choice(words) for _ in range(120)]
@@ -61,7 +61,7 @@ def test_split_buckets_lose_nothing(spark):
     table = spark.createDataFrame(rows, "row long, text string")
     for most in (1 << 14, 7):
         groups = {}
-        for r in near_copy_groups(table, bucket_rows=most).collect():
+        for r in near_copy_groups(table, part_rows=most).collect():
             groups.setdefault(r.group, []).append(r.row)
         assert sorted((False, min(g)) for g in groups.values()) == plain_kept(rows)
 
