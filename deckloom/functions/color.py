@@ -57,3 +57,30 @@ def hsl(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     sat = F.when(hi == lo, 0.0).when(light <= 0.5, span / (hi + lo)).otherwise(span / (2.0 - hi - lo))
     hue = F.when(hi == lo, 0.0).when(r == hi, (g - b) / span).when(g == hi, 2.0 + (b - r) / span).otherwise(4.0 + (r - g) / span) / 6
     return hue - F.floor(hue), sat, light
+
+
+def rgb_of(hue: Column, sat: Column, light: Column) -> tuple[Column, Column, Column]:
+    """Channels from 0 to 255, not rounded, of hue, saturation and lightness from 0 to 1."""
+    high = F.when(light <= 0.5, light * (1 + sat)).otherwise(light + sat - light * sat)
+    low = 2 * light - high
+
+    def channel(turn: Column) -> Column:
+        t = turn - F.floor(turn)
+        part = F.when(t < 1.0 / 6, low + (high - low) * t * 6).when(t < 0.5, high).when(t < 2.0 / 3, low + (high - low) * (2.0 / 3 - t) * 6).otherwise(low)
+        return F.when(sat == 0, light).otherwise(part) * 255
+
+    return channel(hue + 1.0 / 3), channel(hue), channel(hue - 1.0 / 3)
+
+
+def modified(r: Column, g: Column, b: Column, tint: float | None = None, shade: float | None = None, lum_mod: float | None = None, lum_off: float = 0.0) -> Column:
+    """The hex text of a colour after modifiers: tint towards white, shade towards black, then lightness times ``lum_mod``
+    plus ``lum_off``."""
+    rgb = [r.cast("double"), g.cast("double"), b.cast("double")]
+    if tint is not None:
+        rgb = [255 - (255 - c) * tint for c in rgb]
+    if shade is not None:
+        rgb = [c * shade for c in rgb]
+    if lum_mod is not None or lum_off:
+        h, s, l = hsl(*[F.bround(c, 0) for c in rgb])
+        rgb = list(rgb_of(h, s, F.least(F.lit(1.0), l * (1.0 if lum_mod is None else lum_mod) + lum_off)))
+    return F.upper(F.concat(*[F.lpad(F.hex(F.bround(c, 0).cast("int")), 2, "0") for c in rgb]))

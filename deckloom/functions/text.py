@@ -77,6 +77,6 @@ def is_speaker_prompt(c: Column) -> Column:
 
 
 def format_number(c: Column) -> Column:
-    """A number as text: whole ones without a fraction, others with two digits at most."""
-    short = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", F.bround(c, 2)), r"0+$", ""), r"\.$", "")
-    return F.when(c == F.floor(c), F.format_string("%d", c.cast("long"))).otherwise(short)
+    """A number as text: whole ones in groups of three digits, others with one digit behind a comma."""
+    whole = F.replace(F.format_number(c, 0), F.lit(","), F.lit(" "))
+    return F.when(c == F.floor(c), whole).otherwise(F.replace(F.format_string("%.1f", F.bround(c, 1)), F.lit("."), F.lit(",")))

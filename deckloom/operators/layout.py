@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,26 +12,24 @@ from ..functions import geometry as geo
 from ..functions import text
 
 SLIDE = ["deck_id", "slide_id", "slide_idx"]
-#: What takes the place of an archetype that a template lacks, in order.
-_TEXT = ("bullets", "cards", "two_column", "image_text", "agenda")
-_LAST = ("section", "title", "closing")
-FALLBACKS = {
-    "title": ("section", "closing", *_TEXT), "section": ("title", "closing", *_TEXT), "agenda": ("cards", "bullets", *_LAST), "bullets": ("cards", "two_column", "image_text", "agenda", *_LAST),
-    "two_column": ("cards", "bullets", "image_text", *_LAST), "cards": ("bullets", "two_column", "agenda", *_LAST), "kpi": ("cards", "bullets", *_LAST), "chart": ("table", *_TEXT), "table": ("chart", "cards", *_TEXT),
-    "process": ("cards", "agenda", "bullets", *_LAST), "quote": ("section", "image_text", "bullets", "title"), "image_text": ("bullets", "cards", *_LAST), "image_full": ("image_text", *_TEXT, *_LAST),
-    "team": ("cards", *_TEXT, *_LAST), "closing": ("title", "section", *_TEXT), "freeform": ("bullets", "cards", "two_column", *_LAST),
-}
+#: Text archetypes, between which a strategy chooses, and penalties.
+FLEXIBLE, FLEX_PENALTY = ("bullets", "cards", "two_column", "image_text"), 2.0
 RANK_PENALTY, REUSE_PENALTY, REUSE_MAX = 4.0, 2.0, 3
 
 
 def title_choice(shapes: DataFrame, ratio: float = 1.15, short: int = 80, band: float = 0.3, slide_h: int = geo.SLIDE_H) -> DataFrame:
-    """The largest short text in the upper part (anywhere on the first slide), if larger than the others' median."""
+    """A slide's first title placeholder; else the largest short text in the upper part (anywhere on the first slide), if
+    larger than the others' median."""
     t = shapes.where("tag = 'sp'")
+    held = F.col("placeholder") == "title"
+    own = t.where(held).groupBy(*SLIDE).agg(F.min(F.struct("z", "size_pt")).alias("t")).select(*SLIDE, "t.z", "t.size_pt", F.lit(None).cast("double").alias("median"))
+    free = t.join(own.select("slide_id"), "slide_id", "left_anti")
     ok = (F.col("chars") <= short) & ((F.col("slide_idx") == 0) | (F.col("y") < band * slide_h))
-    best = t.where(ok).groupBy(*SLIDE).agg(F.max(F.struct("size_pt", (-F.col("y")).alias("up"), (-F.col("z")).alias("low"))).alias("t"))
-    rest = t.join(best.select("slide_id", (-F.col("t.low")).alias("title_z")), "slide_id").where("z <> title_z").groupBy("slide_id").agg(F.median("size_pt").alias("median"))
+    best = free.where(ok).groupBy(*SLIDE).agg(F.max(F.struct("size_pt", (-F.col("y")).alias("up"), (-F.col("z")).alias("low"))).alias("t"))
+    rest = free.join(best.select("slide_id", (-F.col("t.low")).alias("title_z")), "slide_id").where("z <> title_z").groupBy("slide_id").agg(F.median("size_pt").alias("median"))
     found = best.join(rest, "slide_id", "left")
-    return found.where(F.col("median").isNull() | (F.col("t.size_pt") >= ratio * F.col("median"))).select(*SLIDE, (-F.col("t.low")).alias("z"), F.col("t.size_pt").alias("size_pt"), "median")
+    found = found.where(F.col("median").isNull() | (F.col("t.size_pt") >= ratio * F.col("median"))).select(*SLIDE, (-F.col("t.low")).alias("z"), F.col("t.size_pt").alias("size_pt"), "median")
+    return own.unionByName(found)
 
 
 def features(shapes: DataFrame, slide_w: int = geo.SLIDE_W, slide_h: int = geo.SLIDE_H) -> DataFrame:
@@ -76,18 +76,25 @@ def axes(shapes: DataFrame, gap: float = 0.03, slide_w: int = geo.SLIDE_W, slide
 
 
 def number_sequence(blocks: DataFrame, tolerance: int, least: int = 3) -> DataFrame:
-    """The longest run of consecutive integers (``value``) among a slide's blocks aligned with one of them."""
-    a, b = blocks.alias("a"), blocks.alias("b")
-    band = a.join(b, (F.col("a.slide_id") == F.col("b.slide_id")) & (F.abs(F.col("a.x") - F.col("b.x")) <= tolerance)).select("a.slide_id", F.col("a.z").alias("anchor"), F.col("b.value").alias("value")).distinct()
-    w = W.partitionBy("slide_id", "anchor").orderBy("value")
-    runs = band.withColumn("island", F.col("value") - F.row_number().over(w)).groupBy("slide_id", "anchor", "island").agg(F.count("*").alias("n"), F.min("value").alias("first"))
-    return runs.groupBy("slide_id").agg(F.max(F.struct("n", (-F.col("first")).alias("low"))).alias("best")).where(F.col("best.n") >= least).select("slide_id", F.col("best.n").alias("n"), (-F.col("best.low")).alias("first"))
-
-
-def drawn_bars(shapes: DataFrame, least: int = 5, heights: int = 3) -> DataFrame:
-    """Groups of equal width on a common lower edge with several heights, that look like a bar chart."""
-    s = shapes.groupBy("slide_id", geo.stepped(F.col("w")).alias("bw"), geo.stepped(F.col("y") + F.col("h")).alias("bottom")).agg(F.count("*").alias("n"), F.countDistinct("h").alias("heights"))
-    return s.where((F.col("n") >= least) & (F.col("heights") >= heights))
+    """For each axis the longest run of consecutive integers (``value``) among a slide's blocks aligned with one of them:
+    "row" by their middle's height, "col" by its distance from the left. (slide_id, axis, n, first)"""
+    mid = blocks.select("slide_id", "z", "value", F.inline(F.array(F.struct(F.lit("row").alias("axis"), (F.col("y") + F.col("h") / 2).alias("at")), F.struct(F.lit("col").alias("axis"), (F.col("x") + F.col("w") / 2).alias("at")))))
+    a, b = mid.alias("a"), mid.alias("b")
+    on = (F.col("a.slide_id") == F.col("b.slide_id")) & (F.col("a.axis") == F.col("b.axis")) & (F.abs(F.col("a.at") - F.col("b.at")) <= tolerance)
+    band = a.join(b.hint("merge"), on).select("a.slide_id", "a.axis", F.col("a.z").alias("anchor"), F.col("b.value").alias("value")).distinct()
+    w = W.partitionBy("slide_id", "axis", "anchor").orderBy("value")
+    runs = band.withColumn("island", F.col("value") - F.row_number().over(w)).groupBy("slide_id", "axis", "anchor", "island").agg(F.count("*").alias("n"), F.min("value").alias("first"))
+    best = runs.groupBy("slide_id", "axis").agg(F.max(F.struct("n", (-F.col("first")).alias("low"))).alias("best"))
+    return best.where(F.col("best.n") >= least).select("slide_id", "axis", F.col("best.n").alias("n"), (-F.col("best.low")).alias("first"))
+
+
+def drawn_bars(shapes: DataFrame, least: int = 5, kinds: int = 3) -> DataFrame:
+    """Shapes that look like a bar chart: columns of equal width on a common lower edge with several heights, or bars of
+    equal height from a common left edge with several widths. (slide_id, form, size, edge, n, kinds)"""
+    step = lambda c: geo.stepped(c)
+    upright = shapes.groupBy("slide_id", F.lit("columns").alias("form"), step(F.col("w")).alias("size"), step(F.col("y") + F.col("h")).alias("edge")).agg(F.count("*").alias("n"), F.countDistinct("h").alias("kinds"))
+    lying = shapes.groupBy("slide_id", F.lit("bars").alias("form"), step(F.col("h")).alias("size"), step(F.col("x")).alias("edge")).agg(F.count("*").alias("n"), F.countDistinct("w").alias("kinds"))
+    return upright.unionByName(lying).where((F.col("n") >= least) & (F.col("kinds") >= kinds))
 
 
 def enclosing_frames(shapes: DataFrame) -> DataFrame:
@@ -98,6 +105,14 @@ def enclosing_frames(shapes: DataFrame) -> DataFrame:
     return best.select("deck_id", "slide_id", "slide_idx", "z", F.col("f.z").alias("frame_z"))
 
 
+def photo_zones(shapes: DataFrame, short: int = 25) -> DataFrame:
+    """Places for pictures: for each short prompt for a photo its smallest enclosing shape, which is the zone while the
+    prompt is decoration, or the prompt itself where none encloses it. (slide, z, zone_z)"""
+    prompts = shapes.where((F.col("tag") == "sp") & (F.char_length("text") <= short) & text.is_photo_prompt(F.col("text"))).select(*SLIDE, "z")
+    frames = enclosing_frames(shapes).select("slide_id", "z", "frame_z")
+    return prompts.join(frames, ["slide_id", "z"], "left").select(*SLIDE, "z", F.coalesce("frame_z", "z").alias("zone_z"))
+
+
 def archetype_scores(f: DataFrame) -> DataFrame:
     """(slide, archetype, score) out of features, title and axes; scores are capped at 1, those of 0 or less dropped.
 
@@ -175,18 +190,44 @@ def needs(outline: DataFrame) -> DataFrame:
     return outline.select("outline_id", "idx", "archetype", F.size("bullets").cast("long").alias("items"), longest.cast("long").alias("longest"), total.cast("long").alias("total"), F.char_length("title").cast("long").alias("title_chars"))
 
 
-def offers(slots: DataFrame) -> DataFrame:
-    """What an exemplar has: slots by kind, capacities, share of the slide, columns."""
+def offers(slots: DataFrame, slide_w: int = geo.SLIDE_W, slide_h: int = geo.SLIDE_H) -> DataFrame:
+    """What an exemplar has: slots by kind, capacities, share of the slide that slots fill, columns of bodies (islands of
+    left edges farther apart than half the narrowest body)."""
     k = lambda *names: F.col("kind").isin(*names)
-    return slots.groupBy("template_id", "exemplar_id", "archetype").agg(
+    keys = ["template_id", "exemplar_id", "archetype"]
+    body = slots.where(k("body"))
+    w = W.partitionBy("exemplar_id")
+    lefts = body.withColumns({"gap": F.col("x") - F.lag("x").over(w.orderBy("x", "slot_id")), "narrow": F.min("w").over(w)})
+    columns = lefts.groupBy("exemplar_id").agg((1 + F.count_if(F.col("gap") > F.floor(F.col("narrow") / 2))).alias("columns"))
+    found = slots.groupBy(*keys).agg(
         F.count_if(k("body")).alias("bodies"), F.count_if(k("label")).alias("labels"), F.count_if(k("number")).alias("numbers"), F.count_if(k("picture")).alias("pictures"), F.count_if(k("chart", "table")).alias("data"),
-        F.max(F.when(k("title"), F.col("capacity"))).alias("title_capacity"), F.coalesce(F.sum(F.when(k("body"), F.col("capacity"))), F.lit(0)).alias("body_capacity"), F.coalesce(F.min(F.when(k("body"), F.col("capacity"))), F.lit(0)).alias("least_body"), F.countDistinct(geo.stepped(F.col("x"))).alias("columns"),
+        F.max(F.when(k("title"), F.col("capacity"))).alias("title_capacity"), F.coalesce(F.sum(F.when(k("body"), F.col("capacity"))), F.lit(0)).alias("body_capacity"), F.coalesce(F.min(F.when(k("body"), F.col("capacity"))), F.lit(0)).alias("least_body"),
+        F.bround(F.least(F.lit(1.0), F.sum(geo.area()) / (slide_w * slide_h)), 4).alias("fill"),
     )
+    return found.join(columns, "exemplar_id", "left").withColumn("columns", F.coalesce("columns", F.lit(0)))
+
 
+def fallbacks(spark: SparkSession) -> DataFrame:
+    """(wanted, archetype, rank) of the library's table of fallbacks: a line for each archetype, itself not named."""
+    lines = pkgutil.get_data("deckloom", "data/fallbacks.csv").decode().split()
+    chains = {line.split(",")[0]: line.split(",") for line in lines}
+    return spark.createDataFrame([(k, a, i) for k, v in chains.items() for i, a in enumerate(v)], "wanted string, archetype string, rank long")
 
-def candidate_chain(spark: SparkSession) -> DataFrame:
-    """(wanted, archetype, rank): each archetype itself, then its fallbacks."""
-    return spark.createDataFrame([(k, a, i) for k, v in FALLBACKS.items() for i, a in enumerate((k, *v))], "wanted string, archetype string, rank long")
+
+def candidate_chain(chain: DataFrame, strategies: DataFrame) -> DataFrame:
+    """(name, wanted, archetype, rank, penalty) of each strategy (name, priority): an archetype itself, then what takes
+    its place.
+
+    For a text archetype the text archetypes of its chain come first, in the order of the strategy's ``priority``, the wanted one
+    first among equals; a step costs less there.
+    """
+    c = chain.crossJoin(F.broadcast(strategies))  # some hundred rows with some strategies
+    flexible = F.col("wanted").isin(*FLEXIBLE)
+    own = flexible & F.col("archetype").isin(*FLEXIBLE)
+    place = F.coalesce(F.nullif(F.array_position("priority", F.col("archetype")), F.lit(0)), F.lit(100))
+    order = [F.when(own, 0).otherwise(1), F.when(own, place).otherwise(0), F.when(own & (F.col("archetype") == F.col("wanted")), 0).otherwise(1), F.col("rank")]
+    again = F.row_number().over(W.partitionBy("name", "wanted").orderBy(*order)) - 1
+    return c.withColumn("again", F.when(flexible, again).otherwise(F.col("rank")).cast("long")).select("name", "wanted", "archetype", F.col("again").alias("rank"), F.when(flexible, FLEX_PENALTY).otherwise(RANK_PENALTY).alias("penalty"))
 
 
 def match_scores(need: DataFrame, offer: DataFrame, chain: DataFrame) -> DataFrame:
@@ -197,7 +238,7 @@ def match_scores(need: DataFrame, offer: DataFrame, chain: DataFrame) -> DataFra
     picture too many costs 2.5; data slots that stay empty cost 3 each.
     """
     c = F.col
-    p = need.withColumnRenamed("archetype", "wanted").join(F.broadcast(chain), "wanted").join(offer, "archetype")  # the chain has some hundred rows
+    p = need.withColumnRenamed("archetype", "wanted").join(F.broadcast(chain), "wanted").join(offer.hint("merge"), "archetype")  # the chain has some hundred rows
     title = F.when(c("title_capacity").isNull(), -5.0).when(c("title_chars") > c("title_capacity"), -3.0).otherwise(0.0)
     single = F.when(c("items") <= 1, 1.0).otherwise(-1.5 * (c("items") - 1)) - F.when(c("total") > c("body_capacity"), 6.0).otherwise(0.0)
     several = F.when(c("bodies") == c("items"), 2.0).when(c("bodies") < c("items"), -6.0 * (c("items") - c("bodies"))).otherwise(-5.0 * (c("bodies") - c("items"))) - F.when(c("longest") > c("least_body"), 4.0).otherwise(0.0)
@@ -213,41 +254,55 @@ def best_exemplar(scores: DataFrame) -> DataFrame:
     return best.select("outline_id", "idx", "template_id", (-F.col("b.low")).alias("exemplar_id"), F.col("b.score").alias("score"))
 
 
-def reuse_aware(scores: DataFrame, top: int = 6) -> DataFrame:
+def reuse_aware(scores: DataFrame) -> DataFrame:
     """The same in the order of slides, with 2 off for each earlier use in the deck, up to three.
 
-    A fold over a deck's slides, each with its best few candidates.
+    A candidate that is more than the whole penalty behind its slide's best can't win and is left out. A fold over a deck's
+    slides that carries how often each exemplar of the template was used.
     """
-    s = scores.groupBy("outline_id", "template_id", "idx", "exemplar_id").agg(F.max(F.bround(F.col("score") - RANK_PENALTY * F.col("rank"), 2)).alias("score"))
-    k = F.row_number().over(W.partitionBy("outline_id", "template_id", "idx").orderBy(F.desc("score"), "exemplar_id"))
-    few = s.withColumn("k", k).where(F.col("k") <= top).groupBy("outline_id", "template_id", "idx").agg(F.array_sort(F.collect_list(F.struct("exemplar_id", "score"))).alias("options"))
-    deck = few.groupBy("outline_id", "template_id").agg(F.array_sort(F.collect_list(F.struct("idx", "options"))).alias("slides"))
-    start = F.array().cast("array<struct<idx:bigint,exemplar_id:bigint>>")
+    keys = ["outline_id", "template_id"]
+    s = scores.groupBy(*keys, "idx", "exemplar_id").agg(F.max(F.bround(F.col("score") - RANK_PENALTY * F.col("rank"), 2)).alias("score"))
+    best = F.max("score").over(W.partitionBy(*keys, "idx"))
+    near = s.withColumn("best", best).where(F.col("score") >= F.col("best") - REUSE_PENALTY * REUSE_MAX)
+    place = F.dense_rank().over(W.partitionBy(*keys).orderBy("exemplar_id"))
+    few = near.withColumn("at", place.cast("int")).groupBy(*keys, "idx").agg(F.array_sort(F.collect_list(F.struct("exemplar_id", "score", "at"))).alias("options"), F.max("at").alias("most"))
+    deck = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "options"))).alias("slides"), F.max("most").alias("most"))
+    start = F.struct(F.array_repeat(F.lit(0), F.col("most")).alias("uses"), F.array().cast("array<struct<idx:bigint,exemplar_id:bigint>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        uses = lambda e: F.least(F.size(F.filter(acc, lambda d: d["exemplar_id"] == e)), F.lit(REUSE_MAX))
-        rated = F.transform(s["options"], lambda o: F.struct((-F.bround(o["score"] - REUSE_PENALTY * uses(o["exemplar_id"]), 2)).alias("less"), o["exemplar_id"].alias("exemplar_id")))
-        return F.concat(acc, F.array(F.struct(s["idx"].alias("idx"), F.array_min(rated)["exemplar_id"].alias("exemplar_id"))))
+        used = lambda o: F.least(F.get(acc["uses"], o["at"] - 1), F.lit(REUSE_MAX))
+        rated = F.transform(s["options"], lambda o: F.struct((-F.bround(o["score"] - REUSE_PENALTY * used(o), 2)).alias("less"), o["exemplar_id"].alias("exemplar_id"), o["at"].alias("at")))
+        pick = F.array_min(rated)
+        uses = F.transform(acc["uses"], lambda n, i: n + F.when(i + 1 == pick["at"], 1).otherwise(0))
+        return F.struct(uses.alias("uses"), F.concat(acc["out"], F.array(F.struct(s["idx"].alias("idx"), pick["exemplar_id"].alias("exemplar_id")))).alias("out"))
 
-    return deck.select("outline_id", "template_id", F.inline(F.aggregate("slides", start, step)))
+    return deck.select(*keys, F.inline(F.aggregate("slides", start, step)["out"]))
 
 
-def label_pairs(slots: DataFrame, reach: int = geo.SLIDE_H) -> DataFrame:
-    """Bodies and labels one to one: in reading order of bodies the nearest free label above or beside.
+def label_pairs(slots: DataFrame) -> DataFrame:
+    """Bodies and labels one to one: in reading order of bodies the nearest free label above in the same column, or close
+    by on the left in the same row. An exemplar without any such pair gets its labels in order.
 
     A fold over an exemplar's bodies, each with its labels by distance.
     """
     b, l = slots.where("kind in ('body', 'table', 'chart')").alias("b"), slots.where("kind in ('label', 'caption', 'number')").alias("l")
-    d = F.abs(F.col("b.x") - F.col("l.x")) + F.abs(F.col("b.y") - F.col("l.y"))
-    near = b.join(l, (F.col("b.exemplar_id") == F.col("l.exemplar_id")) & (d <= reach)).select("b.exemplar_id", F.col("b.slot_id").alias("body"), F.struct(d.alias("d"), F.col("l.slot_id").alias("label")).alias("c"))
-    each = near.groupBy("exemplar_id", "body").agg(F.array_sort(F.collect_list("c")).alias("c")).groupBy("exemplar_id").agg(F.array_sort(F.collect_list(F.struct("body", "c"))).alias("bodies"))
+    x2, y2 = (lambda a: F.col(f"{a}.x") + F.col(f"{a}.w")), (lambda a: F.col(f"{a}.y") + F.col(f"{a}.h"))
+    above = (F.col("l.x") < x2("b")) & (F.col("b.x") < x2("l")) & (F.col("l.y") <= F.col("b.y") + F.floor(F.col("b.h") / 4))
+    beside = (F.col("l.y") < y2("b")) & (F.col("b.y") < y2("l")) & (x2("l") <= F.col("b.x") + F.floor(F.col("b.w") / 4)) & (F.col("b.x") - x2("l") <= F.col("l.h"))
+    d = F.when(above, F.abs(F.col("b.y") - y2("l"))).when(beside, F.abs(F.col("b.x") - x2("l")))
+    near = b.join(l.hint("merge"), F.col("b.exemplar_id") == F.col("l.exemplar_id")).select("b.exemplar_id", F.col("b.slot_id").alias("body"), d.alias("d"), F.col("l.slot_id").alias("label")).where("d is not null")
+    each = near.groupBy("exemplar_id", "body").agg(F.array_sort(F.collect_list(F.struct("d", "label"))).alias("c")).groupBy("exemplar_id").agg(F.array_sort(F.collect_list(F.struct("body", "c"))).alias("bodies"))
     start = F.array().cast("array<struct<body:bigint,label:bigint>>")
 
     def step(acc: Column, x: Column) -> Column:
         free = F.filter(x["c"], lambda c: ~F.exists(acc, lambda p: p["label"] == c["label"]))
         return F.when(F.size(free) > 0, F.concat(acc, F.array(F.struct(x["body"].alias("body"), F.get(free, F.lit(0))["label"].alias("label"))))).otherwise(acc)
 
-    return each.select("exemplar_id", F.inline(F.aggregate("bodies", start, step)))
+    found = each.select("exemplar_id", F.inline(F.aggregate("bodies", start, step)))
+    k = lambda df, name: df.select("exemplar_id", F.col("slot_id").alias(name), F.row_number().over(W.partitionBy("exemplar_id").orderBy("slot_id")).alias("k"))
+    rest = slots.select("exemplar_id").distinct().join(each.select("exemplar_id"), "exemplar_id", "left_anti")
+    by_order = k(b.select("b.*"), "body").join(k(l.select("l.*"), "label"), ["exemplar_id", "k"]).join(rest, "exemplar_id", "left_semi").select("exemplar_id", "body", "label")
+    return found.unionByName(by_order)
 
 
 def reading_order(shapes: DataFrame, slide_h: int = geo.SLIDE_H) -> DataFrame:
@@ -257,10 +312,17 @@ def reading_order(shapes: DataFrame, slide_h: int = geo.SLIDE_H) -> DataFrame:
 
 
 def allocate(items: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Items (outline_id, idx, n) to slots of a slide with ``capacity`` of them; the rest goes on on further slides."""
-    j = items.join(capacity, ["outline_id", "idx"])
-    size = F.greatest(F.col("capacity"), F.lit(1))
-    return j.select("outline_id", "idx", "n", F.floor(F.col("n") / size).alias("page"), (F.col("n") % size).alias("slot"))
+    """Items (outline_id, idx, what, n) to slots of their kind; the rest goes on on further slides, on frames it is dropped.
+
+    ``capacity`` has outline_id, idx, bodies, numbers and archetype: the n-th key number ("kpi") goes to the n-th number slot,
+    the n-th other item to the n-th body; a single body takes a list of any length. (…, page, slot, dropped)
+    """
+    j = items.join(capacity.hint("merge"), ["outline_id", "idx"])
+    size = F.greatest(F.when(F.col("what") == "kpi", F.col("numbers")).otherwise(F.col("bodies")), F.lit(1))
+    listed = (F.col("what") != "kpi") & (F.col("bodies") == 1)
+    page = F.when(listed, F.lit(0)).otherwise(F.floor(F.col("n") / size)).cast("long")
+    slot = F.when(listed, F.lit(0)).otherwise(F.col("n") % size).cast("long")
+    return j.select("outline_id", "idx", "what", "n", page.alias("page"), slot.alias("slot"), (F.col("archetype").isin("title", "closing") & (page > 0)).alias("dropped"))
 
 
 def visible_title(slots: DataFrame) -> DataFrame:

@@ -12,41 +12,70 @@ LIST_ALIASES = ("bullets", "cards", "items", "points", "columns")
 PICTURE_ARCHETYPES, TEXT_ARCHETYPES, FRAME_ARCHETYPES = ("image_text", "image_full"), ("bullets", "cards", "two_column"), ("title", "closing")
 
 
-def normalize(answers: DataFrame, archetypes: tuple[str, ...], most: int = 6) -> DataFrame:
-    """(…, title, archetype, bullets, repairs) from the JSON text ``raw``.
+def normalize(answers: DataFrame, archetypes: tuple[str, ...], most: int = 6, most_kpis: int = 4, kpi_chars: int = 12) -> DataFrame:
+    """(…, title, archetype, bullets, kpis, repairs) from the JSON text ``raw``.
 
-    Lists may have other names or lie under ``content``; a single text becomes a list; unknown archetypes become bullets.
+    Lists may have other names or lie under ``content``; a single text becomes a list; unknown archetypes become bullets. Of
+    key numbers ({value, label}) the first ``most_kpis`` stay; one whose value is wordy becomes a bullet.
     """
     kind = "array<string>"
     get = lambda path: F.get_json_object("raw", path)
     as_list = lambda path: F.when(get(path).startswith("["), F.from_json(get(path), kind)).when(get(path).isNotNull(), F.array(get(path)))
-    found = F.coalesce(*[as_list(f"$.{a}") for a in LIST_ALIASES], *[as_list(f"$.content.{a}") for a in LIST_ALIASES], F.array().cast(kind))
+    listed = F.coalesce(*[as_list(f"$.{a}") for a in LIST_ALIASES], *[as_list(f"$.content.{a}") for a in LIST_ALIASES], F.array().cast(kind))
+    pair = lambda x: F.concat(F.coalesce(x["value"], F.lit("")), F.lit(" "), F.coalesce(x["label"], F.lit("")))
+    numbers = F.coalesce(F.from_json(get("$.kpis"), "array<struct<value:string,label:string>>"), F.array().cast("array<struct<value:string,label:string>>"))
+    wordy = F.transform(F.filter("numbers", lambda x: F.char_length(x["value"]) > kpi_chars), pair)
+    short = F.transform(F.filter("numbers", lambda x: F.char_length(x["value"]) <= kpi_chars), pair)
+    given = answers.withColumn("numbers", numbers).withColumns({"found": F.concat(listed, wordy), "short": short, "wordy": F.size(wordy)})
     known = F.coalesce(get("$.archetype"), F.lit("bullets"))
     repairs = F.array_compact(F.array(
-        F.when(get("$.bullets").isNull() & (F.size(found) > 0), "alias"), F.when(get("$.bullets").isNotNull() & ~get("$.bullets").startswith("["), "scalar"),
-        F.when(~known.isin(*archetypes), "archetype"), F.when(F.size(found) > most, "cut"), F.when(get("$.title").isNull(), "no_title"),
+        F.when(get("$.bullets").isNull() & (F.size(listed) > 0), "alias"), F.when(get("$.bullets").isNotNull() & ~get("$.bullets").startswith("["), "scalar"),
+        F.when(~known.isin(*archetypes), "archetype"), F.when(F.size("found") > most, "cut"), F.when(get("$.title").isNull(), "no_title"),
+        F.when(F.col("wordy") > 0, "wordy_kpi"), F.when(F.size("short") > most_kpis, "cut_kpis"),
     ))
-    return answers.select(
-        *[c for c in answers.columns if c != "raw"], F.coalesce(get("$.title"), F.lit("")).alias("title"), F.when(known.isin(*archetypes), known).otherwise("bullets").alias("archetype"), F.slice(found, 1, most).alias("bullets"), repairs.alias("repairs")
-    )
+    return given.select(
+        *[c for c in answers.columns if c != "raw"], F.coalesce(get("$.title"), F.lit("")).alias("title"), F.when(known.isin(*archetypes), known).otherwise("bullets").alias("archetype"),
+        F.slice("found", 1, most).alias("bullets"), F.slice("short", 1, most_kpis).alias("kpis"), repairs.alias("repairs"),
+    )
+
+
+def add_frames(outline: DataFrame) -> DataFrame:
+    """Slides (outline_id, idx, archetype, title), numbered anew from 0, with a title slide before and a closing one
+    behind where they lack; repair names what was added."""
+    keys = ["outline_id", "idx", "archetype", "title"]
+    o = outline.select(*keys, F.lit("").alias("repair"))
+    g = outline.groupBy("outline_id").agg(F.min_by("archetype", "idx").alias("head"), F.max_by("archetype", "idx").alias("tail"), F.min_by("title", "idx").alias("title"), F.min("idx").alias("low"), F.max("idx").alias("high"))
+    before = g.where("head <> 'title'").select("outline_id", (F.col("low") - 1).alias("idx"), F.lit("title").alias("archetype"), "title", F.lit("added_title").alias("repair"))
+    behind = g.where("tail <> 'closing'").select("outline_id", (F.col("high") + 1).alias("idx"), F.lit("closing").alias("archetype"), F.lit("").alias("title"), F.lit("added_closing").alias("repair"))
+    found = o.unionByName(before).unionByName(behind)
+    return found.withColumn("idx", (F.row_number().over(W.partitionBy("outline_id").orderBy("idx")) - 1).cast("long"))
 
 
 def normalize_data(answers: DataFrame) -> DataFrame:
-    """Charts and tables of answers: (…, what, n_series, n_points, n_rows); series shorter than the categories are cut off."""
-    series = F.from_json(F.get_json_object("raw", "$.series"), "map<string,array<double>>")
-    categories = F.from_json(F.get_json_object("raw", "$.categories"), "array<string>")
-    rows = F.from_json(F.get_json_object("raw", "$.rows"), "array<array<string>>")
-    points = F.array_min(F.concat(F.transform(F.map_values(series), lambda v: F.size(v)), F.array(F.size(categories))))
-    found = answers.withColumns({"series": series, "rows": rows, "n_points": points})
+    """Charts and tables of answers: (…, what, n_series, n_points, n_rows, total).
+
+    Series come as a map of lists or as a list of {name, values}; numbers may be texts such as "1 250" or "−89 %". Series are
+    cut to the shortest of them and of the categories; total sums what is left.
+    """
+    raw = lambda path: F.get_json_object("raw", path)
+    as_map = F.from_json(raw("$.series"), "map<string,array<string>>")
+    as_list = F.from_json(raw("$.series"), "array<struct<name:string,values:array<string>>>")
+    series = F.when(raw("$.series").startswith("{"), F.map_values(as_map)).when(raw("$.series").startswith("["), F.transform(as_list, lambda x: x["values"]))
+    categories = F.from_json(raw("$.categories"), "array<string>")
+    rows = F.from_json(raw("$.rows"), "array<array<string>>")
+    points = F.array_min(F.concat(F.transform(F.col("series"), lambda v: F.size(v)), F.array(F.size(categories))))
+    values = F.flatten(F.transform("series", lambda v: F.transform(F.slice(v, F.lit(1), F.col("n_points")), lambda x: F.coalesce(text.parse_number(x), F.lit(0.0)))))
+    found = answers.withColumn("series", series).withColumns({"rows": rows, "n_points": points})
     return found.where("series is not null or rows is not null").select(
-        *[c for c in answers.columns if c != "raw"], F.when(F.col("series").isNotNull(), "chart").otherwise("table").alias("what"), F.when(F.col("series").isNotNull(), F.size("series")).cast("long").alias("n_series"), F.col("n_points").cast("long").alias("n_points"), F.when(F.col("rows").isNotNull(), F.size("rows")).cast("long").alias("n_rows")
-    )
+        *[c for c in answers.columns if c != "raw"], F.when(F.col("series").isNotNull(), "chart").otherwise("table").alias("what"), F.when(F.col("series").isNotNull(), F.size("series")).cast("long").alias("n_series"), F.col("n_points").cast("long").alias("n_points"),
+        F.when(F.col("rows").isNotNull(), F.size("rows")).cast("long").alias("n_rows"), F.bround(F.aggregate(values, F.lit(0.0), lambda x, y: x + y), 2).alias("total"),
+    )
 
 
 def unknown_references(docs: DataFrame, known: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, name) of names that a text mentions and ``known`` (name) lacks."""
     said = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), 0))).alias("name"))
-    return said.join(known.select("name").distinct(), "name", "left_anti").select("doc_id", "name")
+    return said.join(known.select("name").distinct().hint("merge"), "name", "left_anti").select("doc_id", "name")
 
 
 def sanitize(charts: DataFrame) -> DataFrame:
@@ -87,6 +116,18 @@ def table_to_bullets(cells: DataFrame) -> DataFrame:
     return cells.groupBy("table_id", "row").agg(b.alias("bullet"))
 
 
+def kpis_to_table(kpis: DataFrame) -> DataFrame:
+    """Key numbers (deck_id, series, value, k) as rows of a table of two columns, header first."""
+    cells = kpis.select("deck_id", F.col("k").cast("long").alias("row"), F.array("series", text.format_number(F.col("value").cast("double"))).alias("cells"))
+    head = kpis.select("deck_id").distinct().select("deck_id", F.lit(0).cast("long").alias("row"), F.array(F.lit("name"), F.lit("value")).alias("cells"))
+    return head.unionByName(cells).select("deck_id", "row", F.array_join("cells", " | ").alias("cells"))
+
+
+def kpis_to_cards(kpis: DataFrame) -> DataFrame:
+    """Key numbers as cards "value — name", in their order."""
+    return kpis.select("deck_id", "k", F.concat(text.format_number(F.col("value").cast("double")), F.lit(" — "), "series").alias("card"))
+
+
 def choose_form(slides: DataFrame, strategies: DataFrame) -> DataFrame:
     """P10: for each slide with data and each strategy the form the data take.
 
@@ -125,10 +166,17 @@ def split_kpis(slides: DataFrame, room: int, capacity: int = 4) -> DataFrame:
     return slides.withColumn("want", want).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("want"), room - before)).cast("long")).drop("want")
 
 
-def to_process(outline: DataFrame, low: int = 2, high: int = 6) -> DataFrame:
-    """Whether a slide's bullets are steps for a process diagram: numbered, two to six, nothing else."""
+def to_process(outline: DataFrame, strategies: DataFrame, available: DataFrame, low: int = 2, high: int = 6, most: int = 200) -> DataFrame:
+    """For each slide and strategy (name, diagrams) whether its bullets become a process diagram.
+
+    They do where the strategy asks for diagrams, there are two to six of them and none is long, the slide has no other
+    data (has_data), and ``available`` (archetype) has process slides.
+    """
     n = F.size("bullets")
-    return outline.withColumn("process", n.between(low, high) & F.forall("bullets", lambda b: F.char_length(b) <= 200))
+    able = available.where("archetype = 'process'").limit(1).select(F.lit(True).alias("able"))  # one row or none
+    fits = n.between(low, high) & F.forall("bullets", lambda b: F.char_length(b) <= most) & ~F.col("has_data")
+    both = outline.crossJoin(F.broadcast(strategies)).join(F.broadcast(able), F.lit(True), "left")  # some strategies
+    return both.withColumn("process", F.col("diagrams") & F.coalesce("able", F.lit(False)) & fits).drop("diagrams", "able")
 
 
 def section_dividers(slides: DataFrame, section: str = "section") -> DataFrame:
@@ -140,6 +188,12 @@ def section_dividers(slides: DataFrame, section: str = "section") -> DataFrame:
     return e.select("deck_id", "idx", "section", "kind", (F.row_number().over(W.partitionBy("deck_id").orderBy("idx", "part")) - 1).cast("long").alias("new_idx"))
 
 
+def without_dividers(slides: DataFrame) -> DataFrame:
+    """Slides (deck_id, idx, archetype) without section slides, numbered anew."""
+    left = slides.where("archetype <> 'section'")
+    return left.withColumn("new_idx", (F.row_number().over(W.partitionBy("deck_id").orderBy("idx")) - 1).cast("long"))
+
+
 def size_report(outline: DataFrame, low: int, high: int) -> DataFrame:
     """Outlines outside the range, with the slide to split (most bullets) or the neighbours to merge (fewest in sum)."""
     w = W.partitionBy("outline_id")
@@ -150,9 +204,10 @@ def size_report(outline: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def image_candidates(outline: DataFrame, most: int = 4) -> DataFrame:
-    """The first slides for a picture: archetypes made for one, then texts, then frames."""
-    rank = F.when(F.col("archetype").isin(*PICTURE_ARCHETYPES), 0).when(F.col("archetype").isin(*TEXT_ARCHETYPES), 2).when(F.col("archetype").isin(*FRAME_ARCHETYPES), 3)
-    o = outline.withColumn("rank", rank).where("rank is not null")
+    """The first slides for a picture: archetypes made for one, slides that ask for one (wants_image), then texts, then
+    frames. Slides with data (has_data) are passed over."""
+    rank = F.when(F.col("archetype").isin(*PICTURE_ARCHETYPES), 0).when(F.col("wants_image"), 1).when(F.col("archetype").isin(*TEXT_ARCHETYPES), 2).when(F.col("archetype").isin(*FRAME_ARCHETYPES), 3)
+    o = outline.where(~F.col("has_data")).withColumn("rank", rank).where("rank is not null")
     return o.withColumn("k", F.row_number().over(W.partitionBy("outline_id").orderBy("rank", "idx"))).where(F.col("k") <= most).select("outline_id", "k", "idx", "rank")
 
 
@@ -161,7 +216,7 @@ def ungrounded(items: DataFrame, sources: DataFrame, group: str) -> DataFrame:
     digits = lambda df: F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)))
     said = items.select(group, "item_id", digits(items).alias("number"))
     there = sources.select(group, digits(sources).alias("number")).distinct()
-    return said.join(there, [group, "number"], "left_anti").groupBy(group, "item_id").agg(F.count("*").alias("missing"))
+    return said.join(there.hint("merge"), [group, "number"], "left_anti").groupBy(group, "item_id").agg(F.count("*").alias("missing"))
 
 
 def bloat(lines: DataFrame, key: str, limit: float = 2.0) -> DataFrame:

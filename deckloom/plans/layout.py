@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import color
+from ..functions import color, text
 from ..operators import layout
 from ..sources.fixtures import ARCHETYPES, Fixtures
 from .audit import overflow
@@ -30,14 +30,23 @@ def _labels(f: Fixtures):
     return f.slides().where("slide_id % 4 = 0").select("slide_id", F.element_at(names, (F.col("slide_id") % 3 + 1).cast("int")).alias("label"))
 
 
+def _chain(f: Fixtures):
+    return layout.fallbacks(f.spark)
+
+
+def _strategies(f: Fixtures):
+    rows = [("executive", ["cards", "two_column"]), ("detailed", ["bullets", "two_column", "cards"]), ("visual", ["image_text", "cards"])]
+    return f.spark.createDataFrame(rows, "name string, priority array<string>")
+
+
 def _scores(f: Fixtures):
-    return layout.match_scores(layout.needs(f.outline()), layout.offers(f.slots()), layout.candidate_chain(f.spark))
+    return layout.match_scores(layout.needs(f.outline()), layout.offers(f.slots()), _chain(f))
 
 
 def _items(f: Fixtures):
-    o = f.outline()
-    items = o.select("outline_id", "idx", F.posexplode("bullets").alias("n", "b")).select("outline_id", "idx", F.col("n").cast("long").alias("n"))
-    return layout.allocate(items, o.select("outline_id", "idx", (F.col("doc_id") % 5).alias("capacity")))
+    o, k = f.outline(), F.col("doc_id")
+    items = o.select("outline_id", "idx", F.when(k % 4 == 0, "kpi").otherwise("item").alias("what"), F.posexplode("bullets").alias("n", "b")).select("outline_id", "idx", "what", F.col("n").cast("long").alias("n"))
+    return layout.allocate(items, o.select("outline_id", "idx", "archetype", (k % 5).alias("bodies"), (k % 3).alias("numbers")))
 
 
 def _colors(f: Fixtures):
@@ -50,6 +59,12 @@ def _colors(f: Fixtures):
     return c.select("hex", F.bround(lum, 4).alias("luminance"), F.bround(color.contrast(lum, F.lit(1.0)), 4).alias("on_white"), F.bround(F.sqrt(F.col("lab_a") * F.col("lab_a") + F.col("lab_b") * F.col("lab_b")), 4).alias("chroma"), F.bround(h, 4).alias("hue"), F.bround(s, 4).alias("saturation"), F.bround(l, 4).alias("lightness"), code(tint).alias("tint"), code(shade).alias("shade"))
 
 
+def _modified(f: Fixtures):
+    c = f.shapes().select("hex", "r", "g", "b").distinct()
+    made = {"tint": {"tint": 0.4}, "shade": {"shade": 0.5}, "dark": {"lum_mod": 0.75}, "light": {"lum_mod": 0.6, "lum_off": 0.4}}
+    return c.select("hex", *[color.modified(F.col("r"), F.col("g"), F.col("b"), **m).alias(n) for n, m in made.items()])
+
+
 RUN = {
     "a04_lines_over_blocks": lambda f: layout.lines_over_blocks(f.shapes()),
     "a05_overflow": overflow,
@@ -57,9 +72,10 @@ RUN = {
     "c02_features": lambda f: layout.features(f.shapes()),
     "c03_size_clusters": lambda f: layout.size_clusters(f.shapes(), 2),
     "c04_axes": lambda f: layout.axes(f.shapes()),
-    "c05_number_sequence": lambda f: layout.number_sequence(f.shapes().select("slide_id", "z", "x", F.floor(F.col("chars") / 5).alias("value")), 1200000, 2),
-    "c06_drawn_bars": lambda f: layout.drawn_bars(f.shapes().withColumn("w", F.floor(F.col("w") / 1000000) * 1000000).withColumn("y", F.floor((F.col("y") + F.col("h")) / 2000000) * 2000000 - F.col("h")), 3, 2),
+    "c05_number_sequence": lambda f: layout.number_sequence(f.shapes().select("slide_id", "z", "x", "y", "w", "h", F.floor(F.col("chars") / 30).alias("value")), 1200000, 2),
+    "c06_drawn_bars": lambda f: layout.drawn_bars(f.shapes().withColumns({c: F.floor(F.col(c) / 1500000) * 1500000 for c in "xywh"}), 3, 2),
     "c07_frames": lambda f: layout.enclosing_frames(f.shapes()),
+    "c07_photo_zones": lambda f: layout.photo_zones(f.shapes()),
     "c08_scores": lambda f: layout.archetype_scores(_features(f)),
     "c09_pick": _picked,
     "c10_slot_roles": lambda f: layout.slot_roles(f.shapes(), _picked(f), layout.title_choice(f.shapes())),
@@ -67,7 +83,7 @@ RUN = {
     "c12_overlay": lambda f: layout.overlay_labels(_picked(f), _labels(f), ARCHETYPES),
     "x01_needs": lambda f: layout.needs(f.outline()),
     "x02_offers": lambda f: layout.offers(f.slots()),
-    "x03_chain": lambda f: f.outline().select("outline_id", "idx", F.col("archetype").alias("wanted")).join(F.broadcast(layout.candidate_chain(f.spark)), "wanted").groupBy("wanted", "archetype", "rank").agg(F.count("*").alias("slides")),
+    "x03_chain": lambda f: f.outline().select("outline_id", "idx", F.col("archetype").alias("wanted")).join(F.broadcast(layout.candidate_chain(_chain(f), _strategies(f))), "wanted").groupBy("name", "wanted", "archetype", "rank", "penalty").agg(F.count("*").alias("slides")),
     "x04_scores": lambda f: _scores(f),
     "x05_best": lambda f: layout.best_exemplar(_scores(f)),
     "x06_reuse_aware": lambda f: layout.reuse_aware(_scores(f)),
@@ -77,12 +93,15 @@ RUN = {
     "x10_visible_title": lambda f: layout.visible_title(f.slots()),
     "t07_wrapped_lines": lambda f: f.paras().select("doc_id", "para_no", layout.wrapped_lines(F.col("text"), (F.col("doc_id") % 40 + 30).cast("int")).cast("long").alias("lines")),
     "t11_colors": _colors,
+    "t12_modifiers": _modified,
+    "t13_prompts": lambda f: f.shapes().select("slide_id", "z", F.when(F.col("sk") % 7 == 0, "Title").when(F.col("sk") % 7 == 1, "TBD soon").when(F.col("sk") % 7 == 2, "Имя, фамилия").otherwise(F.col("text")).alias("said")).select("slide_id", "z", text.prompt_pattern(F.col("said")).alias("pattern"), text.is_photo_prompt(F.col("said")).alias("photo"), text.is_speaker_prompt(F.col("said")).alias("speaker")),
 }
 
 CLIP = "greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x))"
-VIEWS["fx_titles"] = """select deck_id, slide_id, slide_idx, z, size_pt, median from (select deck_id, slide_id, slide_idx, arg_max(z, (size_pt, -y, -z)) as z, max(size_pt) as size_pt from fx_shapes where tag = 'sp' and chars <= 80 and (slide_idx = 0 or y < 0.3::double * 6858000) group by 1, 2, 3) t
-  left join (select a.slide_id, median(a.size_pt) as median from fx_shapes a join (select slide_id, arg_max(z, (size_pt, -y, -z)) as tz from fx_shapes where tag = 'sp' and chars <= 80 and (slide_idx = 0 or y < 0.3::double * 6858000) group by 1) b on a.slide_id = b.slide_id and a.z <> b.tz where a.tag = 'sp' group by 1) m using (slide_id)
-  where median is null or size_pt >= 1.15::double * median"""
+VIEWS["fx_free"] = "select * from fx_shapes where tag = 'sp' and slide_id not in (select slide_id from fx_shapes where placeholder = 'title')"
+VIEWS["fx_titles"] = """select deck_id, slide_id, slide_idx, z, size_pt, median from (select deck_id, slide_id, slide_idx, arg_max(z, (size_pt, -y, -z)) as z, max(size_pt) as size_pt from fx_free where chars <= 80 and (slide_idx = 0 or y < 0.3::double * 6858000) group by 1, 2, 3) t
+  left join (select a.slide_id, median(a.size_pt) as median from fx_free a join (select slide_id, arg_max(z, (size_pt, -y, -z)) as tz from fx_free where chars <= 80 and (slide_idx = 0 or y < 0.3::double * 6858000) group by 1) b on a.slide_id = b.slide_id and a.z <> b.tz group by 1) m using (slide_id)
+  where median is null or size_pt >= 1.15::double * median union all select deck_id, slide_id, slide_idx, min(z), arg_min(size_pt, z), null from fx_shapes where placeholder = 'title' group by 1, 2, 3"""
 VIEWS["fx_features"] = """select deck_id, slide_id, slide_idx, count(*) filter (tag = 'sp') as texts, count(*) filter (tag = 'sp' and chars <= 5 and size_pt >= 1.3::double * med) as numbers, count(*) filter (tag = 'pic') as pictures, count(*) filter (kind = 'chart') as charts,
   count(*) filter (kind = 'table') as tables, max(case when tag = 'pic' then round_even((w * h)::double / (12192000::bigint * 6858000), 4) else 0 end) as big_picture, max(case when tag = 'sp' then round_even((w * h)::double / (12192000::bigint * 6858000), 4) else 0 end) as big_text,
   max(case when tag = 'sp' then chars else 0 end) as longest, max(med) as median, round_even(least(1.0::double, sum(w * h)::double / (12192000::bigint * 6858000)), 4) as fill from fx_shapes left join (select slide_id, median(size_pt) as med from fx_shapes where tag = 'sp' group by 1) using (slide_id) group by 1, 2, 3"""
@@ -103,8 +122,25 @@ VIEWS["fx_picked"] = """select *, (score < 0.7 or round_even(score - second_scor
   from (select *, row_number() over (partition by slide_id order by score desc, rule) as k from fx_scores) where k <= 2 group by 1, 2, 3)"""
 VIEWS["fx_needs"] = """select outline_id, idx, archetype, len(bullets) as items, coalesce(list_max(list_transform(bullets, lambda b: length(b))), 0) as longest, coalesce(list_sum(list_transform(bullets, lambda b: length(b))), 0)::bigint as total, length(title) as title_chars from fx_outline"""
 VIEWS["fx_offers"] = """select template_id, exemplar_id, archetype, count(*) filter (kind = 'body') as bodies, count(*) filter (kind = 'label') as labels, count(*) filter (kind = 'number') as numbers, count(*) filter (kind = 'picture') as pictures, count(*) filter (kind in ('chart', 'table')) as data,
-  max(capacity) filter (kind = 'title') as title_capacity, coalesce(sum(capacity) filter (kind = 'body'), 0)::bigint as body_capacity, coalesce(min(capacity) filter (kind = 'body'), 0) as least_body, count(distinct round_even(x / 45720.0, 0)) as columns from fx_slots group by 1, 2, 3"""
-VIEWS["fx_chain"] = "select * from (values " + ", ".join(f"('{k}', '{a}', {i})" for k, v in layout.FALLBACKS.items() for i, a in enumerate((k, *v))) + ") c(wanted, archetype, rank)"
+  max(capacity) filter (kind = 'title') as title_capacity, coalesce(sum(capacity) filter (kind = 'body'), 0)::bigint as body_capacity, coalesce(min(capacity) filter (kind = 'body'), 0) as least_body, round_even(least(1.0::double, sum(w * h)::double / (12192000::bigint * 6858000)), 4) as fill, coalesce(any_value(cs), 0) as columns
+  from fx_slots left join (select exemplar_id as e, 1 + count(*) filter (gap > narrow // 2) as cs from (select exemplar_id, x - lag(x) over (partition by exemplar_id order by x, slot_id) as gap, min(w) over (partition by exemplar_id) as narrow from fx_slots where kind = 'body') group by 1) on e = exemplar_id group by 1, 2, 3"""
+VIEWS["fx_chain"] = """select * from (values
+ ('title', 'title', 0), ('title', 'section', 1), ('title', 'closing', 2), ('title', 'bullets', 3), ('title', 'cards', 4), ('title', 'two_column', 5), ('title', 'image_text', 6), ('title', 'agenda', 7),
+ ('section', 'section', 0), ('section', 'title', 1), ('section', 'closing', 2), ('section', 'bullets', 3), ('section', 'cards', 4), ('section', 'two_column', 5), ('section', 'image_text', 6), ('section', 'agenda', 7),
+ ('agenda', 'agenda', 0), ('agenda', 'cards', 1), ('agenda', 'bullets', 2), ('agenda', 'section', 3), ('agenda', 'title', 4), ('agenda', 'closing', 5),
+ ('bullets', 'bullets', 0), ('bullets', 'cards', 1), ('bullets', 'two_column', 2), ('bullets', 'image_text', 3), ('bullets', 'agenda', 4), ('bullets', 'section', 5), ('bullets', 'title', 6), ('bullets', 'closing', 7),
+ ('two_column', 'two_column', 0), ('two_column', 'cards', 1), ('two_column', 'bullets', 2), ('two_column', 'image_text', 3), ('two_column', 'section', 4), ('two_column', 'title', 5), ('two_column', 'closing', 6),
+ ('cards', 'cards', 0), ('cards', 'bullets', 1), ('cards', 'two_column', 2), ('cards', 'agenda', 3), ('cards', 'section', 4), ('cards', 'title', 5), ('cards', 'closing', 6),
+ ('kpi', 'kpi', 0), ('kpi', 'cards', 1), ('kpi', 'bullets', 2), ('kpi', 'section', 3), ('kpi', 'title', 4), ('kpi', 'closing', 5),
+ ('chart', 'chart', 0), ('chart', 'table', 1), ('chart', 'bullets', 2), ('chart', 'cards', 3), ('chart', 'two_column', 4), ('chart', 'image_text', 5), ('chart', 'agenda', 6),
+ ('table', 'table', 0), ('table', 'chart', 1), ('table', 'cards', 2), ('table', 'bullets', 3), ('table', 'cards', 4), ('table', 'two_column', 5), ('table', 'image_text', 6), ('table', 'agenda', 7),
+ ('process', 'process', 0), ('process', 'cards', 1), ('process', 'agenda', 2), ('process', 'bullets', 3), ('process', 'section', 4), ('process', 'title', 5), ('process', 'closing', 6),
+ ('quote', 'quote', 0), ('quote', 'section', 1), ('quote', 'image_text', 2), ('quote', 'bullets', 3), ('quote', 'title', 4),
+ ('image_text', 'image_text', 0), ('image_text', 'bullets', 1), ('image_text', 'cards', 2), ('image_text', 'section', 3), ('image_text', 'title', 4), ('image_text', 'closing', 5),
+ ('image_full', 'image_full', 0), ('image_full', 'image_text', 1), ('image_full', 'bullets', 2), ('image_full', 'cards', 3), ('image_full', 'two_column', 4), ('image_full', 'image_text', 5), ('image_full', 'agenda', 6), ('image_full', 'section', 7), ('image_full', 'title', 8), ('image_full', 'closing', 9),
+ ('team', 'team', 0), ('team', 'cards', 1), ('team', 'bullets', 2), ('team', 'cards', 3), ('team', 'two_column', 4), ('team', 'image_text', 5), ('team', 'agenda', 6), ('team', 'section', 7), ('team', 'title', 8), ('team', 'closing', 9),
+ ('closing', 'closing', 0), ('closing', 'title', 1), ('closing', 'section', 2), ('closing', 'bullets', 3), ('closing', 'cards', 4), ('closing', 'two_column', 5), ('closing', 'image_text', 6), ('closing', 'agenda', 7),
+ ('freeform', 'freeform', 0), ('freeform', 'bullets', 1), ('freeform', 'cards', 2), ('freeform', 'two_column', 3), ('freeform', 'section', 4), ('freeform', 'title', 5), ('freeform', 'closing', 6)) c(wanted, archetype, rank)"""
 VIEWS["fx_match"] = """select outline_id, idx, template_id, exemplar_id, o.archetype, rank, round_even(case when title_capacity is null then -5.0 when title_chars > title_capacity then -3.0 else 0 end
    + case when bodies = 0 then -2.0 * items when bodies = 1 then case when items <= 1 then 1.0 else -1.5 * (items - 1) end - case when total > body_capacity then 6 else 0 end
      else case when bodies = items then 2.0 when bodies < items then -6.0 * (items - bodies) else -5.0 * (bodies - items) end - case when longest > least_body then 4 else 0 end end
@@ -127,11 +163,14 @@ select doc_id, lines, need_pt, have_pt, case when doc_id % 7 = 0 then 'warning'
  last as (select deck_id, slide_id, slide_idx, unnest(arg_max(acc, k)) as e from walk group by 1, 2, 3)
 select deck_id, slide_id, slide_idx, e.w as w, e.h as h, e.n as n from last where e.n >= 2""",
     "c04_axes": "select * from fx_axes",
-    "c05_number_sequence": """with b as (select slide_id, z, x, chars // 5 as v from fx_shapes), j as (select distinct a.slide_id, a.z as anchor, c.v from b a join b c on a.slide_id = c.slide_id and abs(a.x - c.x) <= 1200000), i as (select *, v - row_number() over (partition by slide_id, anchor order by v) as island from j),
- r as (select slide_id, anchor, island, count(*) as n, min(v) as first from i group by 1, 2, 3), k as (select *, row_number() over (partition by slide_id order by n desc, first) as k from r)
-select slide_id, n, first from k where k = 1 and n >= 2""",
-    "c06_drawn_bars": """with s as (select slide_id, round_even(w // 1000000 * 1000000 / 45720.0, 0)::bigint as bw, round_even((y + h) // 2000000 * 2000000 / 45720.0, 0)::bigint as bottom, h from fx_shapes)
-select slide_id, bw, bottom, count(*) as n, count(distinct h) as heights from s group by 1, 2, 3 having count(*) >= 3 and count(distinct h) >= 2""",
+    "c05_number_sequence": """with b as (select slide_id, z, chars // 30 as v, unnest(['row', 'col']) as axis, unnest([y + h / 2.0, x + w / 2.0]) as at_ from fx_shapes), j as (select distinct a.slide_id, a.axis, a.z as anchor, c.v from b a join b c on a.slide_id = c.slide_id and a.axis = c.axis and abs(a.at_ - c.at_) <= 1200000),
+ i as (select *, v - row_number() over (partition by slide_id, axis, anchor order by v) as island from j), r as (select slide_id, axis, anchor, island, count(*) as n, min(v) as first from i group by 1, 2, 3, 4), k as (select *, row_number() over (partition by slide_id, axis order by n desc, first) as k from r)
+select slide_id, axis, n, first from k where k = 1 and n >= 2""",
+    "c06_drawn_bars": """with s as (select slide_id, x // 1500000 * 1500000 as x, y // 1500000 * 1500000 as y, w // 1500000 * 1500000 as w, h // 1500000 * 1500000 as h from fx_shapes),
+ u as (select slide_id, 'columns' as form, w as a, y + h as e, h as v from s union all select slide_id, 'bars', h, x, w from s)
+select slide_id, form, round_even(a / 45720.0, 0)::bigint as size, round_even(e / 45720.0, 0)::bigint as edge, count(*) as n, count(distinct v) as kinds from u group by 1, 2, 3, 4 having count(*) >= 3 and count(distinct v) >= 2""",
+    "c07_photo_zones": """with p as (select * from fx_shapes where tag = 'sp' and text = 'insert photo'), f as (select p.slide_id, p.z, b.z as frame_z, row_number() over (partition by p.slide_id, p.z order by b.w * b.h, b.z) as k from p join fx_shapes b on p.slide_id = b.slide_id and p.z <> b.z and b.w * b.h > p.w * p.h and p.x + p.w / 2.0 between b.x and b.x + b.w and p.y + p.h / 2.0 between b.y and b.y + b.h)
+select deck_id, slide_id, slide_idx, p.z, coalesce(frame_z, p.z) as zone_z from p left join (select * from f where k = 1) f using (slide_id, z)""",
     "c07_frames": """with f as (select a.deck_id, a.slide_id, a.slide_idx, a.z, b.z as frame_z, row_number() over (partition by a.slide_id, a.z order by b.w * b.h, b.z) as k from fx_shapes a join fx_shapes b on a.slide_id = b.slide_id and a.z <> b.z and b.w * b.h > a.w * a.h
    and a.x + a.w / 2.0 between b.x and b.x + b.w and a.y + a.h / 2.0 between b.y and b.y + b.h where a.tag = 'sp')
 select deck_id, slide_id, slide_idx, z, frame_z from f where k = 1""",
@@ -146,24 +185,41 @@ select template_id, exemplar_id, slot_id, kind, x, y, w, h from fx_slots left jo
 select deck_id, slide_id, slide_idx, coalesce(label, archetype) as archetype, label is not null as from_label from p""",
     "x01_needs": "select * from fx_needs",
     "x02_offers": "select * from fx_offers",
-    "x03_chain": "select wanted, c.archetype, rank, count(*) as slides from fx_outline o join fx_chain c on o.archetype = c.wanted group by 1, 2, 3",
+    "x03_chain": """with st as (select * from (values ('executive', ['cards', 'two_column']), ('detailed', ['bullets', 'two_column', 'cards']), ('visual', ['image_text', 'cards'])) v(name, pr)),
+ c as (select name, wanted, archetype, rank, wanted in ('bullets', 'cards', 'two_column', 'image_text') as flex, archetype in ('bullets', 'cards', 'two_column', 'image_text') as fl, coalesce(nullif(list_position(pr, archetype), 0), 100) as place from fx_chain, st),
+ r as (select name, wanted, archetype, case when flex then row_number() over (partition by name, wanted order by not (flex and fl), case when flex and fl then place else 0 end, not (flex and fl and archetype = wanted), rank) - 1 else rank end as rank, case when flex then 2.0 else 4.0 end::double as penalty from c)
+select name, wanted, r.archetype, r.rank, penalty, count(*) as slides from fx_outline o join r on o.archetype = r.wanted group by all""",
     "x04_scores": "select * from fx_match",
     "x05_best": "select outline_id, idx, template_id, arg_max(exemplar_id, (score, -exemplar_id)) as exemplar_id, max(score) as score from fx_rated group by 1, 2, 3",
-    "x06_reuse_aware": """with recursive c as (select *, row_number() over (partition by outline_id, template_id, idx order by score desc, exemplar_id) as k from fx_rated), d as (select outline_id, template_id, idx, list({'e': exemplar_id, 's': score}) as opts, row_number() over (partition by outline_id, template_id order by idx) as n from c where k <= 6 group by 1, 2, 3),
+    "x06_reuse_aware": """with recursive c as (select *, max(score) over (partition by outline_id, template_id, idx) as best from fx_rated), d as (select outline_id, template_id, idx, list({'e': exemplar_id, 's': score}) as opts, row_number() over (partition by outline_id, template_id order by idx) as n from c where score >= best - 6 group by 1, 2, 3),
  walk as (select outline_id, template_id, 0::bigint as n, []::bigint[] as used, null::bigint as idx, null::bigint as exemplar_id from (select distinct outline_id, template_id from d)
   union all select outline_id, template_id, n, list_append(used, pick), idx, pick from (select w.outline_id, w.template_id, d.n, w.used, d.idx, list_sort(list_transform(d.opts, lambda o: {'l': -(o.s - 2.0 * least(len(list_filter(w.used, lambda u: u = o.e)), 3))::double, 'e': o.e}))[1].e as pick from walk w join d on d.outline_id = w.outline_id and d.template_id = w.template_id and d.n = w.n + 1))
 select outline_id, template_id, idx, exemplar_id from walk where n > 0""",
-    "x07_label_pairs": """with recursive nr as (select b.exemplar_id, b.slot_id as body, list({'d': abs(b.x - l.x) + abs(b.y - l.y), 'l': l.slot_id}) as c, row_number() over (partition by b.exemplar_id order by b.slot_id) as n from fx_slots b join fx_slots l on b.exemplar_id = l.exemplar_id and b.kind in ('body', 'table', 'chart') and l.kind in ('label', 'caption', 'number') and abs(b.x - l.x) + abs(b.y - l.y) <= 6858000 group by b.exemplar_id, b.slot_id),
+    "x07_label_pairs": """with recursive pr as (select b.exemplar_id, b.slot_id as body, l.slot_id as l, case when l.x < b.x + b.w and b.x < l.x + l.w and l.y <= b.y + b.h // 4 then abs(b.y - l.y - l.h) when l.y < b.y + b.h and b.y < l.y + l.h and l.x + l.w <= b.x + b.w // 4 and b.x - l.x - l.w <= l.h then abs(b.x - l.x - l.w) end as d
+   from fx_slots b join fx_slots l on b.exemplar_id = l.exemplar_id and b.kind in ('body', 'table', 'chart') and l.kind in ('label', 'caption', 'number')),
+ nr as (select exemplar_id, body, list({'d': d, 'l': l}) as c, row_number() over (partition by exemplar_id order by body) as n from pr where d is not null group by exemplar_id, body),
  walk as (select exemplar_id, 0::bigint as n, []::bigint[] as used, null::bigint as body, null::bigint as label from (select distinct exemplar_id from nr)
-  union all select exemplar_id, n, case when f is null then used else list_append(used, f) end, body, f from (select w.exemplar_id, nr.n, w.used, nr.body, list_sort(list_filter(nr.c, lambda q: not list_contains(w.used, q.l)))[1].l as f from walk w join nr on nr.exemplar_id = w.exemplar_id and nr.n = w.n + 1))
-select exemplar_id, body, label from walk where label is not null""",
+  union all select exemplar_id, n, case when f is null then used else list_append(used, f) end, body, f from (select w.exemplar_id, nr.n, w.used, nr.body, list_sort(list_filter(nr.c, lambda q: not list_contains(w.used, q.l)))[1].l as f from walk w join nr on nr.exemplar_id = w.exemplar_id and nr.n = w.n + 1)),
+ ob as (select exemplar_id, slot_id, row_number() over (partition by exemplar_id order by slot_id) as k from fx_slots where kind in ('body', 'table', 'chart')), ol as (select exemplar_id, slot_id, row_number() over (partition by exemplar_id order by slot_id) as k from fx_slots where kind in ('label', 'caption', 'number'))
+select exemplar_id, body, label from walk where label is not null union all select ob.exemplar_id, ob.slot_id, ol.slot_id from ob join ol on ob.exemplar_id = ol.exemplar_id and ob.k = ol.k where ob.exemplar_id not in (select exemplar_id from nr)""",
     "x08_reading_order": "select deck_id, slide_id, slide_idx, z, tag, row_number() over (partition by slide_id, tag order by floor(y / 571500.0::double), x, z) as n from fx_shapes",
-    "x09_allocate": """with i as (select outline_id, idx, greatest(doc_id % 5, 1) as c, unnest(range(len(bullets))) as n from fx_outline)
-select outline_id, idx, n, n // c as page, n % c as slot from i""",
+    "x09_allocate": """with i as (select outline_id, idx, archetype, case when doc_id % 4 = 0 then 'kpi' else 'item' end as what, greatest(case when doc_id % 4 = 0 then doc_id % 3 else doc_id % 5 end, 1) as c, doc_id % 4 <> 0 and doc_id % 5 = 1 as listed, unnest(range(len(bullets))) as n from fx_outline),
+ p as (select *, case when listed then 0 else n // c end as page from i)
+select outline_id, idx, what, n, page, case when listed then 0 else n % c end as slot, archetype in ('title', 'closing') and page > 0 as dropped from p""",
     "x10_visible_title": """with j as (select t.exemplar_id, t.slot_id, t.x, t.w, max(case when o.x + o.w <= t.x + t.w / 2.0 then o.x + o.w end) as l, min(case when o.x > t.x + t.w / 2.0 then o.x end) as r from fx_slots t left join fx_slots o on t.exemplar_id = o.exemplar_id and o.kind <> 'title' and o.y < t.y + t.h and o.y + o.h > t.y where t.kind = 'title' group by 1, 2, 3, 4)
 select exemplar_id, slot_id, greatest(0, least(x + w, coalesce(r, x + w)) - greatest(x, coalesce(l, x))) as visible from j""",
     "t07_wrapped_lines": f"""with p as (select doc_id, para_no, text, doc_id % 40 + 30 as wd from fx_paras)
 select doc_id, para_no, greatest(1, {WRAP} // 1000000) as lines from p""",
+    "t12_modifiers": """with d as (select distinct hex, r, g, b from fx_shapes), m as (select *, greatest(r, g, b) / 255.0::double as mx, least(r, g, b) / 255.0::double as mn from d),
+ q as (select *, (mx + mn) / 2 as l, case when mx = mn then 0 when mx + mn <= 1 then (mx - mn) / (mx + mn) else (mx - mn) / (2 - mx - mn) end as s, case when mx = mn then 0 when r = greatest(r, g, b) then (g - b) / 255.0::double / (mx - mn) when g = greatest(r, g, b) then 2 + (b - r) / 255.0::double / (mx - mn) else 4 + (r - g) / 255.0::double / (mx - mn) end / 6.0::double as h0 from m),
+ e as (select hex, r, g, b, s, h0 - floor(h0) as h, l, unnest(['dark', 'light']) as what, unnest([l * 0.75::double, l * 0.6::double + 0.4::double]) as l2 from q),
+ f as (select *, case when l2 <= 0.5 then l2 * (1 + s) else l2 + s - l2 * s end as m2 from e), k as (select *, 2 * l2 - m2 as m1, unnest(['r', 'g', 'b']) as ch, unnest([h + 1.0::double / 3, h, h - 1.0::double / 3]) as t0 from f), t as (select *, t0 - floor(t0) as t from k),
+ c as (select hex, what, ch, round_even((case when s = 0 then l2 when t < 1.0::double / 6 then m1 + (m2 - m1) * t * 6 when t < 0.5 then m2 when t < 2.0::double / 3 then m1 + (m2 - m1) * (2.0::double / 3 - t) * 6 else m1 end) * 255, 0)::int as v from t),
+ o as (select hex, what, printf('%02X%02X%02X', max(v) filter (ch = 'r'), max(v) filter (ch = 'g'), max(v) filter (ch = 'b')) as code from c group by 1, 2)
+select d.hex, printf('%02X%02X%02X', round_even(255 - (255 - r) * 0.4::double, 0)::int, round_even(255 - (255 - g) * 0.4::double, 0)::int, round_even(255 - (255 - b) * 0.4::double, 0)::int) as tint, printf('%02X%02X%02X', round_even(r * 0.5, 0)::int, round_even(g * 0.5, 0)::int, round_even(b * 0.5, 0)::int) as shade,
+ dk.code as dark, lt.code as light from d join o dk on dk.hex = d.hex and dk.what = 'dark' join o lt on lt.hex = d.hex and lt.what = 'light'""",
+    "t13_prompts": """with s as (select slide_id, z, case sk % 7 when 0 then 'Title' when 1 then 'TBD soon' when 2 then 'Имя, фамилия' else text end as said from fx_shapes)
+select slide_id, z, case said when 'Title' then -1 when 'TBD soon' then 3 when 'insert photo' then 8 end as pattern, said = 'insert photo' as photo, said = 'Имя, фамилия' as speaker from s""",
     "t11_colors": """with d as (select distinct hex, r, g, b from fx_shapes), LAB(d), h as (select *, greatest(r, g, b) as mx, least(r, g, b) as mn from lab_d),
  q as (select *, case when mx = mn then 0 when r = mx then (g - b) * 1.0::double / (mx - mn) when g = mx then 2 + (b - r) * 1.0::double / (mx - mn) else 4 + (r - g) * 1.0::double / (mx - mn) end / 6.0::double as hu from h)
 select hex, round_even(lum, 4) as luminance, round_even(1.05 / (lum + 0.05), 4) as on_white, round_even(sqrt(la * la + lbb * lbb), 4) as chroma, round_even(hu - floor(hu), 4) as hue, round_even(case when mx = mn then 0 when mx + mn <= 255 then (mx - mn) * 1.0::double / (mx + mn) else (mx - mn) * 1.0::double / (510 - mx - mn) end, 4) as saturation,

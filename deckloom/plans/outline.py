@@ -36,6 +36,15 @@ def _grounding(f: Fixtures):
     return outline.ungrounded(d.where("item_id % 2 = 1"), d.where("item_id % 2 = 0"), "lang")
 
 
+def _with_data(f: Fixtures):
+    k = F.col("doc_id")
+    return f.outline().withColumns({"has_data": F.col("archetype").isin("chart", "table", "kpi", "process"), "wants_image": k % 6 == 0})
+
+
+def _diagrams(f: Fixtures):
+    return f.spark.createDataFrame([("executive", True), ("detailed", False), ("visual", True)], "name string, diagrams boolean")
+
+
 def _hosts(f: Fixtures):
     return f.table("pages").select(F.regexp_extract("url", r"[a-z0-9]+\.example\.(?:com|org|net)", 0).alias("name"))
 
@@ -48,7 +57,8 @@ def _split_text(f: Fixtures):
 
 
 RUN = {
-    "p01_normalize": lambda f: outline.normalize(f.payloads(), ARCHETYPES).select("event_id", "title", "archetype", F.array_join("bullets", "|").alias("bullets"), F.array_join("repairs", ",").alias("repairs")),
+    "p01_normalize": lambda f: outline.normalize(f.payloads(), ARCHETYPES).select("event_id", "title", "archetype", F.array_join("bullets", "|").alias("bullets"), F.array_join("kpis", "|").alias("kpis"), F.array_join("repairs", ",").alias("repairs")),
+    "p01_add_frames": lambda f: outline.add_frames(f.outline()).select("outline_id", "idx", "archetype", "repair"),
     "p02_normalize_data": lambda f: outline.normalize_data(f.payloads().drop("k")),
     "p03_unknown_references": lambda f: outline.unknown_references(f.table("documents"), _hosts(f), r"[a-z0-9]+\.example\.(?:com|org|net)"),
     "p04_sanitize": lambda f: outline.sanitize(_points(f)),
@@ -57,14 +67,17 @@ RUN = {
     "p07_chart_to_kpis": lambda f: outline.chart_to_kpis(f.charts()),
     "p08_table_to_chart": lambda f: outline.table_to_chart(_cells(f)),
     "p09_table_to_bullets": lambda f: outline.table_to_bullets(_cells(f)),
+    "p09_kpis_to_table": lambda f: outline.kpis_to_table(outline.chart_to_kpis(f.charts())),
+    "p09_kpis_to_cards": lambda f: outline.kpis_to_cards(outline.chart_to_kpis(f.charts())),
     "p10_choose_form": _choice,
     "p11_split_mixed": lambda f: outline.split_mixed(_kpis(f).withColumn("has_data", F.col("idx") % 3 == 0)),
     "p12_split_dense": lambda f: outline.split_dense(f.outline()),
     "p13_split_kpis": lambda f: outline.split_kpis(_kpis(f), 5),
-    "p14_to_process": lambda f: outline.to_process(f.outline()).select("outline_id", "idx", "process"),
+    "p14_to_process": lambda f: outline.to_process(_with_data(f), _diagrams(f), f.slots().select("archetype")).select("outline_id", "idx", "name", "process"),
     "p15_section_dividers": lambda f: outline.section_dividers(f.slides().select("deck_id", F.col("slide_idx").alias("idx"), "layout"), "layout"),
+    "p15_without_dividers": lambda f: outline.without_dividers(f.slides().select("deck_id", F.col("slide_idx").alias("idx"), "archetype")),
     "p16_size_report": lambda f: outline.size_report(f.outline().withColumn("outline_id", F.concat_ws("-", "outline_id", F.floor(F.col("idx") / F.lit(11)).cast("string"))), 8, 10),
-    "p17_image_candidates": lambda f: outline.image_candidates(f.outline()),
+    "p17_image_candidates": lambda f: outline.image_candidates(_with_data(f)),
     "p18_grounding": _grounding,
     "p19_bloat": lambda f: outline.bloat(f.table("lineitem"), "l_orderkey"),
     "t05_shorten": _split_text,
@@ -75,11 +88,15 @@ RUN = {
 CELLS = """cells as (select p_partkey % 50 as table_id, p_partkey as row_, unnest(['name', 'size', 'delta size', 'share']) as col, unnest([p_name, '×' || p_size, p_size::varchar, '−' || p_size || ' %']) as cell from part)"""
 NUM = "case when col in ('size', 'delta size', 'share') then try_cast(replace(regexp_replace(cell, '[×% ]', '', 'g'), '−', '-') as double) end"
 SQL = {
-    "p01_normalize": f"""with a as (select event_id, raw, raw->>'$.title' as t, coalesce(raw->>'$.archetype', 'bullets') as ar,
-   case when k % 8 = 3 then ['one ' || k] when k % 8 = 0 then ['a' || k, 'b'] when k % 8 = 1 then ['i' || k] when k % 8 = 2 then ['p', 'q', 'r' || k] else []::varchar[] end as bl, k % 8 as m from fx_payloads)
+    "p01_normalize": f"""with a as (select event_id, raw, k, raw->>'$.title' as t, coalesce(raw->>'$.archetype', 'bullets') as ar,
+   case when k % 8 = 5 then ['a long winded value w'] when k % 8 = 3 then ['one ' || k] when k % 8 = 0 then ['a' || k, 'b'] when k % 8 = 1 then ['i' || k] when k % 8 = 2 then ['p', 'q', 'r' || k] else []::varchar[] end as bl, k % 8 as m from fx_payloads)
 select event_id, coalesce(t, '') as title, case when list_contains({NAMES}, ar) then ar else 'bullets' end as archetype, array_to_string(bl, '|') as bullets,
- array_to_string(list_filter([case when m in (0, 1, 2) then 'alias' end, case when m = 3 then 'scalar' end, case when not list_contains({NAMES}, ar) then 'archetype' end, case when t is null then 'no_title' end], lambda x: x is not null), ',') as repairs from a""",
-    "p02_normalize_data": """select event_id, case k % 8 when 6 then 'chart' else 'table' end as what, case k % 8 when 6 then 1 end as n_series, case k % 8 when 6 then 2 end as n_points, case k % 8 when 7 then 1 end as n_rows from fx_payloads where k % 8 in (6, 7)""",
+ array_to_string(list_filter([case when m in (0, 1, 2) then 'alias' end, case when m = 3 then 'scalar' end, case when not list_contains({NAMES}, ar) then 'archetype' end, case when t is null then 'no_title' end, case when m = 5 then 'wordy_kpi' end, case when m = 5 then 'cut_kpis' end], lambda x: x is not null), ',') as repairs,
+ case when m = 5 then k || ' l|2 m|3 n|4 o' else '' end as kpis from a""",
+    "p01_add_frames": """with g as (select outline_id, arg_min(archetype, idx) as head, arg_max(archetype, idx) as tail, min(idx) as lo, max(idx) as hi from fx_outline group by 1),
+ u as (select outline_id, idx, archetype, '' as repair from fx_outline union all select outline_id, lo - 1, 'title', 'added_title' from g where head <> 'title' union all select outline_id, hi + 1, 'closing', 'added_closing' from g where tail <> 'closing')
+select outline_id, row_number() over (partition by outline_id order by idx) - 1 as idx, archetype, repair from u""",
+    "p02_normalize_data": """select event_id, case k % 8 when 6 then 'chart' else 'table' end as what, case k % 8 when 6 then 1 end as n_series, case k % 8 when 6 then 2 end as n_points, case k % 8 when 7 then 1 end as n_rows, case when k % 8 = 6 then case when k % 16 < 8 then 1 + k else 1250 - k end::double end as total from fx_payloads where k % 8 in (6, 7)""",
     "p03_unknown_references": r"""with s as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '[a-z0-9]+\.example\.(?:com|org|net)'))) as name from documents)
 select doc_id, name from s where name not in (select regexp_extract(url, '[a-z0-9]+\.example\.(?:com|org|net)') from pages)""",
     "p04_sanitize": """with p as (select deck_id, series, year - 1992 as at_, case when value % 19 <> 0 then value end as value from fx_charts), k as (select deck_id, series, count(*) as n from p group by all having count(*) = count(value)), l as (select deck_id, min(n) as least from k group by 1)
@@ -93,6 +110,10 @@ select * from l where k <= 4""",
 select table_id, col, count(*) as n, round_even(sum({NUM}), 4) as total from cells where col in ('size', 'share') group by 1, 2""",
     "p09_table_to_bullets": f"""with {CELLS}
 select table_id, row_ as "row", string_agg(cell, ': ' order by col) as bullet from cells group by 1, 2""",
+    "p09_kpis_to_table": """with l as (select deck_id, series, arg_max(value, year) as value, row_number() over (partition by deck_id order by series) as k from fx_charts group by deck_id, series)
+select distinct deck_id, 0::bigint as "row", 'name | value' as cells from l union all select deck_id, k, series || ' | ' || replace(format('{:,}', value), ',', ' ') from l where k <= 4""",
+    "p09_kpis_to_cards": """with l as (select deck_id, series, arg_max(value, year) as value, row_number() over (partition by deck_id order by series) as k from fx_charts group by deck_id, series)
+select deck_id, k, replace(format('{:,}', value), ',', ' ') || ' — ' || series as card from l where k <= 4""",
     "p10_choose_form": """with s as (select deck_id, count(distinct series) as n_series, count(distinct year) as n_points from fx_charts group by 1)
 select s.*, name, case when name = 'detailed' then 'table' when name = 'executive' and n_series <= 4 then 'kpi' else 'chart' end as form from s, (values ('executive'), ('detailed'), ('visual')) v(name)""",
     "p11_split_mixed": """with s as (select deck_id, slide_idx as idx, slide_id % 12 > 0 and slide_idx % 3 = 0 as two from fx_slides), e as (select deck_id, idx, 0 as part, case when two then 'data' else 'all' end as what from s union all select deck_id, idx, 1, 'kpis' from s where two)
@@ -101,12 +122,15 @@ select *, row_number() over (partition by deck_id order by idx, part) - 1 as new
 select outline_id, idx, part, case when of_ > 1 then title || ' (' || part || '/' || of_ || ')' else title end as title, greatest(0, least(size, n - (part - 1) * size)) as n from p""",
     "p13_split_kpis": """with w as (select deck_id, slide_idx as idx, slide_id % 12 as n_kpis, greatest(0, ceil((slide_id % 12) / 4.0)::bigint - 1) as want from fx_slides), b as (select *, coalesce(sum(want) over (partition by deck_id order by idx rows between unbounded preceding and 1 preceding), 0) as before_ from w)
 select deck_id, idx, n_kpis, greatest(0, least(want, 5 - before_))::bigint as extra from b""",
-    "p14_to_process": "select outline_id, idx, len(bullets) between 2 and 6 and coalesce(list_max(list_transform(bullets, lambda b: length(b))), 0) <= 200 as process from fx_outline",
+    "p14_to_process": """select outline_id, idx, name, name <> 'detailed' and exists (select 1 from fx_slots where archetype = 'process') and archetype not in ('chart', 'table', 'kpi', 'process') and len(bullets) between 2 and 6 and coalesce(list_max(list_transform(bullets, lambda b: length(b))), 0) <= 200 as process
+ from fx_outline, (values ('executive'), ('detailed'), ('visual')) v(name)""",
     "p15_section_dividers": """with s as (select deck_id, slide_idx as idx, layout as section, coalesce(layout <> lag(layout) over (partition by deck_id order by slide_idx), true) as new_ from fx_slides), e as (select deck_id, idx, section, 'slide' as kind, 1 as part from s union all select deck_id, idx, section, 'section', 0 from s where new_)
 select deck_id, idx, section, kind, row_number() over (partition by deck_id order by idx, part) - 1 as new_idx from e""",
+    "p15_without_dividers": lambda f: outline.without_dividers(f.slides().select("deck_id", F.col("slide_idx").alias("idx"), "archetype")),
+    "p15_without_dividers": "select deck_id, slide_idx as idx, archetype, row_number() over (partition by deck_id order by slide_idx) - 1 as new_idx from fx_slides where archetype <> 'section'",
     "p16_size_report": """with o as (select outline_id || '-' || (idx // 11) as outline_id, idx, len(bullets) as n from fx_outline), p as (select *, n + lead(n) over (partition by outline_id order by idx) as pair, count(*) over (partition by outline_id) as slides from o)
 select outline_id, max(slides) as slides, case when max(slides) < 8 then 'split' else 'merge' end as what, case when max(slides) < 8 then arg_max(idx, (n, -idx)) else arg_min(idx, (pair, idx)) filter (pair is not null) end as idx from p group by 1 having max(slides) < 8 or max(slides) > 10""",
-    "p17_image_candidates": """with r as (select outline_id, idx, case when archetype in ('image_text', 'image_full') then 0 when archetype in ('bullets', 'cards', 'two_column') then 2 when archetype in ('title', 'closing') then 3 end as rank from fx_outline), k as (select outline_id, row_number() over (partition by outline_id order by rank, idx) as k, idx, rank from r where rank is not null)
+    "p17_image_candidates": """with r as (select outline_id, idx, case when archetype in ('image_text', 'image_full') then 0 when doc_id % 6 = 0 then 1 when archetype in ('bullets', 'cards', 'two_column') then 2 when archetype in ('title', 'closing') then 3 end as rank from fx_outline where archetype not in ('chart', 'table', 'kpi', 'process')), k as (select outline_id, row_number() over (partition by outline_id order by rank, idx) as k, idx, rank from r where rank is not null)
 select * from k where k <= 4""",
     "p18_grounding": """with d as (select lang, doc_id as item_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) as number from documents)
 select lang, item_id, count(*) as missing from d a where item_id % 2 = 1 and not exists (select 1 from d b where b.item_id % 2 = 0 and a.lang = b.lang and a.number = b.number) group by 1, 2""",

@@ -50,7 +50,7 @@ class Fixtures:
         )
         is_text, held = F.col("tag") == "sp", F.col("pk") % 40
         own = own.withColumns({
-            "text": F.when(is_text, F.concat(F.lit("text "), (F.col("sk") % 3).cast("string"))).otherwise(""),
+            "text": F.when(is_text & (F.col("sk") % 17 == 0), "insert photo").when(is_text, F.concat(F.lit("text "), (F.col("sk") % 3).cast("string"))).otherwise(""),
             "placeholder": F.when(is_text, F.when(held == 0, "title").when(held == 1, "ftr").when(held == 2, "sldNum").when(held == 3, "dt")),
         })
         own = own.withColumn("kind", F.when(F.col("tag") == "pic", "picture").when(F.col("tag") == "sp", "text").when(part_even, "chart").otherwise("table"))
@@ -136,8 +136,8 @@ class Fixtures:
             F.concat(F.lit('{"content":{"points":["p","q","r'), k.cast("string"), F.lit('"]},"archetype":"odd"}')),
             F.concat(F.lit('{"title":"v","bullets":"one '), k.cast("string"), F.lit('"}')),
             F.lit('{"title":null,"bullets":null}'),
-            F.concat(F.lit('{"value":'), k.cast("string"), F.lit(',"unit":"%"}')),
-            F.concat(F.lit('{"categories":["x","y"],"series":{"s":[1,'), k.cast("string"), F.lit("]}}")),
+            F.concat(F.lit('{"value":'), k.cast("string"), F.lit(',"unit":"%","kpis":[{"value":"'), k.cast("string"), F.lit('","label":"l"},{"value":"a long winded value","label":"w"},{"value":"2","label":"m"},{"value":"3","label":"n"},{"value":"4","label":"o"},{"value":"5","label":"p"}]}')),
+            F.concat(F.lit('{"categories":["x","y"],"series":'), F.when(k % 16 < 8, F.concat(F.lit('{"s":[1,'), k.cast("string"), F.lit("]}"))).otherwise(F.concat(F.lit('[{"name":"s","values":["1 250","−'), k.cast("string"), F.lit(' %",3]}]'))), F.lit("}")),
             F.concat(F.lit('{"header":["h"],"rows":[["r'), k.cast("string"), F.lit('"]]}')),
         ]
         raw = F.lit("{}")
