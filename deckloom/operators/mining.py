@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import color
+from ..functions import color, text
 from ..functions import geometry as geo
 
 #: Bands of text roles as shares of the body size, from the largest.
@@ -81,13 +81,25 @@ def color_roles(clusters: DataFrame, min_contrast: float = 3.0, chromatic: float
     return c.select("template_id", "hex", F.coalesce("role", F.lit("unknown")).alias("role"), "weight")
 
 
-def color_tokens(roles: DataFrame, most: int = 16, least: float = 0.01) -> DataFrame:
-    """Colours by role and usage without rare unknown ones, the first ``most`` of a template."""
+def color_tokens(roles: DataFrame, most: int = 16, least: float = 0.01, usage: DataFrame | None = None, theme: DataFrame | None = None) -> DataFrame:
+    """Colours by role and usage without rare unknown ones, the first ``most`` of a template.
+
+    ``usage`` (template_id, hex, source, weight) names each colour's dominant source, else it is "slides"; a template without
+    an accent gets the first one of its ``theme`` (template_id, accent), if given.
+    """
     top = F.max("weight").over(W.partitionBy("template_id"))
     rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
-    kept = roles.withColumn("top", top).where((F.col("role") != "unknown") | (F.col("weight") >= least * F.col("top"))).withColumn("usage", F.bround("weight", 0).cast("long"))
+    kept = roles.withColumn("top", top).where((F.col("role") != "unknown") | (F.col("weight") >= least * F.col("top"))).withColumn("usage", F.bround("weight", 0).cast("long")).select("template_id", "hex", "role", "usage")
+    if usage is None:
+        kept = kept.withColumn("source", F.lit("slides"))
+    else:
+        main = usage.groupBy("template_id", "hex").agg(F.min(F.struct((-F.col("weight")).alias("less"), "source")).alias("m")).select("template_id", "hex", F.col("m.source").alias("source"))
+        kept = kept.join(main, ["template_id", "hex"], "left").withColumn("source", F.coalesce("source", F.lit("slides")))
+    if theme is not None:
+        bare = theme.join(kept.where("role = 'accent'").select("template_id").distinct(), "template_id", "left_anti")
+        kept = kept.unionByName(bare.select("template_id", F.col("accent").alias("hex"), F.lit("accent").alias("role"), F.lit(0).cast("long").alias("usage"), F.lit("theme").alias("source")))
     n = F.row_number().over(W.partitionBy("template_id").orderBy(rank, F.desc("usage"), "hex"))
-    return kept.withColumn("n", n).where(F.col("n") <= most).select("template_id", "n", "hex", "role", "usage")
+    return kept.withColumn("n", n).where(F.col("n") <= most).select("template_id", "n", "hex", "role", "usage", "source")
 
 
 def font_ranks(runs: DataFrame, least: float = 0.01) -> DataFrame:
@@ -180,23 +192,33 @@ def guides(shapes: DataFrame, least: int = 2, share: float = 0.2, slide_w: int =
     return found.unionByName(bare)
 
 
-def profile(runs: DataFrame, most: int = 10) -> DataFrame:
-    """The most frequent fonts, sizes, colours and sizes per font of each template, in one pass of grouping sets."""
+def profile(shapes: DataFrame, most: int = 10) -> DataFrame:
+    """The most frequent fonts, sizes, colours and sizes per font of each template's texts, kinds of its shapes, boxes that
+    repeat, and how many slides and shapes it has."""
+    runs = shapes.where("tag = 'sp'")
     sets = runs.groupingSets([["template_id", "font"], ["template_id", "size_pt"], ["template_id", "hex"], ["template_id", "font", "size_pt"]], "template_id", "font", "size_pt", "hex")
     c = sets.agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
     by = F.when(F.col("gid") == 3, "font").when(F.col("gid") == 5, "size").when(F.col("gid") == 6, "color").otherwise("font_size")
     key = F.concat_ws("|", "font", F.col("size_pt").cast("long").cast("string"), "hex")
-    ranked = c.select("template_id", by.alias("by"), key.alias("key"), "n")
-    return ranked.withColumn("k", F.row_number().over(W.partitionBy("template_id", "by").orderBy(F.desc("n"), "key"))).where(F.col("k") <= most)
-
-
-def sample_texts(docs: DataFrame, group: str, most: int = 6, chars: int = 120, limit: int = 6000) -> DataFrame:
-    """Up to ``most`` distinct first lines with at least two letters per group, joined, and how many there are in all."""
-    line = F.substring(F.trim(F.split("text", "\n")[0]), 1, chars)
-    d = docs.select(F.col(group).alias("grp"), "doc_id", line.alias("sample")).where(F.regexp_count("sample", F.lit(r"\p{L}")) >= 2)
-    first = d.groupBy("grp", "sample").agg(F.min("doc_id").alias("doc_id"))
+    texts = c.select("template_id", by.alias("by"), key.alias("key"), "n")
+    boxes = shapes.groupBy("template_id", F.concat_ws(",", *[geo.stepped(F.col(c)).cast("string") for c in "xywh"]).alias("key")).agg(F.countDistinct("slide_id").alias("n")).where("n > 1")
+    kinds = shapes.groupBy("template_id", F.col("kind").alias("key")).agg(F.count("*").alias("n"))
+    parts = shapes.groupBy("template_id").agg(F.countDistinct("slide_id").alias("slides"), F.count("*").alias("shapes"))
+    parts = parts.select("template_id", F.inline(F.array(F.struct(F.lit("slides").alias("key"), F.col("slides").alias("n")), F.struct(F.lit("shapes").alias("key"), F.col("shapes").alias("n")))))
+    found = texts
+    for name, df in (("box", boxes), ("kind", kinds), ("parts", parts)):
+        found = found.unionByName(df.select("template_id", F.lit(name).alias("by"), "key", "n"))
+    return found.withColumn("k", F.row_number().over(W.partitionBy("template_id", "by").orderBy(F.desc("n"), "key"))).where(F.col("k") <= most)
+
+
+def sample_texts(texts: DataFrame, most: int = 6, chars: int = 120, limit: int = 6000) -> DataFrame:
+    """Per exemplar (grp) up to ``most`` distinct texts of at least two letters that are no prompts, in the order of
+    ``place``, cut to ``chars`` and joined within ``limit`` characters, and how many more there are."""
+    sample = F.substring(F.trim("text"), 1, chars)
+    d = texts.where(text.prompt_pattern(F.col("text")).isNull()).select("grp", "place", sample.alias("sample")).where(F.regexp_count("sample", F.lit(r"\p{L}")) >= 2)
+    first = d.groupBy("grp", "sample").agg(F.min("place").alias("place"))
     w = W.partitionBy("grp")
-    ranked = first.withColumns({"k": F.row_number().over(w.orderBy("doc_id")), "total": F.count("*").over(w)})
+    ranked = first.withColumns({"k": F.row_number().over(w.orderBy("place", "sample")), "total": F.count("*").over(w)})
     kept = ranked.where(F.col("k") <= most).withColumn("used", F.sum(F.char_length("sample")).over(w.orderBy("k"))).where(F.col("used") <= limit)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "sample"))), lambda x: x["sample"]), " / ")
     return kept.groupBy("grp").agg(joined.alias("samples"), (F.max("total") - F.count("*")).alias("more"))

@@ -17,9 +17,10 @@ from ..operators.report import run_rules
 def _pack(f: Fixtures):
     path = shared_path(f.spark, "pack")
     broken = F.when(F.col("k") % 10 == 0, F.expr("substring(raw, 1, length(raw) - 2)")).otherwise(F.col("raw"))
-    f.payloads().select(broken.alias("value")).write.text(path)
+    f.payloads().select(broken.alias("value")).write.text(f"{path}/data")
+    f.table("region").select("r_name").orderBy("r_name").coalesce(1).write.mode("append").text(path)  # a text at the root: part-….txt
     good, bad = packs.read_pack(f.spark, path)
-    return good.select("raw", F.lit("ok").alias("status")).unionByName(bad.select("raw", F.col("warning").alias("status"))).groupBy("raw", "status").agg(F.count("*").alias("n"))
+    return good.select("kind", "raw", F.lit("ok").alias("status")).unionByName(bad.select(F.lit("data").alias("kind"), "raw", F.col("warning").alias("status"))).groupBy("kind", "raw", "status").agg(F.count("*").alias("n"))
 
 
 def _csv(f: Fixtures):
@@ -47,6 +48,14 @@ def _written(f: Fixtures):
     return f.spark.read.parquet(path).groupBy("check_id", "severity").agg(F.count("*").alias("n"))
 
 
+def _run(f: Fixtures):
+    path = shared_path(f.spark, "run")
+    k = F.col("deck_id") % 3
+    found = run_rules(RULES, f, ["D01", "I03", "L01"]).select(*PLAN)
+    packs.write_run(found, f.slides(), F.when(k == 0, "executive").when(k == 1, "detailed").otherwise("visual"), path)
+    return f.spark.read.parquet(f"{path}/comparison")
+
+
 def _facts(f: Fixtures):
     names = F.array(*map(F.lit, ("metric", "odd", "plan", "overview")))
     n = F.col("doc_id") * 10000 + F.col("para_no")
@@ -83,6 +92,7 @@ RUN = {
     "s05_select_sources": lambda f: packs.select_sources(f.paths().withColumn("path", F.when(F.col("page_id") % 3 == 0, F.concat("path", F.lit("/readme.md"))).when(F.col("page_id") % 3 == 1, F.concat("path", F.lit("/build/x.txt"))).otherwise(F.concat("path", F.lit("/LICENSE.txt"))))),
     "s06_cache": _cache,
     "s07_write_audit": _written,
+    "s07_write_run": _run,
     "k01_sections": lambda f: content.sections(f.paras().select("doc_id", "para_no", "text"), r"^#|^[A-ZÀ-Þ][^ ]* [^ ]*\.?$").select("doc_id", "section", "title", "n_lines", F.md5(F.col("body").cast("binary")).alias("digest")),
     "k02_unique_ids": lambda f: content.unique_ids(f.table("documents").select("source", "doc_id"), "source", ["doc_id"], [F.floor(F.col("doc_id") / 1024)]),
     "k03_record_kinds": lambda f: f.payloads().select("event_id", content.record_kind(F.col("raw")).alias("kind")),
@@ -118,7 +128,7 @@ WORDS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+(?:[-’''][\p{{L}}\p{{N
 
 SQL = {
     "s01_read_pack": """with b as (select case when k % 10 = 0 then left(raw, length(raw) - 2) else raw end as raw from fx_payloads)
-select raw, case when json_valid(raw) then 'ok' else 'unreadable' end as status, count(*) as n from b group by all""",
+select 'data' as kind, raw, case when json_valid(raw) then 'ok' else 'unreadable' end as status, count(*) as n from b group by all union all select 'text', string_agg(r_name, chr(10) order by r_name) || chr(10), 'ok', 1 from region""",
     "s02_json_fragments": "select event_id, 'data:' || unnest(json_keys(raw)) as frag_id from fx_payloads",
     "s03_table_fragments": """with n as (select r_name, n_nationkey || ' | ' || n_name as row_, row_number() over (partition by r_name order by n_nationkey) as k, count(*) over (partition by r_name) as total from nation join region on n_regionkey = r_regionkey)
 select r_name, string_agg(row_, chr(10) order by k) as "table", max(total) as total, case when max(total) > 4 then 'first 4 of ' || max(total) else '' end as note from n where k <= 4 group by 1""",
@@ -127,6 +137,8 @@ select r_name, string_agg(row_, chr(10) order by k) as "table", max(total) as to
     "s06_cache": """with c as (select sha1(text) as digest, arg_min(doc_id * 10, (doc_id % 2 <> 0, doc_id)) as result, case when bool_or(doc_id % 2 = 0) then 'work' else 'bundled' end as place from documents where doc_id % 3 = 0 group by 1)
 select doc_id, result, coalesce(place, 'todo') as place from documents left join c on sha1(text) = digest""",
     "s07_write_audit": "select check_id, severity, count(*) as n from fx_found where check_id in ('D01', 'I03') group by all",
+    "s07_write_run": """with s as (select deck_id, count(*) as slides from fx_slides group by 1), c as (select deck_id, count(*) filter (severity = 'error') as e, count(*) filter (severity = 'warning') as w, count(*) filter (severity = 'info') as i from fx_found where check_id in ('D01', 'I03', 'L01', 'L04') group by 1)
+select case deck_id % 3 when 0 then 'executive' when 1 then 'detailed' else 'visual' end as strategy, count(*) as decks, sum(slides)::bigint as slides, coalesce(sum(e), 0)::bigint as n_error, coalesce(sum(w), 0)::bigint as n_warning, coalesce(sum(i), 0)::bigint as n_info from s left join c using (deck_id) group by 1""",
     "k01_sections": r"""with h as (select *, regexp_matches(text, '^#|^[A-ZÀ-Þ][^ ]* [^ ]*\.?$') as hd from fx_paras), s as (select *, sum(hd::int) over (partition by doc_id order by para_no) as section, sum(hd::int) over (partition by doc_id) as heads from h)
 select doc_id, section::bigint as section, max(text) filter (hd) as title, count(*) filter (not hd and trim(text, ' ') <> '') as n_lines, md5(string_agg(text, chr(10) order by para_no) filter (not hd and trim(text, ' ') <> '')) as digest from s where heads >= 2 and section >= 1 group by 1, 2 having count(*) filter (not hd and trim(text, ' ') <> '') > 0""",
     "k02_unique_ids": """with k as (select source, doc_id, row_number() over (partition by source order by doc_id) as k from documents)

@@ -22,12 +22,19 @@ def _clusters(f: Fixtures):
     return mining.cluster_usage(u, mining.color_clusters(u))
 
 
+def _tokens(f: Fixtures):
+    usage = _layered(f).groupBy("template_id", "hex", F.when(F.col("layer") == "layout", "layouts").otherwise("slides").alias("source")).agg(F.count("*").cast("double").alias("weight"))
+    theme = f.table("nation").select(F.col("n_nationkey").alias("template_id"), F.lit("0077FF").alias("accent"))
+    roles = mining.color_roles(_usage(f))
+    return mining.color_tokens(roles.withColumn("role", F.when(F.col("template_id") % 5 == 0, F.regexp_replace("role", "accent", "unknown")).otherwise(F.col("role"))), usage=usage, theme=theme)
+
+
 RUN = {
     "m01_color_usage": _usage,
     "m02_color_clusters": lambda f: mining.color_clusters(_usage(f)),
     "m03_color_roles": lambda f: mining.color_roles(_usage(f)),
     "m03_color_roles_of_clusters": lambda f: mining.color_roles(_clusters(f)),
-    "m04_color_tokens": lambda f: mining.color_tokens(mining.color_roles(_usage(f))),
+    "m04_color_tokens": _tokens,
     "m05_font_ranks": lambda f: mining.font_ranks(f.runs()),
     "m06_size_bins": lambda f: mining.size_bins(f.runs()),
     "m07_type_roles": lambda f: mining.type_roles(f.runs()),
@@ -35,8 +42,8 @@ RUN = {
     "m09_fixed": lambda f: mining.fixed_elements(f.shapes()),
     "m10_grid": lambda f: mining.grid(f.shapes()),
     "m10_guides": lambda f: f.guides(),
-    "m11_profile": lambda f: mining.profile(f.runs()),
-    "m12_samples": lambda f: mining.sample_texts(f.table("documents"), "source"),
+    "m11_profile": lambda f: mining.profile(f.shapes()),
+    "m12_samples": lambda f: mining.sample_texts(f.paras().select((F.col("doc_id") % 500).alias("grp"), (F.col("doc_id") * 10000 + F.col("para_no")).alias("place"), F.when(F.col("para_no") % 5 == 1, "Text").otherwise(F.col("text")).alias("text"))),
 }
 
 VIEWS["fx_usage"] = """select *, round_even(fills + text_chars / 20, 4) as weight from (select template_id, hex, r, g, b, sum(case when tag <> 'sp' then q else 0 end)::double as fills, round_even(sum(case when tag <> 'sp' then q * a else 0 end), 4) as fill_area,
@@ -62,8 +69,11 @@ SQL = {
  last as (select template_id, unnest(arg_max(acc, k)) as m from walk group by 1)
 select template_id, m.h as hex, m.c as cluster from last where m.h <> ''""",
     "m03_color_roles": f"with {ROLE}\nselect * from roles",
-    "m04_color_tokens": f"""with {ROLE}, u as (select *, round_even(weight, 0)::bigint as usage, max(weight) over (partition by template_id) as top from roles),
- n as (select template_id, row_number() over (partition by template_id order by list_position(['background', 'text', 'accent', 'secondary', 'surface', 'muted', 'unknown'], role), usage desc, hex) as n, hex, role, usage from u where role <> 'unknown' or weight >= 0.01 * top)
+    "m04_color_tokens": f"""with {ROLE}, u0 as (select template_id, hex, case when template_id % 5 = 0 and role = 'accent' then 'unknown' else role end as role, round_even(weight, 0)::bigint as usage, weight, max(weight) over (partition by template_id) as top from roles),
+ so as (select template_id, hex, source, row_number() over (partition by template_id, hex order by count(*) desc, source) as k from (select template_id, hex, case when slide_id % 10 = 0 then 'layouts' else 'slides' end as source from fx_shapes) group by template_id, hex, source),
+ u1 as (select template_id, hex, role, usage, coalesce(source, 'slides') as source from u0 left join (select * from so where k = 1) using (template_id, hex) where role <> 'unknown' or weight >= 0.01 * top),
+ u as (select * from u1 union all select n_nationkey, '0077FF', 'accent', 0, 'theme' from nation where n_nationkey not in (select template_id from u1 where role = 'accent')),
+ n as (select template_id, row_number() over (partition by template_id order by list_position(['background', 'text', 'accent', 'secondary', 'surface', 'muted', 'unknown'], role), usage desc, hex) as n, hex, role, usage, source from u)
 select * from n where n <= 16""",
     "m05_font_ranks": """with c as (select template_id, font, sum(chars)::bigint as chars from fx_runs group by all), n as (select *, row_number() over (partition by template_id order by chars desc, font) as n, max(chars) over (partition by template_id) as top from c)
 select template_id, font, chars, n from n where chars >= 0.01 * top""",
@@ -85,10 +95,12 @@ select *, case when tag = 'pic' and bw * 45720 * (bh * 45720) < 0.1 * (12192000:
 select template_id, side, vs[round_even(case when side in ('left', 'top') then 0.05::double else 0.95::double end * (len(vs) - 1), 0)::bigint + 1] as margin from l""",
     "m10_guides": "select * from fx_guides",
     "m11_profile": """with c as (select template_id, 'font' as by_, font as key, count(*) as n from fx_runs group by all union all select template_id, 'size', size_pt::bigint::varchar, count(*) from fx_runs group by all
-  union all select template_id, 'color', hex, count(*) from fx_runs group by all union all select template_id, 'font_size', font || '|' || size_pt::bigint, count(*) from fx_runs group by all), k as (select template_id, by_ as "by", key, n, row_number() over (partition by template_id, by_ order by n desc, key) as k from c)
+  union all select template_id, 'color', hex, count(*) from fx_runs group by all union all select template_id, 'font_size', font || '|' || size_pt::bigint, count(*) from fx_runs group by all
+  union all select template_id, 'box', round_even(x / 45720.0, 0)::bigint || ',' || round_even(y / 45720.0, 0)::bigint || ',' || round_even(w / 45720.0, 0)::bigint || ',' || round_even(h / 45720.0, 0)::bigint as key, count(distinct slide_id) from fx_shapes group by 1, 3 having count(distinct slide_id) > 1
+  union all select template_id, 'kind', kind, count(*) from fx_shapes group by 1, 3 union all select template_id, 'parts', 'slides', count(distinct slide_id) from fx_shapes group by 1 union all select template_id, 'parts', 'shapes', count(*) from fx_shapes group by 1), k as (select template_id, by_ as "by", key, n, row_number() over (partition by template_id, by_ order by n desc, key) as k from c)
 select * from k where k <= 10""",
-    "m12_samples": r"""with s as (select source as grp, left(trim(string_split(text, chr(10))[1], ' '), 120) as sample, min(doc_id) as doc_id from documents group by 1, 2 having len(regexp_extract_all(sample, '\p{L}')) >= 2),
- k as (select *, row_number() over (partition by grp order by doc_id) as k, count(*) over (partition by grp) as total from s), u as (select *, sum(length(sample)) over (partition by grp order by k) as used from k where k <= 6)
+    "m12_samples": r"""with t as (select doc_id % 500 as grp, doc_id * 10000 + para_no as place, case when para_no % 5 = 1 then 'Text' else text end as text from fx_paras), s as (select grp, left(trim(text, ' '), 120) as sample, min(place) as place from t where text <> 'Text' group by 1, 2 having len(regexp_extract_all(sample, '\p{L}')) >= 2),
+ k as (select *, row_number() over (partition by grp order by place, sample) as k, count(*) over (partition by grp) as total from s), u as (select *, sum(length(sample)) over (partition by grp order by k) as used from k where k <= 6)
 select grp, string_agg(sample, ' / ' order by k) as samples, max(total) - count(*) as more from u where used <= 6000 group by 1""",
 }
 

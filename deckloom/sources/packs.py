@@ -13,9 +13,13 @@ TEXT_EXT = (".md", ".markdown", ".rst", ".txt", ".adoc")
 
 
 def read_pack(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(fragments, warnings) of JSON texts, one to a line: unreadable ones give a warning and no failure."""
-    raw = spark.read.text(path).select(F.col("value").alias("raw"), F.try_parse_json("value").alias("data"))
-    return raw.where("data is not null").select("raw", "data"), raw.where("data is null").select("raw", F.lit("unreadable").alias("warning"))
+    """(fragments, warnings) of a pack: texts at its root (kind "text", a fragment for each file) and data under ``data/``
+    ("data", a fragment for each JSON line). Data that can't be read give a warning and no failure."""
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=False, pathGlobFilter="*.{md,txt}").select(F.lit("text").alias("kind"), name.alias("name"), F.col("value").alias("raw"))
+    data = spark.read.text(f"{path}/data", recursiveFileLookup=True).select(F.lit("data").alias("kind"), F.lit("data").alias("name"), F.col("value").alias("raw"), F.try_parse_json("value").alias("data"))
+    good = data.where("data is not null").select("kind", "name", "raw")
+    return texts.unionByName(good), data.where("data is null").select("raw", F.lit("unreadable").alias("warning"))
 
 
 def json_fragments(df: DataFrame, stem: str = "data") -> DataFrame:
@@ -67,3 +71,16 @@ def split_by_cache(inputs: DataFrame, cache: DataFrame, digest: Column) -> DataF
 def write_audit(findings: DataFrame, path: str) -> None:
     """Findings, partitioned by check."""
     findings.write.partitionBy("check_id").parquet(path)
+
+
+def write_run(findings: DataFrame, slides: DataFrame, strategy: Column, path: str) -> None:
+    """What is kept of a run, under ``path``: findings by check, a summary for each deck (summary), and the comparison of
+    strategies (comparison)."""
+    write_audit(findings, f"{path}/findings")
+    counts = findings.groupBy("deck_id").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("error", "warning", "info")])
+    decks = slides.groupBy("deck_id").agg(F.count("*").alias("slides"))
+    decks.join(counts, "deck_id", "left").na.fill(0).write.parquet(f"{path}/summary")
+    by = slides.select("deck_id", strategy.alias("strategy")).distinct()
+    spark = findings.sparkSession
+    made = spark.read.parquet(f"{path}/summary").join(by, "deck_id").groupBy("strategy")
+    made.agg(F.count("*").alias("decks"), *[F.sum(c).alias(c) for c in ("slides", "n_error", "n_warning", "n_info")]).write.parquet(f"{path}/comparison")
