@@ -184,27 +184,46 @@ def overlay_labels(picked: DataFrame, labels: DataFrame, archetypes: tuple[str,
 
 
 def needs(outline: DataFrame) -> DataFrame:
-    """What a slide asks for: items, their longest and total length, the title's length."""
-    longest = F.coalesce(F.array_max(F.transform("bullets", lambda b: F.char_length(b))), F.lit(0))
-    total = F.aggregate("bullets", F.lit(0), lambda a, b: a + F.char_length(b))
-    return outline.select("outline_id", "idx", "archetype", F.size("bullets").cast("long").alias("items"), longest.cast("long").alias("longest"), total.cast("long").alias("total"), F.char_length("title").cast("long").alias("title_chars"))
+    """What a slide asks for: items, their lengths, key numbers, chart, table, picture, quote, steps of a diagram, the
+    title's length. ``outline`` has n_kpis, has_chart, table_cols, has_image, quote_chars and diagram besides its texts."""
+    chars = F.transform("bullets", lambda b: F.char_length(b).cast("long"))
+    longest = F.coalesce(F.array_max(chars), F.lit(0))
+    total = F.aggregate(chars, F.lit(0).cast("long"), lambda a, b: a + b)
+    extra = [F.col(c).cast("long").alias(c) for c in ("n_kpis", "table_cols", "quote_chars", "diagram")]
+    return outline.select("outline_id", "idx", "archetype", F.size("bullets").cast("long").alias("items"), longest.cast("long").alias("longest"), (total + 2 * F.size("bullets")).cast("long").alias("total"), F.char_length("title").cast("long").alias("title_chars"), chars.alias("item_chars"), "has_chart", "has_image", *extra)
 
 
 def offers(slots: DataFrame, slide_w: int = geo.SLIDE_W, slide_h: int = geo.SLIDE_H) -> DataFrame:
-    """What an exemplar has: slots by kind, capacities, share of the slide that slots fill, columns of bodies (islands of
-    left edges farther apart than half the narrowest body)."""
+    """What an exemplar has: slots by kind, the places of its bodies, subtitles and labels in reading order (arrays of some
+    entries with capacity, lines, area and width), its title and how much of it other slots leave free, share of the slide that
+    slots fill, the box around its content, and columns of bodies (islands of left edges farther apart than half the
+    narrowest body)."""
     k = lambda *names: F.col("kind").isin(*names)
-    keys = ["template_id", "exemplar_id", "archetype"]
+    keys = ["template_id", "exemplar_id", "archetype", "confidence"]
     body = slots.where(k("body"))
     w = W.partitionBy("exemplar_id")
     lefts = body.withColumns({"gap": F.col("x") - F.lag("x").over(w.orderBy("x", "slot_id")), "narrow": F.min("w").over(w)})
     columns = lefts.groupBy("exemplar_id").agg((1 + F.count_if(F.col("gap") > F.floor(F.col("narrow") / 2))).alias("columns"))
+    place = F.struct(F.floor(F.col("y") / (slide_h / 12)).alias("row"), "x", "slot_id", "capacity", F.floor(F.col("h") / 12700 / (1.2 * F.col("size_pt"))).cast("long").alias("lines"), geo.area().alias("area"), "w")
+    places = lambda *names: F.array_sort(F.collect_list(F.when(k(*names), place)))
+    content = ~k("title", "subtitle", "slide_number", "footer", "date")
+    own = lambda c: F.when(content, c)
     found = slots.groupBy(*keys).agg(
-        F.count_if(k("body")).alias("bodies"), F.count_if(k("label")).alias("labels"), F.count_if(k("number")).alias("numbers"), F.count_if(k("picture")).alias("pictures"), F.count_if(k("chart", "table")).alias("data"),
-        F.max(F.when(k("title"), F.col("capacity"))).alias("title_capacity"), F.coalesce(F.sum(F.when(k("body"), F.col("capacity"))), F.lit(0)).alias("body_capacity"), F.coalesce(F.min(F.when(k("body"), F.col("capacity"))), F.lit(0)).alias("least_body"),
-        F.bround(F.least(F.lit(1.0), F.sum(geo.area()) / (slide_w * slide_h)), 4).alias("fill"),
+        *[F.count_if(k(n)).alias(a) for n, a in (("body", "bodies"), ("label", "labels"), ("caption", "captions"), ("number", "numbers"), ("picture", "pictures"), ("icon", "icons"), ("chart", "charts"), ("table", "tables"))],
+        places("body").alias("body_places"), places("subtitle").alias("subtitle_places"), places("label", "caption").alias("label_places"), places("chart", "table").alias("data_places"),
+        F.min(F.when(k("title"), F.struct("slot_id", "x", "y", "w", "h", "capacity", "size_pt"))).alias("title"), F.min(F.when(k("picture"), F.struct(F.floor(F.col("y") / (slide_h / 12)).alias("row"), "x", "slot_id", "y", "w", "h"))).alias("picture"),
+        F.median(F.when(k("number"), F.col("size_pt"))).alias("number_pt"), F.collect_list(F.when(k("number"), F.col("size_pt"))).alias("number_sizes"), F.bround(F.least(F.lit(1.0), F.sum(geo.area()) / (slide_w * slide_h)), 4).alias("fill"),
+        F.min(own(F.col("x"))).alias("left"), F.min(own(F.col("y"))).alias("top"), (F.max(own(F.col("x") + F.col("w"))) - F.min(own(F.col("x")))).alias("wide"), (F.max(own(F.col("y") + F.col("h"))) - F.min(own(F.col("y")))).alias("high"),
     )
-    return found.join(columns, "exemplar_id", "left").withColumn("columns", F.coalesce("columns", F.lit(0)))
+    t, o = found.where("title is not null").select("exemplar_id", "title.x", "title.y", "title.w", "title.h").alias("t"), slots.where(k("body", "picture", "chart", "table")).alias("o")
+    over = t.join(o.hint("merge"), F.col("t.exemplar_id") == F.col("o.exemplar_id")).groupBy("t.exemplar_id").agg(F.max(geo.intersection("t", "o") / geo.area("t")).alias("title_over"))
+    p, q = found.where("picture is not null").select("exemplar_id", "picture.x", "picture.y", "picture.w", "picture.h").alias("p"), slots.where(k("body", "label", "caption", "number")).alias("q")
+    behind = p.join(q.hint("merge"), F.col("p.exemplar_id") == F.col("q.exemplar_id")).groupBy("p.exemplar_id").agg(F.max(geo.intersection("p", "q") / geo.area("q")).alias("picture_over"))
+    free = visible_title(slots).groupBy("exemplar_id").agg(F.min_by("visible", "slot_id").alias("visible"))
+    for extra in (columns, over, behind, free):
+        found = found.join(extra.hint("merge"), "exemplar_id", "left")
+    big = F.size(F.filter("number_sizes", lambda v: v >= 0.65 * F.col("number_pt"))).cast("long")
+    return found.withColumns({"columns": F.coalesce("columns", F.lit(0)), "big_numbers": big, "title_over": F.coalesce("title_over", F.lit(0.0)), "picture_over": F.coalesce("picture_over", F.lit(0.0))}).drop("number_sizes")
 
 
 def fallbacks(spark: SparkSession) -> DataFrame:
@@ -230,21 +249,64 @@ def candidate_chain(chain: DataFrame, strategies: DataFrame) -> DataFrame:
     return c.withColumn("again", F.when(flexible, again).otherwise(F.col("rank")).cast("long")).select("name", "wanted", "archetype", F.col("again").alias("rank"), F.when(flexible, FLEX_PENALTY).otherwise(RANK_PENALTY).alias("penalty"))
 
 
-def match_scores(need: DataFrame, offer: DataFrame, chain: DataFrame) -> DataFrame:
-    """A score for each pair of a slide and an exemplar on its chain.
+#: What a picture slot is worth to a slide with a picture, and to one without, by a strategy's wish for pictures.
+PICTURE_WORTH = {"minimal": (0.5, -3.0), "preferred": (3.0, -5.0), "always": (5.0, -5.0)}
+STRUCTURAL = ("title", "section", "closing")
 
-    No title slot costs 5, one too small 3; items in a single body cost 1.5 each beyond the first and 6 if the text is
-    too long; in several bodies equal numbers gain 2, a lack costs 6 and an empty one 5 each; tight bodies cost 4; a
-    picture too many costs 2.5; data slots that stay empty cost 3 each.
+
+def _capacity(have: Column, need: Column, empty: float, short: float) -> Column:
+    return F.when(have == need, 2.0).when(have < need, -short * (need - have)).otherwise(-empty * (have - need))
+
+
+def match_scores(need: DataFrame, offer: DataFrame, chain: DataFrame, images: str = "preferred", icons: bool = True, max_fill: float = 0.75) -> DataFrame:
+    """A score for each possible pair of a slide and an exemplar on its chain, from the exemplar's confidence on.
+
+    Each term is a column: the title (lacking, too long, under other slots), data (in a body, in slots of its own, too narrow),
+    a diagram, a quote, key numbers, items (in one body, in several, in labels), pictures, icons and the share that is
+    filled. Where one of them can't be placed, the pair is impossible and left out.
     """
     c = F.col
     p = need.withColumnRenamed("archetype", "wanted").join(F.broadcast(chain), "wanted").join(offer.hint("merge"), "archetype")  # the chain has some hundred rows
-    title = F.when(c("title_capacity").isNull(), -5.0).when(c("title_chars") > c("title_capacity"), -3.0).otherwise(0.0)
-    single = F.when(c("items") <= 1, 1.0).otherwise(-1.5 * (c("items") - 1)) - F.when(c("total") > c("body_capacity"), 6.0).otherwise(0.0)
-    several = F.when(c("bodies") == c("items"), 2.0).when(c("bodies") < c("items"), -6.0 * (c("items") - c("bodies"))).otherwise(-5.0 * (c("bodies") - c("items"))) - F.when(c("longest") > c("least_body"), 4.0).otherwise(0.0)
-    body = F.when(c("bodies") == 0, -2.0 * c("items")).when(c("bodies") == 1, single).otherwise(several)
-    rest = -2.5 * F.greatest(F.lit(0), c("pictures") - 1) - 3.0 * c("data")
-    return p.select("outline_id", "idx", "template_id", "exemplar_id", "archetype", "rank", F.bround(title + body + rest, 2).alias("score"))
+    data, quote, diagram = c("has_chart") | (c("table_cols") > 0), c("quote_chars") > 0, c("diagram") > 0
+    has_title, structural = c("title").isNotNull(), c("archetype").isin(*STRUCTURAL)
+    n_data = c("charts") + c("tables")
+    in_body = data & (n_data == 0)
+    widest = F.array_max(F.transform("body_places", lambda x: F.struct(x["area"].alias("area"), (-x["slot_id"]).alias("low"), x["w"].alias("w"))))
+    real = F.when((F.size("body_places") == 0) & structural & ((c("items") > 0) | (c("n_kpis") > 0)), c("subtitle_places")).otherwise(c("body_places"))
+    left = F.when(diagram, F.filter(real, lambda x: F.lit(False))).when(in_body, F.filter(real, lambda x: x["slot_id"] != -c("widest.low"))).otherwise(real)
+    p = p.withColumn("widest", widest).withColumn("places", left).withColumn("n", F.size("places").cast("long"))
+    first = lambda name: F.get("places", F.lit(0))[name]
+    tight = lambda places: F.size(F.filter(F.zip_with(F.slice(places, F.lit(1), F.greatest(c("items").cast("int"), F.lit(0))), c("item_chars"), lambda s, n: (s["capacity"] > 0) & (s["capacity"] < n)), lambda x: F.coalesce(x, F.lit(False))))
+    title = F.when((c("title_chars") > 0) & ~has_title & ~quote, F.when(F.size("subtitle_places") > 0, -2.0).otherwise(-5.0)).when(has_title & (c("title.capacity") > 0) & (c("title_chars") > c("title.capacity")), -3.0).otherwise(0.0)
+    seen = F.floor(F.floor(c("title.w") / 12700 / (0.5 * c("title.size_pt"))) * c("visible") / c("title.w"))
+    under = F.when(has_title & (c("title_over") > 0.2), -5.0 - F.when(c("title_chars") > seen, 8.0).otherwise(0.0)).otherwise(0.0)
+    fitting = (c("has_chart") & (c("charts") > 0)) | ((c("table_cols") > 0) & (c("tables") > 0))
+    cell = F.when(in_body, c("widest.w")).otherwise(F.get("data_places", F.lit(0))["w"])
+    narrow = F.when((c("table_cols") > 0) & (cell / F.greatest(c("table_cols"), F.lit(1)) < geo.INCH), 3.0).otherwise(0.0)
+    of_data = F.when(in_body, -6.0 - narrow).when(data, F.when(fitting, 2.0).otherwise(0.0) - 3.0 * (n_data - 1) - narrow).otherwise(0.0)
+    share = c("wide") * c("high") / (geo.SLIDE_W * geo.SLIDE_H)
+    inside = F.greatest(F.lit(0), F.least(c("title.x") + c("title.w"), c("left") + c("wide")) - F.greatest(c("title.x"), c("left"))) * F.greatest(F.lit(0), F.least(c("title.y") + c("title.h"), c("top") + c("high")) - F.greatest(c("title.y"), c("top")))
+    no_diagram = (c("bodies") == 0) | c("wide").isNull() | (share < 0.15) | (c("wide") < 1.3 * c("high")) | F.coalesce(inside > 0.2 * c("title.w") * c("title.h"), F.lit(False))
+    of_diagram = F.when(diagram, 4.0 * F.least(F.lit(1.0), share / 0.4) + F.when(c("columns") > 1, F.when(c("columns") == c("diagram"), 2.0).otherwise(-8.0)).otherwise(0.0)).otherwise(0.0)
+    headed = c("archetype").isin("section", "title")
+    of_quote = F.when(quote & ~headed & (c("n") > 0) & (first("capacity") > 0) & (c("quote_chars") > first("capacity")), -3.0).otherwise(0.0)
+    impossible = (in_body & (c("bodies") == 0)) | (diagram & no_diagram) | (quote & ((headed & ~has_title) | (~headed & (c("n") == 0))))
+    kpis = (
+        F.when(c("n_kpis") == 0, 0.0).when(c("numbers") > 0, _capacity(c("big_numbers"), c("n_kpis"), 2.0, 5.0)).when(c("archetype") == "cards", _capacity(c("labels"), c("n_kpis"), 1.5, 5.0) - 1.0)
+        .when((c("n") == 1) & (first("lines") >= c("n_kpis")), -1.0).otherwise(-3.0 * c("n_kpis"))
+    )
+    cap = F.when(first("lines") > 0, first("lines")).otherwise(6)
+    single = F.when(c("items") <= cap, 1.0).otherwise(-1.5 * (c("items") - cap)) - F.when((first("capacity") > 0) & (c("total") > first("capacity")), 6.0).otherwise(0.0)
+    sparse = lambda have: F.when(2 * c("items") <= have, 4.0).otherwise(0.0)
+    several = _capacity(c("n"), c("items"), 5.0, 6.0) - sparse(c("n")) - F.when(c("labels") > 0, F.abs(c("labels") - c("n"))).otherwise(0) - 4.0 * tight(c("places"))
+    marks = c("labels") + c("captions")
+    labelled = _capacity(marks, c("items"), 5.0, 3.0) - 1.0 - sparse(marks) - 4.0 * tight(c("label_places"))
+    items = F.when(c("items") == 0, 0.0).when(c("n") == 1, single).when(c("n") > 1, several).when(marks > 0, labelled).otherwise(-2.0 * c("items"))
+    with_, without = PICTURE_WORTH[images]
+    pictures = F.when(c("pictures") == 0, 0.0).when(c("has_image"), with_ - 2.5 * (c("pictures") - 1) - F.when(c("picture_over") >= 0.5, 8.0).otherwise(0.0)).otherwise(without)
+    rest = F.when((c("icons") > 0) & F.lit(icons), 1.0).otherwise(0.0) - F.when(c("fill") > max_fill, 10.0 * (c("fill") - max_fill)).otherwise(0.0)
+    score = c("confidence") + title + under + of_data + of_diagram + of_quote + kpis + items + pictures + rest
+    return p.where(~F.coalesce(impossible, F.lit(False))).select("outline_id", "idx", "template_id", "exemplar_id", "archetype", "rank", F.bround(score, 2).alias("score"))
 
 
 def best_exemplar(scores: DataFrame) -> DataFrame:

@@ -30,6 +30,14 @@ def _labels(f: Fixtures):
     return f.slides().where("slide_id % 4 = 0").select("slide_id", F.element_at(names, (F.col("slide_id") % 3 + 1).cast("int")).alias("label"))
 
 
+def _demands(f: Fixtures):
+    a, k, n = F.col("archetype"), F.col("doc_id"), F.size("bullets")
+    return f.outline().withColumns({
+        "n_kpis": F.when(a == "kpi", F.least(n, F.lit(4))).otherwise(0), "has_chart": a == "chart", "table_cols": F.when(a == "table", 3 + k % 4).otherwise(0), "has_image": a.isin("image_text", "image_full") & (k % 2 == 0),
+        "quote_chars": F.when(a == "quote", F.char_length("title") + 2).otherwise(0), "diagram": F.when(a == "process", F.least(n, F.lit(6))).otherwise(0),
+    })
+
+
 def _chain(f: Fixtures):
     return layout.fallbacks(f.spark)
 
@@ -40,7 +48,7 @@ def _strategies(f: Fixtures):
 
 
 def _scores(f: Fixtures):
-    return layout.match_scores(layout.needs(f.outline()), layout.offers(f.slots()), _chain(f))
+    return layout.match_scores(layout.needs(_demands(f)), layout.offers(f.slots()), _chain(f))
 
 
 def _items(f: Fixtures):
@@ -65,6 +73,8 @@ def _modified(f: Fixtures):
     return c.select("hex", *[color.modified(F.col("r"), F.col("g"), F.col("b"), **m).alias(n) for n, m in made.items()])
 
 
+OFFER = ["template_id", "exemplar_id", "archetype", "bodies", "labels", "captions", "numbers", "big_numbers", "pictures", "icons", "charts", "tables", "fill", "columns", "wide", "high", "visible"]
+
 RUN = {
     "a04_lines_over_blocks": lambda f: layout.lines_over_blocks(f.shapes()),
     "a05_overflow": overflow,
@@ -81,8 +91,8 @@ RUN = {
     "c10_slot_roles": lambda f: layout.slot_roles(f.shapes(), _picked(f), layout.title_choice(f.shapes())),
     "c11_collapse": lambda f: layout.collapse_groups(f.slots(), ("icon", "other", "date")),
     "c12_overlay": lambda f: layout.overlay_labels(_picked(f), _labels(f), ARCHETYPES),
-    "x01_needs": lambda f: layout.needs(f.outline()),
-    "x02_offers": lambda f: layout.offers(f.slots()),
+    "x01_needs": lambda f: layout.needs(_demands(f)).drop("item_chars"),
+    "x02_offers": lambda f: layout.offers(f.slots()).select(*OFFER, F.col("title.capacity").alias("title_capacity"), F.size("body_places").cast("long").alias("n_bodies"), F.coalesce(F.get("body_places", F.lit(0))["capacity"], F.lit(-1)).alias("first_body"), F.bround("title_over", 4).alias("title_over"), F.bround("picture_over", 4).alias("picture_over")),
     "x03_chain": lambda f: f.outline().select("outline_id", "idx", F.col("archetype").alias("wanted")).join(F.broadcast(layout.candidate_chain(_chain(f), _strategies(f))), "wanted").groupBy("name", "wanted", "archetype", "rank", "penalty").agg(F.count("*").alias("slides")),
     "x04_scores": lambda f: _scores(f),
     "x05_best": lambda f: layout.best_exemplar(_scores(f)),
@@ -120,10 +130,21 @@ VIEWS["fx_scores"] = """select deck_id, slide_id, slide_idx, rule, archetype, ro
   from (select f.*, form, columns, t.slide_id is not null as ht, n_slides, texts - numbers - (t.slide_id is not null)::int as bl from fx_features f join (select slide_id, form, columns from fx_axes) a using (slide_id) left join (select slide_id from fx_titles) t using (slide_id) join (select deck_id, count(*) as n_slides from fx_slides group by 1) n using (deck_id))) where round_even(least(1.0::double, score), 2) > 0"""
 VIEWS["fx_picked"] = """select *, (score < 0.7 or round_even(score - second_score, 2) <= 0.15) and not (archetype = 'freeform' and score >= 0.7) as ambiguous from (select deck_id, slide_id, slide_idx, max(archetype) filter (k = 1) as archetype, max(score) filter (k = 1) as score, max(archetype) filter (k = 2) as second, coalesce(max(score) filter (k = 2), 0) as second_score
   from (select *, row_number() over (partition by slide_id order by score desc, rule) as k from fx_scores) where k <= 2 group by 1, 2, 3)"""
-VIEWS["fx_needs"] = """select outline_id, idx, archetype, len(bullets) as items, coalesce(list_max(list_transform(bullets, lambda b: length(b))), 0) as longest, coalesce(list_sum(list_transform(bullets, lambda b: length(b))), 0)::bigint as total, length(title) as title_chars from fx_outline"""
-VIEWS["fx_offers"] = """select template_id, exemplar_id, archetype, count(*) filter (kind = 'body') as bodies, count(*) filter (kind = 'label') as labels, count(*) filter (kind = 'number') as numbers, count(*) filter (kind = 'picture') as pictures, count(*) filter (kind in ('chart', 'table')) as data,
-  max(capacity) filter (kind = 'title') as title_capacity, coalesce(sum(capacity) filter (kind = 'body'), 0)::bigint as body_capacity, coalesce(min(capacity) filter (kind = 'body'), 0) as least_body, round_even(least(1.0::double, sum(w * h)::double / (12192000::bigint * 6858000)), 4) as fill, coalesce(any_value(cs), 0) as columns
-  from fx_slots left join (select exemplar_id as e, 1 + count(*) filter (gap > narrow // 2) as cs from (select exemplar_id, x - lag(x) over (partition by exemplar_id order by x, slot_id) as gap, min(w) over (partition by exemplar_id) as narrow from fx_slots where kind = 'body') group by 1) on e = exemplar_id group by 1, 2, 3"""
+VIEWS["fx_needs"] = """select outline_id, idx, archetype, len(bullets) as items, coalesce(list_max(list_transform(bullets, lambda b: length(b))), 0) as longest, (coalesce(list_sum(list_transform(bullets, lambda b: length(b))), 0) + 2 * len(bullets))::bigint as total, length(title) as title_chars, list_transform(bullets, lambda b: length(b)) as item_chars,
+  archetype = 'chart' as has_chart, archetype in ('image_text', 'image_full') and doc_id % 2 = 0 as has_image, case when archetype = 'kpi' then least(len(bullets), 4) else 0 end as n_kpis, case when archetype = 'table' then 3 + doc_id % 4 else 0 end as table_cols,
+  case when archetype = 'quote' then length(title) + 2 else 0 end as quote_chars, case when archetype = 'process' then least(len(bullets), 6) else 0 end as diagram from fx_outline"""
+VIEWS["fx_place"] = """select *, {'r': floor(y / 571500.0::double), 'x': x, 's': slot_id, 'c': capacity, 'l': floor(h / 12700.0::double / (1.2::double * size_pt))::bigint, 'a': w * h, 'w': w} as pl, kind not in ('title', 'subtitle', 'slide_number', 'footer', 'date') as own from fx_slots"""
+VIEWS["fx_visible"] = """select exemplar_id, arg_min(greatest(0, least(x + w, coalesce(r, x + w)) - greatest(x, coalesce(l, x))), slot_id) as visible from (select t.exemplar_id, t.slot_id, t.x, t.w, max(case when o.x + o.w <= t.x + t.w / 2.0 then o.x + o.w end) as l, min(case when o.x > t.x + t.w / 2.0 then o.x end) as r
+  from fx_slots t left join fx_slots o on t.exemplar_id = o.exemplar_id and o.kind <> 'title' and o.y < t.y + t.h and o.y + o.h > t.y where t.kind = 'title' group by 1, 2, 3, 4) group by 1"""
+VIEWS["fx_offer0"] = """select template_id, exemplar_id, archetype, confidence, count(*) filter (kind = 'body') as bodies, count(*) filter (kind = 'label') as labels, count(*) filter (kind = 'caption') as captions, count(*) filter (kind = 'number') as numbers, count(*) filter (kind = 'picture') as pictures, count(*) filter (kind = 'icon') as icons,
+  count(*) filter (kind = 'chart') as charts, count(*) filter (kind = 'table') as tables, coalesce(list(pl order by pl) filter (kind = 'body'), []) as body_pl, coalesce(list(pl order by pl) filter (kind = 'subtitle'), []) as sub_pl, coalesce(list(pl order by pl) filter (kind in ('label', 'caption')), []) as label_pl, coalesce(list(pl order by pl) filter (kind in ('chart', 'table')), []) as data_pl,
+  min(slot_id) filter (kind = 'title') as tid, arg_min(slot_id, pl) filter (kind = 'picture') as pid, median(size_pt) filter (kind = 'number') as npt, coalesce(list(size_pt) filter (kind = 'number'), []) as nsz, round_even(least(1.0::double, sum(w * h)::double / (12192000::bigint * 6858000)), 4) as fill,
+  min(x) filter (own) as lf, min(y) filter (own) as tp, max(x + w) filter (own) - min(x) filter (own) as wide, max(y + h) filter (own) - min(y) filter (own) as high from fx_place group by 1, 2, 3, 4"""
+VIEWS["fx_columns"] = "select exemplar_id, 1 + count(*) filter (gap > narrow // 2) as cs from (select exemplar_id, x - lag(x) over (partition by exemplar_id order by x, slot_id) as gap, min(w) over (partition by exemplar_id) as narrow from fx_slots where kind = 'body') group by 1"
+VIEWS["fx_over"] = """select a.exemplar_id, a.slot_id, max(case when b.kind in ('body', 'picture', 'chart', 'table') then i::double / (a.w * a.h) end) as over_t, max(case when b.kind in ('body', 'label', 'caption', 'number') then i::double / (b.w * b.h) end) as over_p
+  from (select a.*, b.kind as bk, b.w as bw, b.h as bh, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) as i from fx_slots a join fx_slots b on a.exemplar_id = b.exemplar_id) a, (select 1) z, lateral (select a.bk as kind, a.bw as w, a.bh as h) b group by 1, 2"""
+VIEWS["fx_offers"] = """select o.*, t.x as tx, t.y as ty, t.w as tw, t.h as th, t.capacity as title_capacity, t.size_pt as tpt, coalesce(cs, 0) as columns, len(list_filter(nsz, lambda v: v >= 0.65::double * npt)) as big_numbers, coalesce(ot.over_t, 0) as title_over, coalesce(op.over_p, 0) as picture_over, visible
+  from fx_offer0 o left join fx_slots t on t.exemplar_id = o.exemplar_id and t.slot_id = tid left join fx_columns c on c.exemplar_id = o.exemplar_id left join fx_over ot on ot.exemplar_id = o.exemplar_id and ot.slot_id = tid left join fx_over op on op.exemplar_id = o.exemplar_id and op.slot_id = pid left join fx_visible v on v.exemplar_id = o.exemplar_id"""
 VIEWS["fx_chain"] = """select * from (values
  ('title', 'title', 0), ('title', 'section', 1), ('title', 'closing', 2), ('title', 'bullets', 3), ('title', 'cards', 4), ('title', 'two_column', 5), ('title', 'image_text', 6), ('title', 'agenda', 7),
  ('section', 'section', 0), ('section', 'title', 1), ('section', 'closing', 2), ('section', 'bullets', 3), ('section', 'cards', 4), ('section', 'two_column', 5), ('section', 'image_text', 6), ('section', 'agenda', 7),
@@ -141,10 +162,24 @@ VIEWS["fx_chain"] = """select * from (values
  ('team', 'team', 0), ('team', 'cards', 1), ('team', 'bullets', 2), ('team', 'cards', 3), ('team', 'two_column', 4), ('team', 'image_text', 5), ('team', 'agenda', 6), ('team', 'section', 7), ('team', 'title', 8), ('team', 'closing', 9),
  ('closing', 'closing', 0), ('closing', 'title', 1), ('closing', 'section', 2), ('closing', 'bullets', 3), ('closing', 'cards', 4), ('closing', 'two_column', 5), ('closing', 'image_text', 6), ('closing', 'agenda', 7),
  ('freeform', 'freeform', 0), ('freeform', 'bullets', 1), ('freeform', 'cards', 2), ('freeform', 'two_column', 3), ('freeform', 'section', 4), ('freeform', 'title', 5), ('freeform', 'closing', 6)) c(wanted, archetype, rank)"""
-VIEWS["fx_match"] = """select outline_id, idx, template_id, exemplar_id, o.archetype, rank, round_even(case when title_capacity is null then -5.0 when title_chars > title_capacity then -3.0 else 0 end
-   + case when bodies = 0 then -2.0 * items when bodies = 1 then case when items <= 1 then 1.0 else -1.5 * (items - 1) end - case when total > body_capacity then 6 else 0 end
-     else case when bodies = items then 2.0 when bodies < items then -6.0 * (items - bodies) else -5.0 * (bodies - items) end - case when longest > least_body then 4 else 0 end end
-   - 2.5 * greatest(0, pictures - 1) - 3.0 * data, 2)::double as score from fx_needs n join fx_chain c on n.archetype = c.wanted join fx_offers o on o.archetype = c.archetype"""
+CAP = "case when {h} = {n} then 2.0 when {h} < {n} then -{s} * ({n} - {h}) else -{e} * ({h} - {n}) end"
+TIGHT = "len(list_filter(range(1, least(len({l}), items) + 1), lambda i: {l}[i].c > 0 and {l}[i].c < item_chars[i]))"
+VIEWS["fx_pairs"] = """select *, case when dia then [] when in_body then list_filter(re, lambda x: x.s <> big.s) else re end as pls from (select n.* exclude (archetype), o.*, rank, has_chart or table_cols > 0 as data, quote_chars > 0 as quo, diagram > 0 as dia, (has_chart or table_cols > 0) and charts + tables = 0 as in_body, tid is not null as ht,
+  list_sort(list_transform(body_pl, lambda x: {'a': -x.a, 's': x.s, 'w': x.w}))[1] as big, case when len(body_pl) = 0 and o.archetype in ('title', 'section', 'closing') and (items > 0 or n_kpis > 0) then sub_pl else body_pl end as re from fx_needs n join fx_chain c on n.archetype = c.wanted join fx_offers o on o.archetype = c.archetype)"""
+VIEWS["fx_match"] = f"""select outline_id, idx, template_id, exemplar_id, archetype, rank, round_even(confidence
+   + case when title_chars > 0 and not ht and not quo then case when len(sub_pl) > 0 then -2.0 else -5.0 end when ht and title_capacity > 0 and title_chars > title_capacity then -3.0 else 0 end
+   + case when ht and title_over > 0.2::double then -5.0 - case when title_chars > floor(floor(tw / 12700.0::double / (0.5::double * tpt)) * visible / tw) then 8 else 0 end else 0 end
+   + case when in_body then -6.0 - nar when data then case when (has_chart and charts > 0) or (table_cols > 0 and tables > 0) then 2.0 else 0 end - 3.0 * (charts + tables - 1) - nar else 0 end
+   + case when dia then 4.0::double * least(1.0::double, shr / 0.4::double) + case when columns > 1 then case when columns = diagram then 2.0 else -8.0 end else 0 end else 0 end
+   + case when quo and not hd and n > 0 and pls[1].c > 0 and quote_chars > pls[1].c then -3.0 else 0 end
+   + case when n_kpis = 0 then 0 when numbers > 0 then {CAP.format(h='big_numbers', n='n_kpis', e='2.0', s='5.0')} when archetype = 'cards' then {CAP.format(h='labels', n='n_kpis', e='1.5', s='5.0')} - 1 when n = 1 and pls[1].l >= n_kpis then -1.0 else -3.0 * n_kpis end
+   + case when items = 0 then 0 when n = 1 then case when items <= cp then 1.0 else -1.5 * (items - cp) end - case when pls[1].c > 0 and total > pls[1].c then 6 else 0 end
+     when n > 1 then {CAP.format(h='n', n='items', e='5.0', s='6.0')} - case when 2 * items <= n then 4 else 0 end - case when labels > 0 then abs(labels - n) else 0 end - 4.0 * {TIGHT.format(l='pls')}
+     when labels + captions > 0 then {CAP.format(h='(labels + captions)', n='items', e='5.0', s='3.0')} - 1 - case when 2 * items <= labels + captions then 4 else 0 end - 4.0 * {TIGHT.format(l='label_pl')} else -2.0 * items end
+   + case when pictures = 0 then 0 when has_image then 3.0 - 2.5 * (pictures - 1) - case when picture_over >= 0.5::double then 8 else 0 end else -5.0 end
+   + case when icons > 0 then 1.0 else 0 end - case when fill > 0.75::double then 10.0::double * (fill - 0.75::double) else 0 end, 2)::double as score
+  from (select *, len(pls) as n, archetype in ('section', 'title') as hd, case when pls[1].l > 0 then pls[1].l else 6 end as cp, wide * high / (12192000 * 6858000.0::double) as shr, case when table_cols > 0 and case when in_body then big.w else data_pl[1].w end / table_cols::double < 914400 then 3.0 else 0.0 end as nar from fx_pairs)
+  where not coalesce((in_body and bodies = 0) or (dia and (bodies = 0 or wide is null or shr < 0.15::double or wide < 1.3::double * high or coalesce(greatest(0, least(tx + tw, lf + wide) - greatest(tx, lf)) * greatest(0, least(ty + th, tp + high) - greatest(ty, tp)) > 0.2::double * tw * th, false))) or (quo and ((hd and not ht) or (not hd and n = 0))), false)"""
 VIEWS["fx_rated"] = "select outline_id, idx, template_id, exemplar_id, max(score - 4.0 * rank)::double as score from fx_match group by 1, 2, 3, 4"
 WRAP = "coalesce(list_reduce(list_prepend(0::bigint, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: length(x))), lambda a, n: case when a % 1000000 > 0 and a % 1000000 + 1 + n <= wd then a + 1 + n else (a // 1000000 + ceil(n * 1.0 / wd)::bigint) * 1000000 + n - (ceil(n * 1.0 / wd)::bigint - 1) * wd end), 0)"
 
@@ -183,8 +218,8 @@ select deck_id, slide_id, slide_idx, z, case when coalesce(z = tz, false) then '
 select template_id, exemplar_id, slot_id, kind, x, y, w, h from fx_slots left join g using (template_id, exemplar_id) where gx is null or not (x >= gx and y >= gy and x + w <= gx2 and y + h <= gy2) union all select template_id, exemplar_id, -1, 'group', gx, gy, gx2 - gx, gy2 - gy from g""",
     "c12_overlay": """with p as (select *, case when slide_id % 4 = 0 then ['cards', null, 'quote'][slide_id % 3 + 1] end as label from fx_picked)
 select deck_id, slide_id, slide_idx, coalesce(label, archetype) as archetype, label is not null as from_label from p""",
-    "x01_needs": "select * from fx_needs",
-    "x02_offers": "select * from fx_offers",
+    "x01_needs": "select * exclude (item_chars) from fx_needs",
+    "x02_offers": "select template_id, exemplar_id, archetype, bodies, labels, captions, numbers, big_numbers, pictures, icons, charts, tables, fill, columns, wide, high, visible, title_capacity, len(body_pl) as n_bodies, coalesce(body_pl[1].c, -1) as first_body, round_even(title_over, 4) as title_over, round_even(picture_over, 4) as picture_over from fx_offers",
     "x03_chain": """with st as (select * from (values ('executive', ['cards', 'two_column']), ('detailed', ['bullets', 'two_column', 'cards']), ('visual', ['image_text', 'cards'])) v(name, pr)),
  c as (select name, wanted, archetype, rank, wanted in ('bullets', 'cards', 'two_column', 'image_text') as flex, archetype in ('bullets', 'cards', 'two_column', 'image_text') as fl, coalesce(nullif(list_position(pr, archetype), 0), 100) as place from fx_chain, st),
  r as (select name, wanted, archetype, case when flex then row_number() over (partition by name, wanted order by not (flex and fl), case when flex and fl then place else 0 end, not (flex and fl and archetype = wanted), rank) - 1 else rank end as rank, case when flex then 2.0 else 4.0 end::double as penalty from c)

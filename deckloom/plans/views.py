@@ -38,7 +38,7 @@ VIEWS = {
     "fx_fixed": """select template_id, round_even(x / 45720.0, 0)::bigint as bx, round_even(y / 45720.0, 0)::bigint as "by", round_even(w / 45720.0, 0)::bigint as bw, round_even(h / 45720.0, 0)::bigint as bh,
         count(distinct slide_id) as n_slides from fx_shapes group by 1, 2, 3, 4, 5 having count(distinct slide_id) >= 3""",
     "fx_slots": f"""select template_id, slide_id as exemplar_id, z as slot_id, {KINDS}[pk % 14 + 1] as kind, x, y, w, h, size_pt, {NAMES}[slide_id % 16 + 1] as archetype,
-        trunc(0.9::double * floor(w / 12700.0::double / (0.5 * size_pt)) * floor(h / 12700.0::double / (1.2 * size_pt)))::bigint as capacity
+        trunc(0.9::double * floor(w / 12700.0::double / (0.5 * size_pt)) * floor(h / 12700.0::double / (1.2 * size_pt)))::bigint as capacity, 0.5::double + (slide_id % 50) / 100.0::double as confidence
         from fx_shapes where slide_id in (select slide_id from (select template_id, slide_id, row_number() over (partition by template_id order by slide_id) as k from (select distinct template_id, slide_id from fx_shapes)) where k <= 4)""",
     "fx_paras": "select doc_id, source, lang, unnest(range(len(string_split(text, chr(10))))) as para_no, unnest(string_split(text, chr(10))) as text from documents",
     "fx_outline": f"""select (doc_id // 12)::varchar as outline_id, doc_id % 12 as idx, doc_id, {NAMES}[doc_id % 16 + 1] as archetype, string_split(text, chr(10))[1] as title,

@@ -93,7 +93,7 @@ class Fixtures:
         return self.shapes().join(low, "slide_id").select(
             "template_id", F.col("slide_id").alias("exemplar_id"), F.col("z").alias("slot_id"), kind.alias("kind"), "x", "y", "w", "h", "size_pt",
             F.element_at(names, (F.col("slide_id") % 16 + 1).cast("int")).alias("archetype"),
-            (0.9 * F.floor(F.col("w") / 12700 / (0.5 * F.col("size_pt"))) * F.floor(F.col("h") / 12700 / (1.2 * F.col("size_pt")))).cast("long").alias("capacity"),
+            (0.9 * F.floor(F.col("w") / 12700 / (0.5 * F.col("size_pt"))) * F.floor(F.col("h") / 12700 / (1.2 * F.col("size_pt")))).cast("long").alias("capacity"), (0.5 + (F.col("slide_id") % 50) / 100).alias("confidence"),
         )
 
     def paras(self) -> DataFrame:
