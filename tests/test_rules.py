@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deckloom.functions import color, text
-from deckloom.operators import audit, content, layout, outline, report
+from deckloom.operators import audit, content, groups, layout, outline, report
 
 W, H = 12192000, 6858000
 SHAPE = "template_id long, deck_id long, slide_id long, slide_idx long, z long, tag string, x long, y long, w long, h long, size_pt double, font string, r int, g int, b int, hex string, bold boolean, chars long, kind string, text string, placeholder string"
@@ -186,3 +186,126 @@ def test_no_python_and_no_cartesian_plans(spark):
     for name in ("a03_overlap", "a11_off_palette", "a26_duplicate_slides", "c08_scores", "k13_near_facts", "m02_color_clusters", "x05_best"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not re.search("CartesianProduct|BroadcastNestedLoop|Python|Pandas|Arrow", plan), name
+
+
+def test_prompts(spark):
+    said = ["Lorem  ipsum dolor", "Заголовок", "a title of its own", "TBD", "insert photo", "Место для фото", "Имя Фамилия", "Speaker name", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k long, t string")
+    got = {r.k: (r.a, bool(r.b), bool(r.c)) for r in df.select("k", text.prompt_pattern(F.col("t")).alias("a"), text.is_photo_prompt(F.col("t")).alias("b"), text.is_speaker_prompt(F.col("t")).alias("c")).collect()}
+    assert [got[k][0] for k in range(10)] == [0, -1, None, 3, 8, None, None, None, None, None]
+    assert [k for k in got if got[k][1]] == [4, 5] and [k for k in got if got[k][2]] == [6, 7]
+
+
+def test_overflow(spark):
+    box = dict(width_chars=10, size_pt=10.0, height_pt=30.0, insets_pt=2.0, gap_pt=0.0, is_title=False, autofit=False, wraps=True)
+    kinds = [{}, {"height_pt": 24.0}, {"is_title": True}, {"autofit": True, "height_pt": 14.0}, {"wraps": False}, {"gap_pt": 20.0}]
+    rows = [(k, *{**box, "height_pt": 14.0, **v}.values()) if v.get("is_title") else (k, *{**box, **v}.values()) for k, v in enumerate(kinds)]
+    boxes = spark.createDataFrame(rows, "doc_id long, width_chars int, size_pt double, height_pt double, insets_pt double, gap_pt double, is_title boolean, autofit boolean, wraps boolean")
+    paras = spark.createDataFrame([(k, t) for k in range(6) for t in (["twelve chars"] if k in (2, 4) else ["one", "two"])], "doc_id long, text string")
+    got = {r.doc_id: r.severity for r in layout.overflow(paras, boxes).collect()}
+    # Two lines need 24 points; 28 are there, or 22, or 12. A title may take two lines; a text that can't wrap is 2 characters too wide.
+    assert got == {3: "warning", 4: "error", 5: "error"}
+
+
+def test_moved_fixed_and_what_is_exempt(spark):
+    step = 45720
+    fixed = spark.createDataFrame([(1, 10, 10, 20, 20, 5), (1, 100, 100, 10, 10, 5), (1, 50, 50, 9, 9, 1)], "template_id long, bx long, by long, bw long, bh long, n_slides long")
+    slides = spark.createDataFrame([(1, 1, s, s) for s in (1, 2, 3)], "template_id long, deck_id long, slide_id long, slide_idx long")
+    there = {"x": 10 * step, "y": 10 * step, "w": 20 * step, "h": 20 * step}
+    s = shapes(spark, there, {**there, "slide_id": 2, "h": 30 * step, "tag": "pic"}, {**there, "slide_id": 3, "h": 30 * step})
+    lost = lambda **k: sorted((r.slide_id, r.bx) for r in audit.moved_fixed(slides, fixed, s, 3, **k).collect())
+    assert lost() == [(1, 100), (2, 100), (3, 10), (3, 100)]  # a stretched picture still covers its box, a longer text does not
+    zone = spark.createDataFrame([(1, 95 * step, 95 * step, 30 * step, 30 * step)], "slide_id long, x long, y long, w long, h long")
+    assert lost(exempt=zone) == [(2, 100), (3, 10), (3, 100)]
+
+
+def test_running_totals_and_numbers_like_plain_ones(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k, rng.randrange(1, 50)) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, k long, size long").repartition(3)
+    want, number = set(), {}
+    for g in ("a", "b", None):
+        used = 0
+        for n, (_, k, size) in enumerate([r for r in rows if r[0] == g], 1):
+            used += size
+            number[k] = n
+            if used <= 700:
+                want.add((g, k, used))
+    got = {(r.g, r.k, r.used) for r in groups.before_overflow(df, ["g"], ["k"], F.col("size"), 700, [F.floor(F.col("k") / 16)]).collect()}
+    assert got == want
+    assert {r.k: r.n for r in groups.numbered(df, ["g"], ["k"], [F.floor(F.col("k") / 16)], "n").collect()} == number
+
+
+def test_long_documents_lose_nothing_in_chunks(spark):
+    rng = random.Random(12)
+    docs = [(k, "\n".join("x" * rng.choice([5, 40, 300, 1100]) for _ in range(rng.randrange(1, 12)))) for k in range(20)] + [(20, ""), (21, "y" * 3000)]
+    df = spark.createDataFrame([("a", k, t) for k, t in docs], "pack string, doc_id long, text string")
+    got = content.chunks(df, "pack", size=1000, most=5).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r.n)
+    for k, t in docs:
+        solid = len(t) if len(t) <= 800 else sum(len(x) for x in t.split("\n"))
+        joins = 0 if len(t) <= 800 else sum(by[k]) - solid
+        assert sum(by[k]) == solid + joins and 0 <= joins <= 2 * t.count("\n") and max(by[k]) <= max(800, 0)
+    order = sorted(got, key=lambda r: (r.doc_id, r.piece))
+    chunk, used = 0, 0
+    for r in order:
+        if used and used + r.n > 1000:
+            chunk, used = chunk + 1, 0
+        used += r.n + 2
+        assert r.chunk == (chunk if chunk < 5 else None)
+    assert any(r.chunk is None for r in got)
+
+
+def test_facts_are_chosen_like_by_a_loop(spark):
+    rng = random.Random(13)
+    words = ["alpha", "bravo", "charlie", "delta", "echoes", "foxtrot", "golfer", "hotel", "indigo", "juliet"]
+    facts = [(rng.choice(["a", "a", "b"]), k, " ".join(rng.sample(words, rng.randrange(2, 6))), rng.randrange(1, 4)) for k in range(120)]
+    want = []
+    for p in ("a", "b"):
+        used, chosen = 0, []
+        for _, k, t, w in sorted([f for f in facts if f[0] == p], key=lambda f: (-f[3], f[1])):
+            stems = {x[:5] for x in t.split()}
+            if used + len(t) <= 200 and all(len(stems & c) / min(len(stems), len(c)) < 0.6 for _, c in chosen):
+                used += len(t)
+                chosen.append((k, stems))
+        want += [(p, k, n) for n, k in enumerate(sorted(k for k, _ in chosen), 1)]
+    df = spark.createDataFrame(facts, "pack string, id long, text string, weight int")
+    for step in (500, 7):  # one round, and many
+        assert sorted((r.pack, r.id, r.n) for r in content.select_facts(df, 200, step=step).collect()) == sorted(want)
+
+
+def test_reuse_looks_at_every_candidate(spark):
+    scores = [("d", i, 1, e, "cards", 0, 10.0 - (0.5 * e)) for i in range(20) for e in range(9)]
+    df = spark.createDataFrame(scores, "outline_id string, idx long, template_id long, exemplar_id long, archetype string, rank long, score double")
+    uses, want = {}, []
+    for i in range(20):
+        e = min(range(9), key=lambda e: (-(10.0 - 0.5 * e - 2.0 * min(uses.get(e, 0), 3)), e))
+        uses[e] = uses.get(e, 0) + 1
+        want.append((i, e))
+    assert sorted((r.idx, r.exemplar_id) for r in layout.reuse_aware(df).collect()) == want and len({e for _, e in want}) > 6
+
+
+def test_copies_of_slides_are_paired_with_the_first(spark):
+    docs = spark.createDataFrame([(k, "s", "one two three four five six" + (" seven" if k == 9 else "")) for k in range(10)] + [(10, "s", "other words that are not the same at all")], "doc_id long, source string, text string")
+    got = sorted((r.doc_id, r.other, r.jaccard) for r in audit.duplicate_slides(docs, "source").collect())
+    assert got == [(0, k, 1.0) for k in range(1, 9)] + [(0, 9, 0.8571)]
+
+
+def test_second_round(spark):
+    kind = "check_id string, severity string, deck_id long, slide_idx long, z long"
+    before = spark.createDataFrame([("L01", "error", 1, 0, 1), ("T02", "warning", 1, 0, 2), ("I03", "error", 2, 0, None), ("T02", "warning", 2, 1, 1)], kind)
+    after = spark.createDataFrame([("T02", "warning", 1, 0, 2), ("L02", "warning", 1, 0, 2), ("I03", "error", 2, 0, None)], kind)
+    assert [(r.check_id, r.deck_id) for r in report.second_round(before, after).collect()] == [("T02", 1)]
+    assert {r.deck_id: (r.fixed, r.remaining, r.new) for r in report.fix_effect(before, after).collect()} == {1: (1, 1, 1), 2: (1, 1, 0)}
+
+
+def test_every_rule_names_a_known_fix(spark):
+    from deckloom.plans.report import RULES
+    from deckloom.sources.fixtures import Prepared
+
+    assert len({n.split("_")[0] for n in RULES}) >= 24 and len(RULES) == 28
+    known = {f[0] for f in report.FIXES}
+    found = report.run_rules({k: RULES[k] for k in ("L06_margins", "T03_off_palette", "D03_large_tables", "I05_charts")}, Prepared(spark, "/root/testdata/sf0.001"))
+    assert {r.autofix for r in found.select("autofix").distinct().collect()} <= known
