@@ -1,8 +1,9 @@
+import math
 import random
 
 import numpy as np
 
-from deckloom.llm.quality import VOTERS, fit_votes, keep_good, measures, quality_classifier, votes
+from deckloom.llm.quality import CLASSES, DIMS, VOTERS, features, fit_votes, keep_good, measures, quality_classifier, votes
 
 from .docs import awkward, empty
 
@@ -54,3 +55,46 @@ def test_small_bound_and_empty_table(spark):
     got = quality_classifier(docs, train_rows=150)
     assert got.count() == 400
     assert quality_classifier(empty(spark)).collect() == []
+
+
+def test_votes_like_plain_expectation_maximisation():
+    rng = random.Random(3)
+    k = len(VOTERS)
+    rows = [[rng.choice([0, 1, 2, 2] if j % 2 else [0, 0, 1, 2]) for _ in range(k)] for j in range(200)]
+    patterns = {}
+    for r in rows:
+        patterns[tuple(r)] = patterns.get(tuple(r), 0) + 1
+    post = {}
+    for v in patterns:
+        bad, good = v.count(0), v.count(2)
+        post[v] = 0.1 / bad if bad else 0.95 if good else 0.5
+    for _ in range(100):
+        weight = [{v: n * (1 - post[v]) for v, n in patterns.items()}, {v: n * post[v] for v, n in patterns.items()}]
+        table = [[[0.5 + sum(w for v, w in weight[c].items() if v[j] == x) for x in range(3)] for c in (0, 1)] for j in range(k)]
+        prior = [(sum(w.values()) + 1) / (len(rows) + 2) for w in weight]
+        new = {}
+        for v in patterns:
+            like = [prior[c] * math.prod(table[j][c][v[j]] / sum(table[j][c]) for j in range(k)) for c in (0, 1)]
+            new[v] = like[1] / sum(like)
+        done = max(abs(new[v] - post[v]) for v in patterns) < 1e-6
+        post = new
+        if done:
+            break
+    codes = [sum(x * 3 ** (k - 1 - j) for j, x in enumerate(v)) for v in patterns]
+    got, _ = fit_votes(np.array(codes), np.array(list(patterns.values()), float))
+    assert np.abs(got - np.array(list(post.values()))).max() < 1e-6
+
+
+def test_features_like_plain_counts():
+    text = ("The house, by the river! 12 of 9 — é" * 3).encode()
+    values = measures(text)
+    want = np.zeros(DIMS)
+    kinds = [CLASSES[b] for b in text]
+    for i in range(len(kinds) - 3):
+        code = kinds[i] * 4096 + kinds[i + 1] * 256 + kinds[i + 2] * 16 + kinds[i + 3]
+        want[(code * 2654435761 % (1 << 32)) >> 20] += 1
+    want = np.sqrt(want / want.sum())
+    for k, x in enumerate(values):
+        if x == x:
+            want[((k * 64 + min(int(x * 20), 63)) * 2654435761 % (1 << 32)) >> 20] += 0.5
+    assert np.abs(features(text, values) - want).max() < 1e-6

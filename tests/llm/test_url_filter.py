@@ -1,9 +1,10 @@
+import math
 import random
 import re
 
 import numpy as np
 
-from deckloom.llm.url_filter import ORDER, RULES, SIGNS, grams, log_probabilities, url_filter
+from deckloom.llm.url_filter import BINS, MARKS, ORDER, RANGE, REJECT_TERMS, RULES, SIGNS, _examples, grams, log_probabilities, url_filter
 
 ODD = [None, "", "no scheme", "http://", "HTTP://WWW.Example.NET", "http://net", "http://net/", "x://a.b.example.net/en/1?q=http://org/fr/", "http://example.net/en", "http://example.org/fr/#x", "http://notnet/", "https://example.com?/de/",
        "http://sub.EXAMPLE.com/de/9", "http://a.org/fr/é" * 40, "\n://x\ny/z w"]
@@ -55,6 +56,58 @@ def test_like_plain_rules_and_found_by_the_models(spark):
     assert wrong < 10 and {r.verdict for r in got if r.page_id < 2} == {"allow"}
 
 
+def plain_signs(url):
+    kinds = "abcdefghijklmnopqrstuvwxyz"
+    out = []
+    for b in url.encode():
+        c = chr(b).lower()
+        out.append(1 + kinds.index(c) if c in kinds else 27 if c.isdigit() and b < 128 else 28 + MARKS.index(c) if c in MARKS else SIGNS - 1)
+    return out
+
+
+def plain_model(urls):
+    """P(sign | up to three signs before) by plain counts, mixed with shorter contexts by Witten-Bell weights."""
+    seen = {}
+    for u in urls:
+        s = [0] * 3 + plain_signs(u)
+        for i in range(3, len(s)):
+            for k in range(4):
+                own = seen.setdefault(tuple(s[i - k : i]), {})
+                own[s[i]] = own.get(s[i], 0) + 1
+
+    def p(context, sign):
+        below = p(context[1:], sign) if context else 1 / SIGNS
+        own = seen.get(context, {})
+        total = sum(own.values())
+        return (own.get(sign, 0) + len(own) * below) / (total + len(own)) if total else below
+
+    return p
+
+
+def test_model_and_verdicts_like_plain_ones(spark):
+    given = urls()[:400]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(given)], "page_id long, url string")
+    examples = [(r.url, r.bad, r.calibration) for r in _examples(pages, "url", REJECT_TERMS).collect()]
+    good, bad = plain_model([u for u, b, c in examples if not b and not c]), plain_model([u for u, b, c in examples if b and not c])
+
+    def score(url):
+        s = [0] * 3 + plain_signs(url)
+        return sum(math.log(good(tuple(s[i - 3 : i]), s[i]) / bad(tuple(s[i - 3 : i]), s[i])) for i in range(3, len(s))) / (len(s) - 3)
+
+    scores = {u: score(u) for u in given}
+    held = [(scores[u], b) for u, b, c in examples if c]
+    edges = [k / BINS * 2 * RANGE - RANGE for k in range(BINS + 1)]
+    wrong = [sum(x < e for x, b in held if not b) / sum(not b for _, b in held) + sum(x >= e for x, b in held if b) / sum(b for _, b in held) for e in edges]
+    best = [e for e, w in zip(edges, wrong) if w <= min(wrong) + 1e-12]
+    assert min(wrong) < 0.2
+    got = url_filter(pages).collect()
+    assert max(abs(r.score - scores[r.url]) for r in got) < 1e-4
+    for r in got:
+        rule = plain(r.url)[3]
+        if not rule and min(abs(r.score - e) for e in (best[0], best[-1])) > 0.02:
+            assert r.verdict == ("block" if r.score < best[len(best) // 2] else "allow")
+
+
 def test_nothing_to_learn_from(spark):
     pages = spark.createDataFrame([(1, "http://a.example.com/"), (2, None)], "page_id long, url string")
     assert [r.verdict for r in url_filter(pages).collect()] == ["allow", "allow"]
