@@ -32,16 +32,30 @@ def title_choice(shapes: DataFrame, ratio: float = 1.15, short: int = 80, band:
     return own.unionByName(found)
 
 
+#: Outlines of shapes that are connectors, arrows and round marks.
+LINES = ("line", "straightConnector1", "bentConnector3", "curvedConnector3")
+ARROWS = ("rightArrow", "leftArrow", "chevron", "homePlate", "notchedRightArrow", "curvedRightArrow", "bentArrow")
+ROUND = ("ellipse", "roundRect", "round2SameRect")
+
+
 def features(shapes: DataFrame, slide_w: int = geo.SLIDE_W, slide_h: int = geo.SLIDE_H) -> DataFrame:
-    """Counts and shares of a slide's shapes in one aggregation, numbers by size against the slide's median."""
+    """Counts and shares of a slide's shapes in one aggregation.
+
+    Numbers are short texts somewhat larger than the slide's median, or a little longer ones of twice its size. Icons are small
+    and about square; connectors, arrows and round marks are told by their outline (preset).
+    """
     full = slide_w * slide_h
     m = shapes.where("tag = 'sp'").groupBy("slide_id").agg(F.median("size_pt").alias("median"))
     s = shapes.join(m, "slide_id", "left")
     text_ = F.col("tag") == "sp"
     big = geo.area() / full
+    number = text_ & (((F.col("chars") <= 5) & (F.col("size_pt") >= 1.3 * F.col("median"))) | ((F.col("chars") <= 6) & (F.col("size_pt") >= 2 * F.col("median"))))
+    icon = (big <= 0.01) & (F.col("w") / F.col("h")).between(0.6, 1.6) & F.col("kind").isin("text", "picture")
+    shaped = lambda *names: F.coalesce(F.col("preset").isin(*names), F.lit(False))
     f = s.groupBy(*SLIDE).agg(
-        F.count_if(text_).alias("texts"), F.count_if(text_ & (F.col("chars") <= 5) & (F.col("size_pt") >= 1.3 * F.col("median"))).alias("numbers"), F.count_if(F.col("tag") == "pic").alias("pictures"),
-        F.count_if(F.col("kind") == "chart").alias("charts"), F.count_if(F.col("kind") == "table").alias("tables"),
+        F.count_if(text_).alias("texts"), F.count_if(number).alias("numbers"), F.count_if(F.col("tag") == "pic").alias("pictures"),
+        F.count_if(F.col("kind") == "chart").alias("charts"), F.count_if(F.col("kind") == "table").alias("tables"), F.count_if(icon).alias("icons"),
+        F.count_if(shaped(*LINES)).alias("connectors"), F.count_if(shaped(*ARROWS)).alias("arrows"), F.count_if(shaped(*ROUND) & (big <= 0.02)).alias("round_marks"),
         F.max(F.when(F.col("tag") == "pic", F.bround(big, 4)).otherwise(0.0)).alias("big_picture"), F.max(F.when(text_, F.bround(big, 4)).otherwise(0.0)).alias("big_text"), F.max(F.when(text_, F.col("chars")).otherwise(0)).alias("longest"),
         F.max("median").alias("median"), F.bround(F.least(F.lit(1.0), F.sum(geo.area()) / full), 4).alias("fill"),
     )
@@ -128,18 +142,18 @@ def archetype_scores(f: DataFrame) -> DataFrame:
         "chart": one(c("charts") > 0, 0.95),
         "freeform": F.when((c("pictures") >= 30) | (c("texts") + c("pictures") + c("charts") + c("tables") == 0), 0.9).otherwise(0.3),
         "title": F.when(c("has_title"), one(c("slide_idx") == 0, 0.5) + one((c("slide_idx") > 0) & (c("slide_idx") <= 5), 0.3) + one(sparse, 0.2) - one(blocks >= 6, 0.5) - one(c("big_text") >= 0.2, 0.3)).otherwise(0.0),
-        "closing": one(c("kw_closing"), 0.6) + one(last & sparse & c("has_title"), 0.4) + one(c("texts") <= 4, 0.2),
+        "closing": F.when(c("kw_closing"), 0.6 + one(last, 0.15) + one(c("texts") <= 4, 0.2)).when(last & sparse & c("has_title"), 0.4 + one(c("texts") <= 4, 0.2)).otherwise(0.0),
         "section": F.when(c("has_title") & (c("slide_idx") > 0) & (blocks <= 1) & (c("big_picture") < 0.25), 0.4 + one(c("numbers") > 0, 0.15)).otherwise(0.0),
-        "agenda": one(c("kw_agenda"), 0.5) + one((c("form") == "list") & (c("texts") >= 4), F.least(F.lit(0.45), 0.3 + 0.05 * (c("texts") - 4))),
+        "agenda": one(c("kw_agenda"), 0.5) + one((c("form") == "list") & (c("texts") >= 4), F.least(F.lit(0.45), 0.3 + 0.05 * (c("texts") - 4)) + one((c("round_marks") >= c("texts")) | (c("icons") >= c("texts")), 0.2)),
         "kpi": F.when(c("numbers") > 0, 0.5 + 0.15 * F.least(c("numbers"), F.lit(3)) - one(c("big_picture") >= 0.25, 0.2)).otherwise(0.0),
-        "process": one(c("form") == "staircase", 0.5) + one((c("form") == "row") & (c("texts") >= 3), 0.4),
+        "process": one(c("form") == "staircase", 0.5) + one((c("form") == "row") & (c("texts") >= 3), 0.4) + F.when(c("connectors") >= 2, 0.4).when(c("connectors") == 1, 0.2).otherwise(0.0) + one(c("arrows") > 0, 0.3),
         "team": one((c("pictures") >= 2) & (c("texts") >= 2), 0.6) + one(c("pictures") >= 3, 0.1),
-        "cards": F.when(c("texts") >= 3, 0.5 + F.least(F.lit(0.4), 0.1 * (c("texts") - 2)) - one(c("form") == "staircase", 0.3) - one(c("big_picture") >= 0.25, 0.25) - one(c("form") == "table", 0.4)).otherwise(0.0),
+        "cards": F.when(c("texts") >= 3, 0.5 + F.least(F.lit(0.4), 0.1 * (c("texts") - 2)) + one(c("icons") >= c("texts"), 0.15) - one((c("connectors") > 0) | (c("arrows") > 0), 0.3) - one(c("form") == "staircase", 0.3) - one(c("big_picture") >= 0.25, 0.25) - one(c("form") == "table", 0.4)).otherwise(0.0),
         "two_column": one((c("texts") == 2) & (c("columns") == 2), 0.7),
         "bullets": F.when((c("texts") <= 2) & (c("big_text") >= 0.1), 0.7 - one(~c("has_title"), 0.3)).otherwise(0.0),
         "image_text": one((c("big_picture") >= 0.1) & (c("big_text") >= 0.05), 0.65),
         "image_full": F.when(c("big_picture") >= 0.25, 0.6 + one(c("big_picture") >= 0.5, 0.05)).otherwise(0.0),
-        "quote": F.when((c("texts") == 1) & (c("longest") >= 30) & (c("big_picture") < 0.25), 0.5 + one(c("kw_quote"), 0.3) + one(~c("has_title"), 0.2)).otherwise(0.0),
+        "quote": F.when((c("texts") == 1) & (c("longest") >= 60) & (c("big_picture") < 0.25), 0.5 + one(c("kw_quote"), 0.3) + one(~c("has_title"), 0.2)).otherwise(0.0),
     }
     rows = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(k).alias("archetype"), F.bround(F.least(F.lit(1.0), v), 2).alias("score")) for i, (k, v) in enumerate(scores.items())])
     return f.select(*SLIDE, F.inline(rows)).where("score > 0")

@@ -112,21 +112,22 @@ VIEWS["fx_free"] = "select * from fx_shapes where tag = 'sp' and slide_id not in
 VIEWS["fx_titles"] = """select deck_id, slide_id, slide_idx, z, size_pt, median from (select deck_id, slide_id, slide_idx, arg_max(z, (size_pt, -y, -z)) as z, max(size_pt) as size_pt from fx_free where chars <= 80 and (slide_idx = 0 or y < 0.3::double * 6858000) group by 1, 2, 3) t
   left join (select a.slide_id, median(a.size_pt) as median from fx_free a join (select slide_id, arg_max(z, (size_pt, -y, -z)) as tz from fx_free where chars <= 80 and (slide_idx = 0 or y < 0.3::double * 6858000) group by 1) b on a.slide_id = b.slide_id and a.z <> b.tz group by 1) m using (slide_id)
   where median is null or size_pt >= 1.15::double * median union all select deck_id, slide_id, slide_idx, min(z), arg_min(size_pt, z), null from fx_shapes where placeholder = 'title' group by 1, 2, 3"""
-VIEWS["fx_features"] = """select deck_id, slide_id, slide_idx, count(*) filter (tag = 'sp') as texts, count(*) filter (tag = 'sp' and chars <= 5 and size_pt >= 1.3::double * med) as numbers, count(*) filter (tag = 'pic') as pictures, count(*) filter (kind = 'chart') as charts,
-  count(*) filter (kind = 'table') as tables, max(case when tag = 'pic' then round_even((w * h)::double / (12192000::bigint * 6858000), 4) else 0 end) as big_picture, max(case when tag = 'sp' then round_even((w * h)::double / (12192000::bigint * 6858000), 4) else 0 end) as big_text,
+VIEWS["fx_features"] = """select deck_id, slide_id, slide_idx, count(*) filter (tag = 'sp') as texts, count(*) filter (tag = 'sp' and ((chars <= 5 and size_pt >= 1.3::double * med) or (chars <= 6 and size_pt >= 2 * med))) as numbers, count(*) filter (tag = 'pic') as pictures, count(*) filter (kind = 'chart') as charts,
+  count(*) filter (kind = 'table') as tables, count(*) filter (kind in ('text', 'picture') and (w * h)::double / (12192000::bigint * 6858000) <= 0.01 and w::double / h between 0.6::double and 1.6::double) as icons,
+  count(*) filter (coalesce(preset = 'line', false)) as connectors, count(*) filter (coalesce(preset = 'rightArrow', false)) as arrows, count(*) filter (coalesce(preset = 'ellipse', false) and (w * h)::double / (12192000::bigint * 6858000) <= 0.02) as round_marks, max(case when tag = 'pic' then round_even((w * h)::double / (12192000::bigint * 6858000), 4) else 0 end) as big_picture, max(case when tag = 'sp' then round_even((w * h)::double / (12192000::bigint * 6858000), 4) else 0 end) as big_text,
   max(case when tag = 'sp' then chars else 0 end) as longest, max(med) as median, round_even(least(1.0::double, sum(w * h)::double / (12192000::bigint * 6858000)), 4) as fill from fx_shapes left join (select slide_id, median(size_pt) as med from fx_shapes where tag = 'sp' group by 1) using (slide_id) group by 1, 2, 3"""
 VIEWS["fx_axes"] = """select deck_id, slide_id, slide_idx, columns, rows, n, case when columns = n and rows = n and n >= 3 then 'staircase' when n >= 12 and columns >= 2 and rows >= 4 then 'table' when columns >= 2 and rows >= 2 then 'grid' when columns = 1 then 'list' else 'row' end as form
   from (select deck_id, slide_id, slide_idx, sum(nc)::bigint as columns, sum(nr)::bigint as rows, count(*) as n from (select *, case when x - lag(x) over (partition by slide_id order by x, z) <= 0.03::double * 12192000 then 0 else 1 end as nc, case when y - lag(y) over (partition by slide_id order by y, z) <= 0.03::double * 6858000 then 0 else 1 end as nr from fx_shapes) group by 1, 2, 3)"""
 VIEWS["fx_scores"] = """select deck_id, slide_id, slide_idx, rule, archetype, round_even(least(1.0::double, score), 2) as score from (select deck_id, slide_id, slide_idx, unnest(range(16)) as rule, unnest(['table', 'chart', 'freeform', 'title', 'closing', 'section', 'agenda', 'kpi', 'process', 'team', 'cards', 'two_column', 'bullets', 'image_text', 'image_full', 'quote']) as archetype, unnest([
    case when tables > 0 then 0.95 when form = 'table' then 0.65 else 0 end, case when charts > 0 then 0.95 else 0 end, case when pictures >= 30 or texts + pictures + charts + tables = 0 then 0.9 else 0.3 end,
    case when ht then case when slide_idx = 0 then 0.5 when slide_idx <= 5 then 0.3 else 0 end + case when texts <= 3 then 0.2 else 0 end - case when bl >= 6 then 0.5 else 0 end - case when big_text >= 0.2 then 0.3 else 0 end else 0 end,
-   case when slide_id % 13 = 0 then 0.6 else 0 end + case when slide_idx >= n_slides - 3 and texts <= 3 and ht then 0.4 else 0 end + case when texts <= 4 then 0.2 else 0 end,
+   case when slide_id % 13 = 0 then 0.6 + case when slide_idx >= n_slides - 3 then 0.15 else 0 end + case when texts <= 4 then 0.2 else 0 end when slide_idx >= n_slides - 3 and texts <= 3 and ht then 0.4 + case when texts <= 4 then 0.2 else 0 end else 0 end,
    case when ht and slide_idx > 0 and bl <= 1 and big_picture < 0.25 then 0.4 + case when numbers > 0 then 0.15 else 0 end else 0 end,
-   case when slide_id % 17 = 0 then 0.5 else 0 end + case when form = 'list' and texts >= 4 then least(0.45, 0.3 + 0.05 * (texts - 4)) else 0 end, case when numbers > 0 then 0.5 + 0.15 * least(numbers, 3) - case when big_picture >= 0.25 then 0.2 else 0 end else 0 end,
-   case when form = 'staircase' then 0.5 else 0 end + case when form = 'row' and texts >= 3 then 0.4 else 0 end, case when pictures >= 2 and texts >= 2 then 0.6 else 0 end + case when pictures >= 3 then 0.1 else 0 end,
-   case when texts >= 3 then 0.5 + least(0.4, 0.1 * (texts - 2)) - case when form = 'staircase' then 0.3 else 0 end - case when big_picture >= 0.25 then 0.25 else 0 end - case when form = 'table' then 0.4 else 0 end else 0 end, case when texts = 2 and columns = 2 then 0.7 else 0 end,
+   case when slide_id % 17 = 0 then 0.5 else 0 end + case when form = 'list' and texts >= 4 then least(0.45, 0.3 + 0.05 * (texts - 4)) + case when round_marks >= texts or icons >= texts then 0.2 else 0 end else 0 end, case when numbers > 0 then 0.5 + 0.15 * least(numbers, 3) - case when big_picture >= 0.25 then 0.2 else 0 end else 0 end,
+   case when form = 'staircase' then 0.5 else 0 end + case when form = 'row' and texts >= 3 then 0.4 else 0 end + case when connectors >= 2 then 0.4 when connectors = 1 then 0.2 else 0 end + case when arrows > 0 then 0.3 else 0 end, case when pictures >= 2 and texts >= 2 then 0.6 else 0 end + case when pictures >= 3 then 0.1 else 0 end,
+   case when texts >= 3 then 0.5 + least(0.4, 0.1 * (texts - 2)) + case when icons >= texts then 0.15 else 0 end - case when connectors > 0 or arrows > 0 then 0.3 else 0 end - case when form = 'staircase' then 0.3 else 0 end - case when big_picture >= 0.25 then 0.25 else 0 end - case when form = 'table' then 0.4 else 0 end else 0 end, case when texts = 2 and columns = 2 then 0.7 else 0 end,
    case when texts <= 2 and big_text >= 0.1 then 0.7 - case when not ht then 0.3 else 0 end else 0 end, case when big_picture >= 0.1 and big_text >= 0.05 then 0.65 else 0 end, case when big_picture >= 0.25 then 0.6 + case when big_picture >= 0.5 then 0.05 else 0 end else 0 end,
-   case when texts = 1 and longest >= 30 and big_picture < 0.25 then 0.5 + case when slide_id % 7 = 0 then 0.3 else 0 end + case when not ht then 0.2 else 0 end else 0 end]::double[]) as score
+   case when texts = 1 and longest >= 60 and big_picture < 0.25 then 0.5 + case when slide_id % 7 = 0 then 0.3 else 0 end + case when not ht then 0.2 else 0 end else 0 end]::double[]) as score
   from (select f.*, form, columns, t.slide_id is not null as ht, n_slides, texts - numbers - (t.slide_id is not null)::int as bl from fx_features f join (select slide_id, form, columns from fx_axes) a using (slide_id) left join (select slide_id from fx_titles) t using (slide_id) join (select deck_id, count(*) as n_slides from fx_slides group by 1) n using (deck_id))) where round_even(least(1.0::double, score), 2) > 0"""
 VIEWS["fx_picked"] = """select *, (score < 0.7 or round_even(score - second_score, 2) <= 0.15) and not (archetype = 'freeform' and score >= 0.7) as ambiguous from (select deck_id, slide_id, slide_idx, max(archetype) filter (k = 1) as archetype, max(score) filter (k = 1) as score, max(archetype) filter (k = 2) as second, coalesce(max(score) filter (k = 2), 0) as second_score
   from (select *, row_number() over (partition by slide_id order by score desc, rule) as k from fx_scores) where k <= 2 group by 1, 2, 3)"""

@@ -19,7 +19,7 @@ VIEWS = {
     "fx_slides": f"""select o_custkey as deck_id, o_orderkey as slide_id, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as slide_idx,
         o_orderpriority as layout, {NAMES}[o_orderkey % 16 + 1] as archetype from orders""",
     "fx_shapes": """select c.c_nationkey as template_id, s.deck_id, s.slide_id, s.slide_idx, z, pk, sk, tag, x, y, w, h, p_size::double as size_pt, p_brand as font, r, g, b,
-        printf('%02X%02X%02X', r, g, b) as hex, bold, chars, kind, case when frame then '' when sk % 17 = 0 then 'insert photo' else 'text ' || sk % 3 end as text, case when not frame then case pk % 40 when 0 then 'title' when 1 then 'ftr' when 2 then 'sldNum' when 3 then 'dt' end end as placeholder
+        printf('%02X%02X%02X', r, g, b) as hex, bold, chars, kind, case when frame then '' when sk % 17 = 0 then 'insert photo' else 'text ' || sk % 3 end as text, case when not frame then case sk % 13 when 0 then 'line' when 1 then 'rightArrow' when 2 then 'ellipse' else 'rect' end end as preset, case when not frame then case pk % 40 when 0 then 'title' when 1 then 'ftr' when 2 then 'sldNum' when 3 then 'dt' end end as placeholder
         from (select l_orderkey, l_partkey as pk, l_suppkey as sk, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as z,
               case when l_returnflag = 'R' and l_linestatus = 'O' then 'pic' when l_returnflag = 'R' and l_linestatus = 'F' then 'graphicFrame' else 'sp' end as tag,
               457200 + (l_partkey % 12) * 914400 + case when l_suppkey % 5 = 0 then (l_suppkey % 7) * 40000 else 0 end as x, 457200 + (l_suppkey % 7) * 850000 as y,

@@ -51,6 +51,7 @@ class Fixtures:
         is_text, held = F.col("tag") == "sp", F.col("pk") % 40
         own = own.withColumns({
             "text": F.when(is_text & (F.col("sk") % 17 == 0), "insert photo").when(is_text, F.concat(F.lit("text "), (F.col("sk") % 3).cast("string"))).otherwise(""),
+            "preset": F.when(is_text, F.when(F.col("sk") % 13 == 0, "line").when(F.col("sk") % 13 == 1, "rightArrow").when(F.col("sk") % 13 == 2, "ellipse").otherwise("rect")),
             "placeholder": F.when(is_text, F.when(held == 0, "title").when(held == 1, "ftr").when(held == 2, "sldNum").when(held == 3, "dt")),
         })
         own = own.withColumn("kind", F.when(F.col("tag") == "pic", "picture").when(F.col("tag") == "sp", "text").when(part_even, "chart").otherwise("table"))
