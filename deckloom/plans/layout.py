@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, text
 from ..operators import layout
-from ..sources.fixtures import ARCHETYPES, Fixtures
+from ..sources.fixtures import ARCHETYPES, Fixtures, Prepared
 from .audit import overflow
 from .views import VIEWS, with_views
 
@@ -262,6 +262,8 @@ select hex, round_even(lum, 4) as luminance, round_even(1.05 / (lum + 0.05), 4)
  round_even((mx + mn) / 510.0::double, 4) as lightness, printf('%02X%02X%02X', round_even(255 - (255 - r) * 0.4::double, 0)::int, round_even(255 - (255 - g) * 0.4::double, 0)::int, round_even(255 - (255 - b) * 0.4::double, 0)::int) as tint, printf('%02X%02X%02X', round_even(r * 0.5, 0)::int, round_even(g * 0.5, 0)::int, round_even(b * 0.5, 0)::int) as shade from q""",
 }
 
-QUERIES = {name: (lambda spark, sf_dir, run=run: run(Fixtures(spark, sf_dir))) for name, run in RUN.items()}
+#: Queries that look at shapes several times.
+MANY = ("c08_scores", "c09_pick", "c10_slot_roles", "c12_overlay", "c07_photo_zones", "x02_offers", "x04_scores", "x05_best", "x06_reuse_aware")
+QUERIES = {name: (lambda spark, sf_dir, run=run, f=Prepared if name in MANY else Fixtures: run(f(spark, sf_dir))) for name, run in RUN.items()}
 RAW = SQL
 SQL = {name: with_views(sql) for name, sql in RAW.items()}

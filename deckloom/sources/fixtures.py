@@ -179,3 +179,6 @@ class Prepared(Fixtures):
 
     def fixed(self) -> DataFrame:
         return self._once("fixed")
+
+    def slots(self) -> DataFrame:
+        return self._once("slots")
