@@ -252,7 +252,7 @@ def trim_notes(notes: DataFrame, slack: float = 1.1) -> DataFrame:
     slide, deck = W.partitionBy("deck_id", "slide_idx"), W.partitionBy("deck_id")
     s = s.withColumns({"upto": F.sum("words").over(slide.orderBy("at")), "last": F.max("at").over(slide), "total": F.sum("words").over(deck)})
     budgets = notes.groupBy("deck_id").agg(F.sum("budget").alias("allowed"))
-    s = s.join(budgets, "deck_id").withColumn("ratio", F.col("upto") / F.col("budget"))
+    s = s.join(budgets.hint("merge"), "deck_id").withColumn("ratio", F.col("upto") / F.col("budget"))
     order = deck.orderBy(F.desc("cuttable"), F.desc("ratio"), "slide_idx", F.desc("at"))
     s = s.withColumn("cuttable", F.col("at") > 0).withColumn("before", F.sum(F.when(F.col("cuttable"), F.col("words")).otherwise(0)).over(order) - F.when(F.col("cuttable"), F.col("words")).otherwise(0))
     gone = F.col("cuttable") & (F.col("total") - F.col("before") > slack * F.col("allowed"))

@@ -51,7 +51,7 @@ def color_clusters(usage: DataFrame, near: float = 8.0) -> DataFrame:
 
 def cluster_usage(usage: DataFrame, clusters: DataFrame) -> DataFrame:
     """Usage summed over the clusters, by the cluster's colour."""
-    s = usage.join(clusters, ["template_id", "hex"]).groupBy("template_id", F.col("cluster").alias("hex")).agg(*[F.bround(F.sum(c), 4).alias(c) for c in ("fills", "fill_area", "cover_area", "text_chars", "weight")])
+    s = usage.join(clusters.hint("merge"), ["template_id", "hex"]).groupBy("template_id", F.col("cluster").alias("hex")).agg(*[F.bround(F.sum(c), 4).alias(c) for c in ("fills", "fill_area", "cover_area", "text_chars", "weight")])
     return s.join(usage.select("template_id", "hex", "r", "g", "b"), ["template_id", "hex"])
 
 
