@@ -185,7 +185,7 @@ def test_no_python_and_no_cartesian_plans(spark):
 
     for name in ("a03_overlap", "a11_off_palette", "a26_duplicate_slides", "c08_scores", "k13_near_facts", "m02_color_clusters", "x05_best"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-        assert not re.search("CartesianProduct|BroadcastNestedLoop|Python|Pandas|Arrow", plan), name
+        assert not re.search("CartesianProduct|BroadcastNestedLoop|EvalPython|InPandas|InArrow", plan), name
 
 
 def test_prompts(spark):
