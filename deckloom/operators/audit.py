@@ -20,6 +20,8 @@ SPARSE = ("title", "section", "closing", "quote", "image_full")
 SYMBOL_FONTS = ("wingdings", "webdings", "symbol", "mt extra")
 
 
+#: Bytes of a dictionary that is sent to all executors at most.
+SENT_BYTES = 4 << 20
 #: Placeholders that are no content.
 FIELDS = ("sldNum", "ftr", "dt")
 
@@ -150,14 +152,16 @@ def wrong_layout(slides: DataFrame, exemplars: DataFrame) -> DataFrame:
     return found.withColumn("problem", why).where("problem is not null").select("deck_id", "slide_id", "slide_idx", "layout", "expected", "problem")
 
 
-def moved_fixed(slides: DataFrame, fixed: DataFrame, shapes: DataFrame, least: int, exempt: DataFrame | None = None) -> DataFrame:
-    """Boxes fixed on at least ``least`` slides of the template that a slide lacks.
+def moved_fixed(slides: DataFrame, fixed: DataFrame, shapes: DataFrame, least: int, exempt: DataFrame | None = None, share: float = 0.0) -> DataFrame:
+    """Boxes fixed on at least ``least`` slides, and a share, of the template's slides that a slide lacks.
 
     ``exempt`` (slide_id, x, y, w, h) are zones of a slide within which nothing is missed: captions of zones, frames of photo
     prompts, cards and placeholders that stay empty. Nor is a box missed that a shape without text covers from the same
     corner at the same width: a plate that was stretched.
     """
-    expected = slides.join(fixed.where(F.col("n_slides") >= least), "template_id").select("template_id", "deck_id", "slide_id", "slide_idx", "bx", "by", "bw", "bh")
+    n = slides.groupBy("template_id").agg(F.count("*").alias("n"))
+    often = fixed.where(F.col("n_slides") >= least).join(n, "template_id").where(F.col("n_slides") >= share * F.col("n")).drop("n")
+    expected = slides.join(often, "template_id").select("template_id", "deck_id", "slide_id", "slide_idx", "bx", "by", "bw", "bh")
     there = shapes.select("slide_id", *[geo.stepped(F.col(c)).alias(f"b{c}") for c in "xywh"], (F.col("kind") != "text").alias("plate"))
     lost = expected.join(there.drop("plate").distinct(), ["slide_id", "bx", "by", "bw", "bh"], "left_anti")
     plates = there.where("plate").select("slide_id", "bx", "by", "bw", F.col("bh").alias("grown")).groupBy("slide_id", "bx", "by", "bw").agg(F.max("grown").alias("grown"))
@@ -230,12 +234,18 @@ def placeholders(paras: DataFrame, dictionary: DataFrame, whole: tuple[str, ...]
     """Texts (doc_id, text) that are no content: those that contain an entry of ``dictionary`` (pattern_no, phrase), of
     which the first counts, those that are one of ``whole`` words and no more (pattern_no -1), and empty ones (-2).
 
-    Entries are looked for by their first word, so texts meet only the entries that may occur in them.
+    Entries are looked for by their first word, so texts meet only the entries that may occur in them. A dictionary of up to
+    SENT_BYTES, measured first, is sent out.
     """
     lead = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
     d = dictionary.withColumn("lead", lead("phrase")[0])
-    t = paras.select("doc_id", "text", F.explode(F.array_distinct(lead("text"))).alias("lead"))
-    phrases = t.join(d.hint("merge"), "lead").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "pattern_no")
+    leads = F.explode(F.array_distinct(lead("text"))).alias("lead")
+    if (dictionary.agg(F.sum(F.octet_length("phrase"))).head()[0] or 0) <= SENT_BYTES:  # entries go to the texts
+        found = paras.select("doc_id", "text", leads).join(F.broadcast(d), "lead")
+    else:  # words without their texts meet the entries, and only documents that may hold one get their text back
+        may = paras.select("doc_id", leads).join(d.hint("merge"), "lead").select("doc_id", "pattern_no", "phrase")
+        found = may.join(paras.select("doc_id", "text").hint("merge"), "doc_id")
+    phrases = found.where(F.col("text").contains(F.col("phrase"))).select("doc_id", "pattern_no")
     plain = F.lower(text.squeezed(F.col("text")))
     bare = paras.select("doc_id", F.when(plain == "", -2).when(plain.isin(*whole), -1).cast("long").alias("pattern_no")).where("pattern_no is not null")
     return phrases.unionByName(bare).groupBy("doc_id").agg(F.min("pattern_no").alias("pattern_no"))

@@ -72,7 +72,7 @@ RULES = {
     "a10_off_scale": lambda f: audit.off_scale(f.runs(), f.scale()),
     "a11_off_palette": lambda f: audit.off_palette(f.runs(), f.palette()),
     "a12_wrong_layout": lambda f: audit.wrong_layout(*layouts(f)),
-    "a13_moved_fixed": lambda f: audit.moved_fixed(decks(f), f.fixed(), f.shapes(), 4, zones(f)),
+    "a13_moved_fixed": lambda f: audit.moved_fixed(decks(f), f.fixed(), f.shapes(), 4, zones(f), 0.005),
     "a14_displaced_fixed": lambda f: audit.displaced_fixed(decks(f), mining.fixed_elements(f.shapes()), f.shapes(), 3),
     "a15_low_contrast": lambda f: audit.low_contrast(f.shapes()),
     "a16_many_bullets": lambda f: audit.many_bullets(f.shapes()),
@@ -131,7 +131,7 @@ select {S}, hex, nearest, de as delta_e from fx_runs join (select template_id, h
     "a12_wrong_layout": """with e as (select slide_id as exemplar_id, layout from fx_slides where slide_id % 100 = 0 and layout <> '5-LOW'), s as (select *, slide_id // 100 * 100 as exemplar_id from fx_slides where slide_id % 100 <> 0)
 select deck_id, slide_id, slide_idx, s.layout, e.layout as expected, case when s.layout not in (select layout from e) then 'missing' else 'differs' end as problem from s left join e using (exemplar_id) where s.layout not in (select layout from e) or e.layout <> s.layout""",
     "a13_moved_fixed": f"""with t as (select distinct slide_id, kind, {BOX} from fx_shapes), pl as (select slide_id, bx, "by", bw, max(bh) as grown from t where kind <> 'text' group by 1, 2, 3, 4), z as (select slide_id as zs, {BOX} from fx_shapes where kind = 'picture' and sk % 3 = 0),
- e as (select c_nationkey as template_id, deck_id, slide_id, slide_idx, bx, "by", bw, bh from fx_slides join customer on c_custkey = deck_id join fx_fixed f on f.template_id = c_nationkey anti join t using (slide_id, bx, "by", bw, bh) where n_slides >= 4)
+ e as (select c_nationkey as template_id, deck_id, slide_id, slide_idx, bx, "by", bw, bh from fx_slides join customer on c_custkey = deck_id join fx_fixed f on f.template_id = c_nationkey anti join t using (slide_id, bx, "by", bw, bh) where n_slides >= 4 and n_slides >= 0.005::double * (select count(*) from fx_slides join customer c2 on c2.c_custkey = deck_id where c2.c_nationkey = f.template_id))
 select e.* from e left join pl using (slide_id, bx, "by", bw) where (grown is null or grown < bh) and not exists (select 1 from z where zs = e.slide_id and e.bx >= z.bx and e."by" >= z."by" and e.bx + e.bw <= z.bx + z.bw and e."by" + e.bh <= z."by" + z.bh)""",
     "a14_displaced_fixed": f"""with t as (select distinct slide_id, kind, {BOX} from fx_shapes), pl as (select slide_id, bx, "by", bw, max(bh) as grown from t where kind <> 'text' group by 1, 2, 3, 4),
  g as (select template_id, tag, text, bx, "by", bw, bh, count(distinct slide_id) as n from (select template_id, tag, text, slide_id, {BOX} from fx_shapes where placeholder is null and (tag <> 'sp' or y < 0.12::double * 6858000 or y + h > 0.88::double * 6858000)) group by 1, 2, 3, 4, 5, 6, 7 having count(distinct slide_id) >= 3),

@@ -44,7 +44,7 @@ RULES = {
     "T02_off_scale": _sizes,
     "T03_off_palette": lambda f: _finding(audit.off_palette(f.runs(), f.palette()).withColumnRenamed("hex", "color"), "T03", "warning", "snap_color"),
     "T04_layout": lambda f: _finding(audit.wrong_layout(*audit_plans.layouts(f)), "T04", "warning", "change_exemplar"),
-    "T05_moved_fixed": lambda f: _finding(audit.moved_fixed(audit_plans.decks(f), f.fixed(), f.shapes(), 4, audit_plans.zones(f)), "T05", "error", "restore_fixed"),
+    "T05_moved_fixed": lambda f: _finding(audit.moved_fixed(audit_plans.decks(f), f.fixed(), f.shapes(), 4, audit_plans.zones(f), 0.005), "T05", "error", "restore_fixed"),
     "T05_displaced_fixed": lambda f: _finding(audit.displaced_fixed(audit_plans.decks(f), mining.fixed_elements(f.shapes()), f.shapes(), 3), "T05", "warning", "restore_fixed"),
     "T06_contrast": lambda f: _finding(audit.low_contrast(f.shapes()), "T06", "error"),
     "D01_many_bullets": lambda f: _finding(audit.many_bullets(f.shapes()), "D01", "warning", "split_slide"),
