@@ -1,5 +1,28 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+
+
+def vector_codes_sql(rounds: int = 2) -> str:
+    """Codebooks round by round, each part held against all entries."""
+    ctes = [
+        """v as (select row_number() over () as r, vec_id, label, [floor(256 * x::double)::bigint for x in embedding] as q from embeddings
+           where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0)""",
+        "p as (select r, k, q[k * len(q) // 16 + 1 : (k + 1) * len(q) // 16] as q from v, range(16) as g(k))",
+        "b0 as (select k, row_number() over (partition by k order by vec_id) - 1 as e, q as c from p join v using (r) qualify row_number() over (partition by k order by vec_id) <= 64)".replace("q as c", "p.q as c"),
+    ]
+    for i in range(rounds + 1):
+        ctes.append(f"d{i} as (select r, p.k, e, list_sum([(x[1] - x[2]) ** 2 for x in list_zip(q, c)])::bigint as d from p join b{i} b on p.k = b.k)")
+        ctes.append(f"a{i} as (select r, k, min(d) as d, min(e) filter (d = m) as e from (select *, min(d) over (partition by r, k) as m from d{i}) group by r, k)")
+        if i < rounds:
+            ctes.append(f"s{i} as (select k, e, j, sum(q[j])::bigint as s, count(*) as n from (select a.k, a.e, p.q, unnest(range(1, len(p.q) + 1)) as j from a{i} a join p on a.r = p.r and a.k = p.k) group by k, e, j)")
+            ctes.append(f"m{i} as (select k, e, list(floor(s / n)::bigint order by j) as c from s{i} group by k, e)")
+            ctes.append(f"b{i + 1} as (select b.k, b.e, coalesce(m.c, b.c) as c from b{i} b left join m{i} m on b.k = m.k and b.e = m.e)")
+    ctes.append(f"z as (select sha256(string_agg(array_to_string(c, ','), ',' order by k, e)) as h from b{rounds})")
+    ctes.append(f"t as (select r, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' order by k) as code, sum(d)::bigint as error from a{rounds} group by r)")
+    return f"""with {", ".join(ctes)}
+        select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, h as codebooks_sha256 from t join v using (r), z"""
+
+
 SQL = {
     "op1_exact_dedup": r"""
         with t as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents)
@@ -48,4 +71,15 @@ SQL = {
                coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(ws), 0) as contaminated
         from w left join wd on w.r = wd.r left join it on w.r = it.r
     """,
+    "op12_fill_middle": r"""
+        with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as s from documents),
+        u as (select *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') as us, ('0x' || s[1:8])::bigint as h1, ('0x' || s[9:16])::bigint as h2, ('0x' || s[17:24])::bigint as h3, ('0x' || s[25:32])::bigint as h4 from d),
+        c as (select *, len(us) as n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) as a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) as b,
+                     case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from u),
+        p as (select *, array_to_string(us[1:a], '') as pre, array_to_string(us[a + 1:b], '') as mid, array_to_string(us[b + 1:], '') as suf from c)
+        select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+               sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256
+        from p
+    """,
+    "op13_vector_codes": vector_codes_sql(),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,13 +11,16 @@ from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .fill_middle import fill_middle, restore
 from .html_extract import html_extract
 from .line_dedup import line_dedup
 from .oracle import SQL as SQL
 from .quality import quality_classifier
+from .sentencepieces import sentencepiece_decode, sentencepiece_encode
 from .simhash import simhash_components
 from .toxicity import toxicity
 from .url_filter import url_filter
+from .vector_codes import code_text, vector_codes, with_group_error
 from .warc import derivatives, responses
 
 
@@ -72,6 +77,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentencepiece_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), " "), 256)
+    return sentencepiece_decode(encoded, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        digest("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        digest("ends").alias("ends_sha256"),
+    )
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    found = with_group_error(coded)
+    return found.select("vec_id", code_text(F.col("codes")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -83,4 +116,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_html_extract": op9_html_extract,
     "op10_toxicity": op10_toxicity,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_vector_codes": op13_vector_codes,
 }
