@@ -82,13 +82,12 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     encoded = sentencepiece_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
-    digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), " "), 256)
     return sentencepiece_decode(encoded, model).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        digest("ids").alias("ids_sha256"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        digest("ends").alias("ends_sha256"),
+        F.xxhash64("begins", "ends").alias("spans_xxhash64"),
     )
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,8 @@ from .bpe import _field
 from .common import columns_of, small_batches, with_report
 
 SPACE = "▁"
-#: Words whose pieces a worker keeps, and the characters up to which a word is kept.
-CACHE_WORDS, CACHE_CHARS = 1 << 17, 48
+#: Characters of a normalised text that are encoded at a time at least, where the vocabulary lets a longer one be cut.
+STEP = 1 << 20
 #: Numbers of the public model format: piece types, and the fields of a model.
 NORMAL, USER, BYTE = 1, 4, 6
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -122,9 +121,13 @@ class Normaliser:
         raw = np.frombuffer(data, np.uint8)
         starts = np.maximum.accumulate(np.where(raw & 0xC0 != 0x80, np.arange(len(raw), dtype=np.int32), 0)) if len(raw) else np.zeros(0, np.int32)
         heads = starts == np.arange(len(raw))  # bytes that begin a part that is replaced as one
+        lead = len(data) - len(data.lstrip(b" "))  # where the text begins after parts that are one space each
         if self.begins:
-            parts, origin, head, begin = [], [], [], 0
+            parts, origin, head, begin, lead = [], [], [], 0, 0
             for end, text in self.segments(data):
+                if lead == begin:
+                    spaces = len(data[begin:end]) - len(data[begin:end].lstrip(b" "))
+                    lead += spaces if text is None else (end - begin) * (text == b" ")
                 parts.append(data[begin:end] if text is None else text)
                 origin.append(starts[begin:end] if text is None else np.full(len(text), begin, np.int32))
                 head.append(heads[begin:end] if text is None else np.arange(len(text)) == 0)
@@ -137,7 +140,7 @@ class Normaliser:
             flat, origin = self._squeezed(flat, origin, heads)
         if not data or self.squeeze and not len(flat):
             return b"", np.array([len(data)], np.int32)
-        return self._marked(flat, origin, len(data))
+        return self._marked(flat, origin, lead if self.squeeze else 0, len(data))
 
     @staticmethod
     def _squeezed(flat: np.ndarray, origin: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,12 +152,12 @@ class Normaliser:
         keep = ~(space & (other < begin) & after)
         return flat[keep], origin[keep]
 
-    def _marked(self, flat: np.ndarray, origin: np.ndarray, end: int) -> tuple[bytes, np.ndarray]:
+    def _marked(self, flat: np.ndarray, origin: np.ndarray, lead: int, end: int) -> tuple[bytes, np.ndarray]:
         """With space marks, without those at the end if spaces are squeezed, and with the dummy mark."""
         wide, text = len(self.mark), flat.tobytes().replace(b" ", self.mark)
         origin = np.concatenate([np.repeat(origin, np.where(flat == 32, wide, 1)), [end]])
         if self.dummy and not self.suffix:
-            text, origin = self.mark + text, np.concatenate([np.full(wide, origin[0] if self.squeeze else 0), origin])
+            text, origin = self.mark + text, np.concatenate([np.full(wide, lead), origin])
         while self.squeeze and text.endswith(self.mark):
             text = text[:-wide]
         origin = origin[: len(text) + 1]
@@ -163,13 +166,12 @@ class Normaliser:
         return text, origin.astype(np.int32)
 
 
-class Codec(dict):
-    """Encodes by a model. As a dict it holds the ids and bytes of recent words' pieces."""
+class Codec:
+    """Encodes by a model."""
 
     def __init__(self, data: bytes):
         import sentencepiece
 
-        super().__init__()
         parts = list(fields(data))
         flags = {n: v for number, _, value in parts if number == TRAINER for n, _, v in fields(value)}
         norm = {n: v for number, _, value in parts if number == NORMALIZER for n, _, v in fields(value)}
@@ -186,7 +188,7 @@ class Codec(dict):
         crossing = re.compile(f"[^{SPACE}]{SPACE}")
         whole = any(crossing.search(w.decode("utf-8", "replace")) for w, _ in words) or (SPACE.encode(), NORMAL) not in words
         self.cuts = self.fallback and not user and not whole
-        self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.cut = re.compile(f"(?<!{SPACE})(?={SPACE})")
 
     @staticmethod
     def _plain(parts: list) -> bytes:
@@ -194,32 +196,27 @@ class Codec(dict):
         made = [_field(n, v if k != 5 else struct.unpack("<f", v)[0]) for n, k, v in parts if n != NORMALIZER]
         return b"".join(made) + _field(NORMALIZER, _field(1, b"identity") + _field(3, 0) + _field(4, 0) + _field(5, 0))
 
-    def pieces(self, text: str) -> tuple[list[int], list[int]]:
+    def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a normalised text and the bytes of each piece."""
         if self.fallback:
-            ids = self.inner.encode(text)
-            return ids, self.sizes[ids].tolist() if ids else []
+            ids = np.array(self.inner.encode(text), np.int32)
+            return ids, self.sizes[ids]
         found = self.inner.encode(text, return_type="proto").pieces if text else []
-        return [p.id for p in found], [p.end - p.begin for p in found]
+        return np.array([p.id for p in found], np.int32), np.array([p.end - p.begin for p in found], np.int32)
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.inner.encode(word)
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    def parts(self, text: str) -> Iterator[str]:
+        """A long text cut where no merge can cross."""
+        at = 0
+        while self.cuts and len(text) - at > STEP and (found := self.cut.search(text, at + STEP)):
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:] if at else text
 
     def encode(self, data: bytes, end: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a text, and where each begins and ends in it."""
         data = data.decode("utf-8", "replace").encode()  # bytes that are no UTF-8
         normal, origin = self.normal(data)
-        text = normal.decode()
-        if self.cuts:
-            ids = np.fromiter(chain.from_iterable(map(self.__getitem__, self.word.findall(text))), np.int32)
-            sizes = self.sizes[ids]
-        else:
-            ids, sizes = (np.array(x, np.int32) for x in self.pieces(text))
+        ids, sizes = (np.concatenate(x) for x in zip(*map(self.pieces, self.parts(normal.decode()))))
         at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         begins, ends = origin[at[:-1]], origin[at[1:]]
         if end:
