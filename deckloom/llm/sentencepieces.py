@@ -119,8 +119,8 @@ class Normaliser:
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and for each the byte of ``data`` where what it stands for begins; one more for the end."""
         raw = np.frombuffer(data, np.uint8)
-        starts = np.maximum.accumulate(np.where(raw & 0xC0 != 0x80, np.arange(len(raw), dtype=np.int32), 0)) if len(raw) else np.zeros(0, np.int32)
-        heads = starts == np.arange(len(raw))  # bytes that begin a part that is replaced as one
+        heads = (raw & 0xC0) != 0x80  # bytes that begin a part that is replaced as one
+        starts = np.flatnonzero(heads).astype(np.int32).repeat(np.diff(np.flatnonzero(np.append(heads, True))))
         lead = len(data) - len(data.lstrip(b" "))  # where the text begins after parts that are one space each
         if self.begins:
             parts, origin, head, begin, lead = [], [], [], 0, 0
@@ -199,7 +199,7 @@ class Codec:
     def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a normalised text and the bytes of each piece."""
         if self.fallback:
-            ids = np.array(self.inner.encode(text), np.int32)
+            ids = self.inner.encode(text, return_type="numpy")
             return ids, self.sizes[ids]
         found = self.inner.encode(text, return_type="proto").pieces if text else []
         return np.array([p.id for p in found], np.int32), np.array([p.end - p.begin for p in found], np.int32)
@@ -216,8 +216,10 @@ class Codec:
         """Ids of a text, and where each begins and ends in it."""
         data = data.decode("utf-8", "replace").encode()  # bytes that are no UTF-8
         normal, origin = self.normal(data)
-        ids, sizes = (np.concatenate(x) for x in zip(*map(self.pieces, self.parts(normal.decode()))))
-        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        found = list(map(self.pieces, self.parts(normal.decode())))
+        ids, sizes = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found))
+        at = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum(sizes, out=at[1:])
         begins, ends = origin[at[:-1]], origin[at[1:]]
         if end:
             last = self.library.eos_id()
@@ -282,6 +284,6 @@ def sentencepiece_decode(encoded: DataFrame, model_path: str, ids_col: str = "id
     @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
         model = _codec(model_path, data).library
-        return pa.array([model.decode(x.values.to_pylist()) if x.is_valid and len(x.values) else "" for x in ids], pa.string())
+        return pa.array([model.decode(x.values.to_numpy()) if x.is_valid and len(x.values) else "" for x in ids], pa.string())
 
     return encoded.withColumn(out_col, decoded(F.col(ids_col)))
