@@ -10,6 +10,11 @@ def channels(hex_: Column) -> tuple[Column, Column, Column]:
     return tuple(F.conv(F.substring(hex_, at, 2), 16, 10).cast("int") for at in (1, 3, 5))
 
 
+def with_channels(df, hex_: str = "hex"):
+    """``df`` with the columns r, g and b of its colours."""
+    return df.withColumns(dict(zip("rgb", channels(F.col(hex_)))))
+
+
 def normal_hex(c: Column) -> Column:
     """Six upper-case digits from forms like ``#0077ff`` or ``0077FFAA``."""
     return F.substring(F.upper(F.ltrim(F.trim(c), F.lit("#"))), 1, 6)

@@ -62,10 +62,17 @@ SPEAKER_PROMPT = (
 
 
 def prompt_pattern(c: Column) -> Column:
-    """The number of the first pattern of TEXT_PROMPTS in a text, -1 for a text of WHOLE_PROMPTS, else null."""
-    t = F.lower(squeezed(c))
-    first = F.coalesce(*[F.when(t.rlike(p), i) for i, p in enumerate(TEXT_PROMPTS)])
-    return F.when(t.isin(*WHOLE_PROMPTS), -1).otherwise(first).cast("long")
+    """The number of the first pattern of TEXT_PROMPTS in a text, -1 for a text of WHOLE_PROMPTS, else null.
+
+    A text is prepared once, and patterns are tried one by one only where one of them is found.
+    """
+    some = "|".join(f"(?:{p})" for p in TEXT_PROMPTS)
+
+    def number(t: Column) -> Column:
+        first = F.coalesce(*[F.when(t.rlike(p), i) for i, p in enumerate(TEXT_PROMPTS)])
+        return F.when(t.isin(*WHOLE_PROMPTS), -1).when(t.rlike(some), first).cast("long")
+
+    return F.transform(F.array(F.lower(squeezed(c))), number)[0]
 
 
 def is_photo_prompt(c: Column) -> Column:

@@ -20,66 +20,78 @@ SPARSE = ("title", "section", "closing", "quote", "image_full")
 SYMBOL_FONTS = ("wingdings", "webdings", "symbol", "mt extra")
 
 
+#: Slots of word hashes whose counts stand for the words' frequencies; the table is sent to all executors.
+RARITY_SLOTS = 1 << 16
 #: Bytes of a dictionary that is sent to all executors at most.
 SENT_BYTES = 4 << 20
-#: Placeholders that are no content.
-FIELDS = ("sldNum", "ftr", "dt")
 
 
-def provenance(shapes: DataFrame, slots: DataFrame, fixed: DataFrame) -> DataFrame:
-    """is_slot (a slot of the template has its box), is_fixed (a repeated box has), is_ours (not fixed), is_decor (fixed
-    and without text), is_content (ours, no field such as a slide number, and with text, a picture, a chart or a table)."""
-    s = shapes.withColumns({f"b{c}": geo.stepped(F.col(c)) for c in "xywh"})
-    repeated = fixed.select("template_id", "bx", "by", "bw", "bh", F.lit(True).alias("is_fixed")).distinct()
-    slot = slots.select("template_id", "x", "y", "w", "h").distinct().withColumn("is_slot", F.lit(True))
-    found = s.join(repeated, ["template_id", "bx", "by", "bw", "bh"], "left").join(slot, ["template_id", "x", "y", "w", "h"], "left")
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    bare = (F.col("kind") == "text") & (F.trim("text") == "")
-    found = found.withColumns({"is_slot": yes("is_slot"), "is_fixed": yes("is_fixed")}).withColumns({"is_ours": ~F.col("is_fixed"), "is_decor": F.col("is_fixed") & (F.trim("text") == "")})
-    content = F.col("is_ours") & ~F.coalesce(F.col("placeholder").isin(*FIELDS), F.lit(False)) & ~bare
-    return found.select(*SHAPE, "is_slot", "is_fixed", "is_ours", "is_decor", content.alias("is_content"))
+def _context(shapes: DataFrame, name: str, default: bool) -> Column:
+    """A mark that ``alignment.in_context`` gives shapes; of shapes without context the default."""
+    return F.coalesce(F.col(name), F.lit(default)) if name in shapes.columns else F.lit(default)
 
 
 def off_slide(shapes: DataFrame, slide_w: int = geo.SLIDE_W, slide_h: int = geo.SLIDE_H, tolerance: float = 0.01) -> DataFrame:
-    """Shapes that cross an edge by more than a share of the side; text shapes are L04, others L01."""
+    """Shapes that cross an edge by more than a share of the side; text shapes are L04, others L01.
+
+    Where the exemplar gives the box it is a warning, else an error.
+    """
     x, y = F.col("x"), F.col("y")
     over = {"over_left": -x, "over_top": -y, "over_right": x + F.col("w") - slide_w, "over_bottom": y + F.col("h") - slide_h}
-    found = shapes.select(*SHAPE, F.when(F.col("tag") == "sp", "L04").otherwise("L01").alias("check_id"), *[F.greatest(c, F.lit(0)).cast("long").alias(k) for k, c in over.items()])
+    severity = F.when(_context(shapes, "inherited", False), "warning").otherwise("error").alias("severity")
+    found = shapes.select(*SHAPE, F.when(F.col("tag") == "sp", "L04").otherwise("L01").alias("check_id"), severity, *[F.greatest(c, F.lit(0)).cast("long").alias(k) for k, c in over.items()])
     return found.where((F.greatest("over_left", "over_right") > tolerance * slide_w) | (F.greatest("over_top", "over_bottom") > tolerance * slide_h))
 
 
-def inherited_geometry(shapes: DataFrame, slots: DataFrame, tolerance: int = geo.STEP, frames: tuple[str, ...] = ("chart", "table")) -> DataFrame:
-    """Shapes whose box the template gives: a slot's box within the tolerance, a place inside a slot for a diagram, or a
-    slot's box that has only grown downwards (a plate). A template's slots, some hundred at most, stand as an array."""
-    near = lambda a, b: F.abs(F.col(a) - b) <= tolerance
-    boxes = slots.groupBy("template_id").agg(F.collect_set(F.struct("x", "y", "w", "h", F.col("kind").isin(*frames).alias("frame"))).alias("boxes"))
-    equal = lambda b: near("x", b["x"]) & near("y", b["y"]) & near("w", b["w"]) & near("h", b["h"])
-    inside = lambda b: b["frame"] & (F.col("x") >= b["x"] - tolerance) & (F.col("y") >= b["y"] - tolerance) & (F.col("x") + F.col("w") <= b["x"] + b["w"] + tolerance) & (F.col("y") + F.col("h") <= b["y"] + b["h"] + tolerance)
-    grown = lambda b: (F.col("kind") != "text") & near("x", b["x"]) & near("y", b["y"]) & near("w", b["w"]) & (F.col("h") > b["h"])
-    found = shapes.join(boxes, "template_id").where(F.exists("boxes", lambda b: equal(b) | inside(b) | grown(b)))
-    return found.select(*SHAPE)
+def text_lines(size_pt: Column, chars: Column, w: Column) -> Column:
+    """Lines of a text of so many characters in a box, by the average width of a character."""
+    return F.ceil(chars / F.greatest(F.lit(1), F.floor(w / 12700 / (0.5 * size_pt))))
+
+
+def with_lines(shapes: DataFrame) -> DataFrame:
+    """``shapes`` with ``high`` (a line's height), ``lines``, and ``known``: the lines that the text has in the exemplar."""
+    known = text_lines(F.col("slot.size_pt"), F.col("slot.chars"), F.col("slot.w")) if "slot" in shapes.columns else F.lit(None)
+    return shapes.withColumns({"high": (1.2 * F.col("size_pt") * 12700).cast("long"), "lines": text_lines(F.col("size_pt"), F.col("chars"), F.col("w")), "known": F.coalesce(known, F.lit(0)).cast("long")})
 
 
 def overlaps(shapes: DataFrame, least: float = 0.05, nested: float = 0.9) -> DataFrame:
     """Pairs of blocks on a slide that share more than ``least`` of the smaller one.
 
-    From ``nested`` on one lies inside the other, which only counts when both have text.
+    From ``nested`` on one lies inside the other, which only counts when both have text. A pair whose slots overlap by as
+    much in the exemplar is a warning, unless a line of our text that the exemplar does not have has come to lie on the
+    other block, which must be more than text (picture, chart, table or filled) and not hold the text inside it.
     """
-    a, b = shapes.alias("a"), shapes.alias("b")
+    has = "slot" in shapes.columns
+    s = with_lines(shapes.withColumns({"ours": _context(shapes, "is_ours", True), "solid": (F.col("tag") != "sp") | (F.col("fill_r").isNotNull() if "fill_r" in shapes.columns else F.lit(False)), "from_slot": _context(shapes, "is_slot", False)}))
+    s = s.withColumns({f"s{c}": F.when(F.col("from_slot"), F.col(f"slot.{c}")) if has else F.lit(None).cast("long") for c in "xywh"})
+    s = s.select(*SHAPE, "tag", "x", "y", "w", "h", "ours", "solid", "high", "lines", "known", "sx", "sy", "sw", "sh")
+    a, b = s.alias("a"), s.alias("b")
     common = geo.intersection("a", "b")
     smaller = F.least(geo.area("a"), geo.area("b"))
     both = (F.col("a.tag") == "sp") & (F.col("b.tag") == "sp")
     pairs = a.join(b, (F.col("a.slide_id") == F.col("b.slide_id")) & (F.col("a.z") < F.col("b.z")) & (common > 0))
+    side = lambda at, size: F.least(F.col(f"a.s{at}") + F.col(f"a.s{size}"), F.col(f"b.s{at}") + F.col(f"b.s{size}")) - F.greatest(f"a.s{at}", f"b.s{at}")
+    slot_common = F.greatest(F.lit(0), side("x", "w")) * F.greatest(F.lit(0), side("y", "h"))
+    slots_over = F.coalesce((slot_common > least * F.least(F.col("a.sw") * F.col("a.sh"), F.col("b.sw") * F.col("b.sh"))) & F.col("a.sx").isNotNull() & F.col("b.sx").isNotNull(), F.lit(False))
+
+    def reached(t: str, o: str) -> Column:
+        first, last = F.col(f"{t}.y") + F.col(f"{t}.known") * F.col(f"{t}.high"), F.col(f"{t}.y") + F.col(f"{t}.lines") * F.col(f"{t}.high")
+        more = F.col(f"{t}.lines") > F.col(f"{t}.known")
+        return F.col(f"{t}.ours") & (F.col(f"{t}.tag") == "sp") & F.col(f"{o}.solid") & (common < nested * geo.area(t)) & more & (last > F.col(f"{o}.y")) & (first < F.col(f"{o}.y") + F.col(f"{o}.h"))
+
+    known = slots_over & ~(reached("a", "b") | reached("b", "a"))
     return pairs.where((common > least * smaller) & ((common < nested * smaller) | both)).select(
-        *[F.col(f"a.{c}").alias(c) for c in SHAPE], F.col("b.z").alias("other_z"), common.alias("common"), F.bround(common / smaller, 4).alias("share")
+        *[F.col(f"a.{c}").alias(c) for c in SHAPE], F.col("b.z").alias("other_z"), common.alias("common"), F.bround(common / smaller, 4).alias("share"), F.when(known, "warning").otherwise("error").alias("severity")
     )
 
 
 def off_grid(shapes: DataFrame, guides: DataFrame, tolerance: int = geo.TENTH, slide_w: int = geo.SLIDE_W) -> DataFrame:
-    """Left edges farther than the tolerance from the nearest guide; blocks centred on the slide are exempt."""
+    """Left edges of our shapes farther than the tolerance from the nearest guide; blocks centred on the slide and boxes that
+    the exemplar gives are exempt."""
     g = guides.groupBy("template_id").agg(F.array_sort(F.collect_set("guide")).alias("guides"))  # bounded: stepped places on a slide
     best = F.array_min(F.transform("guides", lambda v: F.struct(F.abs(F.col("x") - v).alias("delta"), v.alias("guide"))))
-    found = shapes.join(g, "template_id").withColumn("best", best)
+    asked = shapes.where(_context(shapes, "is_ours", True) & ~_context(shapes, "inherited", False))
+    found = asked.join(g, "template_id").withColumn("best", best)
     centred = F.abs(2 * F.col("x") + F.col("w") - slide_w) <= 2 * tolerance
     return found.where((F.col("best.delta") > tolerance) & ~centred).select(*SHAPE, F.col("best.guide").alias("nearest"), F.col("best.delta").alias("delta"))
 
@@ -93,10 +105,12 @@ def in_margins(shapes: DataFrame, margin: int = 457200, tolerance: int = geo.TEN
 
 
 def stretched(pictures: DataFrame, tolerance: float = 0.03, least_px: int = 4) -> DataFrame:
-    """Pictures whose frame differs from their own proportions (px_w, px_h, after cropping) by more than the tolerance."""
+    """Pictures whose frame differs from their own proportions (px_w, px_h, after cropping) by more than the tolerance; a
+    slot's picture that is still the exemplar's is a warning, decor does not count."""
     ratio = F.col("w") * F.col("px_h") / (F.col("h") * F.col("px_w"))
-    found = pictures.where((F.col("px_w") >= least_px) & (F.col("px_h") >= least_px)).where(F.greatest(ratio, 1 / ratio) - 1 > tolerance)
-    return found.select(*SHAPE, F.expr("w * px_h * 1000 div (h * px_w)").alias("ratio_pm"))
+    severity = F.when(_context(pictures, "is_ours", True), "error").otherwise("warning").alias("severity")
+    found = pictures.where(~_context(pictures, "is_decor", False)).where((F.col("px_w") >= least_px) & (F.col("px_h") >= least_px)).where(F.greatest(ratio, 1 / ratio) - 1 > tolerance)
+    return found.select(*SHAPE, F.expr("w * px_h * 1000 div (h * px_w)").alias("ratio_pm"), severity)
 
 
 def foreign_fonts(runs: DataFrame, fonts: DataFrame) -> DataFrame:
@@ -113,13 +127,16 @@ def many_families(runs: DataFrame, max_families: int = 2) -> DataFrame:
     return ranked.where((F.col("k") == max_families + 1)).select("deck_id", "font", F.col("at.slide_idx").alias("slide_idx"), F.col("at.z").alias("z"), "families")
 
 
-def off_scale(runs: DataFrame, scale: DataFrame, tolerance: float = 0.08) -> DataFrame:
-    """A10: text sizes not within a share of any size of the scale; the nearest size is reported, ties to the smaller."""
+def off_scale(runs: DataFrame, scale: DataFrame, tolerance: float = 0.08, shrunk: float = 0.7) -> DataFrame:
+    """A10: text sizes not within a share of any size of the scale, nor of their slot's; the nearest size is reported, ties to
+    the smaller. From ``shrunk`` of the slot's size up to it the text was made to fit: only a note."""
     sizes = scale.groupBy("template_id").agg(F.array_sort(F.collect_set("pt")).alias("sizes"))  # a scale has a few sizes
+    base = F.when(F.col("slot.size_pt") > 0, F.col("slot.size_pt")) if "slot" in runs.columns else F.lit(None).cast("double")
     best = F.array_min(F.transform("sizes", lambda p: F.struct(F.abs(F.col("size_pt") - p).alias("delta"), p.alias("pt"))))
-    fits = F.exists("sizes", lambda p: F.abs(F.col("size_pt") - p) <= tolerance * p)
-    found = runs.select("template_id", *SHAPE, "size_pt").distinct().join(sizes, "template_id")
-    return found.where(~fits).select(*SHAPE, "size_pt", best["pt"].alias("nearest_pt"))
+    fits = F.exists("sizes", lambda p: F.abs(F.col("size_pt") - p) <= tolerance * p) | F.coalesce(F.abs(F.col("size_pt") - F.col("base")) <= tolerance * F.col("base"), F.lit(False))
+    asked = runs.where(_context(runs, "is_ours", True)).select("template_id", *SHAPE, "size_pt", F.when(_context(runs, "is_slot", False), base).alias("base")).distinct()
+    note = F.coalesce((F.col("size_pt") >= shrunk * F.col("base")) & (F.col("size_pt") <= F.col("base")), F.lit(False))
+    return asked.join(sizes, "template_id").where(~fits).select(*SHAPE, "size_pt", best["pt"].alias("nearest_pt"), F.when(note, "info").otherwise("warning").alias("severity"))
 
 
 def off_palette(runs: DataFrame, palette: DataFrame, least: float = 8.0, hue: float = 10 / 360, saturation: float = 0.15) -> DataFrame:
@@ -152,51 +169,58 @@ def wrong_layout(slides: DataFrame, exemplars: DataFrame) -> DataFrame:
     return found.withColumn("problem", why).where("problem is not null").select("deck_id", "slide_id", "slide_idx", "layout", "expected", "problem")
 
 
-def moved_fixed(slides: DataFrame, fixed: DataFrame, shapes: DataFrame, least: int, exempt: DataFrame | None = None, share: float = 0.0) -> DataFrame:
-    """Boxes fixed on at least ``least`` slides, and a share, of the template's slides that a slide lacks.
+def low_contrast(shapes: DataFrame, runs: DataFrame, slides: DataFrame, palette: DataFrame, normal: float = 4.5, large: float = 3.0, own: float = 8.0) -> DataFrame:
+    """Texts whose worst run has too little contrast with what lies under it.
+
+    Under a text is its own fill, else the top-most lower shape around its centre that is filled or a picture, else the
+    slide's background. Pictures are unknown and skipped, as background too. ``shapes`` has fill_r, fill_g and fill_b (null
+    without a fill), ``runs`` (slide_id, z, run, r, g, b, size_pt, bold), ``slides`` (slide_id, template_id, back_r, back_g,
+    back_b; null for a picture). The worst run is the first of those with the least contrast. A colour less than ``own``
+    from one of the template's is meant so: a warning.
 
-    ``exempt`` (slide_id, x, y, w, h) are zones of a slide within which nothing is missed: captions of zones, frames of photo
-    prompts, cards and placeholders that stay empty. Nor is a box missed that a shape without text covers from the same
-    corner at the same width: a plate that was stretched.
+    A slide's filled shapes and pictures meet its texts as an array, so a text stays one row.
     """
-    n = slides.groupBy("template_id").agg(F.count("*").alias("n"))
-    often = fixed.where(F.col("n_slides") >= least).join(n, "template_id").where(F.col("n_slides") >= share * F.col("n")).drop("n")
-    expected = slides.join(often, "template_id").select("template_id", "deck_id", "slide_id", "slide_idx", "bx", "by", "bw", "bh")
-    there = shapes.select("slide_id", *[geo.stepped(F.col(c)).alias(f"b{c}") for c in "xywh"], (F.col("kind") != "text").alias("plate"))
-    lost = expected.join(there.drop("plate").distinct(), ["slide_id", "bx", "by", "bw", "bh"], "left_anti")
-    plates = there.where("plate").select("slide_id", "bx", "by", "bw", F.col("bh").alias("grown")).groupBy("slide_id", "bx", "by", "bw").agg(F.max("grown").alias("grown"))
-    lost = lost.join(plates, ["slide_id", "bx", "by", "bw"], "left").where("grown is null or grown < bh").drop("grown")
-    if exempt is not None:
-        z = exempt.select("slide_id", *[geo.stepped(F.col(c)).alias(f"z{c}") for c in "xywh"]).groupBy("slide_id").agg(F.collect_set(F.struct("zx", "zy", "zw", "zh")).alias("zones"))  # bounded: one slide's
-        held = F.exists("zones", lambda b: (F.col("bx") >= b["zx"]) & (F.col("by") >= b["zy"]) & (F.col("bx") + F.col("bw") <= b["zx"] + b["zw"]) & (F.col("by") + F.col("bh") <= b["zy"] + b["zh"]))
-        lost = lost.join(z, "slide_id", "left").where(~F.coalesce(held, F.lit(False))).drop("zones")
-    return lost.select("template_id", "deck_id", "slide_id", "slide_idx", "bx", "by", "bw", "bh")
-
-
-def displaced_fixed(slides: DataFrame, elements: DataFrame, shapes: DataFrame, least: int) -> DataFrame:
-    """Logos and footers (of ``elements`` with kind and slides) that a slide lacks where it has a box of that size."""
-    fixed = elements.where(F.col("kind").isin("logo", "footer")).select("template_id", "bx", "by", "bw", "bh", F.col("slides").alias("n_slides")).groupBy("template_id", "bx", "by", "bw", "bh").agg(F.max("n_slides").alias("n_slides"))
-    lost = moved_fixed(slides, fixed, shapes, least)
-    sizes = shapes.select("slide_id", geo.stepped(F.col("w")).alias("bw"), geo.stepped(F.col("h")).alias("bh")).distinct()
-    return lost.join(sizes, ["slide_id", "bw", "bh"], "left_semi")
-
-
-def low_contrast(shapes: DataFrame, background: tuple[int, int, int] = (255, 255, 255), normal: float = 4.5, large: float = 3.0) -> DataFrame:
-    """Text against what lies under it: the top-most lower shape around its centre, else the slide's background."""
-    t = shapes.where("tag = 'sp'").alias("a")
-    under = shapes.alias("b")
-    on = (F.col("a.slide_id") == F.col("b.slide_id")) & (F.col("b.z") < F.col("a.z")) & geo.center_in("a", "b")
-    top = t.join(under, on, "left").groupBy(*[F.col(f"a.{c}").alias(c) for c in (*SHAPE, "size_pt", "bold", "hex", "r", "g", "b")]).agg(F.max(F.struct("b.z", "b.hex", "b.r", "b.g", "b.b")).alias("under"))
-    back = [F.coalesce(F.col(f"under.{c}"), F.lit(v)) for c, v in zip("rgb", background)]
-    ratio = F.bround(color.contrast(color.luminance(F.col("r"), F.col("g"), F.col("b")), color.luminance(*back)), 4)
-    need = F.when((F.col("size_pt") >= 24) | (F.col("bold") & (F.col("size_pt") >= 18.7)), large).otherwise(normal)
-    return top.withColumns({"contrast": ratio, "need": need}).where("contrast < need").select(*SHAPE, F.col("under.z").alias("under_z"), "contrast", "need")
+    back = F.struct(*[F.col(f"back_{c}").alias(c) for c in "rgb"])
+    fill = F.struct(*[F.col(f"fill_{c}").alias(c) for c in "rgb"])
+    box = ["z", "x", "y", "w", "h"]
+    known = F.col("fill_r").isNotNull() | (F.col("kind") == "picture")
+    text_ = F.col("tag") == "sp"
+    by_slide = shapes.groupBy("template_id", "deck_id", "slide_id", "slide_idx").agg(  # bounded: one slide's
+        F.collect_list(F.when(known, F.struct(*box, fill.alias("fill")))).alias("layers"), F.collect_list(F.when(text_, F.struct(*box, F.when(F.col("fill_r").isNotNull(), fill).alias("fill")))).alias("texts")
+    )
+    said = runs.groupBy("slide_id").agg(F.collect_list(F.struct("z", F.struct("run", "r", "g", "b", "size_pt", "bold").alias("said"))).alias("runs"))
+    each = by_slide.join(slides.select("slide_id", back.alias("back")), "slide_id").join(said, "slide_id").select("template_id", *SHAPE[:-1], "layers", "back", "runs", F.explode("texts").alias("t"))
+    mid = lambda at, size: F.col(f"t.{at}") + F.col(f"t.{size}") / 2
+    around = lambda o: (o["z"] < F.col("t.z")) & mid("x", "w").between(o["x"], o["x"] + o["w"]) & mid("y", "h").between(o["y"], o["y"] + o["h"])
+    top = F.array_max(F.filter("layers", around))
+    each = each.select("template_id", *SHAPE[:-1], "t", "back", top.alias("top"), F.filter("runs", lambda u: u["z"] == F.col("t.z")).alias("runs"))
+    each = each.withColumn("on", F.coalesce("t.fill", F.when(F.col("top").isNotNull(), F.col("top.fill")).otherwise(F.col("back")))).where("on.r is not null")
+    each = each.select("template_id", *SHAPE[:-1], F.col("t.z").alias("z"), F.when(F.col("t.fill").isNull(), F.col("top.z")).alias("under_z"), color.luminance(F.col("on.r"), F.col("on.g"), F.col("on.b")).alias("ground"), F.explode("runs.said").alias("u"))
+    ratio = F.bround(color.contrast(color.luminance(F.col("u.r"), F.col("u.g"), F.col("u.b")), F.col("ground")), 4)
+    least = each.select("template_id", *SHAPE, "under_z", ratio.alias("contrast"), "u.*").where(F.col("contrast") < normal)  # no other can be a finding
+    worst = least.groupBy("template_id", *SHAPE, "under_z").agg(F.min(F.struct("contrast", "run", "r", "g", "b", "size_pt", "bold")).alias("worst"))
+    need = F.when((F.col("worst.size_pt") >= 24) | (F.col("worst.bold") & (F.col("worst.size_pt") >= 18.7)), large).otherwise(normal)
+    bad = worst.withColumn("need", need).where("worst.contrast < need").select("template_id", *SHAPE, "under_z", "need", "worst.*")
+    lab = lambda df, c: color.with_lab(df, c)
+    mine = lab(palette.select("template_id", "r", "g", "b").distinct(), "p_").groupBy("template_id").agg(F.collect_list(F.struct(*[F.col(f"p_lab_{c}").alias(c) for c in "lab"])).alias("colors"))  # a palette has a few colours
+    found = lab(bad, "").join(mine, "template_id", "left")
+    near = F.exists("colors", lambda p: F.sqrt((F.col("lab_l") - p["l"]) ** 2 + (F.col("lab_a") - p["a"]) ** 2 + (F.col("lab_b") - p["b"]) ** 2) < own)
+    return found.select(*SHAPE, "under_z", "run", "contrast", "need", F.when(F.coalesce(near, F.lit(False)), "warning").otherwise("error").alias("severity"))
 
 
 def many_bullets(shapes: DataFrame, most: int = 6) -> DataFrame:
-    """Slides with more text blocks than allowed, at the largest one (ties: the lowest)."""
-    t = shapes.where("tag = 'sp'")
-    return t.groupBy("deck_id", "slide_id", "slide_idx").agg(F.count("*").alias("bullets"), F.max(F.struct(geo.area().alias("area"), (-F.col("z")).alias("low"))).alias("at")).where(F.col("bullets") > most).select("deck_id", "slide_id", "slide_idx", (-F.col("at.low")).alias("z"), "bullets")
+    """Slides with more items than allowed, at the text with most paragraphs (ties: the lowest).
+
+    Items are the paragraphs of texts of two or more, and single ones with a bullet mark; titles and tables have none.
+    ``shapes`` has paras and bullet.
+    """
+    title = F.coalesce(F.col("placeholder") == "title", F.lit(False))
+    if "slot" in shapes.columns:
+        title = title | F.coalesce(F.col("slot.slot_kind") == "title", F.lit(False)) & F.col("is_slot")
+    n = F.when(F.col("paras") >= 2, F.col("paras")).when(F.col("bullet"), F.lit(1)).otherwise(0)
+    t = shapes.where("tag = 'sp'").where(~title).withColumn("n", n).where("n > 0")
+    found = t.groupBy("deck_id", "slide_id", "slide_idx").agg(F.sum("n").cast("long").alias("bullets"), F.max(F.struct("paras", (-F.col("z")).alias("low"))).alias("at"))
+    return found.where(F.col("bullets") > most).select("deck_id", "slide_id", "slide_idx", (-F.col("at.low")).alias("z"), "bullets")
 
 
 def long_paragraphs(paras: DataFrame, most: int = 15) -> DataFrame:
@@ -216,11 +240,13 @@ def many_series(charts: DataFrame, most: int = 5) -> DataFrame:
 
 
 def fill_ratio(shapes: DataFrame, slides: DataFrame, low: float = 0.25, high: float = 0.75, margin: int = 457200, slide_w: int = geo.SLIDE_W, slide_h: int = geo.SLIDE_H) -> DataFrame:
-    """Slides whose content fills too little or too much of the work area; sparse archetypes are exempt."""
+    """Slides whose content fills too little or too much of the work area; sparse archetypes are exempt, and so are slides
+    without a plan (archetype null) and with two blocks at most."""
     clip = lambda at, size, full: F.greatest(F.lit(0), F.least(F.col(at) + F.col(size), F.lit(full - margin)) - F.greatest(F.col(at), F.lit(margin)))
-    used = shapes.groupBy("slide_id").agg(F.sum(clip("x", "w", slide_w) * clip("y", "h", slide_h)).alias("used"))
+    used = shapes.groupBy("slide_id").agg(F.sum(clip("x", "w", slide_w) * clip("y", "h", slide_h)).alias("used"), F.count("*").alias("blocks"))
     ratio = F.least(F.lit(1.0), F.col("used") / ((slide_w - 2 * margin) * (slide_h - 2 * margin)))
-    found = slides.where(~F.col("archetype").isin(*SPARSE)).join(used, "slide_id").withColumn("fill", F.bround(ratio, 4))
+    asked = F.when(F.col("archetype").isNull(), F.col("blocks") > 2).otherwise(~F.col("archetype").isin(*SPARSE))
+    found = slides.join(used, "slide_id").where(asked).withColumn("fill", F.bround(ratio, 4))
     return found.where((F.col("fill") < low) | (F.col("fill") > high)).select("deck_id", "slide_id", "slide_idx", "fill")
 
 
@@ -230,9 +256,10 @@ def duplicate_parts(parts: DataFrame) -> DataFrame:
     return twice.groupBy("deck_id").agg(F.count("*").alias("parts"), F.max("n").cast("long").alias("most"))
 
 
-def placeholders(paras: DataFrame, dictionary: DataFrame, whole: tuple[str, ...] = text.WHOLE_PROMPTS) -> DataFrame:
+def placeholders(paras: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Texts (doc_id, text) that are no content: those that contain an entry of ``dictionary`` (pattern_no, phrase), of
-    which the first counts, those that are one of ``whole`` words and no more (pattern_no -1), and empty ones (-2).
+    which the first counts, those that one of the patterns of T13 finds (its number - 100), those that are a single word of
+    it (-1), and empty ones (-200). The least number counts.
 
     Entries are looked for by their first word, so texts meet only the entries that may occur in them. A dictionary of up to
     SENT_BYTES, measured first, is sent out.
@@ -246,11 +273,24 @@ def placeholders(paras: DataFrame, dictionary: DataFrame, whole: tuple[str, ...]
         may = paras.select("doc_id", leads).join(d.hint("merge"), "lead").select("doc_id", "pattern_no", "phrase")
         found = may.join(paras.select("doc_id", "text").hint("merge"), "doc_id")
     phrases = found.where(F.col("text").contains(F.col("phrase"))).select("doc_id", "pattern_no")
-    plain = F.lower(text.squeezed(F.col("text")))
-    bare = paras.select("doc_id", F.when(plain == "", -2).when(plain.isin(*whole), -1).cast("long").alias("pattern_no")).where("pattern_no is not null")
+    bare = paras.select("doc_id", prompt_number(F.col("text")).alias("pattern_no")).where("pattern_no is not null")
     return phrases.unionByName(bare).groupBy("doc_id").agg(F.min("pattern_no").alias("pattern_no"))
 
 
+def prompt_number(c: Column) -> Column:
+    """-200 for an empty text, a pattern's number - 100, -1 for a text that is a single word of T13, else null."""
+    found = F.transform(F.array(text.prompt_pattern(c)), lambda n: F.when(n >= 0, n - 100).otherwise(n))[0]
+    return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", -200).otherwise(found).cast("long")
+
+
+def prompts_left(shapes: DataFrame) -> DataFrame:
+    """Our text shapes that are no content: pattern_no as in ``prompt_number``; empty ones only if they are placeholders,
+    which is a warning."""
+    t = shapes.where("tag = 'sp'").where(_context(shapes, "is_ours", True) | _context(shapes, "is_slot", False)).withColumn("pattern_no", prompt_number(F.col("text")))
+    found = t.where("pattern_no is not null and (pattern_no > -200 or placeholder is not null)")
+    return found.select(*SHAPE, "pattern_no", F.when(F.col("pattern_no") == -200, "warning").otherwise("error").alias("severity"))
+
+
 def empty_slides(slides: DataFrame, shapes: DataFrame) -> DataFrame:
     """Slides without text, or with a single text block and nothing else."""
     n = shapes.groupBy("slide_id").agg(F.count_if(F.col("tag") == "sp").alias("texts"), F.count("*").alias("blocks"))
@@ -275,32 +315,33 @@ def duplicate_slides(docs: DataFrame, group: str, similarity: float = 0.8, least
     """Texts of a group whose sets of distinct words have a Jaccard similarity above ``similarity``.
 
     Texts with equal sets are a class; each is paired with its class's first text, and only first texts with each other, so
-    k copies give k - 1 pairs. Sets are ordered by rarity; two similar ones share a word among their first few, so only
-    these are joined (a prefix filter), and sizes must be near. Hashes of words, written once, choose the pairs; their words
-    decide. The result is exact.
+    k copies give k - 1 pairs. Sets are put in one order of all words, about by rarity (counts by slots of hashes, a table of
+    fixed size); two similar ones share a word among their first few, so only these are joined (a prefix filter), and sizes
+    must be near. Words stand for themselves as 64-bit hashes in what is
+    shuffled; of the pairs that are found likely by hashes the words decide. The result is exact.
     """
     words = F.array_sort(text.distinct_words(F.col("text")))
-    own = docs.select(F.col(group).alias("grp"), "doc_id", words.alias("words")).where(F.size("words") >= least_words)
-    own = written(own.select("grp", "doc_id", F.md5(F.array_join("words", " ").cast("binary")).alias("same"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")), "slide-words")
-    first = written(own.groupBy("grp", "same").agg(F.min(F.struct("doc_id", "hashes")).alias("f")).select("grp", "same", "f.doc_id", "f.hashes"), "first-slides")
-    copies = own.select("grp", "same", F.col("doc_id").alias("other")).join(first.select("grp", "same", "doc_id").hint("merge"), ["grp", "same"]).where("doc_id <> other").select("grp", "doc_id", "other", F.lit(1.0).alias("jaccard"))
-    each = first.select("grp", "doc_id", F.explode("hashes").alias("word"))
-    df = each.groupBy("grp", "word").agg(F.count("*").alias("df"))
-    rare = each.join(df.hint("merge"), ["grp", "word"]).groupBy("grp", "doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("rare"))  # bounded: one text's words
+    own = docs.select(F.col(group).alias("grp"), "doc_id", F.explode(F.array(words)).alias("words"))  # a generator: words are found once
+    own = own.where(F.size("words") >= least_words).select("grp", "doc_id", F.md5(F.array_join("words", " ").cast("binary")).alias("same"), "words")
+    own = written(own, "slide-words")
+    classes = own.groupBy("grp", "same").agg(F.min_by("words", "doc_id").alias("words"), F.min("doc_id").alias("doc_id"), F.count("*").alias("k"))
+    first = written(classes.select("grp", "same", "doc_id", "k", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")), "first-slides")
+    again = first.where("k > 1").select("grp", "same", F.col("doc_id").alias("first"))
+    copies = own.drop("words").join(again.hint("merge"), ["grp", "same"]).where("doc_id <> first").select("grp", F.col("first").alias("doc_id"), F.col("doc_id").alias("other"), F.lit(1.0).alias("jaccard"))
+    each = first.select("grp", "doc_id", F.explode("hashes").alias("word")).withColumn("slot", F.pmod("word", F.lit(RARITY_SLOTS)))
+    often = each.groupBy("slot").agg(F.count("*").alias("df"))
+    rare = each.join(F.broadcast(often), "slot").groupBy("grp", "doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("rare"))  # bounded: one text's words
     n = F.size("rare")
     keep = n - F.ceil(F.lit(similarity) * n - 1e-9).cast("int") + 1
     few = written(rare.select("grp", "doc_id", n.alias("n"), F.explode(F.slice(F.col("rare.word"), F.lit(1), keep)).alias("word")), "rare-words")
     other = few.select("grp", F.col("doc_id").alias("other"), F.col("n").alias("m"), "word")
     near = (F.col("doc_id") < F.col("other")) & (F.col("n") >= similarity * F.col("m")) & (F.col("m") >= similarity * F.col("n"))
-    pairs = written(few.join(other.hint("merge"), ["grp", "word"]).where(near).select("grp", "doc_id", "other").distinct(), "slide-pairs")
-    sets = first.select("grp", "doc_id", "hashes")
-    both = pairs.join(sets.hint("merge"), ["grp", "doc_id"]).join(sets.select("grp", F.col("doc_id").alias("other"), F.col("hashes").alias("more")).hint("merge"), ["grp", "other"])
+    pairs = few.join(other.hint("merge"), ["grp", "word"]).where(near).select("grp", "doc_id", "other").distinct()
+    sets = first.select("grp", "doc_id", "hashes", "words")
+    other_sets = first.select("grp", F.col("doc_id").alias("other"), F.col("hashes").alias("more"), F.col("words").alias("other_words"))
+    both = pairs.join(sets.hint("merge"), ["grp", "doc_id"]).join(other_sets.hint("merge"), ["grp", "other"])
     share = lambda a, b: F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b) - F.size(F.array_intersect(a, b)))
-    likely = written(both.where(share("hashes", "more") > similarity - 0.01).select("grp", "doc_id", "other"), "likely-pairs")
-    texts = docs.select(F.col(group).alias("grp"), "doc_id", "text")
-    full = likely.join(texts.hint("merge"), ["grp", "doc_id"]).withColumn("left_words", text.distinct_words(F.col("text"))).drop("text")
-    full = full.join(texts.withColumnRenamed("doc_id", "other").hint("merge"), ["grp", "other"]).withColumn("right_words", text.distinct_words(F.col("text")))
-    found = full.withColumn("jaccard", share("left_words", "right_words")).where(F.col("jaccard") > similarity)
+    found = both.where(share("hashes", "more") > similarity - 0.01).withColumn("jaccard", share("words", "other_words")).where(F.col("jaccard") > similarity)
     return copies.unionByName(found.select("grp", "doc_id", "other", F.bround("jaccard", 4).alias("jaccard")))
 
 
@@ -319,7 +360,7 @@ def talk_time(notes: DataFrame, target: float, tolerance: float = 0.25, wpm: int
 def finding(df: DataFrame, check_id: str | Column, severity: str | Column) -> DataFrame:
     """The common form: check_id, severity, deck_id, slide_idx, element, evidence."""
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    known = {"deck_id", "slide_id", "slide_idx", "z", "check_id"}
+    known = {"deck_id", "slide_id", "slide_idx", "z", "check_id", "severity"}
     pairs = [x for c in df.columns if c not in known for x in (F.lit(c), F.col(c).cast("string"))]
     return df.select(
         as_col(check_id).alias("check_id"), as_col(severity).alias("severity"), "deck_id", "slide_idx" if "slide_idx" in df.columns else F.lit(-1).cast("long").alias("slide_idx"),

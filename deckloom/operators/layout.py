@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text
+from .audit import with_lines
 
 SLIDE = ["deck_id", "slide_id", "slide_idx"]
 #: Text archetypes, between which a strategy chooses, and penalties.
@@ -447,16 +448,15 @@ def overflow(paras: DataFrame, boxes: DataFrame, slack: float = 0.1, points: flo
 
 
 def lines_over_blocks(shapes: DataFrame) -> DataFrame:
-    """Texts of which a line below their own box, by average widths, reaches into a picture, chart or table that the box
-    leaves alone; with the first such line."""
-    per_line = F.greatest(F.lit(1), F.floor(F.col("w") / 12700 / (0.5 * F.col("size_pt"))))
-    high = (1.2 * F.col("size_pt") * 12700).cast("long")
-    t = shapes.where("tag = 'sp'").withColumns({"lines": F.ceil(F.col("chars") / per_line), "high": high}).alias("a")
-    b = shapes.where("tag <> 'sp'").alias("b")
-    bottom = F.col("a.y") + F.col("a.lines") * F.col("a.high")
-    # The first line whose lower edge lies below the block's upper one.
-    first = F.floor((F.col("b.y") - F.col("a.y")) / F.col("a.high")) + 1
+    """Our texts of which a line below their own box, by average widths, reaches into a picture, chart or table that the box
+    leaves alone; with the first such line. Lines that the text has in the exemplar are let off."""
+    ours = F.coalesce("is_ours", F.lit(True)) if "is_ours" in shapes.columns else F.lit(True)
+    t = with_lines(shapes.where("tag = 'sp'").where(ours)).select(*SLIDE, "z", "x", "y", "w", "h", "high", "lines", "known").alias("a")
+    b = shapes.where("tag <> 'sp'").select("slide_id", "z", "x", "y", "w", "h").alias("b")
+    # The first line whose lower edge lies below the block's upper one, and which the exemplar does not have.
+    first = F.greatest(F.floor((F.col("b.y") - F.col("a.y")) / F.col("a.high")) + 1, F.col("a.known") + 1)
     apart = geo.intersection("a", "b") == 0
-    reach = (geo.overlap_w("a", "b") > 0) & (F.col("b.y") >= F.col("a.y") + F.col("a.h")) & (bottom > F.col("b.y"))
+    reach = (geo.overlap_w("a", "b") > 0) & (F.col("b.y") >= F.col("a.y") + F.col("a.h")) & (first <= F.col("a.lines")) & (F.col("a.y") + (first - 1) * F.col("a.high") < F.col("b.y") + F.col("b.h"))
     found = t.join(b, (F.col("a.slide_id") == F.col("b.slide_id")) & apart & reach)
-    return found.select(*[F.col(f"a.{c}").alias(c) for c in (*SLIDE, "z")], F.col("b.z").alias("other_z"), first.cast("long").alias("line"), (bottom - F.col("b.y")).cast("long").alias("depth"))
+    depth = F.col("a.y") + F.col("a.lines") * F.col("a.high") - F.col("b.y")
+    return found.select(*[F.col(f"a.{c}").alias(c) for c in (*SLIDE, "z")], F.col("b.z").alias("other_z"), first.cast("long").alias("line"), depth.cast("long").alias("depth"))

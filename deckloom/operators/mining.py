@@ -156,8 +156,8 @@ def repeated_signatures(shapes: DataFrame, least: int = 3, share: float = 0.25,
 
 
 def fixed_elements(shapes: DataFrame, least: int = 3, edge: float = 0.12, slide_w: int = geo.SLIDE_W, slide_h: int = geo.SLIDE_H) -> DataFrame:
-    """Repeated boxes as fixed elements: logo, footer or decoration."""
-    s = repeated_signatures(shapes, least, 0.0)
+    """Boxes that repeat on a quarter of a template's slides as fixed elements: logo, footer or decoration."""
+    s = repeated_signatures(shapes, least)
     y, h, w = F.col("by") * geo.STEP, F.col("bh") * geo.STEP, F.col("bw") * geo.STEP
     kind = F.when((F.col("tag") == "pic") & (w * h < 0.1 * slide_w * slide_h), "logo").when((F.col("tag") == "sp") & (y >= (1 - edge) * slide_h), "footer").when(F.col("tag") != "sp", "decoration").otherwise("unknown")
     return s.withColumn("kind", kind)

@@ -36,13 +36,23 @@ def select_rules(rules: dict, chosen: list[str] | None = None) -> list[str]:
     return names
 
 
-def run_rules(rules: dict, tables, chosen: list[str] | None = None) -> DataFrame:
-    """Findings of the chosen rules (functions from ``tables`` to findings) as one plan."""
-    found = None
+def run_rules(rules: dict, tables, chosen: list[str] | None = None, broken: str | None = None) -> DataFrame:
+    """Findings of the chosen rules (functions from ``tables`` to findings) as one plan.
+
+    ``broken`` is the beginning of the rules that say that a deck can't be read: such a deck has their findings alone, also
+    when they were not chosen.
+    """
+    found, stop = None, None
     for n in select_rules(rules, chosen):
         own = rules[n](tables)
         found = own if found is None else found.unionByName(own)
-    return found
+    if not broken:
+        return found
+    for n in select_rules(rules, [broken]):
+        own = rules[n](tables).select("deck_id")
+        stop = own if stop is None else stop.unionByName(own)
+    kept = found.where(~F.col("check_id").startswith(broken)).join(stop.distinct().hint("merge"), "deck_id", "left_anti")
+    return kept.select(*found.columns).unionByName(found.where(F.col("check_id").startswith(broken)))
 
 
 def ordered(findings: DataFrame) -> DataFrame:

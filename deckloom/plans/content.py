@@ -9,9 +9,8 @@ from ..operators import content
 from ..sources import packs
 from ..sources.fixtures import Fixtures
 from ..sources.scratch import shared_path
-from .report import RULES, PLAN
+from .report import PLAN, _findings
 from .views import VIEWS, with_views
-from ..operators.report import run_rules
 
 
 def _pack(f: Fixtures):
@@ -44,15 +43,16 @@ def _cache(f: Fixtures):
 
 def _written(f: Fixtures):
     path = shared_path(f.spark, "audit")
-    packs.write_audit(run_rules(RULES, f, ["D01", "I03"]).select(*PLAN), path)
+    packs.write_audit(_findings(f, ["D01", "I03"]).select(*PLAN), path)
     return f.spark.read.parquet(path).groupBy("check_id", "severity").agg(F.count("*").alias("n"))
 
 
 def _run(f: Fixtures):
     path = shared_path(f.spark, "run")
-    k = F.col("deck_id") % 3
-    found = run_rules(RULES, f, ["D01", "I03", "L01"]).select(*PLAN)
-    packs.write_run(found, f.slides(), F.when(k == 0, "executive").when(k == 1, "detailed").otherwise("visual"), path)
+    k = F.col("deck_no") % 3
+    found = _findings(f, ["D01", "I03", "L01"]).select(*PLAN)
+    slides = f.slides().withColumn("deck_no", F.col("deck_id")).withColumn("deck_id", F.concat(F.lit("deck/"), F.col("deck_id").cast("string")))
+    packs.write_run(found, slides, F.when(k == 0, "executive").when(k == 1, "detailed").otherwise("visual"), path)
     return f.spark.read.parquet(f"{path}/comparison")
 
 
@@ -137,8 +137,8 @@ select r_name, string_agg(row_, chr(10) order by k) as "table", max(total) as to
     "s06_cache": """with c as (select sha1(text) as digest, arg_min(doc_id * 10, (doc_id % 2 <> 0, doc_id)) as result, case when bool_or(doc_id % 2 = 0) then 'work' else 'bundled' end as place from documents where doc_id % 3 = 0 group by 1)
 select doc_id, result, coalesce(place, 'todo') as place from documents left join c on sha1(text) = digest""",
     "s07_write_audit": "select check_id, severity, count(*) as n from fx_found where check_id in ('D01', 'I03') group by all",
-    "s07_write_run": """with s as (select deck_id, count(*) as slides from fx_slides group by 1), c as (select deck_id, count(*) filter (severity = 'error') as e, count(*) filter (severity = 'warning') as w, count(*) filter (severity = 'info') as i from fx_found where check_id in ('D01', 'I03', 'L01', 'L04') group by 1)
-select case deck_id % 3 when 0 then 'executive' when 1 then 'detailed' else 'visual' end as strategy, count(*) as decks, sum(slides)::bigint as slides, coalesce(sum(e), 0)::bigint as n_error, coalesce(sum(w), 0)::bigint as n_warning, coalesce(sum(i), 0)::bigint as n_info from s left join c using (deck_id) group by 1""",
+    "s07_write_run": """with s as (select 'deck/' || deck_id as deck_id, any_value(deck_id) % 3 as k, count(*) as slides from fx_slides group by fx_slides.deck_id), c as (select deck_id, count(*) filter (severity = 'error') as e, count(*) filter (severity = 'warning') as w, count(*) filter (severity = 'info') as i from fx_found where check_id in ('D01', 'I03', 'L01', 'L04') group by 1)
+select case k when 0 then 'executive' when 1 then 'detailed' else 'visual' end as strategy, count(*) as decks, sum(slides)::bigint as slides, coalesce(sum(e), 0)::bigint as n_error, coalesce(sum(w), 0)::bigint as n_warning, coalesce(sum(i), 0)::bigint as n_info from s left join c using (deck_id) group by 1""",
     "k01_sections": r"""with h as (select *, regexp_matches(text, '^#|^[A-ZÀ-Þ][^ ]* [^ ]*\.?$') as hd from fx_paras), s as (select *, sum(hd::int) over (partition by doc_id order by para_no) as section, sum(hd::int) over (partition by doc_id) as heads from h)
 select doc_id, section::bigint as section, max(text) filter (hd) as title, count(*) filter (not hd and trim(text, ' ') <> '') as n_lines, md5(string_agg(text, chr(10) order by para_no) filter (not hd and trim(text, ' ') <> '')) as digest from s where heads >= 2 and section >= 1 group by 1, 2 having count(*) filter (not hd and trim(text, ' ') <> '') > 0""",
     "k02_unique_ids": """with k as (select source, doc_id, row_number() over (partition by source order by doc_id) as k from documents)

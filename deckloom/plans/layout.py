@@ -76,7 +76,7 @@ def _modified(f: Fixtures):
 OFFER = ["template_id", "exemplar_id", "archetype", "bodies", "labels", "captions", "numbers", "big_numbers", "pictures", "icons", "charts", "tables", "fill", "columns", "wide", "high", "visible"]
 
 RUN = {
-    "a04_lines_over_blocks": lambda f: layout.lines_over_blocks(f.shapes()),
+    "a04_lines_over_blocks": lambda f: layout.lines_over_blocks(f.context()),
     "a05_overflow": overflow,
     "c01_title_choice": lambda f: layout.title_choice(f.shapes()),
     "c02_features": lambda f: layout.features(f.shapes()),
@@ -185,8 +185,9 @@ VIEWS["fx_rated"] = "select outline_id, idx, template_id, exemplar_id, max(score
 WRAP = "coalesce(list_reduce(list_prepend(0::bigint, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: length(x))), lambda a, n: case when a % 1000000 > 0 and a % 1000000 + 1 + n <= wd then a + 1 + n else (a // 1000000 + ceil(n * 1.0 / wd)::bigint) * 1000000 + n - (ceil(n * 1.0 / wd)::bigint - 1) * wd end), 0)"
 
 SQL = {
-    "a04_lines_over_blocks": """with t as (select *, trunc(1.2::double * size_pt * 12700)::bigint as high, ceil(chars / greatest(1, floor(w / 12700.0::double / (0.5::double * size_pt))))::bigint as lines from fx_shapes where tag = 'sp')
-select a.deck_id, a.slide_id, a.slide_idx, a.z, b.z as other_z, (b.y - a.y) // a.high + 1 as line, a.y + lines * high - b.y as depth from t a join fx_shapes b on a.slide_id = b.slide_id and b.tag <> 'sp' and least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) and b.y >= a.y + a.h and a.y + lines * high > b.y""",
+    "a04_lines_over_blocks": """with t as (select *, trunc(1.2::double * size_pt * 12700)::bigint as high, ceil(chars / greatest(1, floor(w / 12700.0::double / (0.5::double * size_pt))))::bigint as lines, coalesce(ceil(e_chars / greatest(1, floor(ew / 12700.0::double / (0.5::double * e_pt))))::bigint, 0) as known from fx_context where tag = 'sp' and is_ours),
+ l as (select a.*, b.z as other_z, b.y as top, b.y + b.h as foot, greatest((b.y - a.y) // a.high, a.known) + 1 as line from t a join fx_shapes b on a.slide_id = b.slide_id and b.tag <> 'sp' and least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) and b.y >= a.y + a.h)
+select deck_id, slide_id, slide_idx, z, other_z, line, y + lines * high - top as depth from l where line <= lines and y + (line - 1) * high < foot""",
     "a05_overflow": f"""with p as (select doc_id, text, doc_id % 40 + 30 as wd from fx_paras), l as (select doc_id, wd, length(text) as n, case when doc_id % 11 <> 0 then greatest(1, {WRAP} // 1000000) else 1 end as lines from p),
  s as (select doc_id, sum(lines)::bigint as lines, count(*) as paras, max(n) as longest, any_value(wd) as wd from l group by 1),
  n as (select *, round_even(case when doc_id % 11 <> 0 then lines * 12.0::double * 1.2::double + (paras - 1) * 3.0::double else 6.0::double * longest end, 2) as need_pt, case when doc_id % 11 <> 0 then 300.0::double else 6.0::double * wd end as have_pt from s)

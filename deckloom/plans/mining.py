@@ -38,7 +38,7 @@ RUN = {
     "m05_font_ranks": lambda f: mining.font_ranks(f.runs()),
     "m06_size_bins": lambda f: mining.size_bins(f.runs()),
     "m07_type_roles": lambda f: mining.type_roles(f.runs()),
-    "m08_repeated": lambda f: mining.repeated_signatures(f.shapes(), 3, 0.0),
+    "m08_repeated": lambda f: mining.repeated_signatures(f.shapes()),
     "m09_fixed": lambda f: mining.fixed_elements(f.shapes()),
     "m10_grid": lambda f: mining.grid(f.shapes()),
     "m10_guides": lambda f: f.guides(),
@@ -58,7 +58,7 @@ ROLE = """LAB(fx_usage), c0 as (select *, round_even(sqrt(la * la + lbb * lbb),
  su as (select template_id, hex, 'surface' as role from (select * from c0 anti join r3 using (template_id, hex)) where chroma < 20 and fill_area >= 0.5), r4 as (select * from r3 union all select * from su),
  mu as (select template_id, arg_max(hex, (text_chars + fills, -('0x' || hex)::int)) as hex, 'muted' as role from (select * from c0 anti join r4 using (template_id, hex)) where chroma < 20 group by 1), r5 as (select * from r4 union all select * from mu),
  roles as (select template_id, hex, coalesce(role, 'unknown') as role, weight from c0 left join r5 using (template_id, hex))"""
-SIG = "select template_id, tag, text, round_even(x / 45720.0, 0)::bigint as bx, round_even(y / 45720.0, 0)::bigint as \"by\", round_even(w / 45720.0, 0)::bigint as bw, round_even(h / 45720.0, 0)::bigint as bh, count(distinct slide_id) as slides from fx_shapes where placeholder is null and (tag <> 'sp' or y < 0.12::double * 6858000 or y + h > 0.88::double * 6858000) group by 1, 2, 3, 4, 5, 6, 7 having count(distinct slide_id) >= 3"
+SIG = "select template_id, tag, text, round_even(x / 45720.0, 0)::bigint as bx, round_even(y / 45720.0, 0)::bigint as \"by\", round_even(w / 45720.0, 0)::bigint as bw, round_even(h / 45720.0, 0)::bigint as bh, count(distinct slide_id) as slides from fx_shapes where placeholder is null and (tag <> 'sp' or y < 0.12::double * 6858000 or y + h > 0.88::double * 6858000) group by 1, 2, 3, 4, 5, 6, 7 having count(distinct slide_id) >= greatest(3, 0.25 * (select count(distinct slide_id) from fx_plain q where q.template_id = fx_shapes.template_id))"
 
 SQL = {
     "m01_color_usage": "select * from fx_usage",

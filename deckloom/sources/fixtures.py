@@ -10,19 +10,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import stepped
+from ..functions.text import is_photo_prompt
+from ..operators import alignment
 from ..operators.mining import guides
 from .scratch import written
 
 ARCHETYPES = ("title", "section", "agenda", "bullets", "two_column", "cards", "kpi", "chart", "table", "image_text", "image_full", "quote", "process", "team", "closing", "freeform")
 SLOT_KINDS = ("title", "subtitle", "body", "caption", "number", "label", "picture", "chart", "table", "icon", "date", "footer", "slide_number", "other")
 
+#: Tables whose rows are costly to work on.
+LONG_TEXTS = ("documents", "pages")
+
 
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A given table. Long texts that come in fewer splits than there are cores are dealt out first."""
+        found, cores = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"), self.spark.sparkContext.defaultParallelism
+        few = name in LONG_TEXTS and found.rdd.getNumPartitions() < cores
+        return found.repartition(cores) if few else found
 
     def slides(self) -> DataFrame:
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -59,11 +67,74 @@ class Fixtures:
         part_of = self.table("part").select(F.col("p_partkey").alias("pk"), F.col("p_size").cast("double").alias("size_pt"), F.col("p_brand").alias("font"))
         deck = self.table("customer").select(F.col("c_custkey").alias("deck_id"), F.col("c_nationkey").alias("template_id"))
         place = self.slides().join(deck, "deck_id").select("template_id", "deck_id", "slide_id", "slide_idx")
-        return own.join(place, "slide_id").join(part_of, "pk")
+        return self._placed(own.join(place, "slide_id").join(part_of, "pk"))
+
+    @staticmethod
+    def _placed(s: DataFrame) -> DataFrame:
+        """With what repeats in a template: a mark on nine of ten slides (astray on half of the others), and a box for each
+        quarter of its slides; and with fills, contents, paragraphs and bullet marks."""
+        z, t, k = F.col("z"), F.col("template_id"), F.col("slide_id")
+        mark, astray, slot = (z == 1) & (k % 10 != 0), (z == 1) & (k % 20 == 10), z == 2
+        quarter = k % 4
+        jitter = (F.col("sk") % 3) * 20000 + F.when(F.col("sk") % 4 == 0, 70000).otherwise(0)
+        own = {
+            "x": F.when(mark, 10600000).when(astray, 5000000).when(slot, 457200 + ((t * 5 + quarter * 3) % 8) * 914400 + jitter).otherwise(F.col("x")),
+            "y": F.when(mark, 6200000 + (t % 5) * 45720).when(astray, 3000000).when(slot, 457200 + ((t + quarter) % 6) * 850000).otherwise(F.col("y")),
+            "w": F.when(mark | astray, 914400).when(slot, 2000000 + (t % 3) * 500000).otherwise(F.col("w")),
+            "h": F.when(mark | astray, 457200).when(slot, 900000).otherwise(F.col("h")),
+        }
+        is_text, filled = F.col("kind") == "text", F.col("sk") % 11 == 0
+        frame = F.col("kind").isin("chart", "table")
+        fill = lambda own, turned: F.when(frame, F.col(own)).when(is_text & filled, F.col(turned))
+        s = s.withColumns({c: v.cast("long") for c, v in own.items()}).withColumns({
+            "text": F.when(is_text & (mark | astray), "company").otherwise(F.col("text")), "placeholder": F.when(~(mark | astray), F.col("placeholder")),
+            "fill_r": fill("r", "g"), "fill_g": fill("g", "b"), "fill_b": fill("b", "r"), "paras": F.when(is_text, 1 + F.when(F.col("sk") % 2 == 0, F.col("sk") % 5).otherwise(0)).cast("long"), "bullet": is_text & (F.col("pk") % 3 == 0),
+        })
+        held = F.when(is_text, F.col("text")).when(F.col("kind") == "picture", F.concat(F.lit("image "), (F.col("pk") % 3).cast("string"))).otherwise(F.concat(F.lit("data "), (F.col("pk") % 5).cast("string")))
+        return s.withColumn("content", held)
+
+    def exemplar_ids(self) -> DataFrame:
+        """(template_id, quarter, exemplar_id): of each quarter of a template's slides the lowest."""
+        return self.shapes().groupBy("template_id", (F.col("slide_id") % 4).alias("quarter")).agg(F.min("slide_id").alias("exemplar_id"))
+
+    def plan(self) -> DataFrame:
+        """(template_id, deck_id, slide_id, slide_idx, exemplar_id): the exemplars of all slides but each deck's every seventh."""
+        deck = self.table("customer").select(F.col("c_custkey").alias("deck_id"), F.col("c_nationkey").alias("template_id"))
+        s = self.slides().join(deck, "deck_id").where("slide_idx % 7 <> 6").withColumn("quarter", F.col("slide_id") % 4)
+        return s.join(F.broadcast(self.exemplar_ids()), ["template_id", "quarter"]).select("template_id", "deck_id", "slide_id", "slide_idx", "exemplar_id")  # four rows a template
+
+    def exemplars(self) -> DataFrame:
+        """The shapes of all exemplars."""
+        s = self.shapes().join(F.broadcast(self.exemplar_ids().select("exemplar_id")), F.col("slide_id") == F.col("exemplar_id"))  # four rows a template
+        boxes = self.fixed().groupBy("template_id").agg(F.collect_list(F.struct("bx", "by", "bw", "bh")).alias("boxes"))
+        at = F.struct(*[stepped(F.col(c)).alias(f"b{c}") for c in "xywh"])
+        kind = F.element_at(F.array(*map(F.lit, SLOT_KINDS)), (F.col("pk") % 14 + 1).cast("int"))
+        return s.join(boxes, "template_id", "left").select(
+            "template_id", "exemplar_id", F.col("z").alias("ez"), "kind", "x", "y", "w", "h", "size_pt", "chars", kind.alias("slot_kind"), F.when(F.col("pk") % 4 == 0, 300000).otherwise(0).cast("long").alias("plate_w"), "content", "text", "placeholder",
+            F.coalesce(F.array_contains("boxes", at), F.lit(False)).alias("is_fixed"), is_photo_prompt(F.col("text")).alias("photo_prompt"),
+        )
+
+    def context(self) -> DataFrame:
+        """Shapes with what their slide's exemplar has in their place."""
+        return alignment.in_context(self.shapes(), self.plan(), self.exemplars(), self.fixed())
 
     def runs(self) -> DataFrame:
         return self.shapes().where("tag = 'sp'").select("template_id", "deck_id", "slide_id", "slide_idx", "z", "font", "size_pt", "hex", "r", "g", "b", "bold", "chars")
 
+    def two_runs(self) -> DataFrame:
+        """The runs of texts; every seventh supplier's have a second run, in other colours and half as large again."""
+        own = F.struct(F.lit(0).alias("run"), "r", "g", "b", "size_pt")
+        more = F.struct(F.lit(1).alias("run"), F.col("b").alias("r"), F.col("r").alias("g"), F.col("g").alias("b"), (F.col("size_pt") * 1.5).alias("size_pt"))
+        s = self.shapes().where("tag = 'sp'").select("slide_id", "z", "bold", F.explode(F.when(F.col("sk") % 7 == 0, F.array(own, more)).otherwise(F.array(own))).alias("t"))
+        return s.select("slide_id", "z", "bold", "t.*")
+
+    def theme(self) -> DataFrame:
+        """Two theme colours of each template."""
+        t = self.table("nation").select(F.col("n_nationkey").alias("template_id"))
+        hexed = lambda *rgb: F.upper(F.concat(*[F.lpad(F.hex(c.cast("long")), 2, "0") for c in rgb]))
+        each = t.select("template_id", F.explode(F.array(F.struct((F.col("template_id") * 10 % 256).cast("int").alias("r"), F.lit(80).alias("g"), F.lit(160).alias("b")), F.struct(F.lit(240).alias("r"), (F.col("template_id") * 9 % 256).cast("int").alias("g"), F.lit(0).alias("b")))).alias("c"))
+        return each.select("template_id", hexed(F.col("c.r"), F.col("c.g"), F.col("c.b")).alias("hex"), "c.*")
+
     def guides(self) -> DataFrame:
         return guides(self.shapes())
 
@@ -81,17 +152,19 @@ class Fixtures:
         return self._top(["font"], 20).select("template_id", "font")
 
     def fixed(self) -> DataFrame:
-        """(template_id, bx, by, bw, bh, n_slides): stepped boxes on at least three slides."""
+        """(template_id, bx, by, bw, bh, n_slides): stepped boxes on at least three slides and a quarter of a template's."""
         keys = [stepped(F.col(c)).alias(f"b{c}") for c in "xywh"]
-        return self.shapes().select("template_id", "slide_id", *keys).distinct().groupBy("template_id", "bx", "by", "bw", "bh").agg(F.count("*").alias("n_slides")).where("n_slides >= 3")
+        each = self.shapes().select("template_id", "slide_id", *keys).distinct()
+        n = self.shapes().groupBy("template_id").agg(F.countDistinct("slide_id").alias("n"))
+        on = each.groupBy("template_id", "bx", "by", "bw", "bh").agg(F.count("*").alias("n_slides")).where("n_slides >= 3")
+        return on.join(n, "template_id").where("n_slides >= 0.25 * n").drop("n")
 
     def slots(self) -> DataFrame:
-        """Shapes of each template's four lowest slides."""
-        ids = self.shapes().select("template_id", "slide_id").distinct()
-        low = ids.withColumn("k", F.row_number().over(W.partitionBy("template_id").orderBy("slide_id"))).where("k <= 4").drop("k", "template_id")
+        """Shapes of each template's four exemplars."""
+        low = self.exemplar_ids().select(F.col("exemplar_id").alias("slide_id"))
         kind = F.element_at(F.array(*map(F.lit, SLOT_KINDS)), (F.col("pk") % 14 + 1).cast("int"))
         names = F.array(*map(F.lit, ARCHETYPES))
-        return self.shapes().join(low, "slide_id").select(
+        return self.shapes().join(F.broadcast(low), "slide_id").select(  # four rows a template
             "template_id", F.col("slide_id").alias("exemplar_id"), F.col("z").alias("slot_id"), kind.alias("kind"), "x", "y", "w", "h", "size_pt",
             F.element_at(names, (F.col("slide_id") % 16 + 1).cast("int")).alias("archetype"),
             (0.9 * F.floor(F.col("w") / 12700 / (0.5 * F.col("size_pt"))) * F.floor(F.col("h") / 12700 / (1.2 * F.col("size_pt")))).cast("long").alias("capacity"), (0.5 + (F.col("slide_id") % 50) / 100).alias("confidence"),
@@ -148,7 +221,8 @@ class Fixtures:
 
 
 class Prepared(Fixtures):
-    """The same tables, each worked out and written once, for plans that look at them many times."""
+    """The same tables for plans that look at them many times: shapes and shapes in context are worked out and written once, and
+    so are the few rows of exemplars; what is mined of them is a small aggregate of a written table."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark, sf_dir)
@@ -159,26 +233,17 @@ class Prepared(Fixtures):
             self._kept[name] = written(getattr(super(), name)(), name)
         return self._kept[name]
 
-    def slides(self) -> DataFrame:
-        return self._once("slides")
-
     def shapes(self) -> DataFrame:
         return self._once("shapes")
 
-    def guides(self) -> DataFrame:
-        return self._once("guides")
-
-    def palette(self) -> DataFrame:
-        return self._once("palette")
-
-    def scale(self) -> DataFrame:
-        return self._once("scale")
-
-    def fonts(self) -> DataFrame:
-        return self._once("fonts")
+    def exemplar_ids(self) -> DataFrame:
+        return self._once("exemplar_ids")
 
     def fixed(self) -> DataFrame:
         return self._once("fixed")
 
-    def slots(self) -> DataFrame:
-        return self._once("slots")
+    def exemplars(self) -> DataFrame:
+        return self._once("exemplars")
+
+    def context(self) -> DataFrame:
+        return self._once("context")

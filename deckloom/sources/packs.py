@@ -77,7 +77,7 @@ def write_run(findings: DataFrame, slides: DataFrame, strategy: Column, path: st
     """What is kept of a run, under ``path``: findings by check, a summary for each deck (summary), and the comparison of
     strategies (comparison)."""
     write_audit(findings, f"{path}/findings")
-    counts = findings.groupBy("deck_id").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("error", "warning", "info")])
+    counts = findings.sparkSession.read.parquet(f"{path}/findings").groupBy("deck_id").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("error", "warning", "info")])
     decks = slides.groupBy("deck_id").agg(F.count("*").alias("slides"))
     decks.join(counts, "deck_id", "left").na.fill(0).write.parquet(f"{path}/summary")
     by = slides.select("deck_id", strategy.alias("strategy")).distinct()
