@@ -37,18 +37,25 @@ MAIN = frozenset(("article", "main"))
 SIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts adbox advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets footer masthead header cookie cookies consent "
     "notice notices gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus replies reply respond pagination pager toolbar search "
-    "copyright legal disclaimer skip contentinfo complementary alert outbrain taboola".split()
+    "copyright legal disclaimer skip contentinfo complementary alert outbrain taboola responses feedback".split()
 )
+#: Words that set an element apart wherever they stand in a name, unless a word says that it is about something's presence or
+#: state ("has-comments", "comments-open"); and a name that does so as a class, while an id of it may be a chapter's.
+STRONG_WORDS = frozenset("comment comments cookie cookies gdpr consent sponsored promo".split())
+STATE_WORDS = frozenset("no has with without not open closed on off enabled disabled accepted".split())
+CLASS_WORDS = frozenset(("discussion",))
 NEUTRAL_WORDS = frozenset("box block bar area list wrap wrapper container section slot unit item items links link buttons button form top bottom left right side site page global main primary inner outer row col post posts article articles".split())
 #: Thresholds of the first pass: characters of a short and of a long text, shares of characters in links, of stop words.
 SHORT, LONG, MAX_LINKS, FULL_LINKS, LOW_STOPS, HIGH_STOPS = 70, 200, 0.33, 0.8, 0.12, 0.22
-#: Words of a block that is all link, up to which it is no sentence.
-LINK_WORDS = 12
+#: Words of a block that is all link, up to which it is no sentence; within an article such blocks go only as a menu: so many of
+#: them in a row, none a heading, of so few words each.
+LINK_WORDS, MENU_RUN, MENU_WORDS = 12, 3, 2
 
 _TAG = re.compile(r"/?[a-zA-Z][^\s/>]*")
 #: What follows a tag's name: signs, and values, which may hold ">" if they are quoted.
 _REST = re.compile(r"(?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+>")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
@@ -92,37 +99,49 @@ def tags(html: str):
         yield start, at, name, rest
 
 
-def set_apart(rest: str) -> tuple[bool, bool]:
-    """(hidden, named): whether attributes hide an element, or a whole name of class, id or role sets it apart."""
-    named = False
+def set_apart(rest: str) -> tuple[bool, bool, bool]:
+    """(hidden, apart, named): whether attributes hide an element, whether a name of class, id or role sets it apart, and whether
+    it has a name at all.
+
+    A name sets apart if all its words do or are neutral, or if one of them is strong and none says that it is a state.
+    """
+    apart = named = False
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "style" and _UNSEEN.search(value):
-            return True, named
+            return True, apart, named
         if key in ("class", "id", "role"):
-            for name in value.lower().split():
-                words = [w for w in re.split(r"[-_]+", name) if w]
+            for name in value.split():
+                named = True
+                words = [w for w in re.split(r"[-_]+", _HUMP.sub("-", name).lower()) if w]
                 if words and not SIDE_WORDS.isdisjoint(words) and all(w in SIDE_WORDS or w in NEUTRAL_WORDS for w in words):
-                    named = True
-    return False, named
+                    apart = True
+                elif not STRONG_WORDS.isdisjoint(words) and STATE_WORDS.isdisjoint(words):
+                    apart = True
+                elif key != "id" and len(words) == 1 and words[0] in CLASS_WORDS:
+                    apart = True
+    return False, apart, named
 
 
 class Block:
-    """A run of text: characters within links, whether an excluded element holds it, the innermost element that is set apart
-    by its name (an index, or -1), and whether an article element holds it."""
+    """A run of text: characters within links, whether an excluded element holds it, the innermost element around it that has
+    a name (an index, or -1), whether an article element holds it, whether it is a heading, and whether an element with a
+    name that does not hold the article is around it."""
 
-    __slots__ = ("text", "links", "out", "named", "main")
+    __slots__ = ("text", "links", "out", "named", "main", "heading", "labelled")
 
-    def __init__(self, text: str, links: int = 0, out: bool = False, named: int = -1, main: bool = False):
-        self.text, self.links, self.out, self.named, self.main = text, links, out, named, main
+    def __init__(self, text: str, links: int = 0, out: bool = False, named: int = -1, main: bool = False, heading: bool = False, labelled: bool = False):
+        self.text, self.links, self.out, self.named, self.main, self.heading, self.labelled = text, links, out, named, main, heading, labelled
 
 
-def blocks_of(html: str) -> tuple[list[Block], list[int], set[int]]:
-    """The page's blocks; of each element that is set apart by name the next one around it; those that hold an article."""
+def blocks_of(html: str) -> tuple[list[Block], list[int], list[bool], set[int]]:
+    """The page's blocks; of each element with a name the next one around it, and whether its name sets it apart; those that
+    hold an article."""
     done: list[Block] = []
     stack: list[tuple[str, str, int]] = []  # open elements that matter: name, kind, index if named
     open_, outs, mains, headings = Counter(), 0, 0, 0
     around: list[int] = []
+    apart: list[bool] = []
     named, holders = -1, set()
     parts: list[str] = []
     in_link, link_chars, at = False, 0, 0
@@ -134,7 +153,7 @@ def blocks_of(html: str) -> tuple[list[Block], list[int], set[int]]:
             if text:
                 # A heading in an article's own header is the article's.
                 own = headings > 0 and 0 <= first_main < first_out and outs == open_["header"]
-                done.append(Block(text, min(link_chars, len(text)), outs > 0 and not own, named, mains > 0))
+                done.append(Block(text, min(link_chars, len(text)), outs > 0 and not own, named, mains > 0, headings > 0))
         parts, link_chars = [], 0
 
     first_main = first_out = -1  # depths of the outermost ones
@@ -196,7 +215,7 @@ def blocks_of(html: str) -> tuple[list[Block], list[int], set[int]]:
             if name in LOOSE:
                 in_link = False  # a link that was never closed
             continue
-        hidden, by_name = set_apart(rest) if rest and name not in VOID else (False, False)
+        hidden, by_name, has_name = set_apart(rest) if rest and name not in VOID else (False, False, False)
         if inline and not hidden and not by_name:
             continue
         flush()
@@ -213,13 +232,14 @@ def blocks_of(html: str) -> tuple[list[Block], list[int], set[int]]:
                 holders.add(k)
                 k = around[k]
         index = -1
-        if by_name and name not in MAIN and name not in ("body", "html"):
+        if has_name and name not in MAIN and name not in ("body", "html"):
             index = len(around)
             around.append(named)
+            apart.append(by_name)
         push(name, "out" if name in OUT or hidden else "main" if name in MAIN else "", index)
     said(html[at:])
     flush()
-    return done, around, holders
+    return done, around, apart, holders
 
 
 def stop_share(text: str) -> tuple[float, int]:
@@ -227,15 +247,40 @@ def stop_share(text: str) -> tuple[float, int]:
     return sum(w.strip(".,;:!?\"'()") in FUNCTION_WORDS for w in words) / len(words), len(words)
 
 
-def first_pass(block: Block, marked: bool) -> bool | None:
-    """Whether a block is article text by density, or None if that is open. ``marked``: the page marks an article."""
+def bare_link(block: Block, most: int = LINK_WORDS) -> bool:
+    """Whether a block is all link and no sentence."""
+    return block.links / len(block.text) > FULL_LINKS and len(block.text.split()) <= most
+
+
+def menus(blocks: list[Block]) -> list[bool]:
+    """Of an article's blocks those that stand in a run of short links like a menu's."""
+    short = [bare_link(b, MENU_WORDS) and not b.heading for b in blocks]
+    found, start = [False] * len(blocks), 0
+    for i in range(len(blocks) + 1):
+        if i == len(blocks) or not short[i]:
+            if i - start >= MENU_RUN:
+                found[start:i] = [True] * (i - start)
+            start = i + 1
+    return found
+
+
+def first_pass(block: Block, marked: bool, menu: bool = False) -> bool | None:
+    """Whether a block is article text by density, or None if that is open.
+
+    ``marked``: the page marks an article; ``menu``: the block is one of a menu's inside it. A heading that is all link is
+    open, and so is any other such block of a marked article.
+    """
     density = block.links / len(block.text)
     stops, words = stop_share(block.text)
     inside = marked and block.main
-    if density > FULL_LINKS and words <= LINK_WORDS or density > MAX_LINKS and not inside:
+    if menu:
+        return False
+    if density > FULL_LINKS and words <= LINK_WORDS:
+        return None if inside or block.heading and not marked else False
+    if density > MAX_LINKS and not inside:
         return False
-    if marked and not inside:  # beside the marked article only what reads like one
-        return True if len(block.text) >= LONG and stops >= HIGH_STOPS and not block.links else False
+    if marked and not inside:  # beside the marked article only what reads like one and has no name of its own
+        return len(block.text) >= LONG and stops >= HIGH_STOPS and not block.links and not block.labelled
     if len(block.text) < SHORT:
         return None
     if stops >= HIGH_STOPS or stops >= LOW_STOPS and len(block.text) >= LONG:
@@ -262,18 +307,23 @@ def second_pass(labels: list[bool | None], inside: bool = False) -> list[bool]:
 def classify(blocks: list[Block]) -> list[bool]:
     """Whether each of the blocks, none of which stands in an excluded element, belongs to the article."""
     marked = any(b.main for b in blocks)
-    labels = [first_pass(b, marked) for b in blocks]
     if not marked:
-        return second_pass(labels)
-    own = iter(second_pass([x for x, b in zip(labels, blocks) if b.main], inside=True))  # an article's blocks are each other's neighbours
-    return [next(own) if b.main else bool(x) for x, b in zip(labels, blocks)]
+        return second_pass([first_pass(b, False) for b in blocks])
+    article = [b for b in blocks if b.main]
+    own = iter(second_pass([first_pass(b, True, m) for b, m in zip(article, menus(article))], inside=True))  # an article's blocks are each other's neighbours
+    return [next(own) if b.main else bool(first_pass(b, True)) for b in blocks]
 
 
 def main_text(html: str) -> str:
-    found, around, holders = blocks_of(html)
-    drop = [k not in holders for k in range(len(around))]
+    found, around, apart, holders = blocks_of(html)
+    drop = [a and k not in holders for k, a in enumerate(apart)]
+    labelled = [k not in holders for k in range(len(around))]
     for k, outer in enumerate(around):  # an element stands after the one around it
-        drop[k] |= outer >= 0 and drop[outer]
+        if outer >= 0:
+            drop[k] |= drop[outer]
+            labelled[k] |= labelled[outer]
+    for b in found:
+        b.labelled = b.named >= 0 and labelled[b.named]
     blocks = [b for b in found if not b.out and not (b.named >= 0 and drop[b.named])]
     keep = classify(blocks)
     if not any(b.main for b in found) and not any(k and len(b.text) >= SHORT for b, k in zip(blocks, keep)):

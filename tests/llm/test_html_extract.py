@@ -22,6 +22,29 @@ def test_pages_without_an_article_element():
     assert main_text(page) == f"Title {STORY.strip()} Short. {STORY.strip()}"
 
 
+def test_links_of_an_article_stay():
+    """Linked headings, lists of linked items and closing links are the article's; a run of short links is a menu."""
+    page = f"""<article><h1><a href=a>Head of it</a></h1><p>{STORY}</p><h2><a href="#x">How it was found</a></h2><p>{STORY}</p><ul><li><a href=b>The first source</a></li><li><a href=c>The second source</a></li>
+      <li><a href=d>The third source</a></li></ul><div><a href=e>Home</a></div><div><a href=f>About us</a></div><div><a href=g>Contact</a></div><p><a href=h>Download the data</a></p></article>"""
+    assert main_text(page) == f"Head of it {STORY.strip()} How it was found {STORY.strip()} The first source The second source The third source Download the data"
+    assert main_text(f"<h1><a href=a>Head of it</a></h1><p>{STORY}</p>") == f"Head of it {STORY.strip()}"
+
+
+def test_comments_and_notices_go_by_name():
+    names = ("user-comments", "reader-comments", "comment-thread", "comment-content", "userComments", "discussion", "responses", "feedback", "cookie-message", "gdpr-text", "privacy-consent", "promo-text", "sponsored-content", "cookie_law_info")
+    other = STORY.replace("house", "boat")
+    for name in names:
+        part = f'<div class="{name}"><p>{other}</p></div>'
+        for page in (f"<article><p>{STORY}</p>{part}</article>", f"<article><p>{STORY}</p></article>{part}", f"{part}<p>{STORY}</p>"):
+            assert main_text(page) == STORY.strip(), (name, page[:60])
+    for name in ("no-comments", "has-promo", "with-cookie-bar", "comments-open", "recommended-reading-of-the-week"):
+        assert main_text(f'<div class="{name}"><p>{STORY}</p></div>') == STORY.strip(), name
+    assert main_text(f'<div class="promo"><article><p>{STORY}</p></article></div>') == STORY.strip()
+    assert main_text(f'<article><section id="discussion"><p>{STORY}</p></section></article>') == STORY.strip()
+    # Beside a marked article prose comes in only if no element of a name of its own is around it.
+    assert main_text(f'<div class="page"><p>{other}</p><article><p>{STORY}</p></article><div class="privacy-banner-text"><p>{other}</p></div></div>') == f"{other.strip()} {STORY.strip()}"
+
+
 def test_unclosed_and_broken():
     assert main_text("<article><p>One <b>two<br><p>three</article><footer>x") == "One two three"
     assert main_text("<p class='notice'>Old page<p>" + STORY) == STORY.strip()
@@ -46,11 +69,16 @@ def test_names_of_wrappers_do_not_empty_a_page():
 def brute(rows):
     """The two passes by their words: rows are (text, characters in links, in the article element)."""
     marked = any(main for *_, main in rows)
+    article = [i for i, r in enumerate(rows) if r[2]]
+    tiny = [rows[i][1] > 0.8 * len(rows[i][0]) and len(rows[i][0].split()) <= 2 for i in article]
+    menu = {i for at, i in enumerate(article) if any(lo <= at < lo + 3 and all(tiny[lo : lo + 3]) for lo in range(len(tiny) - 2))}
     labels = []
-    for text, links, main in rows:
+    for k, (text, links, main) in enumerate(rows):
         words = text.lower().split()
         stops = sum(w.strip(".,;:!?\"'()") in FUNCTION_WORDS for w in words) / len(words)
-        if links > 0.8 * len(text) and len(words) <= 12 or links > 0.33 * len(text) and not (marked and main):
+        if links > 0.8 * len(text) and len(words) <= 12:
+            labels.append(None if marked and main and k not in menu else False)
+        elif links > 0.33 * len(text) and not (marked and main):
             labels.append(False)
         elif marked and not main:
             labels.append(len(text) >= 200 and stops >= 0.22 and links == 0)
