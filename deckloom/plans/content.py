@@ -9,17 +9,40 @@ from ..operators import content
 from ..sources import packs
 from ..sources.fixtures import Fixtures
 from ..sources.scratch import shared_path
+from .audit import RAW as A
 from .report import PLAN, _findings
 from .views import VIEWS, with_views
 
 
+def _printed(df, name, value, path):
+    """One file for each row of ``df``: ``value`` under ``path``/``name``."""
+    df.select(name.alias("file"), value.alias("value")).write.partitionBy("file").mode("append").text(path)
+
+
 def _pack(f: Fixtures):
+    """A pack of twenty pretty-printed JSON files, of which some are broken off, a list, a CSV file for each region, with
+    quotes and line ends, and a text; each file's fragments."""
     path = shared_path(f.spark, "pack")
-    broken = F.when(F.col("k") % 10 == 0, F.expr("substring(raw, 1, length(raw) - 2)")).otherwise(F.col("raw"))
-    f.payloads().select(broken.alias("value")).write.text(f"{path}/data")
+    key = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("m:"), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    line = F.concat(F.lit('  "'), key, F.lit('": '), F.replace("raw", F.lit(","), F.lit(",\n    ")))
+    files = f.payloads().groupBy((F.col("event_id") % 20).alias("k")).agg(F.array_join(F.array_sort(F.collect_list(line)), ",\n").alias("lines"))  # the files of a small pack
+    whole = F.concat(F.lit('{\n  "_note": "left out",\n'), "lines", F.when(F.col("k") % 10 == 0, "").otherwise("\n}"))
+    _printed(files, F.concat(F.lit("events"), F.col("k").cast("string"), F.lit(".json")), whole, f"{path}/data")
+    n = f.table("nation").join(f.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.col("n_nationkey").cast("string"), F.lit(',"'), "n_name", F.lit('"'))).otherwise(F.concat(F.lit('"say ""'), "n_name", F.lit('"",\nthen", '), F.col("n_nationkey").cast("string")))
+    tables = n.groupBy("r_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"]), "\r\n").alias("rows"))
+    head = F.when(F.col("r_regionkey") % 2 == 0, F.lit("key,name\n,\n")).otherwise(F.lit("\ufeffwhat,key\n"))
+    _printed(tables, F.concat(F.lit("nations"), F.col("r_regionkey").cast("string"), F.lit(".csv")), F.concat(head, "rows"), f"{path}/data")
+    names = f.table("region").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "r_name", F.lit('"')))), ",\n"), F.lit("]")).alias("v"))
+    _printed(names, F.lit("list.json"), F.col("v"), f"{path}/data")
     f.table("region").select("r_name").orderBy("r_name").coalesce(1).write.mode("append").text(path)  # a text at the root: part-….txt
     good, bad = packs.read_pack(f.spark, path)
-    return good.select("kind", "raw", F.lit("ok").alias("status")).unionByName(bad.select(F.lit("data").alias("kind"), "raw", F.col("warning").alias("status"))).groupBy("kind", "raw", "status").agg(F.count("*").alias("n"))
+    named = F.when(F.col("kind") == "text", F.lit("root")).otherwise(F.col("source"))
+    cells = F.when(F.col("kind") == "table", F.array_join(F.flatten(F.try_variant_get("data", "$.rows", "array<array<string>>")), "|"))
+    keys = F.size(F.json_object_keys(F.to_json("data"))).cast("long")
+    return good.select(named.alias("source"), F.when(F.col("kind") == "text", "text").otherwise(F.col("frag_id")).alias("frag_id"), "kind", "title", F.char_length("text").cast("long").alias("chars"), F.when(~F.col("frag_id").startswith("json:"), keys).alias("keys"), cells.alias("cells")).unionByName(
+        bad.select("source", F.col("warning").alias("frag_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("title", "string"), ("chars", "long"), ("keys", "long"), ("cells", "string"))])
+    )
 
 
 def _csv(f: Fixtures):
@@ -29,12 +52,40 @@ def _csv(f: Fixtures):
 
 
 def _outlines(f: Fixtures):
+    """Twenty pretty-printed files of recorded outlines."""
     path = shared_path(f.spark, "outlines")
     o = f.outline().withColumn("grp", F.concat_ws("-", "outline_id", F.floor(F.col("idx") / 20).cast("string")))
-    o.groupBy(F.col("grp").alias("outline_id")).agg(F.collect_list(F.struct("idx", "archetype", "title", "bullets")).alias("slides")).write.json(path)
+    one = o.groupBy(F.col("grp").alias("outline_id")).agg(F.collect_list(F.struct("idx", "archetype", "title", "bullets")).alias("slides"))
+    files = one.groupBy((F.crc32("outline_id") % 20).alias("k")).agg(F.to_json(F.collect_list(F.struct("outline_id", "slides")), {"pretty": "true"}).alias("v"))
+    _printed(files, F.col("k").cast("string"), F.col("v"), path)
     return packs.read_outlines(f.spark, path)
 
 
+def _recorded_findings(f: Fixtures):
+    """Recorded audits, a file of each twentieth of the decks."""
+    path = shared_path(f.spark, "audits")
+    found = _findings(f, ["D01", "D05"]).where("deck_id like 'deck/%'")
+    one = found.select("deck_id", F.struct("check_id", F.lit("deterministic").alias("kind"), "severity", "slide_idx", F.col("z").cast("string").alias("element_id"), F.concat("check_id", F.lit(": "), "severity").alias("message"), "autofix", "evidence").alias("finding"))
+    audits = one.groupBy("deck_id").agg(F.array_sort(F.collect_list(F.struct("finding.slide_idx", "finding.check_id", F.to_json("finding").alias("f")))).alias("fs"))
+    text_ = F.concat(F.lit('{"deck_path": "'), "deck_id", F.lit('",\n"findings": [\n'), F.array_join(F.transform("fs", lambda x: x["f"]), ",\n"), F.lit('],\n"checks_run": ["D01", "D05"], "duration_s": 0.5}'))
+    files = audits.groupBy((F.crc32("deck_id") % 20).alias("k")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(text_), ",\n"), F.lit("]")).alias("v"))
+    _printed(files, F.col("k").cast("string"), F.col("v"), path)
+    r = packs.read_findings(f.spark, path)
+    return r.select(F.col("deck_path").alias("deck_id"), "n", "check_id", "severity", "slide_idx", "element_id", F.element_at("evidence", F.lit("fill")).cast("double").alias("fill"), "checks_run")
+
+
+def _recorded_runs(f: Fixtures):
+    """Recorded runs of templates: each with a deck for each strategy, as a pretty-printed file."""
+    path = shared_path(f.spark, "runs")
+    s = f.slides().join(f.table("customer"), F.col("deck_id") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("t"), (F.col("deck_id") % 3).alias("k")).agg(F.count("*").alias("slides"), F.countDistinct("deck_id").alias("n"))
+    deck = F.struct(F.concat(F.lit("s"), F.col("k").cast("string")).alias("strategy"), F.struct("slides").alias("stats"), F.struct(F.col("n").alias("errors"), (F.col("n") * 2).alias("warnings")).alias("audit"), F.struct((F.col("n") / 4).alias("layout"), (F.col("n") / 2).alias("deck_total")).alias("timings_s"))
+    runs = s.groupBy("t").agg(F.to_json(F.struct(F.struct(F.concat(F.lit("t"), F.col("t").cast("string")).alias("id")).alias("template"), F.collect_list(deck).alias("decks"), F.struct(F.sum("n").cast("double").alias("total")).alias("timings_s")), {"pretty": "true"}).alias("v"))
+    _printed(runs, F.col("t").cast("string"), F.col("v"), path)
+    decks, steps = packs.read_runs(f.spark, path)
+    none = F.lit(None).cast("long")
+    return decks.select("template_id", "strategy", F.lit("deck").alias("step"), "slides", "errors", "warnings", "seconds").unionByName(steps.select("template_id", "strategy", "step", none.alias("slides"), none.alias("errors"), none.alias("warnings"), "seconds"))
+
+
 def _cache(f: Fixtures):
     d = f.table("documents").select("doc_id", "text")
     c = d.where("doc_id % 3 = 0").select(F.sha1("text").alias("digest"), F.when(F.col("doc_id") % 2 == 0, "work").otherwise("bundled").alias("place"), (F.col("doc_id") * 10).alias("result"))
@@ -89,6 +140,8 @@ RUN = {
     "s02_json_fragments": lambda f: packs.json_fragments(f.payloads().select("event_id", "raw")).select("event_id", "frag_id"),
     "s03_table_fragments": _csv,
     "s04_outlines": _outlines,
+    "s04_findings": _recorded_findings,
+    "s04_runs": _recorded_runs,
     "s05_select_sources": lambda f: packs.select_sources(f.paths().withColumn("path", F.when(F.col("page_id") % 3 == 0, F.concat("path", F.lit("/readme.md"))).when(F.col("page_id") % 3 == 1, F.concat("path", F.lit("/build/x.txt"))).otherwise(F.concat("path", F.lit("/LICENSE.txt"))))),
     "s06_cache": _cache,
     "s07_write_audit": _written,
@@ -127,12 +180,22 @@ VIEWS["fx_budget"] = """select deck_id, slide_idx, text, greatest(10, round_even
 WORDS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+(?:[-’''][\p{{L}}\p{{N}}_]+)*'))"
 
 SQL = {
-    "s01_read_pack": """with b as (select case when k % 10 = 0 then left(raw, length(raw) - 2) else raw end as raw from fx_payloads)
-select 'data' as kind, raw, case when json_valid(raw) then 'ok' else 'unreadable' end as status, count(*) as n from b group by all union all select 'text', string_agg(r_name, chr(10) order by r_name) || chr(10), 'ok', 1 from region""",
+    "s01_read_pack": """with e as (select event_id, k, raw, 'events' || event_id % 20 as stem, event_id % 20 as file from fx_payloads),
+ j as (select stem || '.json' as source, case when event_id % 2 = 0 then 'm:' || event_id else stem || ':e' || event_id end as frag_id, case k % 8 when 5 then 'metric' when 6 then 'series' when 7 then 'table' else 'record' end as kind,
+   case k % 8 when 0 then 't' || k when 1 then 't' when 3 then 'v' else '' end as title, 0 as chars, case k % 8 when 0 then 2 when 1 then 3 when 2 then 2 when 3 then 2 when 4 then 2 when 5 then 3 when 6 then 2 else 2 end as keys, case when k % 8 = 7 then 'r' || k end as cells from e where file % 10 <> 0),
+ n as (select r_regionkey as r, n_nationkey as k, case when r_regionkey % 2 = 0 then n_nationkey || '|' || n_name else 'say "' || n_name || '",' || chr(10) || 'then|' || n_nationkey end as row_ from nation join region on n_regionkey = r_regionkey)
+select * from j union all select 'nations' || r || '.csv', 'csv:nations' || r, 'table', 'nations' || r, 0, 2, string_agg(row_, '|' order by k) from n group by r
+union all select 'list.json', 'json:list', 'record', '', 0, null, null union all select 'root', 'text', 'text', '', sum(length(r_name) + 1), null, null from region
+union all select distinct stem || '.json', 'unreadable', null, null, null, null, null from e where file % 10 = 0""",
     "s02_json_fragments": "select event_id, 'data:' || unnest(json_keys(raw)) as frag_id from fx_payloads",
     "s03_table_fragments": """with n as (select r_name, n_nationkey || ' | ' || n_name as row_, row_number() over (partition by r_name order by n_nationkey) as k, count(*) over (partition by r_name) as total from nation join region on n_regionkey = r_regionkey)
 select r_name, string_agg(row_, chr(10) order by k) as "table", max(total) as total, case when max(total) > 4 then 'first 4 of ' || max(total) else '' end as note from n where k <= 4 group by 1""",
     "s04_outlines": "select outline_id || '-' || (idx // 20) as outline_id, idx, archetype, title, len(bullets) as n_bullets from fx_outline",
+    "s04_findings": """with f as (select check_id, severity, deck_id, slide_idx, z, fill from (select 'D01' as check_id, 'warning' as severity, 'deck/' || deck_id as deck_id, slide_idx, z, null as fill from (D01) union all select 'D05', 'info', 'deck/' || deck_id, slide_idx, null, fill from (D05)) where deck_id not in (select 'deck/' || deck_id from (I01)))
+select deck_id, row_number() over (partition by deck_id order by slide_idx, check_id) - 1 as n, check_id, severity, slide_idx, z::varchar as element_id, fill, 2 as checks_run from f""".replace("(D01)", f"({A['a16_many_bullets']})").replace("(D05)", f"({A['a20_fill_ratio']})").replace("(I01)", f"({A['a21_duplicate_parts']})"),
+    "s04_runs": """with s as (select c_nationkey as t, deck_id % 3 as k, count(*) as slides, count(distinct deck_id) as n from fx_slides join customer on c_custkey = deck_id group by 1, 2)
+select 't' || t as template_id, 's' || k as strategy, 'deck' as step, slides, n as errors, n * 2 as warnings, n / 2.0::double as seconds from s union all select 't' || t, 's' || k, unnest(['layout', 'deck_total']), null, null, null, unnest([n / 4.0::double, n / 2.0::double]) from s
+union all select 't' || t, null, 'total', null, null, null, sum(n)::double from s group by t""",
     "s05_select_sources": "select page_id, path || '/readme.md' as path from fx_paths where page_id % 3 = 0",
     "s06_cache": """with c as (select sha1(text) as digest, arg_min(doc_id * 10, (doc_id % 2 <> 0, doc_id)) as result, case when bool_or(doc_id % 2 = 0) then 'work' else 'bundled' end as place from documents where doc_id % 3 = 0 group by 1)
 select doc_id, result, coalesce(place, 'todo') as place from documents left join c on sha1(text) = digest""",
