@@ -264,7 +264,20 @@ def candidate_chain(chain: DataFrame, strategies: DataFrame) -> DataFrame:
     return c.withColumn("again", F.when(flexible, again).otherwise(F.col("rank")).cast("long")).select("name", "wanted", "archetype", F.col("again").alias("rank"), F.when(flexible, FLEX_PENALTY).otherwise(RANK_PENALTY).alias("penalty"))
 
 
-#: What a picture slot is worth to a slide with a picture, and to one without, by a strategy's wish for pictures.
+#: What takes the place of any archetype for a slide with a diagram, in order.
+DIAGRAM_CHAIN = ("bullets", "two_column", "cards", "image_text", "agenda")
+
+
+def full_chain(chain: DataFrame, strategies: DataFrame) -> DataFrame:
+    """The chains of all strategies (name, priority, images), with that for slides with a diagram (``diagram``) beside
+    them; the penalty of a step is that of the wanted archetype in both."""
+    c = candidate_chain(chain, strategies).withColumn("diagram", F.lit(False))
+    drawn = c.select("name", "wanted", "penalty").distinct().select("name", "wanted", F.posexplode(F.array(*map(F.lit, DIAGRAM_CHAIN))).alias("rank", "archetype"), "penalty")
+    both = c.unionByName(drawn.select("name", "wanted", "archetype", F.col("rank").cast("long").alias("rank"), "penalty", F.lit(True).alias("diagram")))
+    return both.join(F.broadcast(strategies.select("name", "images")), "name")  # some strategies
+
+
+#: What a picture slot is worth to a slide with a picture, and to one without, by a strategy's wish for pictures.
 PICTURE_WORTH = {"minimal": (0.5, -3.0), "preferred": (3.0, -5.0), "always": (5.0, -5.0)}
 STRUCTURAL = ("title", "section", "closing")
 
@@ -273,15 +286,20 @@ def _capacity(have: Column, need: Column, empty: float, short: float) -> Column:
     return F.when(have == need, 2.0).when(have < need, -short * (need - have)).otherwise(-empty * (have - need))
 
 
-def match_scores(need: DataFrame, offer: DataFrame, chain: DataFrame, images: str = "preferred", icons: bool = True, max_fill: float = 0.75) -> DataFrame:
+def match_scores(need: DataFrame, offer: DataFrame, chain: DataFrame, icons: bool = True, max_fill: float = 0.75) -> DataFrame:
     """A score for each possible pair of a slide and an exemplar on its chain, from the exemplar's confidence on.
 
+    ``need`` names each slide's ``strategy``, and ``chain`` comes from ``full_chain``. Exemplars of no archetype (freeform)
+    are no candidates. A pair carries its place on the chain with the penalty for each step to it, and whether the exemplar
+    is only a reserve: a structural one for a slide that is neither structural nor a quote.
+
     Each term is a column: the title (lacking, too long, under other slots), data (in a body, in slots of its own, too narrow),
     a diagram, a quote, key numbers, items (in one body, in several, in labels), pictures, icons and the share that is
     filled. Where one of them can't be placed, the pair is impossible and left out.
     """
     c = F.col
-    p = need.withColumnRenamed("archetype", "wanted").join(F.broadcast(chain), "wanted").join(offer.hint("merge"), "archetype")  # the chain has some hundred rows
+    steps = F.broadcast(chain.withColumnRenamed("name", "strategy").withColumnRenamed("diagram", "drawn"))  # some hundred rows
+    p = need.withColumnRenamed("archetype", "wanted").withColumn("drawn", c("diagram") > 0).join(steps, ["strategy", "wanted", "drawn"]).join(offer.where("archetype <> 'freeform'").hint("merge"), "archetype")
     data, quote, diagram = c("has_chart") | (c("table_cols") > 0), c("quote_chars") > 0, c("diagram") > 0
     has_title, structural = c("title").isNotNull(), c("archetype").isin(*STRUCTURAL)
     n_data = c("charts") + c("tables")
@@ -317,30 +335,39 @@ def match_scores(need: DataFrame, offer: DataFrame, chain: DataFrame, images: st
     marks = c("labels") + c("captions")
     labelled = _capacity(marks, c("items"), 5.0, 3.0) - 1.0 - sparse(marks) - 4.0 * tight(c("label_places"))
     items = F.when(c("items") == 0, 0.0).when(c("n") == 1, single).when(c("n") > 1, several).when(marks > 0, labelled).otherwise(-2.0 * c("items"))
-    with_, without = PICTURE_WORTH[images]
+    worth = lambda i: F.coalesce(*[F.when(c("images") == k, v[i]) for k, v in PICTURE_WORTH.items()])
+    with_, without = worth(0), worth(1)
     pictures = F.when(c("pictures") == 0, 0.0).when(c("has_image"), with_ - 2.5 * (c("pictures") - 1) - F.when(c("picture_over") >= 0.5, 8.0).otherwise(0.0)).otherwise(without)
     rest = F.when((c("icons") > 0) & F.lit(icons), 1.0).otherwise(0.0) - F.when(c("fill") > max_fill, 10.0 * (c("fill") - max_fill)).otherwise(0.0)
     score = c("confidence") + title + under + of_data + of_diagram + of_quote + kpis + items + pictures + rest
-    return p.where(~F.coalesce(impossible, F.lit(False))).select("outline_id", "idx", "template_id", "exemplar_id", "archetype", "rank", F.bround(score, 2).alias("score"))
+    reserve = structural & ~c("wanted").isin(*STRUCTURAL, "quote")
+    return p.where(~F.coalesce(impossible, F.lit(False))).select("outline_id", "idx", "template_id", "exemplar_id", "archetype", "rank", "penalty", reserve.alias("reserve"), F.bround(score, 2).alias("score"))
+
+
+def _rated(scores: DataFrame) -> DataFrame:
+    """Each slide's exemplars with their best score less the penalties for their steps on the chain."""
+    less = F.bround(F.col("score") - F.col("penalty") * F.col("rank"), 2)
+    return scores.groupBy("outline_id", "idx", "template_id", "exemplar_id").agg(F.max(less).alias("score"), F.bool_and("reserve").alias("reserve"))
 
 
 def best_exemplar(scores: DataFrame) -> DataFrame:
-    """For each slide and template the best exemplar, less a penalty per step on the chain; ties to the lowest id."""
-    s = scores.groupBy("outline_id", "idx", "template_id", "exemplar_id").agg(F.max(F.bround(F.col("score") - RANK_PENALTY * F.col("rank"), 2)).alias("score"))
-    best = s.groupBy("outline_id", "idx", "template_id").agg(F.max(F.struct("score", (-F.col("exemplar_id")).alias("low"))).alias("b"))
+    """For each slide and template the best exemplar, less a penalty for each step on the chain; ties to the lowest id. One
+    that is a reserve is taken only where no other is possible."""
+    best = _rated(scores).groupBy("outline_id", "idx", "template_id").agg(F.max(F.struct((~F.col("reserve")).alias("first"), "score", (-F.col("exemplar_id")).alias("low"))).alias("b"))
     return best.select("outline_id", "idx", "template_id", (-F.col("b.low")).alias("exemplar_id"), F.col("b.score").alias("score"))
 
 
 def reuse_aware(scores: DataFrame) -> DataFrame:
     """The same in the order of slides, with 2 off for each earlier use in the deck, up to three.
 
-    A candidate that is more than the whole penalty behind its slide's best can't win and is left out. A fold over a deck's
+    Reserves are left out where another exemplar is possible, so that reuse never makes one of them the better choice. A
+    candidate that is more than the whole penalty behind its slide's best can't win and is left out. A fold over a deck's
     slides that carries how often each exemplar of the template was used.
     """
     keys = ["outline_id", "template_id"]
-    s = scores.groupBy(*keys, "idx", "exemplar_id").agg(F.max(F.bround(F.col("score") - RANK_PENALTY * F.col("rank"), 2)).alias("score"))
-    best = F.max("score").over(W.partitionBy(*keys, "idx"))
-    near = s.withColumn("best", best).where(F.col("score") >= F.col("best") - REUSE_PENALTY * REUSE_MAX)
+    slide = W.partitionBy(*keys, "idx")
+    s = _rated(scores).withColumn("other", F.bool_or(~F.col("reserve")).over(slide)).where(~F.col("reserve") | ~F.col("other"))
+    near = s.withColumn("best", F.max("score").over(slide)).where(F.col("score") >= F.col("best") - REUSE_PENALTY * REUSE_MAX)
     place = F.dense_rank().over(W.partitionBy(*keys).orderBy("exemplar_id"))
     few = near.withColumn("at", place.cast("int")).groupBy(*keys, "idx").agg(F.array_sort(F.collect_list(F.struct("exemplar_id", "score", "at"))).alias("options"), F.max("at").alias("most"))
     deck = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "options"))).alias("slides"), F.max("most").alias("most"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import color, text
 from ..operators import layout
 from ..sources.fixtures import ARCHETYPES, Fixtures, Prepared
+from ..sources.scratch import written
 from .audit import overflow
 from .views import VIEWS, with_views
 
@@ -43,12 +44,16 @@ def _chain(f: Fixtures):
 
 
 def _strategies(f: Fixtures):
-    rows = [("executive", ["cards", "two_column"]), ("detailed", ["bullets", "two_column", "cards"]), ("visual", ["image_text", "cards"])]
-    return f.spark.createDataFrame(rows, "name string, priority array<string>")
+    rows = [("executive", ["cards", "two_column"], "minimal"), ("detailed", ["bullets", "two_column", "cards"], "preferred"), ("visual", ["image_text", "cards"], "always")]
+    return f.spark.createDataFrame(rows, "name string, priority array<string>, images string")
 
 
 def _scores(f: Fixtures):
-    return layout.match_scores(layout.needs(_demands(f)), layout.offers(f.slots()), _chain(f))
+    """Every outline follows one of three strategies."""
+    k = F.col("outline_id").cast("long") % 3
+    need = layout.needs(_demands(f)).withColumn("strategy", F.when(k == 0, "executive").when(k == 1, "detailed").otherwise("visual"))
+    chain = written(layout.full_chain(_chain(f), _strategies(f)), "chain")  # a table of constants, looked at for every slide
+    return layout.match_scores(need, layout.offers(f.slots()), chain)
 
 
 def _items(f: Fixtures):
@@ -163,11 +168,15 @@ VIEWS["fx_chain"] = """select * from (values
  ('team', 'team', 0), ('team', 'cards', 1), ('team', 'bullets', 2), ('team', 'cards', 3), ('team', 'two_column', 4), ('team', 'image_text', 5), ('team', 'agenda', 6), ('team', 'section', 7), ('team', 'title', 8), ('team', 'closing', 9),
  ('closing', 'closing', 0), ('closing', 'title', 1), ('closing', 'section', 2), ('closing', 'bullets', 3), ('closing', 'cards', 4), ('closing', 'two_column', 5), ('closing', 'image_text', 6), ('closing', 'agenda', 7),
  ('freeform', 'freeform', 0), ('freeform', 'bullets', 1), ('freeform', 'cards', 2), ('freeform', 'two_column', 3), ('freeform', 'section', 4), ('freeform', 'title', 5), ('freeform', 'closing', 6)) c(wanted, archetype, rank)"""
+VIEWS["fx_steps"] = """with st as (select * from (values ('executive', ['cards', 'two_column'], 0.5, -3.0), ('detailed', ['bullets', 'two_column', 'cards'], 3.0, -5.0), ('visual', ['image_text', 'cards'], 5.0, -5.0)) v(name, pr, pic, bare)),
+ c as (select name, pic, bare, wanted, archetype, rank, wanted in ('bullets', 'cards', 'two_column', 'image_text') as flex, archetype in ('bullets', 'cards', 'two_column', 'image_text') as fl, coalesce(nullif(list_position(pr, archetype), 0), 100) as place from fx_chain, st),
+ r as (select name, pic, bare, wanted, archetype, case when flex then row_number() over (partition by name, wanted order by not (flex and fl), case when flex and fl then place else 0 end, not (flex and fl and archetype = wanted), rank) - 1 else rank end as rank, case when flex then 2.0 else 4.0 end::double as penalty, false as drawn from c)
+ select * from r union all select distinct name, pic, bare, wanted, d.a, d.k, penalty, true from r, (values ('bullets', 0), ('two_column', 1), ('cards', 2), ('image_text', 3), ('agenda', 4)) d(a, k)"""
 CAP = "case when {h} = {n} then 2.0 when {h} < {n} then -{s} * ({n} - {h}) else -{e} * ({h} - {n}) end"
 TIGHT = "len(list_filter(range(1, least(len({l}), items) + 1), lambda i: {l}[i].c > 0 and {l}[i].c < item_chars[i]))"
-VIEWS["fx_pairs"] = """select *, case when dia then [] when in_body then list_filter(re, lambda x: x.s <> big.s) else re end as pls from (select n.* exclude (archetype), o.*, rank, has_chart or table_cols > 0 as data, quote_chars > 0 as quo, diagram > 0 as dia, (has_chart or table_cols > 0) and charts + tables = 0 as in_body, tid is not null as ht,
-  list_sort(list_transform(body_pl, lambda x: {'a': -x.a, 's': x.s, 'w': x.w}))[1] as big, case when len(body_pl) = 0 and o.archetype in ('title', 'section', 'closing') and (items > 0 or n_kpis > 0) then sub_pl else body_pl end as re from fx_needs n join fx_chain c on n.archetype = c.wanted join fx_offers o on o.archetype = c.archetype)"""
-VIEWS["fx_match"] = f"""select outline_id, idx, template_id, exemplar_id, archetype, rank, round_even(confidence
+VIEWS["fx_pairs"] = """select *, case when dia then [] when in_body then list_filter(re, lambda x: x.s <> big.s) else re end as pls from (select n.* exclude (archetype), o.*, rank, penalty, pic, bare, c.wanted, has_chart or table_cols > 0 as data, quote_chars > 0 as quo, diagram > 0 as dia, (has_chart or table_cols > 0) and charts + tables = 0 as in_body, tid is not null as ht,
+  list_sort(list_transform(body_pl, lambda x: {'a': -x.a, 's': x.s, 'w': x.w}))[1] as big, case when len(body_pl) = 0 and o.archetype in ('title', 'section', 'closing') and (items > 0 or n_kpis > 0) then sub_pl else body_pl end as re from fx_needs n join fx_steps c on n.archetype = c.wanted and c.drawn = (n.diagram > 0) and c.name = case n.outline_id::int % 3 when 0 then 'executive' when 1 then 'detailed' else 'visual' end join fx_offers o on o.archetype = c.archetype and o.archetype <> 'freeform')"""
+VIEWS["fx_match"] = f"""select outline_id, idx, template_id, exemplar_id, archetype, rank, penalty, archetype in ('title', 'section', 'closing') and wanted not in ('title', 'section', 'closing', 'quote') as reserve, round_even(confidence
    + case when title_chars > 0 and not ht and not quo then case when len(sub_pl) > 0 then -2.0 else -5.0 end when ht and title_capacity > 0 and title_chars > title_capacity then -3.0 else 0 end
    + case when ht and title_over > 0.2::double then -5.0 - case when title_chars > floor(floor(tw / 12700.0::double / (0.5::double * tpt)) * visible / tw) then 8 else 0 end else 0 end
    + case when in_body then -6.0 - nar when data then case when (has_chart and charts > 0) or (table_cols > 0 and tables > 0) then 2.0 else 0 end - 3.0 * (charts + tables - 1) - nar else 0 end
@@ -177,11 +186,11 @@ VIEWS["fx_match"] = f"""select outline_id, idx, template_id, exemplar_id, archet
    + case when items = 0 then 0 when n = 1 then case when items <= cp then 1.0 else -1.5 * (items - cp) end - case when pls[1].c > 0 and total > pls[1].c then 6 else 0 end
      when n > 1 then {CAP.format(h='n', n='items', e='5.0', s='6.0')} - case when 2 * items <= n then 4 else 0 end - case when labels > 0 then abs(labels - n) else 0 end - 4.0 * {TIGHT.format(l='pls')}
      when labels + captions > 0 then {CAP.format(h='(labels + captions)', n='items', e='5.0', s='3.0')} - 1 - case when 2 * items <= labels + captions then 4 else 0 end - 4.0 * {TIGHT.format(l='label_pl')} else -2.0 * items end
-   + case when pictures = 0 then 0 when has_image then 3.0 - 2.5 * (pictures - 1) - case when picture_over >= 0.5::double then 8 else 0 end else -5.0 end
+   + case when pictures = 0 then 0 when has_image then pic - 2.5 * (pictures - 1) - case when picture_over >= 0.5::double then 8 else 0 end else bare end
    + case when icons > 0 then 1.0 else 0 end - case when fill > 0.75::double then 10.0::double * (fill - 0.75::double) else 0 end, 2)::double as score
   from (select *, len(pls) as n, archetype in ('section', 'title') as hd, case when pls[1].l > 0 then pls[1].l else 6 end as cp, wide * high / (12192000 * 6858000.0::double) as shr, case when table_cols > 0 and case when in_body then big.w else data_pl[1].w end / table_cols::double < 914400 then 3.0 else 0.0 end as nar from fx_pairs)
   where not coalesce((in_body and bodies = 0) or (dia and (bodies = 0 or wide is null or shr < 0.15::double or wide < 1.3::double * high or coalesce(greatest(0, least(tx + tw, lf + wide) - greatest(tx, lf)) * greatest(0, least(ty + th, tp + high) - greatest(ty, tp)) > 0.2::double * tw * th, false))) or (quo and ((hd and not ht) or (not hd and n = 0))), false)"""
-VIEWS["fx_rated"] = "select outline_id, idx, template_id, exemplar_id, max(score - 4.0 * rank)::double as score from fx_match group by 1, 2, 3, 4"
+VIEWS["fx_rated"] = "select outline_id, idx, template_id, exemplar_id, score, reserve from (select outline_id, idx, template_id, exemplar_id, max(score - penalty * rank)::double as score, bool_and(reserve) as reserve from fx_match group by 1, 2, 3, 4) qualify not reserve or bool_and(reserve) over (partition by outline_id, idx, template_id)"
 WRAP = "coalesce(list_reduce(list_prepend(0::bigint, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: length(x))), lambda a, n: case when a % 1000000 > 0 and a % 1000000 + 1 + n <= wd then a + 1 + n else (a // 1000000 + ceil(n * 1.0 / wd)::bigint) * 1000000 + n - (ceil(n * 1.0 / wd)::bigint - 1) * wd end), 0)"
 
 SQL = {
@@ -222,10 +231,7 @@ select template_id, exemplar_id, slot_id, kind, x, y, w, h from fx_slots left jo
 select deck_id, slide_id, slide_idx, coalesce(label, archetype) as archetype, label is not null as from_label from p""",
     "x01_needs": "select * exclude (item_chars) from fx_needs",
     "x02_offers": "select template_id, exemplar_id, archetype, bodies, labels, captions, numbers, big_numbers, pictures, icons, charts, tables, fill, columns, wide, high, visible, title_capacity, len(body_pl) as n_bodies, coalesce(body_pl[1].c, -1) as first_body, round_even(title_over, 4) as title_over, round_even(picture_over, 4) as picture_over from fx_offers",
-    "x03_chain": """with st as (select * from (values ('executive', ['cards', 'two_column']), ('detailed', ['bullets', 'two_column', 'cards']), ('visual', ['image_text', 'cards'])) v(name, pr)),
- c as (select name, wanted, archetype, rank, wanted in ('bullets', 'cards', 'two_column', 'image_text') as flex, archetype in ('bullets', 'cards', 'two_column', 'image_text') as fl, coalesce(nullif(list_position(pr, archetype), 0), 100) as place from fx_chain, st),
- r as (select name, wanted, archetype, case when flex then row_number() over (partition by name, wanted order by not (flex and fl), case when flex and fl then place else 0 end, not (flex and fl and archetype = wanted), rank) - 1 else rank end as rank, case when flex then 2.0 else 4.0 end::double as penalty from c)
-select name, wanted, r.archetype, r.rank, penalty, count(*) as slides from fx_outline o join r on o.archetype = r.wanted group by all""",
+    "x03_chain": "select name, wanted, r.archetype, r.rank, penalty, count(*) as slides from fx_outline o join fx_steps r on o.archetype = r.wanted where not drawn group by all",
     "x04_scores": "select * from fx_match",
     "x05_best": "select outline_id, idx, template_id, arg_max(exemplar_id, (score, -exemplar_id)) as exemplar_id, max(score) as score from fx_rated group by 1, 2, 3",
     "x06_reuse_aware": """with recursive c as (select *, max(score) over (partition by outline_id, template_id, idx) as best from fx_rated), d as (select outline_id, template_id, idx, list({'e': exemplar_id, 's': score}) as opts, row_number() over (partition by outline_id, template_id order by idx) as n from c where score >= best - 6 group by 1, 2, 3),

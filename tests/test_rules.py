@@ -263,9 +263,12 @@ def test_facts_are_chosen_like_by_a_loop(spark):
         assert sorted((r.pack, r.id, r.n) for r in content.select_facts(df, 200, step=step).collect()) == sorted(want)
 
 
+SCORES = "outline_id string, idx long, template_id long, exemplar_id long, archetype string, rank long, penalty double, reserve boolean, score double"
+
+
 def test_reuse_looks_at_every_candidate(spark):
-    scores = [("d", i, 1, e, "cards", 0, 10.0 - (0.5 * e)) for i in range(20) for e in range(9)]
-    df = spark.createDataFrame(scores, "outline_id string, idx long, template_id long, exemplar_id long, archetype string, rank long, score double")
+    scores = [("d", i, 1, e, "cards", 0, 4.0, False, 10.0 - (0.5 * e)) for i in range(20) for e in range(9)]
+    df = spark.createDataFrame(scores, SCORES)
     uses, want = {}, []
     for i in range(20):
         e = min(range(9), key=lambda e: (-(10.0 - 0.5 * e - 2.0 * min(uses.get(e, 0), 3)), e))
@@ -274,6 +277,46 @@ def test_reuse_looks_at_every_candidate(spark):
     assert sorted((r.idx, r.exemplar_id) for r in layout.reuse_aware(df).collect()) == want and len({e for _, e in want}) > 6
 
 
+def test_both_passes_like_a_loop(spark):
+    """Reserves only where nothing else is possible, each pair's own penalty for a step, uses in the order of slides."""
+    rng = random.Random(8)
+    rows = []
+    for d in range(6):
+        for i in range(12):
+            penalty = rng.choice([2.0, 4.0])
+            rows += [(f"d{d}", i, 1, e, "x", rng.randrange(4), penalty, e < 3, rng.randrange(-20, 20) / 2) for e in range(7) if rng.random() < 0.35]
+    rows += [rows[0][:5] + (3,) + rows[0][6:8] + (30.0,)]  # an exemplar at two places of the chain
+    best, reuse = {}, {}
+    for d in {r[0] for r in rows}:
+        uses = {}
+        for i in range(12):
+            own = {}
+            for r in rows:
+                if r[0] == d and r[1] == i:
+                    own[r[3]] = max(own.get(r[3], (-99, False)), (r[8] - r[6] * r[5], r[7]))
+            for name, used in ((best, {}), (reuse, uses)):
+                for reserves in (False, True):
+                    able = [(-(v - 2 * min(used.get(e, 0), 3)), e) for e, (v, reserve) in own.items() if reserves or not reserve]
+                    if able:
+                        name[d, i] = min(able)[1]
+                        break
+            if (d, i) in reuse:
+                uses[reuse[d, i]] = uses.get(reuse[d, i], 0) + 1
+    df = spark.createDataFrame(rows, SCORES)
+    assert {(r.outline_id, r.idx): r.exemplar_id for r in layout.best_exemplar(df).collect()} == best
+    assert {(r.outline_id, r.idx): r.exemplar_id for r in layout.reuse_aware(df).collect()} == reuse
+    assert best != reuse and any(e < 3 for e in best.values())
+
+
+def test_chains(spark):
+    strategies = spark.createDataFrame([("plain", ["cards"], "minimal"), ("other", ["two_column", "bullets"], "always")], "name string, priority array<string>, images string")
+    chain = layout.full_chain(layout.fallbacks(spark), strategies).collect()
+    at = lambda name, wanted, drawn: [r.archetype for r in sorted((r for r in chain if (r.name, r.wanted, r.diagram) == (name, wanted, drawn)), key=lambda r: r.rank)]
+    assert at("plain", "bullets", False)[:2] == ["cards", "bullets"] and at("other", "bullets", False)[:2] == ["two_column", "bullets"]
+    assert at("plain", "process", True) == list(layout.DIAGRAM_CHAIN) and at("plain", "process", False)[0] == "process"
+    assert {(r.wanted in layout.FLEXIBLE, r.penalty) for r in chain} == {(True, 2.0), (False, 4.0)} and {r.images for r in chain} == {"minimal", "always"}
+
+
 def test_copies_of_slides_are_paired_with_the_first(spark):
     docs = spark.createDataFrame([(k, "s", "one two three four five six" + (" seven" if k == 9 else "")) for k in range(10)] + [(10, "s", "other words that are not the same at all")], "doc_id long, source string, text string")
     got = sorted((r.doc_id, r.other, r.jaccard) for r in audit.duplicate_slides(docs, "source").collect())
