@@ -193,9 +193,10 @@ def select_facts(facts: DataFrame, limit: int, least: float = 0.6, shortest: int
     """Facts (pack, id, text, weight) by weight and order, within a budget of characters, none that shares ``least`` of the
     smaller one's stems with a chosen one; (pack, id, n), numbered in the order of ids.
 
-    A pack of any size is looked at ``step`` facts at a time: a fold over these carries what is used and the chosen facts'
-    stems, which the budget bounds. A pack is done when no fact of ``shortest`` characters fits any more; mostly that is in
-    the first round.
+    A pack of any size is looked at some facts at a time: ``step``, then twice as many each time up to sixteen times as many. A
+    fold over these carries what is used and the chosen facts' stems, which the budget bounds. After each round what is
+    larger than the rest of the budget or near a chosen fact goes for good, so a budget that can't be filled costs no round
+    for each ``step`` of what is left. A pack is done when no fact of ``shortest`` characters fits any more or none is left.
     """
     f = facts.select(F.coalesce("pack", F.lit("")).alias("pack"), F.struct((-F.col("weight")).alias("less"), "id").alias("at"), F.char_length("text").alias("size"), text.stems(F.col("text")).alias("stems"))
     f = written(f.where(F.col("size") <= limit), "facts")
@@ -203,15 +204,17 @@ def select_facts(facts: DataFrame, limit: int, least: float = 0.6, shortest: int
     state = written(f.groupBy("pack").agg(F.expr(f"cast(struct(0, array()) as {kind})").alias("state")).withColumn("last", F.expr(f"cast(null as {f.schema['at'].dataType.simpleString()})")), "fact-state")
     done = None
 
+    def near(chosen: Column, stems: Column) -> Column:
+        share = lambda c: F.size(F.array_intersect(c["stems"], stems)) / F.least(F.size(c["stems"]), F.size(stems))
+        return F.exists(chosen, lambda c: F.coalesce(share(c) >= least, F.lit(False)))
+
     def take(acc: Column, x: Column) -> Column:
-        both = lambda c: F.size(F.array_intersect(c["stems"], x["stems"])) / F.least(F.size(c["stems"]), F.size(x["stems"]))
-        near = F.exists(acc["chosen"], lambda c: F.coalesce(both(c) >= least, F.lit(False)))
         grown = F.struct((acc["used"] + x["size"]).alias("used"), F.concat(acc["chosen"], F.array(F.struct(x["at"]["id"].alias("id"), x["stems"].alias("stems")))).alias("chosen"))
-        return F.when((acc["used"] + x["size"] <= limit) & ~near, grown.cast(kind)).otherwise(acc)
+        return F.when((acc["used"] + x["size"] <= limit) & ~near(acc["chosen"], x["stems"]), grown.cast(kind)).otherwise(acc)
 
+    most = 16 * step
     while True:
-        left = f.join(state.select("pack", "last").hint("merge"), "pack").where(F.col("last").isNull() | (F.col("at") > F.col("last")))
-        next_ = left.withColumn("k", F.row_number().over(W.partitionBy("pack").orderBy("at"))).where(F.col("k") <= step)
+        next_ = f.withColumn("k", F.row_number().over(W.partitionBy("pack").orderBy("at"))).where(F.col("k") <= step)
         some = next_.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("at", "size", "stems"))).alias("some"), F.max("at").alias("upto"))  # at most step
         new = state.drop("last").join(some.hint("merge"), "pack", "left").select("pack", F.when(F.col("some").isNull(), F.col("state")).otherwise(F.aggregate("some", F.col("state"), take)).alias("state"), F.coalesce(F.size("some"), F.lit(0)).alias("n"), F.col("upto").alias("last"))
         state = written(new, "fact-state")
@@ -221,6 +224,9 @@ def select_facts(facts: DataFrame, limit: int, least: float = 0.6, shortest: int
         state = state.where(~full).select("pack", "state", "last")
         if state.isEmpty():
             break
+        able = (F.col("at") > F.col("last")) & (F.col("state.used") + F.col("size") <= limit)
+        f = written(f.join(state.hint("merge"), "pack").where(able & ~near(F.col("state.chosen"), F.col("stems"))).select(*f.columns), "facts-left")
+        step = min(2 * step, most)
     found = done.select("pack", F.posexplode(F.array_sort(F.transform("state.chosen", lambda c: c["id"]))).alias("n", "id"))
     return found.select("pack", "id", (F.col("n") + 1).cast("long").alias("n"))
 

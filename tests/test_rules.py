@@ -263,6 +263,19 @@ def test_facts_are_chosen_like_by_a_loop(spark):
         assert sorted((r.pack, r.id, r.n) for r in content.select_facts(df, 200, step=step).collect()) == sorted(want)
 
 
+def test_a_budget_that_cannot_be_filled_takes_few_rounds(spark, monkeypatch):
+    """A hundred thousand near-duplicates, and as many facts that are larger than what is left."""
+    rounds = []
+    plain = content.written
+    monkeypatch.setattr(content, "written", lambda df, label: (rounds.append(label), plain(df, label))[1])
+    same = F.concat(F.lit("alpha bravo charlie delta number"), F.col("id").cast("string"))
+    words = F.concat_ws(" ", *[F.concat(F.lit(c), F.substring(F.md5(F.concat(F.lit(c), F.col("id").cast("string"))), 1, 5)) for c in "abcdefghijklmnop"])
+    long_ = F.concat(words, F.lit(" "), F.repeat(F.lit("z"), 60))
+    facts = spark.range(200000).select(F.lit("p").alias("pack"), "id", F.when(F.col("id") < 100000, same).otherwise(long_).alias("text"), F.when(F.col("id") < 100000, 3).otherwise(1).alias("weight"))
+    got = content.select_facts(facts, 200).collect()
+    assert [(r.id, r.n) for r in got] == [(0, 1)] and rounds.count("fact-state") < 10
+
+
 SCORES = "outline_id string, idx long, template_id long, exemplar_id long, archetype string, rank long, penalty double, reserve boolean, score double"
 
 
