@@ -203,6 +203,45 @@ def size_report(outline: DataFrame, low: int, high: int) -> DataFrame:
     return g.where((F.col("slides") < low) | (F.col("slides") > high)).select("outline_id", "slides", F.when(F.col("slides") < low, "split").otherwise("merge").alias("what"), F.when(F.col("slides") < low, -F.col("big.less")).otherwise(F.col("small.idx")).alias("idx"))
 
 
+#: Archetypes whose slides can become cards, and those that lose by it and come last.
+MERGEABLE, MERGE_LAST = ("bullets", "two_column", "cards", "process", "kpi", "quote"), ("kpi", "quote")
+
+
+def size_repairs(slides: DataFrame, low: int, high: int, most: int = 6, least_split: int = 4) -> DataFrame:
+    """Outlines outside the range, with a row (outline_id, slides, what, idx) for each repair that can be tried.
+
+    Too many slides: ``drop_section`` (the divider of the shortest section, the last of several), ``merge`` (the first
+    neighbours of one kind of text each whose items fit on one slide, neither key numbers nor a quote) and ``merge_lossy``
+    (the same with these). Too few: ``extract_kpis`` (the first slide with key numbers beside other content) and ``split``
+    (the text slide with most bullets, of at least ``least_split``; the last of several). Outlines without any repair have one
+    row with ``none``. ``slides`` has outline_id, idx, archetype, n_bullets, n_kpis, n_steps, n_paragraphs, has_quote,
+    has_data (chart or table) and has_picture.
+    """
+    c, w = F.col, W.partitionBy("outline_id").orderBy("idx")
+    n = {k: F.coalesce(c(k), F.lit(0)) for k in ("n_bullets", "n_steps", "n_kpis", "n_paragraphs")}
+    kinds = sum((F.when(v > 0, 1).otherwise(0) for v in n.values()), F.when(c("has_quote"), 1).otherwise(0))
+    items = F.when(n["n_bullets"] > 0, n["n_bullets"]).when(n["n_steps"] > 0, n["n_steps"]).when(n["n_kpis"] > 0, n["n_kpis"]).when(c("has_quote"), 1).otherwise(n["n_paragraphs"])
+    able = ~c("has_data") & F.when(c("archetype") == "image_text", ~c("has_picture")).otherwise(c("archetype").isin(*MERGEABLE)) & (kinds == 1)
+    text_only = c("archetype").isin(*MERGEABLE) & (n["n_bullets"] >= least_split) & (n["n_kpis"] == 0) & (n["n_steps"] == 0) & ~c("has_data") & ~c("has_picture") & ~c("has_quote")
+    mixed = (n["n_kpis"] > 0) & ((n["n_bullets"] > 0) | c("has_data")) & (c("archetype") != "kpi")
+    s = slides.select("outline_id", "idx", F.struct(able.alias("able"), items.alias("items"), c("archetype").isin(*MERGE_LAST).alias("late")).alias("me"), mixed.alias("mixed"), F.when(text_only, n["n_bullets"]).alias("long"), (c("archetype") == "section").alias("divider"))
+    s = s.withColumns({"other": F.lead("me").over(w), "at": F.row_number().over(w), "slides": F.count("*").over(W.partitionBy("outline_id"))})
+    s = s.where((c("slides") < low) | (c("slides") > high))
+    end = F.coalesce(F.min(F.when(c("divider"), c("at"))).over(w.rowsBetween(1, W.unboundedFollowing)), c("slides") + 1)  # where the next section begins
+    s = s.withColumn("length", F.when(c("divider"), end - c("at")))
+    fit = F.coalesce(c("me.able") & c("other.able") & (c("me.items") + c("other.items") <= most), F.lit(False))
+    plain = fit & ~c("me.late") & ~c("other.late")
+    many = c("slides") > high
+    best = s.groupBy("outline_id", "slides").agg(
+        F.min(F.when(c("divider"), F.struct("length", (-c("at")).alias("late"), "idx"))).alias("section"), F.min(F.when(plain, c("idx"))).alias("merge"),
+        F.min(F.when(fit & ~plain, c("idx"))).alias("lossy"), F.min(F.when(c("mixed"), c("idx"))).alias("kpis"), F.max(F.when(c("long").isNotNull(), F.struct("long", "at", "idx"))).alias("split"),
+    )
+    row = lambda what, idx, when: F.when(when & idx.isNotNull(), F.struct(F.lit(what).alias("what"), idx.cast("long").alias("idx")))
+    rows = F.array_compact(F.array(row("drop_section", c("section.idx"), many), row("merge", c("merge"), many), row("merge_lossy", c("lossy"), many), row("extract_kpis", c("kpis"), ~many), row("split", c("split.idx"), ~many)))
+    nothing = F.array(F.struct(F.lit("none").alias("what"), F.lit(None).cast("long").alias("idx")))
+    return best.select("outline_id", "slides", F.inline(F.when(F.size(rows) > 0, rows).otherwise(nothing)))
+
+
 def image_candidates(outline: DataFrame, most: int = 4) -> DataFrame:
     """The first slides for a picture: archetypes made for one, slides that ask for one (wants_image), then texts, then
     frames. Slides with data (has_data) are passed over."""
@@ -219,6 +258,46 @@ def ungrounded(items: DataFrame, sources: DataFrame, group: str) -> DataFrame:
     return said.join(there.hint("merge"), [group, "number"], "left_anti").groupBy(group, "item_id").agg(F.count("*").alias("missing"))
 
 
+#: Archetypes that a slide keeps only with data.
+DATA_ARCHETYPES = ("kpi", "chart", "table")
+
+
+def ground_outline(slides: DataFrame, sources: DataFrame, group: str, most: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(slides, warnings): ``slides`` without data whose numbers no source text of their group has.
+
+    ``slides`` has outline_id, idx, archetype, bullets, kpis (array of value and label), chart (array of series with name and
+    points of category and value, as texts) and table (rows of cells). Key numbers of which one is invented become bullets
+    of their labels, a chart bullets of its series (``most`` at most), each where the slide has no bullets; a table goes. A
+    slide of key numbers, a chart or a table that has none of these left is one of bullets. What has no digits stays.
+    Warnings are (group, outline_id, idx, part), a row for each that went. A null group has no sources of its own but
+    those of null groups; empty data are nothing to go.
+    """
+    key = ["outline_id", "idx"]
+    numbers = lambda x: F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit("[0-9]+"), F.lit(0))
+    none = F.array().cast("array<string>")
+    of = {
+        "kpi": F.flatten(F.transform("kpis", lambda k: numbers(k["value"]))),
+        "chart": F.flatten(F.flatten(F.transform("chart", lambda s: F.transform(s["points"], lambda p: numbers(p["value"]))))),
+        "table": F.flatten(F.flatten(F.transform("table", lambda r: F.transform(r, numbers)))),
+    }
+    theirs = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    said = slides.select(theirs.alias("grp"), *key, F.inline(F.array(*[F.struct(F.lit(p).alias("part"), F.array_distinct(F.coalesce(v, none)).alias("numbers")) for p, v in of.items()])))
+    said = said.select("grp", *key, "part", F.explode("numbers").alias("number"))
+    known = sources.select(theirs.alias("grp"), F.explode(F.array_distinct(numbers(F.col("text")))).alias("number")).distinct()
+    bad = said.join(known.hint("merge"), ["grp", "number"], "left_anti").groupBy("grp", *key).agg(F.collect_set("part").alias("parts"))  # three parts
+    s = slides.withColumn("grp", theirs).join(bad.hint("merge"), ["grp", *key], "left").withColumn("parts", F.coalesce("parts", none))
+    gone = lambda p: F.array_contains("parts", p)
+    empty = lambda x: F.coalesce(F.size(x), F.lit(0)) <= 0
+    labels = F.filter(F.transform("kpis", lambda k: k["label"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    told = F.transform(F.filter("chart", lambda c: F.size(c["points"]) > 0), lambda c: F.concat(c["name"], F.lit(": "), F.array_join(F.transform(c["points"], lambda p: F.concat_ws(" — ", p["category"], p["value"])), ", ")))
+    s = s.withColumn("bullets", F.when(gone("kpi") & empty(F.col("bullets")), labels).otherwise(F.col("bullets")))
+    s = s.withColumn("bullets", F.when(gone("chart") & empty(F.col("bullets")), F.slice(told, 1, most)).otherwise(F.col("bullets")))
+    s = s.withColumns({c: F.when(~gone(p), F.col(c)) for p, c in (("kpi", "kpis"), ("chart", "chart"), ("table", "table"))})
+    bare = F.col("archetype").isin(*DATA_ARCHETYPES) & empty(F.col("kpis")) & empty(F.col("chart")) & empty(F.col("table"))
+    s = s.withColumn("archetype", F.when(bare, "bullets").otherwise(F.col("archetype")))
+    return s.select(*slides.columns), bad.select(F.col("grp").alias("group"), *key, F.explode("parts").alias("part"))
+
+
 def bloat(lines: DataFrame, key: str, limit: float = 2.0) -> DataFrame:
     """How many keys have each number of rows, and which exceed the limit times the mean number of rows."""
     n = lines.groupBy(key).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("keys"))

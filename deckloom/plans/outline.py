@@ -36,6 +36,38 @@ def _grounding(f: Fixtures):
     return outline.ungrounded(d.where("item_id % 2 = 1"), d.where("item_id % 2 = 0"), "lang")
 
 
+def _told(f: Fixtures):
+    """Slides with key numbers, charts and tables out of their documents' numbers, and the documents that they may rest on."""
+    k, n = F.col("doc_id"), F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))
+    d = f.table("documents").select("doc_id", F.coalesce(F.get(n, F.lit(0)), (k % 90).cast("string")).alias("number"))
+    o = f.outline().withColumnRenamed("section", "lang").join(d, "doc_id")
+    kpis = F.array(F.struct(F.concat("number", F.lit(" %")).alias("value"), F.substring("title", 1, 20).alias("label")), F.struct(F.lit("many").alias("value"), F.lit("").alias("label")))
+    point = lambda c, v: F.struct(F.lit(c).alias("category"), v.alias("value"))
+    chart = F.array(F.struct(F.lit("s").alias("name"), F.array(point("a", F.col("number")), point("b", (k % 40).cast("string"))).alias("points")))
+    a = F.col("archetype")
+    slides = o.select(
+        "lang", "outline_id", "idx", "doc_id", a, F.when(k % 3 == 0, F.slice("bullets", 1, 0)).otherwise(F.col("bullets")).alias("bullets"), F.when((a == "kpi") | (k % 5 == 0), kpis).alias("kpis"), F.when((a == "chart") | (k % 7 == 0), chart).alias("chart"),
+        F.when((a == "table") | (k % 11 == 0), F.array(F.array(F.lit("x"), F.col("number")), F.array(F.lit("y"), F.lit("z")))).alias("table"),
+    )
+    return outline.ground_outline(slides, f.table("documents").where("doc_id % 2 = 0"), "lang")
+
+
+def _grounded(f: Fixtures):
+    s, _ = _told(f)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return s.select("doc_id", "archetype", size("bullets").alias("n_bullets"), F.md5(F.array_join("bullets", "|").cast("binary")).alias("digest"), *[(size(c) > 0).alias(f"has_{c}") for c in ("kpis", "chart", "table")])
+
+
+def _sized(f: Fixtures):
+    k, a, n = F.col("doc_id"), F.col("archetype"), F.size("bullets")
+    o = f.outline().withColumn("outline_id", F.concat_ws("-", "outline_id", F.floor(F.col("idx") / F.lit(7)).cast("string")))
+    s = o.select(
+        "outline_id", "idx", a, F.when((k % 4 == 0) | (a == "quote"), 0).otherwise(n % 5).alias("n_bullets"), F.when((a == "kpi") | (k % 9 == 0), 2).otherwise(0).alias("n_kpis"), F.when((a == "process") | ((k % 4 == 0) & (a == "cards")), 3).otherwise(0).alias("n_steps"),
+        F.lit(0).alias("n_paragraphs"), (a == "quote").alias("has_quote"), a.isin("chart", "table").alias("has_data"), (a.isin("image_text") & (k % 2 == 0)).alias("has_picture"),
+    )
+    return outline.size_repairs(s, 6, 6, 5, 3)
+
+
 def _with_data(f: Fixtures):
     k = F.col("doc_id")
     return f.outline().withColumns({"has_data": F.col("archetype").isin("chart", "table", "kpi", "process"), "wants_image": k % 6 == 0})
@@ -78,7 +110,10 @@ RUN = {
     "p15_without_dividers": lambda f: outline.without_dividers(f.slides().select("deck_id", F.col("slide_idx").alias("idx"), "archetype")),
     "p16_size_report": lambda f: outline.size_report(f.outline().withColumn("outline_id", F.concat_ws("-", "outline_id", F.floor(F.col("idx") / F.lit(11)).cast("string"))), 8, 10),
     "p17_image_candidates": lambda f: outline.image_candidates(_with_data(f)),
+    "p16_size_repairs": _sized,
     "p18_grounding": _grounding,
+    "p18_grounded_outline": _grounded,
+    "p18_warnings": lambda f: _told(f)[1],
     "p19_bloat": lambda f: outline.bloat(f.table("lineitem"), "l_orderkey"),
     "t05_shorten": _split_text,
     "t08_parse_number": lambda f: _cells(f).select("table_id", "row", "col", text.parse_number(F.col("cell")).alias("number")),
@@ -87,6 +122,14 @@ RUN = {
 
 CELLS = """cells as (select p_partkey % 50 as table_id, p_partkey as row_, unnest(['name', 'size', 'delta size', 'share']) as col, unnest([p_name, '×' || p_size, p_size::varchar, '−' || p_size || ' %']) as cell from part)"""
 NUM = "case when col in ('size', 'delta size', 'share') then try_cast(replace(regexp_replace(cell, '[×% ]', '', 'g'), '−', '-') as double) end"
+GROUNDED = """with g as (select distinct lang, unnest(regexp_extract_all(text, '[0-9]+')) as number from documents where doc_id % 2 = 0),
+ d as (select doc_id, lang as dl, coalesce(regexp_extract_all(text, '[0-9]+')[1], (doc_id % 90)::varchar) as number from documents),
+ x as (select o.*, o.archetype as a, section as lang, number, case when o.doc_id % 3 = 0 then [] else bullets end as b0, archetype = 'kpi' or o.doc_id % 5 = 0 as k0, archetype = 'chart' or o.doc_id % 7 = 0 as c0, archetype = 'table' or o.doc_id % 11 = 0 as t0 from fx_outline o join d on d.doc_id = o.doc_id),
+ y0 as (select *, (lang, number) not in (select (lang, number) from g) as new1, (lang, (doc_id % 40)::varchar) not in (select (lang, number) from g) as new2 from x),
+ y as (select *, k0 and new1 as ik, c0 and (new1 or new2) as ic, t0 and new1 as it from y0),
+ z0 as (select *, case when ik and len(b0) = 0 then list_filter([left(title, 20)], lambda v: v <> '') else b0 end as b1 from y),
+ z as (select *, case when ic and len(b1) = 0 then ['s: a — ' || number || ', b — ' || doc_id % 40] else b1 end as bs, k0 and not ik as hk, c0 and not ic as hc, t0 and not it as ht from z0)"""
+
 SQL = {
     "p01_normalize": f"""with a as (select event_id, raw, k, raw->>'$.title' as t, coalesce(raw->>'$.archetype', 'bullets') as ar,
    case when k % 8 = 5 then ['a long winded value w'] when k % 8 = 3 then ['one ' || k] when k % 8 = 0 then ['a' || k, 'b'] when k % 8 = 1 then ['i' || k] when k % 8 = 2 then ['p', 'q', 'r' || k] else []::varchar[] end as bl, k % 8 as m from fx_payloads)
@@ -134,6 +177,18 @@ select outline_id, max(slides) as slides, case when max(slides) < 8 then 'split'
 select * from k where k <= 4""",
     "p18_grounding": """with d as (select lang, doc_id as item_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) as number from documents)
 select lang, item_id, count(*) as missing from d a where item_id % 2 = 1 and not exists (select 1 from d b where b.item_id % 2 = 0 and a.lang = b.lang and a.number = b.number) group by 1, 2""",
+    "p16_size_repairs": """with s as (select outline_id || '-' || (idx // 7) as o, idx, archetype as a, case when doc_id % 4 = 0 or archetype = 'quote' then 0 else len(bullets) % 5 end as b, case when archetype = 'kpi' or doc_id % 9 = 0 then 2 else 0 end as k,
+   case when archetype = 'process' or (doc_id % 4 = 0 and archetype = 'cards') then 3 else 0 end as st, archetype = 'quote' as q, archetype in ('chart', 'table') as data, archetype = 'image_text' and doc_id % 2 = 0 as pic from fx_outline),
+ t as (select *, (b > 0)::int + (st > 0)::int + (k > 0)::int + q::int as kinds, case when b > 0 then b when st > 0 then st when k > 0 then k when q then 1 else 0 end as items, a in ('bullets', 'two_column', 'cards', 'process', 'kpi', 'quote') as m, row_number() over (partition by o order by idx) as at_, count(*) over (partition by o) as n from s),
+ u as (select *, not data and case when a = 'image_text' then not pic else m end and kinds = 1 as able from t where n <> 6),
+ v as (select x.*, coalesce(x.able and y.able and x.items + y.items <= 5, false) as fit, x.a in ('kpi', 'quote') or coalesce(y.a in ('kpi', 'quote'), false) as late, coalesce((select min(z.at_) from u z where z.o = x.o and z.a = 'section' and z.at_ > x.at_), x.n + 1) - x.at_ as len_ from u x left join u y on y.o = x.o and y.at_ = x.at_ + 1),
+ r as (select o, n, 'drop_section' as what, arg_min(idx, (len_, -at_)) as idx from v where n > 6 and a = 'section' group by all union all select o, n, 'merge', min(idx) from v where n > 6 and fit and not late group by all union all select o, n, 'merge_lossy', min(idx) from v where n > 6 and fit and late group by all
+   union all select o, n, 'extract_kpis', min(idx) from v where n < 6 and k > 0 and (b > 0 or data) and a <> 'kpi' group by all union all select o, n, 'split', arg_max(idx, (b, at_)) from v where n < 6 and m and b >= 3 and k = 0 and st = 0 and not data and not pic and not q group by all)
+select o as outline_id, n as slides, what, idx from r union all select distinct o, n, 'none', null::bigint from v where o not in (select o from r)""",
+    "p18_grounded_outline": GROUNDED + """
+select doc_id, case when a in ('kpi', 'chart', 'table') and not hk and not hc and not ht then 'bullets' else a end as archetype, len(bs) as n_bullets, md5(array_to_string(bs, '|')) as digest, hk as has_kpis, hc as has_chart, ht as has_table from z""",
+    "p18_warnings": GROUNDED + """
+select lang as "group", outline_id, idx, part from (select *, unnest(['kpi', 'chart', 'table']) as part, unnest([ik, ic, it]) as bad from y) where bad""",
     "p19_bloat": """with n as (select l_orderkey, count(*) as n from lineitem group by 1)
 select n, count(*) as keys, n > 2 * (select avg(n) from n) as "over" from n group by n""",
     "t05_shorten": r"""with s as (select doc_id, para_no, text, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') as t, regexp_extract(text, '^([^:–—]{1,60})(?::\s| – | — )(.*)$', 1) as lb, regexp_extract(text, '^([^:–—]{1,60})(?::\s| – | — )(.*)$', 2) as bd from fx_paras), w as (select *, string_split(t, ' ') as ws from s)
