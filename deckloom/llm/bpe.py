@@ -136,8 +136,8 @@ def _table(key: str, data) -> list[bytes]:
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col``, the array of token ids of the whole text, without special tokens.
 
-    Equal to what tiktoken gives for the rank file and pattern. A null text counts as empty and has no ids. Rows, their
-    order and repeats stay; a column of the name ``ids_col`` is replaced. The rank file is read where the driver runs and
+    Equal to what tiktoken gives for the rank file and pattern. A null text counts as empty and has no ids; very long texts
+    are encoded whole, some tokens at a time. Rows and repeats stay, no rows give no rows; a column of the name ``ids_col`` is replaced. The rank file is read where the driver runs and
     sent to the executors: its size is fixed by the vocabulary.
     """
     with open(ranks_path, "rb") as f:
@@ -159,7 +159,10 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encoded`` with ``out_col``, the bytes that ``ids_col`` stands for; null ids give no bytes."""
+    """``encoded`` with ``out_col``, the bytes that ``ids_col`` stands for; null ids give no bytes.
+
+    A column of the name ``out_col`` is replaced; rows and repeats stay, no rows give no rows.
+    """
     small_batches(encoded.sparkSession)
     with open(ranks_path, "rb") as f:
         data = encoded.sparkSession.sparkContext.broadcast(f.read())

@@ -5,15 +5,16 @@ how far the window may move on without passing an occurrence; where it says 0, t
 block select the few patterns to compare directly. A text is scanned once; no rows are shuffled.
 
 Benchmark items go to the executors in shards of bounded size. With one shard the rows pass through in a single step. With
-more there is a pass over the texts for each shard, whose tables a task builds once and which is given up before the next
-one is sent; hits of all passes are put together by row. So a benchmark of any size needs the memory of one shard, on the
-driver and in a task.
+more a filter comes first: a bit set of hashes of a few words out of every window of all items, of bounded size, which drops
+almost all texts in one pass. Only texts that may hold a window meet the shards, whose tables a task builds once and which
+are given up before the next one is sent; hits of all shards are put together by row. So a benchmark of any size needs the
+memory of the filter and of one shard, on the driver and in a task, and texts are read twice whatever the number of shards.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -21,13 +22,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, with_report, written
+from .common import columns_of, small_batches, with_report, written
 
 WINDOW_WORDS = 13
 #: Words of a block, and hashes of blocks.
 BLOCK, TABLE = 3, 1 << 20
 #: Bytes of item text in a shard, on average; an item is never cut.
 SHARD_BYTES = 4 << 20
+#: Hit texts whose items are sent to all executors at most.
+SENT_HITS = 1 << 16
+#: Words of a block of the filter, bits for every four bytes of items, places of a block among them, and the logarithms of
+#: its least and largest size in bits. At the largest size 1 GB of items lets about one text of 400 words in twenty pass.
+FILTER_BLOCK, FILTER_BITS, FILTER_PLACES, FILTER_SIZES = 8, 16, 6, (16, 30)
 #: Lower-cases A-Z and turns all but 0-9, a-z and bytes of other letters into spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -95,6 +101,81 @@ class Shard:
                 i += 1
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def block_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Of the ``size`` words from each position on."""
+    h, n = np.full(max(len(hashes) - size + 1, 0), size, np.uint64), len(hashes)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n - size + 1 + k] if len(h) else h
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def passage_keys(words: list[bytes], window: int) -> np.ndarray:
+    """For every window of an item the hash of a block in it: of the blocks of a window the one with the least hash, so that
+    neighbouring windows share theirs; of a shorter item its first block."""
+    m = min(window, len(words))
+    if not m:
+        return np.zeros(0, np.uint64)
+    blocks = block_hashes(word_hashes(words), min(FILTER_BLOCK, m))
+    if m < window:
+        return blocks[:1]
+    return np.unique(np.lib.stride_tricks.sliding_window_view(blocks, window - min(FILTER_BLOCK, m) + 1).min(1))
+
+
+class Filter:
+    """Tells texts that can hold no window of any item; few others pass. ``sizes`` are the words of the blocks that are set."""
+
+    def __init__(self, bits: np.ndarray, sizes: list[int]):
+        self.bits, self.sizes = bits, sizes
+
+    @staticmethod
+    def places(keys: np.ndarray, log_bits: int) -> list[np.ndarray]:
+        mask = np.uint64((1 << log_bits) - 1)
+        step = keys >> np.uint64(32) | np.uint64(1)
+        return [keys + np.uint64(i) * step & mask for i in range(FILTER_PLACES)]
+
+    def may_hold(self, words: list[bytes]) -> bool:
+        hashes, log_bits = word_hashes(words), len(self.bits).bit_length() - 1 + 6
+        for size in self.sizes:
+            keys = block_hashes(hashes, size)
+            found = np.ones(len(keys), bool)
+            for at in self.places(keys, log_bits):
+                found &= (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            if found.any():
+                return True
+        return False
+
+
+def _filter(items: DataFrame, window: int, size: int):
+    """The filter of all items, about ``size`` bytes of text, as a broadcast variable of 2**FILTER_SIZES[1] bits at most."""
+    log_bits = min(max((size // 4 * FILTER_BITS).bit_length(), FILTER_SIZES[0]), FILTER_SIZES[1])
+    small_batches(items.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [words_of(t or b"") for t in batch.column(0).to_pylist()]
+            keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(passage_keys(w, window) for w in own)]))
+            at = np.unique(np.concatenate(Filter.places(keys, log_bits)))
+            slots, first = np.unique(at >> np.uint64(6), return_index=True)
+            masks = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(masks.view(np.int64))], ["slot", "mask"])
+            lengths = np.array(sorted({min(FILTER_BLOCK, len(w)) for w in own if w}), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(-lengths), pa.array(np.zeros(len(lengths), np.int64))], ["slot", "mask"])  # sizes below zero
+
+    got = items.select("text").mapInArrow(run, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # a row for each 64 bits at most
+    slots, masks = got["slot"].to_numpy(), got["mask"].to_numpy().view(np.uint64)
+    bits = np.zeros(1 << log_bits - 6, np.uint64)
+    bits[slots[slots >= 0]] = masks[slots >= 0]
+    # Slot 0 is one of bits: sizes begin at 1.
+    return items.sparkSession.sparkContext.broadcast(Filter(bits, sorted(-slots[slots < 0].astype(int))))
+
+
 def _sent(items: DataFrame, shards: int, k: int):
     """Items of the k-th shard, about SHARD_BYTES of text, as a broadcast variable."""
     own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
@@ -125,11 +206,14 @@ def _in_one_pass(docs: DataFrame, keep: list[str], text_col: str, items: DataFra
     return with_report(docs, text_col, keep, make, "n_words long, n_hit long, items array<string>")
 
 
-def _in_passes(docs: DataFrame, keep: list[str], text_col: str, items: DataFrame, window: int, shards: int) -> DataFrame:
+def _in_passes(docs: DataFrame, keep: list[str], text_col: str, items: DataFrame, window: int, shards: int, size: int) -> DataFrame:
     doc = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)]).alias("doc")
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), doc, docs[text_col].cast("string").alias("text")), "passage-rows")
     counted = with_report(rows, "text", ["row", "doc"], lambda: lambda texts: [pa.array([len(words_of(t or b"")) for t in texts], pa.int64())], "n_words long")
     counted = counted.select(F.col("doc.c0").alias("row"), F.col("doc.c1").alias("doc"), "n_words")
+    sieve = _filter(items, window, size)
+    may = with_report(rows, "text", ["row", "text"], lambda: lambda texts: [pa.array([bool(t) and sieve.value.may_hold(words_of(t)) for t in texts], pa.bool_())], "may boolean")
+    may = written(may.where("may").select(F.col("doc.c0").alias("row"), F.col("doc.c1").alias("text")), "passage-candidates")
     found = None
     for k in range(shards):
         sent = _sent(items, shards, k)
@@ -149,7 +233,7 @@ def _in_passes(docs: DataFrame, keep: list[str], text_col: str, items: DataFrame
 
             return work
 
-        hit = with_report(rows, "text", ["row"], make, "runs array<struct<at:int,to:int>>, items array<string>").where(F.size("runs") > 0)
+        hit = with_report(may, "text", ["row"], make, "runs array<struct<at:int,to:int>>, items array<string>").where(F.size("runs") > 0)
         hit = written(hit.select(F.col("doc.c0").alias("row"), "runs", "items"), "passage-hits")
         found = hit if found is None else found.unionByName(hit)
         sent.unpersist()
@@ -157,7 +241,8 @@ def _in_passes(docs: DataFrame, keep: list[str], text_col: str, items: DataFrame
     step = lambda acc, r: F.struct((acc["n"] + F.greatest(F.lit(0), r["to"] - F.greatest(r["at"], acc["end"]))).alias("n"), F.greatest(r["to"], acc["end"]).alias("end"))
     union = F.aggregate(F.array_sort(F.flatten(F.collect_list("runs"))), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"].cast("long"))
     hits = found.groupBy("row").agg(union.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = counted.join(hits.hint("merge"), "row", "left")
+    hits = written(hits, "passage-sums")
+    joined = counted.join(F.broadcast(hits) if hits.count() <= SENT_HITS else hits.hint("merge"), "row", "left")
     return joined.select("doc", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
@@ -171,11 +256,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_c
     give no rows. ``keep`` may name columns of any name; other columns are ignored.
     """
     items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("item"), benchmark[item_text_col].cast("string").cast("binary").alias("text")).where("text is not null").distinct()
-    shards = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // SHARD_BYTES))
+    size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
     if shards == 1:
         found = _in_one_pass(docs, keep, text_col, items, window)
     else:
-        found = _in_passes(docs, keep, text_col, written(items, "passages"), window, shards)
+        found = _in_passes(docs, keep, text_col, written(items, "passages"), window, shards, size)
     return found.withColumn("contaminated", _is_contaminated(F.col("n_words"), F.col("n_hit")))
 
 

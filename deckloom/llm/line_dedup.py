@@ -45,7 +45,11 @@ def line_table(docs: DataFrame, text_col: str = "text", site_col: str = "source"
 
 
 def boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """(line): digests of the lines that stand on at least ``min_sites`` distinct sites, in documents that differ."""
+    """(line): digests of the lines that stand on at least ``min_sites`` distinct sites, in documents that differ.
+
+    Null texts have no lines, a null site is the site "", blank lines count for nothing; no rows give no lines. A line on
+    exactly ``min_sites`` sites counts; repeated rows are rows of one site.
+    """
     lines = written(line_table(docs, text_col, site_col), "lines")
     error = 5 * 1.04 / 2 ** (lg_k / 2)
     low, high = min_sites * (1 - error) - 1, min_sites * (1 + error) + 1
@@ -82,6 +86,7 @@ def shared_lines(docs: DataFrame, text_col: str = "text", site_col: str = "sourc
     """(line): digests of the lines that ``min_sites`` different documents hold, each of them on another site.
 
     Documents are different if their sets of lines are, so copies add neither documents nor, beyond one, sites.
+    Null texts have no lines, a null site is the site ""; no rows give no lines.
     """
     lines = F.transform(F.filter(F.split(F.col("text"), "\n"), lambda x: F.trim(x, F.lit(ASCII_SPACE)) != ""), _key)
     own = docs.select(F.coalesce(docs[site_col].cast("string"), F.lit("")).alias("site"), docs[text_col].cast("string").alias("text"))

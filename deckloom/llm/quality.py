@@ -203,6 +203,10 @@ def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their own columns."""
+    """The rows of ``docs`` that are not rejected, with their own columns, whatever their names.
+
+    Null and empty texts, and others on which no labeller votes, get the share of good documents as their score; a score of
+    exactly 0.5 stays. Texts are read whole, repeated rows go or stay together, and no rows give no rows.
+    """
     model = fit_quality(docs, id_col, text_col, train_rows)
     return quality_scores(docs, model, docs.columns, text_col).where("score >= 0.5").select(*columns_of(docs.columns))

@@ -6,8 +6,9 @@ a word or word beginning votes toxic if it stands mostly in rows that the label
 posterior left out (the rows are cut into folds, and counts of the other folds admit a voter to a fold).
 
 The generative label model estimates by expectation maximisation how often each voter speaks up in either class and how
-voters are correlated within a class; correlated voters share their weight. Labels only set its starting point and are no
-voters, so a wrong label that the voters contradict is overruled, and so is one that none of them supports. The posteriors, not the labels, choose features and train a linear
+voters are correlated within a class; correlated voters share their weight. The given label sets the starting point and is
+one voter among the others, of which a tenth is taken to be wrong at least; so a label that the other voters contradict is
+overruled, and so is one that none of them supports. The posteriors, not the labels, choose features and train a linear
 classifier over presence of hashed words and word beginnings, which scores whole texts.
 
 The models are fitted on a bounded number of labelled rows (``train_rows``); every document is scored from its whole text.

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 import deckloom.llm.decontaminate as module
 from deckloom.llm.decontaminate import contamination, decontaminate
 
@@ -56,6 +58,38 @@ def test_like_brute_force(spark, monkeypatch):
         assert sorted(((r.doc.c0, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got), key=str) == want
 
 
+def test_the_filter_loses_no_window():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc") for _ in range(2)).encode()
+    for _ in range(300):
+        item = [word() for _ in range(rng.choice([1, 3, 7, 8, 9, 12, 13, 14, 40]))]
+        m = min(13, len(item))
+        at = rng.randrange(len(item) - m + 1)
+        text = [word() for _ in range(rng.randrange(30))] + item[at : at + m] + [word() for _ in range(rng.randrange(30))]
+        bits = np.zeros(1 << 10, np.uint64)
+        for place in module.Filter.places(module.passage_keys(item, 13), 16):
+            for p in place.tolist():
+                bits[p >> 6] |= np.uint64(1 << (p & 63))
+        assert module.Filter(bits, [min(8, m)]).may_hold(text)
+        assert not module.Filter(bits * 0, [min(8, m)]).may_hold(text)
+
+
+def test_many_shards_read_only_what_the_filter_leaves(spark, monkeypatch):
+    """Fifty shards: the texts that hold no passage meet none of them."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(100)]
+    docs = [(k, " ".join([word() for _ in range(100)] + (items[k % 100][1].split()[10:30] if k % 20 == 0 else []))) for k in range(400)]
+    written, kept = module.written, {}
+    monkeypatch.setattr(module, "written", lambda df, label: kept.setdefault(f"{label}{len(kept)}", written(df, label)))
+    monkeypatch.setattr(module, "SHARD_BYTES", sum(len(t) for _, t in items) // 50)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, ["doc_id"]).collect()
+    assert sorted(((r.doc.c0, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got), key=str) == brute(docs, items)
+    assert sum(k.startswith("passage-hits") for k in kept) >= 50
+    assert [t.count() for k, t in kept.items() if k.startswith("passage-candidates")] == [20]
+
+
 def test_long_passages_amid_other_text(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
