@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, text
 from ..functions import geometry as geo
+from .audit import SYMBOL_FONTS
 
 #: Bands of text roles as shares of the body size, from the largest.
 BANDS = (("display", 2.4), ("h1", 1.6), ("h2", 1.25), ("h3", 1.08), ("body", 0.92), ("caption", 0.7), ("small", 0.0))
@@ -103,8 +104,8 @@ def color_tokens(roles: DataFrame, most: int = 16, least: float = 0.01, usage: D
 
 
 def font_ranks(runs: DataFrame, least: float = 0.01) -> DataFrame:
-    """Fonts by characters, without those under a share of the first."""
-    c = runs.groupBy("template_id", "font").agg(F.sum("chars").alias("chars"))
+    """Fonts by characters, without families of symbols and those under a share of the first."""
+    c = runs.where(~F.lower("font").isin(*SYMBOL_FONTS)).groupBy("template_id", "font").agg(F.sum("chars").alias("chars"))
     w = W.partitionBy("template_id")
     return c.withColumns({"n": F.row_number().over(w.orderBy(F.desc("chars"), "font")), "top": F.max("chars").over(w)}).where(F.col("chars") >= least * F.col("top")).drop("top")
 
@@ -192,9 +193,9 @@ def guides(shapes: DataFrame, least: int = 2, share: float = 0.2, slide_w: int =
     return found.unionByName(bare)
 
 
-def profile(shapes: DataFrame, most: int = 10) -> DataFrame:
-    """The most frequent fonts, sizes, colours and sizes per font of each template's texts, kinds of its shapes, boxes that
-    repeat, and how many slides and shapes it has."""
+def profile(shapes: DataFrame, most: int = 10, colors: int = 25) -> DataFrame:
+    """The most frequent fonts, sizes, sizes per font and (``colors`` of them) colours of each template's texts, kinds of
+    its shapes, boxes that repeat, and how many slides and shapes it has."""
     runs = shapes.where("tag = 'sp'")
     sets = runs.groupingSets([["template_id", "font"], ["template_id", "size_pt"], ["template_id", "hex"], ["template_id", "font", "size_pt"]], "template_id", "font", "size_pt", "hex")
     c = sets.agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
@@ -208,7 +209,7 @@ def profile(shapes: DataFrame, most: int = 10) -> DataFrame:
     found = texts
     for name, df in (("box", boxes), ("kind", kinds), ("parts", parts)):
         found = found.unionByName(df.select("template_id", F.lit(name).alias("by"), "key", "n"))
-    return found.withColumn("k", F.row_number().over(W.partitionBy("template_id", "by").orderBy(F.desc("n"), "key"))).where(F.col("k") <= most)
+    return found.withColumn("k", F.row_number().over(W.partitionBy("template_id", "by").orderBy(F.desc("n"), "key"))).where(F.col("k") <= F.when(F.col("by") == "color", colors).otherwise(most))
 
 
 def sample_texts(texts: DataFrame, most: int = 6, chars: int = 120, limit: int = 6000) -> DataFrame:

@@ -200,12 +200,16 @@ def second_round(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def deck_statistics(outline: DataFrame) -> DataFrame:
-    """Slides, items per slide with items, words per item."""
+    """Slides, items per slide with items, words per item, and how many slides have a chart, a table, key numbers and a
+    picture. ``outline`` has has_chart, table_cols, n_kpis and has_image besides its bullets."""
     n = F.size("bullets")
     words = F.aggregate("bullets", F.lit(0), lambda acc, b: acc + F.size(text.words(b)))
-    each = outline.select("outline_id", n.alias("items"), words.alias("words"), (F.col("archetype") == "chart").alias("chart"))
-    found = each.groupBy("outline_id").agg(F.count("*").alias("slides"), F.count_if(F.col("items") > 0).alias("with_items"), F.sum("items").alias("items"), F.sum("words").alias("words"), F.count_if("chart").alias("charts"))
-    return found.select("outline_id", "slides", "with_items", "charts", F.bround(F.col("items") / F.nullif("with_items", F.lit(0)), 4).alias("items_per_slide"), F.bround(F.col("words") / F.nullif("items", F.lit(0)), 4).alias("words_per_item"))
+    has = {"charts": F.col("has_chart"), "tables": F.col("table_cols") > 0, "kpis": F.col("n_kpis") > 0, "pictures": F.col("has_image")}
+    each = outline.select("outline_id", n.alias("items"), words.alias("words"), *[F.coalesce(v, F.lit(False)).alias(k) for k, v in has.items()])
+    counts = [F.count_if(k).alias(k) for k in has]
+    found = each.groupBy("outline_id").agg(F.count("*").alias("slides"), F.count_if(F.col("items") > 0).alias("with_items"), F.sum("items").alias("items"), F.sum("words").alias("words"), *counts)
+    per = lambda a, b: F.bround(F.col(a) / F.nullif(b, F.lit(0)), 4)
+    return found.select("outline_id", "slides", "with_items", *has, per("items", "with_items").alias("items_per_slide"), per("words", "items").alias("words_per_item"))
 
 
 def strategy_comparison(slides: DataFrame, findings: DataFrame, strategy: Column) -> DataFrame:

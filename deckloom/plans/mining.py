@@ -75,7 +75,7 @@ select template_id, m.h as hex, m.c as cluster from last where m.h <> ''""",
  u as (select * from u1 union all select n_nationkey, '0077FF', 'accent', 0, 'theme' from nation where n_nationkey not in (select template_id from u1 where role = 'accent')),
  n as (select template_id, row_number() over (partition by template_id order by list_position(['background', 'text', 'accent', 'secondary', 'surface', 'muted', 'unknown'], role), usage desc, hex) as n, hex, role, usage, source from u)
 select * from n where n <= 16""",
-    "m05_font_ranks": """with c as (select template_id, font, sum(chars)::bigint as chars from fx_runs group by all), n as (select *, row_number() over (partition by template_id order by chars desc, font) as n, max(chars) over (partition by template_id) as top from c)
+    "m05_font_ranks": """with c as (select template_id, font, sum(chars)::bigint as chars from fx_runs where lower(font) not in ('wingdings', 'webdings', 'symbol', 'mt extra') group by all), n as (select *, row_number() over (partition by template_id order by chars desc, font) as n, max(chars) over (partition by template_id) as top from c)
 select template_id, font, chars, n from n where chars >= 0.01 * top""",
     "m06_size_bins": """with recursive s as (select template_id, round_even(size_pt * 2, 0) / 2 as pt, sum(chars)::bigint as chars from fx_runs group by 1, 2), o as (select *, row_number() over (partition by template_id order by pt) as k from s),
  walk as (select template_id, k, 0::bigint as bin, pt as low, pt as high, chars, pt * chars as mass from o where k = 1
@@ -98,7 +98,7 @@ select template_id, side, vs[round_even(case when side in ('left', 'top') then 0
   union all select template_id, 'color', hex, count(*) from fx_runs group by all union all select template_id, 'font_size', font || '|' || size_pt::bigint, count(*) from fx_runs group by all
   union all select template_id, 'box', round_even(x / 45720.0, 0)::bigint || ',' || round_even(y / 45720.0, 0)::bigint || ',' || round_even(w / 45720.0, 0)::bigint || ',' || round_even(h / 45720.0, 0)::bigint as key, count(distinct slide_id) from fx_shapes group by 1, 3 having count(distinct slide_id) > 1
   union all select template_id, 'kind', kind, count(*) from fx_shapes group by 1, 3 union all select template_id, 'parts', 'slides', count(distinct slide_id) from fx_shapes group by 1 union all select template_id, 'parts', 'shapes', count(*) from fx_shapes group by 1), k as (select template_id, by_ as "by", key, n, row_number() over (partition by template_id, by_ order by n desc, key) as k from c)
-select * from k where k <= 10""",
+select * from k where k <= case when "by" = 'color' then 25 else 10 end""",
     "m12_samples": r"""with t as (select doc_id % 500 as grp, doc_id * 10000 + para_no as place, case when para_no % 5 = 1 then 'Text' else text end as text from fx_paras), s as (select grp, left(trim(text, ' '), 120) as sample, min(place) as place from t where text <> 'Text' group by 1, 2 having len(regexp_extract_all(sample, '\p{L}')) >= 2),
  k as (select *, row_number() over (partition by grp order by place, sample) as k, count(*) over (partition by grp) as total from s), u as (select *, sum(length(sample)) over (partition by grp order by k) as used from k where k <= 6)
 select grp, string_agg(sample, ' / ' order by k) as samples, max(total) - count(*) as more from u where used <= 6000 group by 1""",

@@ -173,7 +173,7 @@ RUN = {
     "g15_drop_slides": lambda f: report.drop_slides(f.slides(), audit.empty_slides(f.slides(), f.shapes())).select("deck_id", "slide_id", "slide_idx"),
     "g16_fix_effect": lambda f: report.fix_effect(*_rounds(f)),
     "g16_second_round": lambda f: report.second_round(*_rounds(f)),
-    "r01_statistics": lambda f: report.deck_statistics(f.outline()),
+    "r01_statistics": lambda f: report.deck_statistics(layout_plans._demands(f)),
     "r02_strategies": _strategies,
     "r03_call_log": lambda f: report.call_log(f.calls()),
     "r04_stress": lambda f: report.stress_report(f.calls()),
@@ -261,8 +261,8 @@ select deck_id, slide_id, row_number() over (partition by deck_id order by slide
 select deck_id, count(*) filter (fixed_) as fixed, count(*) filter (not fixed_ and not new_) as remaining, count(*) filter (new_) as "new" from j group by 1""",
     "g16_second_round": """with e as (select deck_id, count(*) filter (severity = 'error') as n from fx_round group by 1), e2 as (select deck_id, count(*) filter (severity = 'error') as m from fx_round2 group by 1)
 select distinct check_id, deck_id, slide_idx, coalesce(z, -1) as z from fx_round2 r where exists (select 1 from fx_round q where q.check_id = r.check_id and q.deck_id = r.deck_id and q.slide_idx = r.slide_idx and q.z is not distinct from r.z) and deck_id in (select deck_id from e left join e2 using (deck_id) where n > coalesce(m, 0))""",
-    "r01_statistics": r"""with i as (select outline_id, len(bullets) as items, archetype, list_sum(list_transform(bullets, lambda b: len(list_filter(regexp_split_to_array(b, '\s+'), lambda x: x <> '')))) as words from fx_outline)
-select outline_id, count(*) as slides, count(*) filter (items > 0) as with_items, count(*) filter (archetype = 'chart') as charts, round_even(sum(items)::double / nullif(count(*) filter (items > 0), 0), 4) as items_per_slide, round_even(sum(words)::double / nullif(sum(items), 0), 4) as words_per_item from i group by 1""",
+    "r01_statistics": r"""with i as (select outline_id, len(bullets) as items, archetype, archetype = 'kpi' and len(bullets) > 0 as kpi, archetype in ('image_text', 'image_full') and doc_id % 2 = 0 as pic, list_sum(list_transform(bullets, lambda b: len(list_filter(regexp_split_to_array(b, '\s+'), lambda x: x <> '')))) as words from fx_outline)
+select outline_id, count(*) as slides, count(*) filter (items > 0) as with_items, count(*) filter (archetype = 'chart') as charts, count(*) filter (archetype = 'table') as tables, count(*) filter (kpi) as kpis, count(*) filter (pic) as pictures, round_even(sum(items)::double / nullif(count(*) filter (items > 0), 0), 4) as items_per_slide, round_even(sum(words)::double / nullif(sum(items), 0), 4) as words_per_item from i group by 1""",
     "r02_strategies": """with s as (select *, case deck_id % 3 when 0 then 'executive' when 1 then 'detailed' else 'visual' end as strategy from fx_slides), a as (select strategy, archetype, count(*) as n from s group by all),
  p as (select strategy, sum(n)::bigint as slides, string_agg(archetype, ',' order by n desc, archetype) as archetypes from a group by 1), f as (select strategy, string_agg(archetype, '>' order by slide_idx) as path from s where (strategy, deck_id) in (select (strategy, min(deck_id)) from s group by strategy) group by 1),
  v as (select strategy, count(*) filter (severity = 'error') as n_error, count(*) filter (severity = 'warning') as n_warning, count(*) filter (severity = 'info') as n_info from fx_found join (select distinct 'deck/' || deck_id as deck_id, strategy from s) using (deck_id) group by 1)
