@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -305,11 +308,55 @@ def bloat(lines: DataFrame, key: str, limit: float = 2.0) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select("n", "keys", (F.col("n") > limit * F.col("mean")).alias("over"))
 
 
+#: Separators before a tail, in the order they are tried, and those after a lead; what may not end a head; the
+#: least share of the room that a head fills; the least length of a lead; words that may not hang before an ellipsis, and
+#: words before which a title may end.
+TAIL_SEPARATORS, LEAD_SEPARATORS, HEAD_ENDS = (" — ", " – ", ": ", "; ", ", ", " ("), (" — ", " – ", ": "), " ,;:—–("
+HEAD_SHARE, LEAST_LEAD = 0.3, 5
+DANGLING_WORDS = (
+    "с", "со", "и", "в", "во", "на", "для", "по", "к", "ко", "о", "об", "от", "до", "из", "у", "а", "но", "или", "за", "при", "без", "над", "под", "через", "что", "как", "не",
+    "a", "an", "the", "of", "for", "and", "or", "to", "in", "on", "with", "by", "at", "from",
+)
+PHRASE_BREAKS = (
+    "и", "с", "со", "для", "на", "в", "во", "как", "при", "без", "через", "или", "за", "от", "до", "из",
+    "and", "with", "for", "in", "on", "via", "as", "without", "through", "or",
+)
+
+
+def _head(most: int, lazy: bool) -> str:
+    """A head of the least, or most, characters that fits the room and ends in none of HEAD_ENDS."""
+    least = max(math.ceil(most * HEAD_SHARE), 1)
+    return f"(.{{{least - 1},{most - 1}}}{'?' if lazy else ''}[^{HEAD_ENDS}])[{HEAD_ENDS}]*{'?' if lazy else ''}"
+
+
+def _cut_tail(t: Column, most: int) -> Column:
+    """The first head before a separator that fits, by the order of separators; null if none does."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(t, f"^{_head(most, True)}(?={re.escape(sep)})", 1), F.lit("")) for sep in TAIL_SEPARATORS])
+
+
+def _cut_words(t: Column, most: int) -> Column:
+    """Whole words and an ellipsis, without words that hang; texts of two words stay as they are."""
+    room = F.substring(t, 1, most)
+    cut = F.when(room.contains(" "), F.regexp_replace(room, " [^ ]*$", "")).otherwise(F.regexp_extract(t, "^[^ ]*", 0))
+    cut = F.regexp_replace(cut, f"(?iu)( (?:{'|'.join(DANGLING_WORDS)})[,;:]*)+$", "")
+    return F.when(F.size(F.split(t, " ")) <= 2, t).otherwise(F.concat(F.regexp_replace(cut, f"[{HEAD_ENDS}]+$", ""), F.lit("…")))
+
+
 def shorten(c: Column, most: int) -> Column:
-    """At most ``most`` characters: whole words and an ellipsis."""
+    """A text in ``most`` characters: without its tail behind a separator, else whole words and an ellipsis."""
+    t = text.squeezed(c)
+    return F.when(F.char_length(t) <= most, t).otherwise(F.coalesce(_cut_tail(t, most), _cut_words(t, most)))
+
+
+def shorten_title(c: Column, most: int) -> Column:
+    """A title in ``most`` characters: without its tail, else its lead, else up to a word that begins a further phrase (the
+    last one that leaves two words or more), else whole words and an ellipsis."""
     t = text.squeezed(c)
-    cut = F.regexp_replace(F.substring(t, 1, most), r"\s+\S*$", "")
-    return F.when(F.char_length(t) <= most, t).otherwise(F.concat(F.regexp_replace(cut, r"[\s.,;:–-]+$", ""), F.lit("…")))
+    leads = [F.regexp_replace(F.substring_index(t, sep, 1), f"[{HEAD_ENDS}]+$", "") for sep in LEAD_SEPARATORS]
+    lead = F.coalesce(*[F.when(t.contains(sep) & F.char_length(x).between(LEAST_LEAD, most), x) for sep, x in zip(LEAD_SEPARATORS, leads)])
+    phrase = f"(?iu)^({_head(most, False)}) (?:{'|'.join(PHRASE_BREAKS)})(?= |$)"
+    before = F.when(F.regexp_extract(t, phrase, 1).contains(" "), F.regexp_extract(t, phrase, 2))
+    return F.when(F.char_length(t) <= most, t).otherwise(F.coalesce(_cut_tail(t, most), lead, before, _cut_words(t, most)))
 
 
 def shorten_words(c: Column, most: int, slack: int = 3) -> Column:

@@ -88,6 +88,10 @@ def _split_text(f: Fixtures):
     return f.paras().select("doc_id", "para_no", md(outline.shorten(F.col("text"), 60)).alias("short"), md(outline.shorten_words(F.col("text"), 8)).alias("words"), label.alias("label"), md(body).alias("body"), number.alias("number"), md(unit).alias("unit"))
 
 
+def _titles(f: Fixtures):
+    return f.paras().select("doc_id", "para_no", outline.shorten(F.col("text"), 24).alias("short"), outline.shorten_title(F.col("text"), 40).alias("title"))
+
+
 RUN = {
     "p01_normalize": lambda f: outline.normalize(f.payloads(), ARCHETYPES).select("event_id", "title", "archetype", F.array_join("bullets", "|").alias("bullets"), F.array_join("kpis", "|").alias("kpis"), F.array_join("repairs", ",").alias("repairs")),
     "p01_add_frames": lambda f: outline.add_frames(f.outline()).select("outline_id", "idx", "archetype", "repair"),
@@ -116,12 +120,36 @@ RUN = {
     "p18_warnings": lambda f: _told(f)[1],
     "p19_bloat": lambda f: outline.bloat(f.table("lineitem"), "l_orderkey"),
     "t05_shorten": _split_text,
+    "t05_titles": _titles,
     "t08_parse_number": lambda f: _cells(f).select("table_id", "row", "col", text.parse_number(F.col("cell")).alias("number")),
     "t10_fit_scale": lambda f: f.shapes().where("tag = 'sp'").select("slide_id", "z", outline.fit_scale(F.col("chars"), F.col("w"), F.col("h"), F.col("size_pt")).alias("scale")),
 }
 
 CELLS = """cells as (select p_partkey % 50 as table_id, p_partkey as row_, unnest(['name', 'size', 'delta size', 'share']) as col, unnest([p_name, '×' || p_size, p_size::varchar, '−' || p_size || ' %']) as cell from part)"""
 NUM = "case when col in ('size', 'delta size', 'share') then try_cast(replace(regexp_replace(cell, '[×% ]', '', 'g'), '−', '-') as double) end"
+_ENDS = " ,;:—–("
+
+
+def _tail(t: str, n: int) -> str:
+    """The first place of the first separator whose head fits, by looking at every place."""
+    each = [f"list_filter([rtrim(left({t}, i), '{_ENDS}') for i in range(1, least(length({t}), {n} + 20)) if substr({t}, i + 1, {len(sep)}) = '{sep}'], lambda h: length(h) <= {n} and length(h) >= {n} * 0.3::double)[1]" for sep in (" — ", " – ", ": ", "; ", ", ", " (")]
+    return f"coalesce({', '.join(each)})"
+
+
+def _words(t: str, n: int) -> str:
+    dangling = "|".join("с со и в во на для по к ко о об от до из у а но или за при без над под через что как не a an the of for and or to in on with by at from".split())
+    cut = f"case when contains(left({t}, {n}), ' ') then regexp_replace(left({t}, {n}), ' [^ ]*$', '') else string_split({t}, ' ')[1] end"
+    return f"case when len(string_split({t}, ' ')) <= 2 then {t} else rtrim(regexp_replace({cut}, '(?i)( ({dangling})[,;:]*)+$', ''), '{_ENDS}') || '…' end"
+
+
+def _short(t: str, n: int, title: bool = False) -> str:
+    lead = ", ".join(f"case when strpos({t}, '{sep}') > 1 and length(rtrim(string_split({t}, '{sep}')[1], '{_ENDS}')) between 5 and {n} then rtrim(string_split({t}, '{sep}')[1], '{_ENDS}') end" for sep in (" — ", " – ", ": "))
+    breaks = "'" + "','".join("и с со для на в во как при без через или за от до из and with for in on via as without through or".split()) + "'"
+    phrase = f"list_filter([rtrim(array_to_string(ws[1:i], ' '), '{_ENDS}') for i in list_reverse(range(2, least(len(ws), {n}))) if lower(ws[i + 1]) in ({breaks})], lambda h: length(h) <= {n} and length(h) >= {n} * 0.3::double)[1]"
+    more = f"{lead}, {phrase}, " if title else ""
+    return f"case when length({t}) <= {n} then {t} else coalesce({_tail(t, n)}, {more}{_words(t, n)}) end"
+
+
 GROUNDED = """with g as (select distinct lang, unnest(regexp_extract_all(text, '[0-9]+')) as number from documents where doc_id % 2 = 0),
  d as (select doc_id, lang as dl, coalesce(regexp_extract_all(text, '[0-9]+')[1], (doc_id % 90)::varchar) as number from documents),
  x as (select o.*, o.archetype as a, section as lang, number, case when o.doc_id % 3 = 0 then [] else bullets end as b0, archetype = 'kpi' or o.doc_id % 5 = 0 as k0, archetype = 'chart' or o.doc_id % 7 = 0 as c0, archetype = 'table' or o.doc_id % 11 = 0 as t0 from fx_outline o join d on d.doc_id = o.doc_id),
@@ -192,8 +220,10 @@ select lang as "group", outline_id, idx, part from (select *, unnest(['kpi', 'ch
     "p19_bloat": """with n as (select l_orderkey, count(*) as n from lineitem group by 1)
 select n, count(*) as keys, n > 2 * (select avg(n) from n) as "over" from n group by n""",
     "t05_shorten": r"""with s as (select doc_id, para_no, text, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') as t, regexp_extract(text, '^([^:–—]{1,60})(?::\s| – | — )(.*)$', 1) as lb, regexp_extract(text, '^([^:–—]{1,60})(?::\s| – | — )(.*)$', 2) as bd from fx_paras), w as (select *, string_split(t, ' ') as ws from s)
-select doc_id, para_no, md5(case when length(t) <= 60 then t else regexp_replace(regexp_replace(left(t, 60), '\s+\S*$', ''), '[\s.,;:–-]+$', '') || '…' end) as short, md5(case when len(ws) <= 11 then t else array_to_string(ws[1:8], ' ') || '…' end) as words, trim(lb, ' ') as label, md5(case when lb = '' then text else bd end) as body,
- regexp_extract(text, '^\s*([-−+×x]?[0-9]+(?:[.,][0-9]+)?)\s*(.*)$', 1) as number, md5(regexp_extract(text, '^\s*([-−+×x]?[0-9]+(?:[.,][0-9]+)?)\s*(.*)$', 2)) as unit from w""",
+select doc_id, para_no, md5(SHORT60) as short, md5(case when len(ws) <= 11 then t else array_to_string(ws[1:8], ' ') || '…' end) as words, trim(lb, ' ') as label, md5(case when lb = '' then text else bd end) as body,
+ regexp_extract(text, '^\s*([-−+×x]?[0-9]+(?:[.,][0-9]+)?)\s*(.*)$', 1) as number, md5(regexp_extract(text, '^\s*([-−+×x]?[0-9]+(?:[.,][0-9]+)?)\s*(.*)$', 2)) as unit from w""".replace("SHORT60", _short("t", 60)),
+    "t05_titles": f"""with s as (select doc_id, para_no, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') as t from fx_paras), w as (select *, string_split(t, ' ') as ws from s)
+select doc_id, para_no, {_short("t", 24)} as short, {_short("t", 40, True)} as title from w""",
     "t08_parse_number": f"""with {CELLS}
 select table_id, row_ as "row", col, {NUM} as number from cells""",
     "t10_fit_scale": """with s as (select slide_id, z, unnest([1.0, 0.9, 0.8, 0.7, 0.6, 0.55]::double[]) as s, chars, w, h, size_pt from fx_shapes where tag = 'sp'), f as (select *, 0.9::double * floor(w / 12700.0::double / (0.5::double * size_pt * s)) * floor(h / 12700.0::double / (1.2::double * size_pt * s)) >= chars as ok from s)

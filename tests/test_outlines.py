@@ -90,3 +90,49 @@ def test_invented_numbers_go(spark):
     assert sorted((r.idx, r.part) for r in warned.collect()) == [(0, "kpi"), (2, "chart"), (3, "kpi"), (3, "table"), (5, "table"), (6, "kpi")]
     none, _ = outline.ground_outline(df.limit(0), sources, "pack")
     assert none.collect() == []
+
+
+def plain_tail(t, n):
+    for sep in outline.TAIL_SEPARATORS:
+        for i in range(1, len(t)):
+            head = t[:i].rstrip(outline.HEAD_ENDS)
+            if t.startswith(sep, i) and n * 0.3 <= len(head) <= n:
+                return head
+    return None
+
+
+def plain_words(t, n):
+    if len(t.split(" ")) <= 2:
+        return t
+    cut = t[:n].rsplit(" ", 1)[0] if " " in t[:n] else t.split(" ")[0]
+    words = cut.split(" ")
+    while len(words) > 1 and words[-1].lower().rstrip(",;:") in outline.DANGLING_WORDS:
+        words.pop()
+    return " ".join(words).rstrip(outline.HEAD_ENDS) + "…"
+
+
+def plain_title(t, n):
+    if (head := plain_tail(t, n)) is not None:
+        return head
+    for sep in outline.LEAD_SEPARATORS:
+        if t.find(sep) > 0 and 5 <= len(head := t[: t.find(sep)].rstrip(outline.HEAD_ENDS)) <= n:
+            return head
+    words = t.split(" ")
+    for i in range(len(words) - 1, 1, -1):
+        head = " ".join(words[:i]).rstrip(outline.HEAD_ENDS)
+        if words[i].lower() in outline.PHRASE_BREAKS and n * 0.3 <= len(head) <= n:
+            return head
+    return plain_words(t, n)
+
+
+def test_shorten_like_a_loop(spark):
+    rng = random.Random(15)
+    parts = ["Рост", "выручки", "для", "и", "a", "The", "of", "with", "plan", "step:", "one,", "two;", "—", "–", "(three)", "ВИА", "extraordinarily", "k", "В", "😀"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 16))) for _ in range(500)]
+    texts += ["", "short", "Next: " + "x" * 50, "Следующий шаг: консультация для оценки вашей инфраструктуры и людей", "y" * 60, "two " + "y" * 60, "a of the and to in on with by at from"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", outline.shorten(F.col("t"), 20).alias("s"), outline.shorten_title(F.col("t"), 24).alias("h")).collect()
+    for r in got:
+        t = texts[r.i]
+        assert r.s == (t if len(t) <= 20 else plain_tail(t, 20) or plain_words(t, 20)), t
+        assert r.h == (t if len(t) <= 24 else plain_title(t, 24)), t
