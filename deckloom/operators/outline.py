@@ -149,14 +149,16 @@ def split_mixed(slides: DataFrame) -> DataFrame:
 
 
 def split_dense(outline: DataFrame, most: int = 6) -> DataFrame:
-    """Slides with too many bullets in even parts; (…, part, of, title, n)."""
+    """Slides with too many bullets in even parts (…, part, title, n, keeps_data); data of a slide (has_data) stay with its
+    first part."""
     n = F.size("bullets")
     of = F.when(F.col("archetype") == "agenda", 1).otherwise(F.greatest(F.lit(1), F.ceil(n / most))).cast("int")
     size = F.ceil(n / F.col("of")).cast("int")
-    parts = outline.withColumn("of", of).select("outline_id", "idx", "title", "of", n.alias("all"), size.alias("size"), F.explode(F.sequence(F.lit(1), F.col("of"))).alias("part"))
+    data = F.coalesce("has_data", F.lit(False)) if "has_data" in outline.columns else F.lit(False)
+    parts = outline.withColumn("of", of).select("outline_id", "idx", "title", "of", data.alias("data"), n.alias("all"), size.alias("size"), F.explode(F.sequence(F.lit(1), F.col("of"))).alias("part"))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("all") - (F.col("part") - 1) * F.col("size")))
     title = F.when(F.col("of") > 1, F.concat("title", F.lit(" ("), F.col("part").cast("string"), F.lit("/"), F.col("of").cast("string"), F.lit(")"))).otherwise(F.col("title"))
-    return parts.select("outline_id", "idx", F.col("part").cast("long").alias("part"), title.alias("title"), rest.cast("long").alias("n"))
+    return parts.select("outline_id", "idx", F.col("part").cast("long").alias("part"), title.alias("title"), rest.cast("long").alias("n"), (F.col("data") & (F.col("part") == 1)).alias("keeps_data"))
 
 
 def split_kpis(slides: DataFrame, room: int, capacity: int = 4) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import groups
 
 SEVERITIES = ("error", "warning", "info")
 #: Fixed values: (name, scope, safe, evidence that it needs).
@@ -91,6 +92,14 @@ def judged(answers: DataFrame, spark: SparkSession) -> DataFrame:
     return each.where(~passed).select("slide_id", "question", "severity", note.alias("note"))
 
 
+def evidence(fragments: DataFrame, group: str, limit: int = 6000, bucket: int = 1024) -> DataFrame:
+    """Fragments (group, id, cited, size, has_sections) that go before a judge, with ``used`` characters so far: cited ones
+    first, then the rest by id, up to the first that does not fit. A whole document that has sections is left out unless it is
+    cited, as its sections stand for it."""
+    asked = fragments.where(F.col("cited") | ~F.coalesce("has_sections", F.lit(False)))
+    return groups.before_overflow(asked, [group], [F.desc("cited"), "id"], F.col("size"), limit, [~F.col("cited"), F.floor(F.col("id") / bucket)]).select(group, "id", "used")
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FIXES, "autofix string, scope string, safe boolean, requires array<string>")
 

@@ -107,7 +107,7 @@ RUN = {
     "p09_kpis_to_cards": lambda f: outline.kpis_to_cards(outline.chart_to_kpis(f.charts())),
     "p10_choose_form": _choice,
     "p11_split_mixed": lambda f: outline.split_mixed(_kpis(f).withColumn("has_data", F.col("idx") % 3 == 0)),
-    "p12_split_dense": lambda f: outline.split_dense(f.outline()),
+    "p12_split_dense": lambda f: outline.split_dense(_with_data(f)),
     "p13_split_kpis": lambda f: outline.split_kpis(_kpis(f), 5),
     "p14_to_process": lambda f: outline.to_process(_with_data(f), _diagrams(f), f.slots().select("archetype")).select("outline_id", "idx", "name", "process"),
     "p15_section_dividers": lambda f: outline.section_dividers(f.slides().select("deck_id", F.col("slide_idx").alias("idx"), "layout"), "layout"),
@@ -189,8 +189,8 @@ select deck_id, k, replace(format('{:,}', value), ',', ' ') || ' — ' || series
 select s.*, name, case when name = 'detailed' then 'table' when name = 'executive' and n_series <= 4 then 'kpi' else 'chart' end as form from s, (values ('executive'), ('detailed'), ('visual')) v(name)""",
     "p11_split_mixed": """with s as (select deck_id, slide_idx as idx, slide_id % 12 > 0 and slide_idx % 3 = 0 as two from fx_slides), e as (select deck_id, idx, 0 as part, case when two then 'data' else 'all' end as what from s union all select deck_id, idx, 1, 'kpis' from s where two)
 select *, row_number() over (partition by deck_id order by idx, part) - 1 as new_idx from e""",
-    "p12_split_dense": """with o as (select outline_id, idx, title, len(bullets) as n, case when archetype = 'agenda' then 1 else greatest(1, ceil(len(bullets) / 6.0))::bigint end as of_ from fx_outline), p as (select *, ceil(n * 1.0 / of_)::bigint as size, unnest(range(1, of_ + 1)) as part from o)
-select outline_id, idx, part, case when of_ > 1 then title || ' (' || part || '/' || of_ || ')' else title end as title, greatest(0, least(size, n - (part - 1) * size)) as n from p""",
+    "p12_split_dense": """with o as (select outline_id, idx, title, archetype in ('chart', 'table', 'kpi', 'process') as data, len(bullets) as n, case when archetype = 'agenda' then 1 else greatest(1, ceil(len(bullets) / 6.0))::bigint end as of_ from fx_outline), p as (select *, ceil(n * 1.0 / of_)::bigint as size, unnest(range(1, of_ + 1)) as part from o)
+select outline_id, idx, part, case when of_ > 1 then title || ' (' || part || '/' || of_ || ')' else title end as title, greatest(0, least(size, n - (part - 1) * size)) as n, data and part = 1 as keeps_data from p""",
     "p13_split_kpis": """with w as (select deck_id, slide_idx as idx, slide_id % 12 as n_kpis, greatest(0, ceil((slide_id % 12) / 4.0)::bigint - 1) as want from fx_slides), b as (select *, coalesce(sum(want) over (partition by deck_id order by idx rows between unbounded preceding and 1 preceding), 0) as before_ from w)
 select deck_id, idx, n_kpis, greatest(0, least(want, 5 - before_))::bigint as extra from b""",
     "p14_to_process": """select outline_id, idx, name, name <> 'detailed' and exists (select 1 from fx_slots where archetype = 'process') and archetype not in ('chart', 'table', 'kpi', 'process') and len(bullets) between 2 and 6 and coalesce(list_max(list_transform(bullets, lambda b: length(b))), 0) <= 200 as process

@@ -173,6 +173,18 @@ def test_split_dense(spark):
     assert got == [(0, 1, "T (1/3)", 5), (0, 2, "T (2/3)", 5), (0, 3, "T (3/3)", 3), (1, 1, "A", 13), (2, 1, "S", 6), (3, 1, "E", 0)]
 
 
+def test_data_stay_with_the_first_part(spark):
+    df = spark.createDataFrame([("o", 0, "chart", "T", ["b"] * 13, True), ("o", 1, "cards", "C", ["b"] * 7, None), ("o", 2, "chart", "D", [], True)], "outline_id string, idx long, archetype string, title string, bullets array<string>, has_data boolean")
+    assert sorted((r.idx, r.part) for r in outline.split_dense(df).collect() if r.keeps_data) == [(0, 1), (2, 1)]
+
+
+def test_evidence_for_a_judge(spark):
+    rows = [(1, False, 10, True), (2, False, 10, False), (3, True, 10, True), (4, True, 20, False), (5, False, 60, False), (6, False, 1, None), (7, True, 5, False)]
+    df = spark.createDataFrame([("g", *r) for r in rows], "grp string, id long, cited boolean, size long, has_sections boolean")
+    got = {r.id: r.used for r in report.evidence(df, "grp", 50, 2).collect()}
+    assert got == {3: 10, 4: 30, 7: 35, 2: 45}  # 1 has sections, 5 does not fit, and nothing after it is taken
+
+
 def test_unique_ids_and_pack(spark):
     d = spark.createDataFrame([("a", 1, "x" * 6000), ("a", 2, "x" * 6000), ("a", 3, "x"), ("b", 4, "x" * 12001), ("b", 5, "x")], "source string, doc_id long, text string")
     assert {r.doc_id for r in content.pack(d, "source").collect()} == {1, 2}
