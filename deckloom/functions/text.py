@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,8 @@ TEXT_PROMPTS = (
     r"click\s+to\s+add", r"нажмите,?\s+чтобы", r"текст\s+слайда", r"заголовок\s+слайда", r"образец\s+текста", r"не\s+забудьте\s+удалить", r"удалите\s+(этот|эту|данн[\p{L}]+)\s+(слайд|страниц[\p{L}]+)",
     r"(этот|данный)\s+слайд\s+(можно|нужно|следует|необходимо)\s+удалить", r"(delete|remove)\s+(this\s+)?slide",
 )
+#: A piece of text for each of TEXT_PROMPTS that it can't do without; some are shared.
+PROMPT_PIECES = ("ipsum", "xxx", "todo", "tbd", "{{", "[", "встав", "insert", "click", "нажмите", "слайд", "образец", "удалит", "delete", "remove")
 PHOTO_PROMPT = r"(вставьте|вставить|добавьте|добавить)\s*(фото|изображение|картинку)|место\s*для\s*фото|insert\s*(photo|image|picture)"
 SPEAKER_PROMPT = (
     r"(имя|фио)\s*,?\s*(спикер|докладчик|выступающ)|(спикер|докладчик)[\p{L}]*\s*,?\s*должност|(^|[^\p{L}])фио([^\p{L}]|$)|фамилия\s*,?\s*имя|имя\s*,?\s*фамилия|speaker\s*name|name\s*,?\s*(surname|position|job\s*title)"
@@ -64,13 +68,13 @@ SPEAKER_PROMPT = (
 def prompt_pattern(c: Column) -> Column:
     """The number of the first pattern of TEXT_PROMPTS in a text, -1 for a text of WHOLE_PROMPTS, else null.
 
-    A text is prepared once, and patterns are tried one by one only where one of them is found.
+    A text is prepared once, and patterns are tried one by one only where a piece that one of them needs is found.
     """
-    some = "|".join(f"(?:{p})" for p in TEXT_PROMPTS)
 
     def number(t: Column) -> Column:
+        may = reduce(lambda a, b: a | b, [t.contains(x) for x in PROMPT_PIECES])
         first = F.coalesce(*[F.when(t.rlike(p), i) for i, p in enumerate(TEXT_PROMPTS)])
-        return F.when(t.isin(*WHOLE_PROMPTS), -1).when(t.rlike(some), first).cast("long")
+        return F.when(t.isin(*WHOLE_PROMPTS), -1).when(may, first).cast("long")
 
     return F.transform(F.array(F.lower(squeezed(c))), number)[0]
 

@@ -205,6 +205,10 @@ def test_prompts(spark):
     got = {r.k: (r.a, bool(r.b), bool(r.c)) for r in df.select("k", text.prompt_pattern(F.col("t")).alias("a"), text.is_photo_prompt(F.col("t")).alias("b"), text.is_speaker_prompt(F.col("t")).alias("c")).collect()}
     assert [got[k][0] for k in range(10)] == [0, -1, None, 3, 8, None, None, None, None, None]
     assert [k for k in got if got[k][1]] == [4, 5] and [k for k in got if got[k][2]] == [6, 7]
+    # An example of each pattern, which holds a piece that the pattern needs.
+    each = ["lorem ipsum", "xxxx", "todo", "tbd", "{{name", "[ text ]", "вставьте фото", "вставить заголовок", "insert title", "click to add", "нажмите, чтобы", "текст слайда", "заголовок слайда", "образец текста", "не забудьте удалить", "удалите эту страницу", "этот слайд можно удалить", "delete this slide"]
+    df = spark.createDataFrame([(k, f"So {t.upper()} it is") for k, t in enumerate(each)], "k long, t string")
+    assert [r.n for r in df.orderBy("k").select(text.prompt_pattern(F.col("t")).alias("n")).collect()] == list(range(len(text.TEXT_PROMPTS)))
 
 
 def test_overflow(spark):
