@@ -68,13 +68,15 @@ SPEAKER_PROMPT = (
 def prompt_pattern(c: Column) -> Column:
     """The number of the first pattern of TEXT_PROMPTS in a text, -1 for a text of WHOLE_PROMPTS, else null.
 
-    A text is prepared once, and patterns are tried one by one only where a piece that one of them needs is found.
+    A text is prepared once, and patterns are tried only where a piece that one of them needs is found, one by one only
+    where one of them is.
     """
 
     def number(t: Column) -> Column:
         may = reduce(lambda a, b: a | b, [t.contains(x) for x in PROMPT_PIECES])
+        some = t.rlike("|".join(f"(?:{p})" for p in TEXT_PROMPTS))
         first = F.coalesce(*[F.when(t.rlike(p), i) for i, p in enumerate(TEXT_PROMPTS)])
-        return F.when(t.isin(*WHOLE_PROMPTS), -1).when(may, first).cast("long")
+        return F.when(t.isin(*WHOLE_PROMPTS), -1).when(may & some, first).cast("long")
 
     return F.transform(F.array(F.lower(squeezed(c))), number)[0]
 
