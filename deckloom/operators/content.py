@@ -205,7 +205,7 @@ def select_facts(facts: DataFrame, limit: int, least: float = 0.6, shortest: int
     done = None
 
     def near(chosen: Column, stems: Column) -> Column:
-        share = lambda c: F.size(F.array_intersect(c["stems"], stems)) / F.least(F.size(c["stems"]), F.size(stems))
+        share = lambda c: F.try_divide(F.size(F.array_intersect(c["stems"], stems)), F.least(F.size(c["stems"]), F.size(stems)))  # noqa: E731  # a fact without stems is near none
         return F.exists(chosen, lambda c: F.coalesce(share(c) >= least, F.lit(False)))
 
     def take(acc: Column, x: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from deckloom.operators import content
 from deckloom.plans import registry
 
 
@@ -15,3 +16,8 @@ def documents(spark, tmp_path_factory):
 
 def test_evidence_looks_at_every_document(spark, documents):
     assert sorted(r.doc_id for r in registry.queries()["g06_evidence"](spark, documents).collect()) == list(range(20))
+
+
+def test_facts_without_stems_are_near_none(spark):
+    facts = spark.createDataFrame([("p", 1, "?! ?! ?! ?!", 3), ("p", 2, "alpha bravo charlie", 2), ("p", 3, "... --- ...", 2), ("p", 4, "bravo charlie", 1)], "pack string, id long, text string, weight long")
+    assert [(r.id, r.n) for r in content.select_facts(facts, 1500).orderBy("n").collect()] == [(1, 1), (2, 2), (3, 3)]
