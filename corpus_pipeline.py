@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.llm.bpe import bpe_decode, bpe_encode
+from deckloom.llm.bpe import bpe_encode
 from deckloom.llm.common import table, written
 from deckloom.llm.decontaminate import decontaminate
 from deckloom.llm.line_dedup import line_dedup, shared_lines
@@ -60,7 +60,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the digest of the decoded bytes; a null or empty text has no ids."""
-    found = bpe_decode(bpe_encode(docs, RANKS, PATTERN), RANKS)
+    found = bpe_encode(docs, RANKS, PATTERN, decoded_col="decoded")
     return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

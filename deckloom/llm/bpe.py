@@ -133,16 +133,19 @@ def _table(key: str, data) -> list[bytes]:
     return _tokens[key]
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with ``ids_col``, the array of token ids of the whole text, without special tokens.
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with ``ids_col``, the array of token ids of the whole text, without special tokens, and on demand with
+    ``decoded_col``, the bytes that ``bpe_decode`` makes of these ids, from the same task's worker.
 
     Equal to what tiktoken gives for the rank file and pattern. A null text counts as empty and has no ids; very long texts
-    are encoded whole, some tokens at a time. Rows and repeats stay, no rows give no rows; a column of the name ``ids_col`` is replaced. The rank file is read where the driver runs and
-    sent to the executors: its size is fixed by the vocabulary.
+    are encoded whole, some tokens at a time. Rows and repeats stay, no rows give no rows; columns of the names ``ids_col`` and
+    ``decoded_col`` are replaced. The rank file is read where the driver runs and sent to the executors: its size is fixed by the
+    vocabulary.
     """
     with open(ranks_path, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
-    keep = [c for c in docs.columns if c.lower() != ids_col.lower()]
+    new = [c for c in (ids_col, decoded_col) if c]
+    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
     key = (ranks_path, pattern)
 
     def make():
@@ -151,11 +154,16 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
         def work(texts: list[bytes | None]) -> list[pa.Array]:
             ids = [codec.encode(t.decode("utf-8", "replace")) if t else np.zeros(0, np.int32) for t in texts]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            return [pa.ListArray.from_arrays(offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32))]
+            found = [pa.ListArray.from_arrays(offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32))]
+            if decoded_col:
+                tokens = _table(ranks_path, data)
+                found.append(pa.array([decode(x.tolist(), tokens) for x in ids], pa.binary()))
+            return found
 
         return work
 
-    return with_report(docs, text_col, keep, make, "ids array<int>").select(*columns_of(keep), F.col("ids").alias(ids_col))
+    schema = "ids array<int>" + ", decoded binary" * bool(decoded_col)
+    return with_report(docs, text_col, keep, make, schema).select(*columns_of(keep), F.col("ids").alias(ids_col), *[F.col("decoded").alias(c) for c in new[1:]])
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

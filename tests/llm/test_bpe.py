@@ -61,3 +61,14 @@ def test_tables(spark, plain):
     again = bpe_encode(docs.withColumnRenamed("level", "ids"), PATH, PATTERN)
     assert again.columns.count("ids") == 1 and again.count() == docs.count()
     assert bpe_decode(bpe_encode(empty(spark), PATH, PATTERN), PATH).collect() == []
+
+
+def test_one_worker_encodes_and_decodes(spark):
+    import corpus_pipeline
+
+    docs = awkward(spark)
+    both = bpe_encode(docs.withColumnRenamed("level", "Decoded"), PATH, PATTERN, decoded_col="decoded")
+    assert [c.lower() for c in both.columns].count("decoded") == 1
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in both.collect())
+    asked = docs.selectExpr("1L as doc_id", "text", "'en' as lang", "'s' as source")
+    assert "ArrowEvalPython" not in corpus_pipeline.tokens(spark, asked, "")._jdf.queryExecution().toString()
