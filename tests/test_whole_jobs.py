@@ -2,7 +2,7 @@
 
 import pytest
 
-from deckloom.operators import audit, content
+from deckloom.operators import audit, content, layout
 from deckloom.plans import registry
 from deckloom.sources.fixtures import Prepared
 
@@ -40,3 +40,12 @@ def test_lines_are_numbered_before_they_meet_parts(spark, tmp_path):
     spark.createDataFrame([(5, 3)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     got = [(r.z, r.pk, r.font, r.chars) for r in Prepared(spark, str(tmp_path)).shapes().orderBy("z", "font").collect()]
     assert got == [(1, 7, "a", 36), (3, 9, "b", 30), (3, 9, "c", 30)]
+
+
+def test_number_sequences_make_no_pairs(spark):
+    """Two rows: 3, 4, 5 and 9 in one, which beats 1, 2 in the other; blocks of one number in a column."""
+    rows = [(1, k, 1000 * k, y, 100, 100, v) for k, (y, v) in enumerate([(0, 4), (0, 3), (20, 5), (0, 9), (5000, 1), (5000, 2)])]
+    found = layout.number_sequence(spark.createDataFrame(rows, "slide_id long, z long, x long, y long, w long, h long, value long"), 50, 2)
+    assert [tuple(r) for r in found.collect()] == [(1, "row", 3, 3)]
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Window" not in plan
