@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.scratch import written
-from .groups import before_overflow, numbered
+from .groups import before_overflow, numbered, rarest_first
 
 #: Kinds of facts, and the share of talking time of archetypes (others count 1).
 FACT_KINDS = ("overview", "problem", "solution", "architecture", "feature", "metric", "milestone", "decision", "limitation", "plan", "other")
 TALK_WEIGHTS = {"title": 0.5, "section": 0.25, "closing": 0.6}
 
+#: Numbers of 64 bits that stand for a fact's stems while likely pairs are looked for.
+BIT_WORDS = 4
+
 
 def sections(paras: DataFrame, heading: str) -> DataFrame:
     """(doc_id, section, title, n_lines, body) of documents with at least two headings; empty sections are dropped.
@@ -169,26 +172,40 @@ def near_facts(facts: DataFrame, least: float = 0.6) -> DataFrame:
     """Facts (pack, id, text) that share at least ``least`` of the smaller one's stems.
 
     Facts with equal stems are a class; each is paired with its class's first fact, and only first facts with each other.
-    The smaller set must share one of its rarest few with the other, so only these are joined; the result is exact.
+    The smaller set must share one of its rarest few with the other, so only these are joined. They go as 32-bit hashes, with
+    the bits of all of their fact's hashes: a pair of which the smaller one has more bits to itself than it may have stems
+    ends in the join, so little more is shuffled than facts and pairs that are near. Of the likely pairs the stems
+    decide; the result is exact.
     """
     own = facts.select("pack", "id", F.array_sort(text.stems(F.col("text"))).alias("stems")).where(F.size("stems") > 0)
-    own = written(own.withColumn("same", F.md5(F.array_join("stems", " ").cast("binary"))), "fact-stems")
-    first = written(own.groupBy("pack", "same").agg(F.min(F.struct("id", "stems")).alias("f")).select("pack", "same", "f.id", "f.stems"), "first-facts")
-    copies = own.select("pack", "same", F.col("id").alias("other")).join(first.select("pack", "same", "id").hint("merge"), ["pack", "same"]).where("id <> other").select("pack", "id", "other", F.lit(1.0).alias("share"))
+    same = F.unhex(F.md5(F.concat_ws("\n", F.array_join("stems", " "), F.concat(F.lit("="), F.col("pack"))).cast("binary")))  # of stems and pack
+    own = written(own.withColumn("same", same), "fact-stems")
+    first = written(own.groupBy("same").agg(F.min(F.struct("id", "pack", "stems")).alias("f")).select("same", "f.*"), "first-facts")
+    copies = own.select("pack", "same", F.col("id").alias("other")).join(first.select("same", "id").hint("merge"), "same").where("id <> other").select("pack", "id", "other", F.lit(1.0).alias("share"))
+    s = first.where("pack is not null").select("pack", "id", "stems", F.array_distinct(F.transform("stems", lambda w: F.hash(w))).alias("hashes"))
+    n = F.size("stems")
+    spare = (n - F.ceil(F.lit(least) * n - 1e-9)).cast("int")  # so many stems of the smaller fact the other may lack
+    s = s.select("pack", "id", n.alias("n"), spare.alias("spare"), "hashes", *[_bits(F.col("hashes"), k).alias(f"bits{k}") for k in range(BIT_WORDS)])
+    bits = [f"bits{k}" for k in range(BIT_WORDS)]
+    few = s.select("pack", "id", "n", "spare", *bits, F.explode(F.slice(rarest_first(s), F.lit(1), F.col("spare") + 1)).alias("key"))
+    full = s.select("pack", F.col("id").alias("other"), F.col("n").alias("m"), *[F.col(c).alias(f"o_{c}") for c in bits], F.explode("hashes").alias("key"))
+    smaller = (F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("id") < F.col("other"))
+    lacks = sum((F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(f"o_{c}"))) for c in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseAND(F.bitwise_not(f"o_{bits[0]}"))))
+    pairs = few.join(full.hint("merge"), ["pack", "key"]).where(smaller & (lacks <= F.col("spare")))
+    pairs = written(pairs.select("pack", F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct(), "fact-pairs")
     s = first.select("pack", "id", "stems")
-    each = s.select("pack", "id", F.size("stems").alias("m"), F.explode("stems").alias("stem"))
-    df = each.groupBy("pack", "stem").agg(F.count("*").alias("df"))
-    r = each.join(df.hint("merge"), ["pack", "stem"]).groupBy("pack", "id").agg(F.array_sort(F.collect_list(F.struct("df", "stem"))).alias("rare"))  # bounded: one fact's stems
-    n = F.size("rare")
-    few = written(r.select("pack", "id", n.alias("n"), F.explode(F.slice(F.col("rare.stem"), F.lit(1), n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1)).alias("stem")), "rare-stems")
-    full = written(each.select("pack", F.col("id").alias("other"), "m", "stem"), "all-stems")
-    pairs = few.join(full.hint("merge"), ["pack", "stem"]).where((F.col("id") != F.col("other")) & (F.col("n") <= F.col("m"))).select("pack", F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
-    pairs = written(pairs, "fact-pairs")
     both = pairs.join(s.hint("merge"), ["pack", "id"]).join(s.select("pack", F.col("id").alias("other"), F.col("stems").alias("more")).hint("merge"), ["pack", "other"])
     share = F.size(F.array_intersect("stems", "more")) / F.least(F.size("stems"), F.size("more"))
     return copies.unionByName(both.withColumn("share", share).where(F.col("share") >= least).select("pack", "id", "other", F.bround("share", 4).alias("share")))
 
 
+def _bits(hashes: Column, word: int) -> Column:
+    """The ``word``-th 64 of the bits that a set's hashes set."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    mine = F.filter(hashes, lambda h: F.pmod(F.shiftright(h, 6), F.lit(BIT_WORDS)) == word)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(bit(h)))
+
+
 def select_facts(facts: DataFrame, limit: int, least: float = 0.6, shortest: int = 12, step: int = 500) -> DataFrame:
     """Facts (pack, id, text, weight) by weight and order, within a budget of characters, none that shares ``least`` of the
     smaller one's stems with a chosen one; (pack, id, n), numbered in the order of ids.
