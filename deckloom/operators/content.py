@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.scratch import written
-from .groups import before_overflow, numbered, rarest_first
+from .groups import before_overflow, numbered, rarest_first, where_dealt
 
 #: Kinds of facts, and the share of talking time of archetypes (others count 1).
 FACT_KINDS = ("overview", "problem", "solution", "architecture", "feature", "metric", "milestone", "decision", "limitation", "plan", "other")
@@ -16,6 +19,12 @@ TALK_WEIGHTS = {"title": 0.5, "section": 0.25, "closing": 0.6}
 
 #: Numbers of 64 bits that stand for a fact's stems while likely pairs are looked for.
 BIT_WORDS = 4
+#: Facts of a pack whose stems are one group at most; larger packs have more groups, and each a share of the stems.
+GROUP_FACTS = 1 << 17
+#: Tasks that share the stems of a group.
+GROUP_PASSES = 6
+#: Stems that may have a number of their own because another one's hash is the same.
+CODES_APART = 10_000
 
 
 def sections(paras: DataFrame, heading: str) -> DataFrame:
@@ -158,45 +167,103 @@ def normal_facts(facts: DataFrame, least: int = 12, most: int = 12, cut: int = 4
         facts = facts.join(allowed.select("chunk", "source").distinct(), ["chunk", "source"], "left_semi")
     t = F.substring(F.trim("text"), 1, cut)
     f = facts.select("pack", "chunk", "n", t.alias("text"), F.when(F.col("kind").isin(*FACT_KINDS), F.col("kind")).otherwise("other").alias("kind"), F.least(F.greatest("weight", F.lit(1)), F.lit(3)).alias("weight")).where(F.char_length("text") >= least)
-    first = f.withColumn("k", F.row_number().over(W.partitionBy("pack", "chunk", F.lower("text")).orderBy("n"))).where("k = 1")
-    return first.withColumn("k", F.row_number().over(W.partitionBy("pack", "chunk").orderBy("n"))).where(F.col("k") <= most).drop("k")
+    return _first_of_chunk(f, "n", most)
+
+
+def _first_of_chunk(f: DataFrame, order: str, most: int) -> DataFrame:
+    first = f.withColumn("k", F.row_number().over(W.partitionBy("pack", "chunk", F.lower("text")).orderBy(order))).where("k = 1")
+    return first.withColumn("k", F.row_number().over(W.partitionBy("pack", "chunk").orderBy(order))).where(F.col("k") <= most).drop("k")
+
+
+def normal_texts(chunks: DataFrame, least: int = 12, most: int = 12, cut: int = 400) -> DataFrame:
+    """K11 for chunks (pack, chunk, texts) that hold their facts' texts in order: (pack, chunk, at, text) of the normal facts, at
+    from 0. No fact moves, unless a chunk comes in more than one row, which is looked at first."""
+    texts = F.transform("texts", lambda x: F.substring(F.trim(x), 1, cut))
+    f = chunks.select("pack", "chunk", F.explode(F.array(texts)).alias("texts"))  # a generator: worked out once
+    f = f.select("pack", "chunk", "texts", F.explode(F.array(F.transform("texts", lambda x: F.when(F.char_length(x) >= least, F.lower(x))))).alias("low"))
+    first = F.slice(F.array_compact(F.array_distinct("low")), 1, most)
+    f = f.select("pack", "chunk", "texts", F.explode(F.transform(first, lambda x: (F.array_position("low", x) - 1).cast("int"))).alias("at"))
+    f = f.select("pack", "chunk", F.col("at").cast("long").alias("at"), F.get("texts", F.col("at")).alias("text"))
+    split = chunks.groupBy("pack", "chunk").agg(F.count("*").alias("k")).where("k > 1")
+    return f if split.isEmpty() else _first_of_chunk(f, "at", most)
+
+
+def _said(c: Column) -> Column:
+    """A text without regard to case and a final dot."""
+    return F.rtrim(F.lower(F.trim(c)), F.lit("."))
 
 
 def distinct_facts(facts: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first of equal texts of a pack, without regard to case and a final dot."""
-    same = F.regexp_replace(F.lower(F.trim("text")), r"\.+$", "")
-    return facts.withColumn("k", F.row_number().over(W.partitionBy(*key, same).orderBy(*order))).where("k = 1").drop("k")
+    return facts.withColumn("k", F.row_number().over(W.partitionBy(*key, _said(F.col("text"))).orderBy(*order))).where("k = 1").drop("k")
 
 
-def near_facts(facts: DataFrame, least: float = 0.6) -> DataFrame:
-    """Facts (pack, id, text) that share at least ``least`` of the smaller one's stems.
+def near_facts(facts: DataFrame, least: float = 0.6, once: bool = False) -> DataFrame:
+    """Facts (pack, id, text) that share at least ``least`` of the smaller one's stems. With ``once`` only the first of a
+    pack's equal texts counts, as in K12.
 
     Facts with equal stems are a class; each is paired with its class's first fact, and only first facts with each other.
-    The smaller set must share one of its rarest few with the other, so only these are joined. They go as 32-bit hashes, with
-    the bits of all of their fact's hashes: a pair of which the smaller one has more bits to itself than it may have stems
-    ends in the join, so little more is shuffled than facts and pairs that are near. Of the likely pairs the stems
-    decide; the result is exact.
+    The smaller set must share one of its rarest few with the other, so only these are joined. A large pack is dealt out
+    in groups of stems, as many as keep a group's facts below GROUP_FACTS: a fact goes once to each group that has a stem of
+    its own, with all of its stems as numbers. Stems meet within their group, so what is shuffled grows with the facts alone:
+    a pair of which the smaller one has more bits to itself than it may have stems ends in the join, which also
+    compares the stems of the others and gives a pair at the first stem that the two share. The result is exact.
     """
-    own = facts.select("pack", "id", F.array_sort(text.stems(F.col("text"))).alias("stems")).where(F.size("stems") > 0)
-    same = F.unhex(F.md5(F.concat_ws("\n", F.array_join("stems", " "), F.concat(F.lit("="), F.col("pack"))).cast("binary")))  # of stems and pack
-    own = written(own.withColumn("same", same), "fact-stems")
-    first = written(own.groupBy("same").agg(F.min(F.struct("id", "pack", "stems")).alias("f")).select("same", "f.*"), "first-facts")
-    copies = own.select("pack", "same", F.col("id").alias("other")).join(first.select("same", "id").hint("merge"), "same").where("id <> other").select("pack", "id", "other", F.lit(1.0).alias("share"))
-    s = first.where("pack is not null").select("pack", "id", "stems", F.array_distinct(F.transform("stems", lambda w: F.hash(w))).alias("hashes"))
-    n = F.size("stems")
-    spare = (n - F.ceil(F.lit(least) * n - 1e-9)).cast("int")  # so many stems of the smaller fact the other may lack
-    s = s.select("pack", "id", n.alias("n"), spare.alias("spare"), "hashes", *[_bits(F.col("hashes"), k).alias(f"bits{k}") for k in range(BIT_WORDS)])
+    stems = F.sort_array(text.stems(F.col("text")))
+    said = [F.unhex(F.md5(_said(F.col("text")).cast("binary"))).alias("said")] if once else []
+    own = facts.select("pack", "id", *said, F.explode(F.array(stems)).alias("stems")).where(F.size("stems") > 0)  # a generator: stems are found once
+    own = written(own, "fact-stems")
+    same = F.unhex(F.md5(F.concat_ws("\n", F.array_join("stems", " "), F.concat(F.lit("="), F.col("pack"))).cast("binary"))).alias("same")  # of stems and pack
+    each = own.select("pack", "id", same, *(["said"] if once else []))
+    each = written(each.groupBy("same", "said").agg(F.min("id").alias("id"), F.min("pack").alias("pack")).drop("said") if once else each, "fact-classes")  # equal texts have equal stems
+    first = written(each.groupBy("same").agg(F.min("id").alias("first"), F.min("pack").alias("pack"), F.count("*").alias("k")), "first-facts")
+    copies = each.select("same", F.col("id").alias("other")).join(first.where("k > 1").hint("merge"), "same").where("first <> other").select("pack", F.col("first").alias("id"), "other", F.lit(1.0).alias("share"))
+    chosen = first.where("pack is not null").select("same", F.col("first").alias("id"))
+    s = own.select("pack", "id", same, _rarest_codes(own).alias("codes")).join(chosen.hint("merge"), ["same", "id"], "left_semi").dropDuplicates(["same", "id"])
+    s = written(s.select("pack", "id", "codes", *[_bits(F.col("codes"), k).alias(f"bits{k}") for k in range(BIT_WORDS)]), "fact-codes")
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(GROUP_FACTS, max(GROUP_FACTS >> 3, 4 * first.count() // parts))  # fewer if tasks would be too few
+    large = written(first.groupBy("pack").agg(F.ceil(F.count("*") / most).cast("int").alias("groups")).where("groups > 1 and pack is not null"), "large-packs")
+    group = lambda code: F.pmod(code, F.col("groups"))
+    s = s.join(F.broadcast(large), "pack", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))  # at most a row for GROUP_FACTS facts
+    s = s.withColumn("grp", F.explode(F.array_distinct(F.transform("codes", group)))).repartition(parts, "pack", "grp")
     bits = [f"bits{k}" for k in range(BIT_WORDS)]
-    few = s.select("pack", "id", "n", "spare", *bits, F.explode(F.slice(rarest_first(s), F.lit(1), F.col("spare") + 1)).alias("key"))
-    full = s.select("pack", F.col("id").alias("other"), F.col("n").alias("m"), *[F.col(c).alias(f"o_{c}") for c in bits], F.explode("hashes").alias("key"))
+    n = F.size("codes")
+    spare = (n - F.ceil(F.lit(least) * n - 1e-9)).cast("int")  # so many stems of the smaller fact the other may lack
     smaller = (F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("id") < F.col("other"))
     lacks = sum((F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(f"o_{c}"))) for c in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseAND(F.bitwise_not(f"o_{bits[0]}"))))
-    pairs = few.join(full.hint("merge"), ["pack", "key"]).where(smaller & (lacks <= F.col("spare")))
-    pairs = written(pairs.select("pack", F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct(), "fact-pairs")
-    s = first.select("pack", "id", "stems")
-    both = pairs.join(s.hint("merge"), ["pack", "id"]).join(s.select("pack", F.col("id").alias("other"), F.col("stems").alias("more")).hint("merge"), ["pack", "other"])
-    share = F.size(F.array_intersect("stems", "more")) / F.least(F.size("stems"), F.size("more"))
-    return copies.unionByName(both.withColumn("share", share).where(F.col("share") >= least).select("pack", "id", "other", F.bround("share", 4).alias("share")))
+    each = s.select("pack", "grp", "groups", "id", n.alias("n"), spare.alias("spare"), *bits, "codes", F.posexplode("codes").alias("at", "key"))
+    likely = []
+    for k in range(GROUP_PASSES):  # tasks of their own, which read the same shuffled facts
+        some = each.where((F.pmod(F.shiftright("key", 16), F.lit(GROUP_PASSES)) == k) & (group(F.col("key")) == F.col("grp"))).drop("groups")
+        full = some.select("pack", "grp", "key", F.col("id").alias("other"), F.col("n").alias("m"), *[F.col(c).alias(f"o_{c}") for c in bits], F.col("codes").alias("more"))
+        likely.append(some.where("at <= spare").drop("at").join(full.hint("merge"), ["key", "pack", "grp"]).where(smaller & (lacks <= F.col("spare"))))
+    both = reduce(DataFrame.unionByName, likely).select("pack", "id", "other", "n", "spare", "key", F.explode(F.array(F.array_intersect("codes", "more"))).alias("both"))  # a generator: worked out once
+    near = both.where((F.size("both") >= F.col("n") - F.col("spare")) & (F.get("both", F.lit(0)) == F.col("key")))  # rarest first in both sets
+    near = near.select("pack", F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), (F.size("both") / F.col("n")).alias("share"))
+    with where_dealt(own.sparkSession):
+        near = written(near.where(F.col("share") >= least).withColumn("share", F.bround("share", 4)), "fact-pairs")
+    return copies.unionByName(near)
+
+
+def _rarest_codes(own: DataFrame) -> Column:
+    """The column ``stems`` of ``own`` as numbers, one for each distinct stem of all, about by rarity.
+
+    A number is the stem's hash. Of stems whose hashes fall together all but the first have numbers of their own below 0; if
+    these are more than CODES_APART, hashes of 63 bits are taken.
+    """
+    stems = written(own.select(F.explode("stems").alias("stem")).groupBy("stem").agg(F.count("*").alias("df")), "stems")
+    for hashed in (lambda w: F.hash(w).bitwiseAND(F.lit((1 << 31) - 1)), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 63) - 1))):
+        again = stems.groupBy(hashed(F.col("stem")).alias("code")).agg(F.min("stem").alias("least"), F.count("*").alias("k")).where("k > 1")
+        apart = stems.withColumn("code", hashed(F.col("stem"))).join(again.hint("merge"), "code").where("stem <> least").select("stem", "code").limit(CODES_APART + 1).collect()
+        if len(apart) <= CODES_APART:
+            break
+    code = hashed
+    if apart:
+        kind = stems.select(hashed(F.col("stem")).alias("code")).schema["code"].dataType
+        own_code = F.create_map(*[x for k, r in enumerate(sorted(apart)) for x in (F.lit(r.stem), F.lit(-1 - k).cast(kind))])
+        code = lambda w: F.when(hashed(w).isin(*{r.code for r in apart}), F.coalesce(F.try_element_at(own_code, w), hashed(w))).otherwise(hashed(w))
+    return rarest_first(stems.select(F.array(code(F.col("stem"))).alias("hashes"), "df"), F.transform("stems", code))
 
 
 def _bits(hashes: Column, word: int) -> Column:
